@@ -224,7 +224,7 @@ def nearest_gap_hours(points: DataFrame, gaps: DataFrame, ids: Sequence[str], at
         o = number_rows(marks, by, ["x", "tie", *[F.col(c) for c in ids], F.col("m")], **limits)
         return o.prefix(_m=("max", F.col("m"))).rows.where("tie = 1").select(*by, *ids, "x", "_m")
 
-    back = line(True).select(*by, *ids, F.greatest(F.lit(0), F.col("x") - F.col("_m")).alias("_since"))
+    back = line(True).select(*by, *ids, F.when(F.col("_m").isNotNull(), F.greatest(F.lit(0), F.col("x") - F.col("_m"))).alias("_since"))
     ahead = line(False).select(*by, *ids, (F.col("x") - F.col("_m")).alias("_until"))
     both = back.join(ahead, [*by, *ids])
     return both.select(*[k for k in by if k != "_one"], *ids, (F.least("_since", "_until") / F.lit(3.6e9)).alias("gap_hours"))

@@ -6,9 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelight import fixed
 
+# Explicit types: a type given as text needs a running session when the module is imported.
+_RANGE = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("azimuth_deg", T.DoubleType())])
+_LONLAT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
@@ -46,7 +51,7 @@ def _vincenty(lon1, lat1, lon2, lat2):
     return b * aa * (sigma - ds), az % 360
 
 
-@F.pandas_udf("m double, azimuth_deg double")
+@F.pandas_udf(_RANGE)
 def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     """Distance and forward azimuth on the WGS84 ellipsoid."""
     m, az = _vincenty(*(x.to_numpy(float) for x in (lon1, lat1, lon2, lat2)))
@@ -64,7 +69,7 @@ def affine_xy(col: Column, row: Column, t: dict[str, Column], centre: bool = Tru
     return t["c"] + t["a"] * c + t["b"] * r, t["f"] + t["d"] * c + t["e"] * r
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(_LONLAT)
 def utm_to_lonlat(x: pd.Series, y: pd.Series, zone: pd.Series) -> pd.DataFrame:
     """Northern-hemisphere UTM metres to degrees (Krueger series, third order in n)."""
     a, f = fixed.WGS84

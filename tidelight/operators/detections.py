@@ -127,20 +127,21 @@ def match_by_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: fl
     """One-to-one pairs, nearest first (ids break ties). ``a`` has (keys, a, ax, ay), ``b`` (keys, b, bx, by)."""
     pairs = near_pairs(a, b, keys, tol_m, tol_m).select(*keys, "a", "b", "d")
     rank = [F.col("d"), F.col("a"), F.col("b")]
-    return match_one_to_one(pairs, rank, rank)
+    return match_one_to_one(pairs, keys, rank, rank)
 
 
-def match_in_turn(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float, seq: str = "a_seq") -> DataFrame:
-    """Each ``a`` in turn (``seq``) takes its nearest free ``b`` by geodesic distance within ``tol_m``.
+def match_in_turn(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float, seq: str = "a_seq",
+                  metres: Column | None = None) -> DataFrame:
+    """Each ``a`` in turn (``seq``) takes its nearest free ``b`` within ``tol_m``.
 
-    Needs lon/lat as alon, alat, blon, blat besides flat metres ax, ay, bx, by; the flat search is
-    widened so that it cannot miss a geodesic neighbour.
+    Distance is geodesic over alon, alat, blon, blat, or the column ``metres``. Candidates come from
+    the flat metres ax, ay, bx, by, searched a little wider so that no true neighbour is missed.
     """
     wide = tol_m * 1.02 + 1.0
     flat = near_pairs(a, b, keys, wide, wide)
-    g = flat.withColumn("d", geodesic("alon", "alat", "blon", "blat")["m"]).where(F.col("d") <= tol_m)
-    pairs = g.select(*keys, "a", seq, "b", "d")
-    return match_one_to_one(pairs, [F.col("d"), F.col("b")], [F.col(seq), F.col("a")])
+    dist = geodesic("alon", "alat", "blon", "blat")["m"] if metres is None else metres
+    pairs = flat.withColumn("d", dist).where(F.col("d") <= tol_m).select(*keys, "a", seq, "b", "d")
+    return match_one_to_one(pairs, keys, [F.col("d"), F.col("b")], [F.col(seq), F.col("a")])
 
 
 def fuse(a: DataFrame, b: DataFrame, matches: DataFrame, keys: Sequence[str]) -> DataFrame:

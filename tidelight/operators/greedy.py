@@ -38,8 +38,8 @@ def keep_greedily(items: DataFrame, ident: str, conflicts: DataFrame) -> DataFra
     return items.join(gone, ident, "left_anti")
 
 
-def match_one_to_one(pairs: DataFrame, a_rank: Sequence[Column], b_rank: Sequence[Column]) -> DataFrame:
-    """One-to-one matching of candidate pairs (a, b).
+def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Column], b_rank: Sequence[Column]) -> DataFrame:
+    """One-to-one matching of candidate pairs (a, b) inside each key.
 
     Each round accepts the pairs that are the best choice of both sides among the open pairs, then
     closes every pair touching an accepted side. With both ranks = (distance, a, b) this is the
@@ -51,14 +51,14 @@ def match_one_to_one(pairs: DataFrame, a_rank: Sequence[Column], b_rank: Sequenc
 
     def choice(side: str, other: str, rank: Sequence[Column]) -> DataFrame:
         # Partial aggregation keeps one candidate per side and task, however many pairs a side has.
-        pick = open_.groupBy(side).agg(F.min(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)],
+        pick = open_.groupBy(*keys, side).agg(F.min(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)],
                                                       F.col(other).alias("o"))).alias("p"))
-        return pick.select(side, F.col("p.o").alias(other))
+        return pick.select(*keys, side, F.col("p.o").alias(other))
 
     while not open_.isEmpty():
-        hit = cut(choice("a", "b", a_rank).join(choice("b", "a", b_rank), ["a", "b"]).join(open_, ["a", "b"]), "accepted")
+        hit = cut(choice("a", "b", a_rank).join(choice("b", "a", b_rank), [*keys, "a", "b"]).join(open_, [*keys, "a", "b"]), "accepted")
         done = hit if done is None else done.unionByName(hit)
-        open_ = cut(open_.join(hit.select("a"), "a", "left_anti").join(hit.select("b"), "b", "left_anti"), "pairs")
+        open_ = cut(open_.join(hit.select(*keys, "a"), [*keys, "a"], "left_anti").join(hit.select(*keys, "b"), [*keys, "b"], "left_anti"), "pairs")
     return done if done is not None else pairs.limit(0)
 
 

@@ -319,7 +319,7 @@ def fired_versus_present(t: Tables):
 e AS (SELECT ev.*, baseline FROM ev JOIN bl ON bl.user_id = ev.user_id WHERE ev.user_id % 3 <> 0)
 SELECT w.scene_id, acquired_utc, coverage, 'craft' AS band, make_timestamp(CAST(round(t_peak * 1e6) AS BIGINT)) AS event_peak_utc, (t_peak - epoch_us(acquired_utc) / 1e6) / 60 AS minutes_from_acquisition, duration_s, peak_excess, baseline, '' AS reviewer_notes
 FROM e JOIN w ON w.scene_id = e.user_id UNION ALL SELECT scene_id, acquired_utc, coverage, 'both', NULL, NULL, NULL, NULL, NULL, CASE WHEN coverage = 'none' THEN 'NO ACOUSTIC DATA' ELSE 'DETECTOR SILENT' END FROM w
-WHERE scene_id NOT IN (SELECT user_id FROM e)""", floats=["minutes_from_acquisition", "duration_s", "peak_excess", "baseline"], digits=2)
+WHERE scene_id NOT IN (SELECT user_id FROM e)""", floats=["minutes_from_acquisition", "duration_s", "peak_excess", "baseline"], digits=3)
 def review_table(t: Tables):
     s = cut(t.series(), "levels")
     w = s.groupBy(F.col("user_id").alias("scene_id")).agg(F.min("at").alias("acquired_utc")).withColumn(

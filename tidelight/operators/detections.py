@@ -231,9 +231,7 @@ def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], iou: float = fixed.
     # A pair meets in several cells; the cell of the overlap's upper left corner speaks for it.
     home = (F.col("cx") == F.floor(F.greatest("x1_a", "x1_b") / cell)) & (F.col("cy") == F.floor(F.greatest("y1_a", "y1_b") / cell))
     hits = a.join(b, [*keys, "cx", "cy"]).where(ahead & home & (inter / (area("a") + area("b") - inter + 1e-9) >= iou))
-    ident = lambda s: F.struct(*keys, F.col(f"box_{s}").alias("box"))
-    return keep_greedily(p.withColumn("_id", F.struct(*keys, "box")), "_id",
-                         hits.select(ident("a").alias("winner"), ident("b").alias("loser"))).drop("_id")
+    return keep_greedily(p, keys, "box", hits.select(*keys, F.col("box_a").alias("winner"), F.col("box_b").alias("loser")))
 
 
 # ---- scenes ----------------------------------------------------------------------------------

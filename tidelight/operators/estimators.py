@@ -145,7 +145,7 @@ def cluster_count(peaks: DataFrame, keys: Sequence[str], seconds: float = fixed.
     ``peaks`` has keys, band, t_peak, profile (array of doubles). A peak founds a cluster unless an
     earlier founder takes it, which is a greedy choice in time order.
     """
-    p = cut(peaks.select(F.struct(*keys, "t_peak", "band").alias("id"), *keys, "t_peak", "band", "profile",
+    p = cut(peaks.select(F.concat_ws("|", F.col("t_peak").cast("decimal(20,6)"), "band").alias("id"), *keys, "t_peak", "band", "profile",
                          F.floor(F.col("t_peak") / seconds).alias("b")), "peaks")
     a = p.select(*keys, F.col("id").alias("ia"), F.struct("t_peak", "band").alias("ra"), F.col("t_peak").alias("ta"),
                  F.col("profile").alias("pa"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
@@ -153,7 +153,7 @@ def cluster_count(peaks: DataFrame, keys: Sequence[str], seconds: float = fixed.
                  F.col("profile").alias("pz"), "b")
     near = a.join(z, [*keys, "b"]).where((F.col("ra") < F.col("rz")) & (F.col("tz") - F.col("ta") <= seconds)
                                          & (cosine(F.col("pa"), F.col("pz")) >= same))
-    return keep_greedily(p.drop("b"), "id", near.select(F.col("ia").alias("winner"), F.col("iz").alias("loser")))
+    return keep_greedily(p.drop("b"), keys, "id", near.select(*keys, F.col("ia").alias("winner"), F.col("iz").alias("loser")))
 
 
 def split_count(base: DataFrame, band_series: DataFrame, keys: Sequence[str], place: str, at: str, half: int, rise: float,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelight import fixed
-from tidelight.operators.greedy import dropped_by_rivals, keep_greedily
+from tidelight.operators.greedy import keep_greedily
 from tidelight.operators.intervals import chain_groups
 from tidelight.operators.ordered import HOT_ROWS, RN, Ordered, centred_sum, number_rows
 from tidelight.operators.spectra import baselines
@@ -179,78 +179,109 @@ def turning_points(series: Ordered, value: str, at: str) -> DataFrame:
     return per.join(where, [*series.keys, "mid"], "left")
 
 
-def _prominences(height: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Prominence of each peak; ``before[i]`` is the lowest value between peaks i-1 and i.
+def _one_side(height: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest value on the way back to higher ground, and whether higher ground was met.
 
-    ``before`` has one entry more than ``height``: the last is the stretch after the last peak.
+    ``low[i]`` is the lowest value between entries i-1 and i. Equal heights are not higher ground.
     """
-    def one_side(h, low):
-        base, stack = np.empty(len(h)), []  # stack of (height, minimum since the entry below it)
-        for i, x in enumerate(h):
-            m = low[i]
-            while stack and stack[-1][0] <= x:
-                m = min(m, stack.pop()[1])
-            base[i] = m
-            stack.append((x, m))
-        return base
-    left = one_side(height, before[:-1])
-    right = one_side(height[::-1], before[::-1][:-1])[::-1]
-    return height - np.maximum(left, right)
+    base, met, stack = np.empty(len(height)), np.zeros(len(height), bool), []
+    for i, x in enumerate(height):
+        m = low[i]
+        while stack and stack[-1][0] <= x:
+            m = min(m, stack.pop()[1])
+        base[i], met[i] = m, bool(stack)
+        stack.append((x, m))
+    return base, met
+
+
+def _settle(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
+    """Settle the peaks of one stretch (rows by ``n``) whose higher ground, or series end, lies inside it.
+
+    Settled rows get a ``prominence``; the valleys behind them move to the row that stays before
+    them. With ``whole`` the stretch is the entire series and every peak is settled.
+    """
+    p = pdf.sort_values("n", ignore_index=True)
+    valley = p["valley"].fillna(np.inf).to_numpy(float)
+    edge = p["height"].isna().to_numpy()  # the stretch before the first peak stands for the series' start
+    height = np.where(edge, np.inf, p["height"].to_numpy(float))
+    left, met_l = _one_side(height, np.concatenate([[np.inf], valley[:-1]]))
+    right, met_r = _one_side(height[::-1], valley[::-1])
+    right, met_r = right[::-1], met_r[::-1]
+    at_end = whole or p["n"].iloc[-1] == p["n_last"].iloc[-1]
+    done = ~edge & ((met_l | whole) & (met_r | at_end))
+    p["prominence"] = np.where(done, height - np.maximum(left, right), np.nan)
+    group = np.cumsum(~done)
+    p["valley"] = p.groupby(group)["valley"].transform("min").where(~done, p["valley"])
+    return p
 
 
 def _peak_table(keys: Sequence[str], schema: T.StructType) -> T.StructType:
     return T.StructType([schema[k] for k in keys] + [T.StructField("mid", T.LongType()), T.StructField("prominence", T.DoubleType())])
 
 
+def _settle_equal_runs(pts: DataFrame, by: list[str], limits: dict) -> tuple[DataFrame, DataFrame]:
+    """Settle runs of equal peaks between higher neighbours, however long; returns (settled, rest)."""
+    o = number_rows(pts, by, ["n"], **limits).prefix(_ph=("last", F.col("height")), _lv=("last", F.col("valley")))
+    o = o.with_columns(_new=F.when(F.col("_ph").isNull() | (F.col("_ph") != F.col("height")), 1).otherwise(0))
+    o = o.prefix(_r=("sum", F.col("_new"))).with_columns(run=F.col("_r") + F.col("_new"))
+    peaks = cut(o.rows.select(*by, "run", "n", "n_last", "mid", "height", "valley", "_lv"), "turning")
+    runs = peaks.groupBy(*by, "run").agg(F.max("height").alias("height"))
+    near = number_rows(runs, by, ["run"], **limits).centred(
+        1, 1, _l=lambda w: F.lag("height").over(w), _x=lambda w: F.lead("height").over(w))
+    lower = lambda side: F.col(side).isNull() | (F.col("height") < F.col(side))
+    gone = near.where(F.col("height").isNotNull() & lower("_l") & lower("_x")).select(*by, "run")
+    flagged = cut(peaks.join(gone.withColumn("_gone", F.lit(True)), [*by, "run"], "left").withColumn(
+        "_gone", F.coalesce("_gone", F.lit(False))), "turning")
+    fwd = number_rows(flagged.where("_gone"), [*by, "run"], ["n"], **limits).prefix(_m=("max", -F.col("_lv"))).rows.select(
+        *by, "n", "mid", "height", "valley", "run", (-F.greatest("_m", -F.col("_lv"))).alias("left"))
+    bwd = number_rows(fwd, [*by, "run"], [F.col("n").desc()], **limits).prefix(_v=("max", -F.col("valley"))).rows
+    right = -F.greatest("_v", -F.col("valley"))
+    done = cut(bwd.select(*by, "mid", (F.col("height") - F.greatest("left", right)).alias("prominence")), "prominence")
+    k = number_rows(flagged, by, ["n"], **limits).prefix(_kept=("sum", F.when(F.col("_gone"), 0).otherwise(1)))
+    grp = k.with_columns(g=F.col("_kept") + F.when(F.col("_gone"), 0).otherwise(1)).rows
+    kept = lambda c: F.max(F.when(~F.col("_gone"), F.col(c))).alias(c)
+    rest = grp.groupBy(*by, "g").agg(*[kept(c) for c in ("n", "n_last", "mid", "height")], F.min("valley").alias("valley")).drop("g")
+    return done, cut(rest, "turning")
+
+
 def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """(keys, mid, prominence) of every peak.
 
     The height drop is taken to the higher of the two lowest values on the way to higher ground (or
-    the series' end) on each side. Series with more turning points than one task may hold are first
-    thinned in rounds: a peak not above either neighbour is settled by its two valleys and removed,
-    which leaves the other peaks' values unchanged.
+    the series' end) on each side. A series with more turning points than one task may hold is first
+    worked in stretches: peaks settled inside their stretch leave, the rest close up, and stretches
+    are cut anew half a length further on.
     """
-    settled = None
-    pts = points
     by = [*keys]
     schema = _peak_table(keys, points.schema)
+    ends = points.groupBy(*by).agg(F.max("n").alias("n_last"))
+    pts = points.select(*by, "n", "mid", "height", "valley").join(ends, by)
+    names = [*by, "n", "n_last", "mid", "height", "valley", "prominence"]
+    wide = T.StructType([*[pts.schema[c] for c in names[:-1]], T.StructField("prominence", T.DoubleType())])
     limits = {"hot_rows": hot_rows, "block_rows": max(4, hot_rows // 2)}
-    while (pts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > hot_rows:
-        # Equal peaks in a row are one run: they are no higher ground for each other.
-        o = number_rows(pts, by, ["n"], **limits).prefix(_ph=("last", F.col("height")), _lv=("last", F.col("valley")))
-        o = o.with_columns(_new=F.when(F.col("_ph").isNull() | (F.col("_ph") != F.col("height")), 1).otherwise(0))
-        o = o.prefix(_r=("sum", F.col("_new"))).with_columns(run=F.col("_r") + F.col("_new"))
-        peaks = cut(o.rows.select(*by, "run", "n", "mid", "height", "valley", "_lv"), "turning")
-        runs = peaks.groupBy(*by, "run").agg(F.max("height").alias("height"))
-        near = number_rows(runs, by, ["run"], **limits).centred(
-            1, 1, _l=lambda w: F.lag("height").over(w), _x=lambda w: F.lead("height").over(w))
-        lower = lambda side: F.col(side).isNull() | (F.col("height") < F.col(side))
-        gone = near.where(F.col("height").isNotNull() & lower("_l") & lower("_x")).select(*by, "run")
-        flagged = cut(peaks.join(gone.withColumn("_gone", F.lit(True)), [*by, "run"], "left").withColumn(
-            "_gone", F.coalesce("_gone", F.lit(False))), "turning")
-        out = flagged.where("_gone")
-        fwd = number_rows(out, [*by, "run"], ["n"], **limits).prefix(_m=("max", -F.col("_lv"))).rows.select(
-            *by, "n", "mid", "height", "valley", "run", (-F.greatest("_m", -F.col("_lv"))).alias("left"))
-        bwd = number_rows(fwd, [*by, "run"], [F.col("n").desc()], **limits).prefix(_v=("max", -F.col("valley"))).rows
-        done = cut(bwd.select(*by, "mid", (F.col("height") - F.greatest("left", -F.greatest("_v", -F.col("valley")))).alias("prominence")), "prominence")
-        settled = done if settled is None else settled.unionByName(done)
-        k = number_rows(flagged, by, ["n"], **limits).prefix(_kept=("sum", F.when(F.col("_gone"), 0).otherwise(1)))
-        grp = k.with_columns(g=F.col("_kept") + F.when(F.col("_gone"), 0).otherwise(1)).rows
-        pts = cut(grp.groupBy(*by, "g").agg(
-            F.max(F.when(~F.col("_gone"), F.col("n"))).alias("n"), F.max(F.when(~F.col("_gone"), F.col("mid"))).alias("mid"),
-            F.max(F.when(~F.col("_gone"), F.col("height"))).alias("height"), F.min("valley").alias("valley")).drop("g"), "turning")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        peaks = pdf[pdf["height"].notna()]
-        lead = pdf["valley"].iloc[0] if pd.isna(pdf["height"].iloc[0]) else np.inf
-        low = np.concatenate([[lead], peaks["valley"].fillna(np.inf).to_numpy(float)])
-        out = peaks[[*by, "mid"]].copy()
-        out["prominence"] = _prominences(peaks["height"].to_numpy(float), low)
-        return out.astype({"mid": "int64"})
-
-    rest = pts.select(*by, "n", "mid", "height", "valley").groupBy(*by).applyInPandas(settle, schema)
-    return rest if settled is None else rest.unionByName(settled.select(*[f.name for f in schema]))
+    settled, size, shift = None, None, 0
+
+    def longest(df: DataFrame) -> int:
+        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+    def keep(done: DataFrame) -> DataFrame:
+        done = done.select(*[f.name for f in schema])
+        return done if settled is None else settled.unionByName(done)
+
+    now = longest(pts)
+    while now > hot_rows:
+        if size is not None and now > 0.9 * size:
+            done, pts = _settle_equal_runs(pts, by, limits)
+            settled = keep(done)
+        size, length = now, max(4, hot_rows)
+        o = number_rows(pts, by, ["n"], **limits).rows.withColumn("_s", F.floor((F.col(RN) + shift * (length // 2)) / length))
+        worked = cut(o.select(*names[:-1], "_s").groupBy(*by, "_s").applyInPandas(
+            lambda _, pdf: _settle(pdf, False)[names].astype({"n": "int64"}), wide), "turning")
+        settled = keep(worked.where("prominence IS NOT NULL"))
+        pts = worked.where("prominence IS NULL").drop("prominence")
+        now, shift = longest(pts), 1 - shift
+    rest = pts.groupBy(*by).applyInPandas(lambda _, pdf: _settle(pdf, True)[names], wide).where("prominence IS NOT NULL")
+    return keep(rest)
 
 
 def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, first: Sequence[Column],
@@ -261,18 +292,15 @@ def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, fi
     """
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)], F.col(place).alias("at"))
     p = cut(peaks, "peaks")
-    rows = p.select(F.struct(*keys, place).alias("id"), *keys, F.col(place).alias("at"), rank.alias("rank"),
-                    F.floor(F.col(place) / distance).alias("b"))
-    left = rows.select(*keys, F.col("id").alias("ia"), F.col("at").alias("aa"), F.col("rank").alias("ra"),
-                       F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    right = rows.select(*keys, F.col("id").alias("ib"), F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
+    rows = p.select(*keys, F.col(place).alias("at"), rank.alias("rank"), F.floor(F.col(place) / distance).alias("b"))
+    left = rows.select(*keys, F.col("at").alias("aa"), F.col("rank").alias("ra"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
+    right = rows.select(*keys, F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
     d = F.col("ab") - F.col("aa")
     near = left.join(right, [*keys, "b"]).where((d > 0) & ((d <= distance) if closed else (d < distance)))
     ahead = F.col("ra") < F.col("rb")
-    conflicts = near.select(F.when(ahead, F.col("ia")).otherwise(F.col("ib")).alias("winner"),
-                            F.when(ahead, F.col("ib")).otherwise(F.col("ia")).alias("loser"))
-    gone = dropped_by_rivals(conflicts).select("id.*")
-    return p.join(gone, [*keys, place], "left_anti")
+    conflicts = near.select(*keys, F.when(ahead, F.col("aa")).otherwise(F.col("ab")).alias("winner"),
+                            F.when(ahead, F.col("ab")).otherwise(F.col("aa")).alias("loser"))
+    return keep_greedily(p, keys, place, conflicts)
 
 
 def prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | None, min_prominence: float, distance: int) -> DataFrame:

@@ -1,44 +1,75 @@
-"""Greedy choices as rounds of joins.
+"""Greedy choices and connected components as rounds over tables.
 
 A greedy pass in priority order keeps an item unless an earlier kept item conflicts with it. The
 same set results from rounds: keep every item without an undecided rival of higher priority, drop
-the rivals of the kept ones, repeat. Each round works on the conflicts that are still open.
+the rivals of the kept ones, repeat. The number of open conflicts of the largest group decides where
+the rounds run: inside one task per group while every group is small, otherwise as Spark joins over
+all groups at once. Both give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelight.session import cut
 
+SMALL_GROUP = 200_000  # conflicts or pairs of one group that one task may hold
 
-def dropped_by_rivals(conflicts: DataFrame) -> DataFrame:
-    """Ids a greedy pass drops, given conflict rows (winner, loser): ``winner`` has priority over ``loser``.
 
-    Everything not returned is kept.
+def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> T.StructType:
+    return T.StructType([df.schema[n] for n in names])
+
+
+def dropped_by_rivals(conflicts: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP) -> DataFrame:
+    """(keys, id) of the items a greedy pass drops; everything else is kept.
+
+    ``conflicts`` has keys, winner and loser: ``winner`` has priority over ``loser``.
     """
-    open_ = cut(conflicts.select("winner", "loser").distinct(), "conflicts")
+    open_ = cut(conflicts.select(*keys, "winner", "loser").distinct(), "conflicts")
+    if _largest(open_, keys) <= small:
+        schema = T.StructType([*_fields(open_, keys), T.StructField("id", open_.schema["loser"].dataType)])
+
+        def rounds(pdf: pd.DataFrame) -> pd.DataFrame:
+            w, x, lost = pdf["winner"].to_numpy(), pdf["loser"].to_numpy(), []
+            while len(w):
+                out = np.unique(x[~np.isin(w, x)])
+                lost.append(out)
+                rest = ~(np.isin(w, out) | np.isin(x, out))
+                w, x = w[rest], x[rest]
+            ids = np.concatenate(lost)
+            return pd.DataFrame({**{k: np.repeat(pdf[k].iloc[0], len(ids)) for k in keys}, "id": ids})
+
+        return open_.groupBy(*keys).applyInPandas(rounds, schema)
     lost = None
     while not open_.isEmpty():
-        keepers = open_.select(F.col("winner").alias("id")).distinct().join(
-            open_.select(F.col("loser").alias("id")).distinct(), "id", "left_anti")
-        out = cut(open_.join(keepers, open_.winner == keepers.id, "left_semi").select(F.col("loser").alias("id")).distinct(), "lost")
+        losers = open_.select(*keys, F.col("loser").alias("winner")).distinct()
+        keepers = open_.select(*keys, "winner").distinct().join(losers, [*keys, "winner"], "left_anti")
+        out = cut(open_.join(keepers, [*keys, "winner"], "left_semi").select(*keys, "loser").distinct(), "lost")
         lost = out if lost is None else lost.unionByName(out)
         # Conflicts of a kept item end with its losers; conflicts won by a dropped item are void.
-        rest = open_.join(out, open_.loser == out.id, "left_anti").join(out, F.col("winner") == out.id, "left_anti")
-        open_ = cut(rest, "conflicts")
-    return lost if lost is not None else conflicts.select(F.col("loser").alias("id")).limit(0)
+        gone = out.withColumnRenamed("loser", "winner")
+        open_ = cut(open_.join(out, [*keys, "loser"], "left_anti").join(gone, [*keys, "winner"], "left_anti"), "conflicts")
+    out = lost if lost is not None else conflicts.select(*keys, "loser").limit(0)
+    return out.withColumnRenamed("loser", "id")
 
 
-def keep_greedily(items: DataFrame, ident: str, conflicts: DataFrame) -> DataFrame:
-    gone = dropped_by_rivals(conflicts).withColumnRenamed("id", ident)
-    return items.join(gone, ident, "left_anti")
+def keep_greedily(items: DataFrame, keys: Sequence[str], ident: str, conflicts: DataFrame, small: int = SMALL_GROUP) -> DataFrame:
+    gone = dropped_by_rivals(conflicts, keys, small).withColumnRenamed("id", ident)
+    return items.join(gone, [*keys, ident], "left_anti")
 
 
-def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Column], b_rank: Sequence[Column]) -> DataFrame:
+def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Column], b_rank: Sequence[Column],
+                     small: int = SMALL_GROUP) -> DataFrame:
     """One-to-one matching of candidate pairs (a, b) inside each key.
 
     Each round accepts the pairs that are the best choice of both sides among the open pairs, then
@@ -46,37 +77,67 @@ def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Col
     greedy pass over pairs by distance; with a_rank = distance and b_rank = a's turn it is the pass
     in which each a in turn takes its nearest free b.
     """
-    open_ = cut(pairs, "pairs")
+    ra, rb = [f"_ra{i}" for i in range(len(a_rank))], [f"_rb{i}" for i in range(len(b_rank))]
+    ranked = pairs.withColumns({**dict(zip(ra, a_rank)), **dict(zip(rb, b_rank))})
+    open_, names = cut(ranked, "pairs"), list(pairs.columns)
+    if _largest(open_, keys) <= small:
+
+        def rounds(pdf: pd.DataFrame) -> pd.DataFrame:
+            # Sorted by its own rank, the first open row of a side is that side's choice.
+            by_a = pdf.sort_values([*ra, "b"], kind="stable")
+            place_b = pdf.sort_values([*rb, "a"], kind="stable").assign(_p=np.arange(len(pdf)))["_p"]
+            rest, done = by_a.assign(_p=place_b), []
+            while len(rest):
+                hit = rest[~rest["a"].duplicated() & (rest["_p"] == rest.groupby("b")["_p"].transform("min"))]
+                done.append(hit)
+                rest = rest[~rest["a"].isin(hit["a"]) & ~rest["b"].isin(hit["b"])]
+            return pd.concat(done)[names]
+
+        return open_.groupBy(*keys).applyInPandas(rounds, _fields(open_, names))
     done = None
 
-    def choice(side: str, other: str, rank: Sequence[Column]) -> DataFrame:
+    def choice(side: str, other: str, rank: Sequence[str]) -> DataFrame:
         # Partial aggregation keeps one candidate per side and task, however many pairs a side has.
-        pick = open_.groupBy(*keys, side).agg(F.min(F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)],
-                                                      F.col(other).alias("o"))).alias("p"))
+        pick = open_.groupBy(*keys, side).agg(F.min(F.struct(*rank, F.col(other).alias("o"))).alias("p"))
         return pick.select(*keys, side, F.col("p.o").alias(other))
 
     while not open_.isEmpty():
-        hit = cut(choice("a", "b", a_rank).join(choice("b", "a", b_rank), [*keys, "a", "b"]).join(open_, [*keys, "a", "b"]), "accepted")
+        both = choice("a", "b", ra).join(choice("b", "a", rb), [*keys, "a", "b"])
+        hit = cut(both.join(open_, [*keys, "a", "b"]), "accepted")
         done = hit if done is None else done.unionByName(hit)
-        open_ = cut(open_.join(hit.select(*keys, "a"), [*keys, "a"], "left_anti").join(hit.select(*keys, "b"), [*keys, "b"], "left_anti"), "pairs")
-    return done if done is not None else pairs.limit(0)
+        rest = open_.join(hit.select(*keys, "a"), [*keys, "a"], "left_anti").join(hit.select(*keys, "b"), [*keys, "b"], "left_anti")
+        open_ = cut(rest, "pairs")
+    return (done if done is not None else pairs.limit(0)).select(*names)
+
+
+def spread_minimum(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node number of the component of each of ``n`` nodes, given edges a-b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Label (smallest id) of the connected component of each node; ``nodes`` (id), ``edges`` (a, b).
+def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, label) for every node that has an edge (a, b): the smallest id of its component.
 
     Labels jump to the label of their label between rounds, so long chains need few rounds.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(nodes.select("id", F.col("id").alias("label")), "labels")
+    ab = edges.select(*keys, "a", "b")
+    both = cut(ab.unionByName(ab.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = both.select(*keys, F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     while True:
-        lab = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        near = both.join(lab, "b").groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("label").alias("old"),
-                                                      F.least("label", F.coalesce("near", "label")).alias("m"))
-        step = cut(step, "labels")
-        jump = step.select(F.col("id").alias("m"), F.col("m").alias("jump"))
-        new = cut(step.join(jump, "m").select("id", "old", F.least("m", "jump").alias("label")), "labels")
-        labels = new.select("id", "label")
+        lab = labels.select(*keys, F.col("id").alias("b"), F.col("label").alias("lb"))
+        near = both.join(lab, [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("lb").alias("near"))
+        step = cut(labels.join(near, [*keys, "id"], "left").select(
+            *keys, "id", F.col("label").alias("old"), F.least("label", "near").alias("m")), "labels")
+        jump = step.select(*keys, F.col("id").alias("m"), F.col("m").alias("jump"))
+        new = cut(step.join(jump, [*keys, "m"]).select(*keys, "id", "old", F.least("m", "jump").alias("label")), "labels")
+        labels = new.select(*keys, "id", "label")
         if new.where("label <> old").isEmpty():
             return labels

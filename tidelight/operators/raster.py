@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelight import fixed
-from tidelight.operators.greedy import components
+from tidelight.operators.greedy import components, spread_minimum
 from tidelight.session import cut
 
 
@@ -22,21 +23,52 @@ def runs_of(pixels: DataFrame, flag: Column) -> DataFrame:
     return hot.groupBy("scene_id", "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_g")
 
 
-def label_runs(runs: DataFrame) -> DataFrame:
-    """Add ``label``: the smallest (row, c0) run of the 8-connected component, as a number inside the scene."""
-    r = runs.withColumn("id", F.struct("scene_id", "row", "c0"))
-    r = cut(r, "runs")
-    up = r.select("scene_id", (F.col("row") + 1).alias("row"), F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("id").alias("a"))
-    # Runs of neighbouring rows touch when their columns overlap or meet diagonally. Buckets of
-    # columns keep the join from pairing all runs of two rows.
+BAND_ROWS = 128  # rows of a raster that are labelled inside one task
+
+
+def _touching(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of 8-connected runs in neighbouring rows; runs sorted by (row, c0)."""
+    width = int(c1.max()) + 3
+    start, end = row * width + c0, row * width + c1
+    below = (row + 1) * width
+    lo, hi = np.searchsorted(end, below + c0 - 1, "left"), np.searchsorted(start, below + c1 + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    first = np.repeat(np.arange(len(row)), n)
+    return first, np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def label_runs(runs: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Add ``label``: the first (row, c0) run of the 8-connected component.
+
+    Bands of rows are labelled inside tasks; only labels that touch across a band edge take part in
+    the rounds over the whole raster.
+    """
+    kind = dict(runs.dtypes)
+    schema = f"scene_id {kind['scene_id']}, row {kind['row']}, c0 {kind['c0']}, c1 {kind['c1']}, lr {kind['row']}, lc {kind['c0']}"
+
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(["row", "c0"], ignore_index=True)
+        row, c0, c1 = (p[c].to_numpy(np.int64) for c in ("row", "c0", "c1"))
+        head = spread_minimum(len(p), *_touching(row, c0, c1))
+        return p[["scene_id", "row", "c0", "c1"]].assign(lr=p["row"].to_numpy()[head], lc=p["c0"].to_numpy()[head])
+
+    banded = runs.withColumn("_band", F.floor(F.col("row") / band_rows))
+    local = cut(banded.groupBy("scene_id", "_band").applyInPandas(lambda _, pdf: band(pdf), schema).withColumn(
+        "local", F.struct(F.col("lr").alias("row"), F.col("lc").alias("c0"))).drop("lr", "lc"), "bands")
+    last = local.where(F.col("row") % band_rows == band_rows - 1).select(
+        "scene_id", (F.col("row") + 1).alias("row"), F.col("c0").alias("u0"), F.col("c1").alias("u1"), F.col("local").alias("a"))
+    next_ = local.where(F.col("row") % band_rows == 0)
+    # Buckets of columns keep the join from pairing all runs of two long rows.
     size = 256
     span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
-    lo, hi = F.col("c0") - 1, F.col("c1") + 1
-    here = r.withColumn("_b", span(lo, hi))
-    edge = up.withColumn("_b", span(F.col("u0"), F.col("u1"))).join(here, ["scene_id", "row", "_b"]).where(
+    edges = last.withColumn("_b", span(F.col("u0"), F.col("u1"))).join(
+        next_.withColumn("_b", span(F.col("c0") - 1, F.col("c1") + 1)), ["scene_id", "row", "_b"]).where(
         (F.col("u0") <= F.col("c1") + 1) & (F.col("u1") >= F.col("c0") - 1))
-    labels = components(r.select("id"), edge.select("a", F.col("id").alias("b")))
-    return r.join(labels, "id").drop("id").withColumn("label", F.struct(F.col("label.row").alias("row"), F.col("label.c0").alias("c0")))
+    edges = cut(edges.select("scene_id", "a", F.col("local").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return local.withColumnRenamed("local", "label")
+    joined = components(edges, ["scene_id"]).withColumnRenamed("id", "local")
+    return local.join(joined, ["scene_id", "local"], "left").withColumn("label", F.coalesce("label", "local")).drop("local")
 
 
 def sized_components(labelled: DataFrame) -> DataFrame:
@@ -109,6 +141,10 @@ def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MA
     return dev.withColumn("sigma", F.coalesce(sigma, flat)).withColumn("threshold", F.col("med") + n_mad * F.col("sigma")).drop("_std")
 
 
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> int:
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
 def _rectangle(points: np.ndarray) -> tuple[float, float]:
     """Sides (long, short) of the smallest rectangle around integer points, over all hull edge directions."""
     pts = np.unique(points, axis=0)
@@ -117,7 +153,7 @@ def _rectangle(points: np.ndarray) -> tuple[float, float]:
     def half(seq):
         out = []
         for p in seq:
-            while len(out) >= 2 and np.cross(out[-1] - out[-2], p - out[-2]) <= 0:
+            while len(out) >= 2 and _turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out
@@ -131,11 +167,16 @@ def _rectangle(points: np.ndarray) -> tuple[float, float]:
     return float(max(a[i], b[i])), float(min(a[i], b[i]))
 
 
+@F.pandas_udf(T.StructType([T.StructField("long_px", T.DoubleType()), T.StructField("short_px", T.DoubleType())]))
+def _sides(rows: pd.Series, cols: pd.Series) -> pd.DataFrame:
+    got = [_rectangle(np.stack([r, c], axis=1).astype(np.int64)) for r, c in zip(rows, cols)]
+    return pd.DataFrame({"long_px": [g[0] + 1 for g in got], "short_px": [g[1] + 1 for g in got]})
+
+
 def blobs(masked: DataFrame, value: str, thresholds: DataFrame, res_m: float) -> DataFrame:
     """Bright components on water with centroid, size, fill, peak and SNR.
 
-    Only the two end points of each run reach Python, for the smallest rectangle; outlines longer
-    than ``MAX_LENGTH_M`` need no exact rectangle but get one all the same.
+    Only the outermost points of each component reach Python, for the smallest rectangle.
     """
     hot = masked.join(thresholds.select("scene_id", "threshold", "med", "sigma"), "scene_id").where(
         F.col("water") & (F.col(value) >= F.col("threshold")))
@@ -149,19 +190,11 @@ def blobs(masked: DataFrame, value: str, thresholds: DataFrame, res_m: float) ->
     ends = labelled.groupBy("scene_id", "label", "row").agg(F.min("c0").alias("a"), F.max("c1").alias("z"))
     pts = ends.select("scene_id", "label", "row", F.explode(F.array_distinct(F.array("a", "z"))).alias("col"))
     low_high = pts.groupBy("scene_id", "label", "col").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
-    pts = low_high.select("scene_id", "label", F.col("label.row").alias("_lr"), F.col("label.c0").alias("_lc"),
-                          F.explode(F.array_distinct(F.array("r0", "r1"))).alias("row"), "col")
-
-    def side(pdf: pd.DataFrame) -> pd.DataFrame:
-        long_px, short_px = _rectangle(pdf[["row", "col"]].to_numpy(np.int64))
-        return pd.DataFrame({"scene_id": [pdf["scene_id"].iloc[0]], "_lr": [pdf["_lr"].iloc[0]], "_lc": [pdf["_lc"].iloc[0]],
-                             "long_px": [long_px + 1], "short_px": [short_px + 1]})
-
-    kind = dict(pts.dtypes)
-    sides = pts.select("scene_id", "_lr", "_lc", "row", "col").groupBy("scene_id", "_lr", "_lc").applyInPandas(
-        side, f"scene_id {kind['scene_id']}, _lr {kind['_lr']}, _lc {kind['_lc']}, long_px double, short_px double")
-    out = stat.withColumn("_lr", F.col("label.row")).withColumn("_lc", F.col("label.c0")).join(sides, ["scene_id", "_lr", "_lc"])
-    return out.select("scene_id", F.col("_lr").alias("label_row"), F.col("_lc").alias("label_col"), "row", "col", "n_px",
+    pts = low_high.select("scene_id", "label", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("row"), "col")
+    outline = pts.groupBy("scene_id", "label").agg(F.collect_list(F.struct("row", "col")).alias("p"))  # at most the raster's sides
+    sides = outline.select("scene_id", "label", _sides(F.col("p.row"), F.col("p.col")).alias("_s")).select("scene_id", "label", "_s.*")
+    out = stat.join(sides, ["scene_id", "label"])
+    return out.select("scene_id", F.col("label.row").alias("label_row"), F.col("label.c0").alias("label_col"), "row", "col", "n_px",
                       (F.col("long_px") * res_m).alias("length_m"), (F.col("short_px") * res_m).alias("width_m"),
                       (F.col("n_px") / F.greatest(F.col("long_px") * F.col("short_px"), F.lit(1e-6))).alias("fill"), "nir_peak",
                       ((F.col("nir_peak") - F.col("_med")) / F.col("_sigma")).alias("nir_snr"))

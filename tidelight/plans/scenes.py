@@ -89,7 +89,7 @@ def scenes_after_drops(t: Tables):
 @query(f"""WITH {SCENES} SELECT visible, count(*) FILTER (WHERE n_detections > 3) AS audible, count(*) FILTER (WHERE n_detections <= 3) AS silent FROM sc GROUP BY 1""")
 def visible_by_audible(t: Tables):
     s = _scenes(t).withColumn("heard", F.when(F.col("n_detections") > 3, "audible").otherwise("silent"))
-    return s.groupBy("visible").pivot("heard", ["audible", "silent"]).agg(F.count("*"))
+    return s.groupBy("visible").pivot("heard", ["audible", "silent"]).agg(F.count("heard"))
 
 
 AOI = ((-125.35, 48.77), (-125.21, 48.77), (-125.21, 48.86), (-125.35, 48.86))

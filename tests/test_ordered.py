@@ -131,13 +131,15 @@ def _naive_prominence(x, i):
     return h - max(left, right)
 
 
-@pytest.mark.parametrize("shape", ["random", "stairs", "ties"])
+@pytest.mark.parametrize("shape", ["random", "stairs", "ties", "flat"])
 def test_prominences_of_long_series(spark, shape):
     rnd = random.Random(11)
     if shape == "random":
         x = [float(rnd.randrange(40)) for _ in range(200)]
     elif shape == "stairs":
         x = [float(i // 2 + (3 if i % 2 else 0)) for i in range(150)]
+    elif shape == "flat":
+        x = [float(i % 2 * 5 + (i == 90)) for i in range(160)]
     else:
         x = [float([0, 5, 1, 5, 2, 5, 0, 9][i % 8]) for i in range(160)]
     df = spark.createDataFrame([("a", float(i), v) for i, v in enumerate(x)], "k string, t double, level double")

@@ -69,12 +69,24 @@ def reflectance(dn: Column, kind: Column, coefficient: Column) -> Column:
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation; NULL when either side is constant or there are no rows."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Pearson correlation; NULL when either side is constant or there are no rows.
+
+    Built from covariance, because ``corr`` itself divides by zero on constant input.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
+def line_fit(y: Column, x: Column) -> tuple[Column, Column]:
+    """Least-squares slope and intercept of y on x; NULL when x is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    slope = F.try_divide(F.covar_pop(x, y), F.var_pop(F.when(both, x)))
+    return slope, F.avg(F.when(both, y)) - slope * F.avg(F.when(both, x))
 
 
 def partial_r(rxy: Column, rxz: Column, ryz: Column) -> Column:
-    return F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
+    rest = F.greatest(F.lit(0.0), (1 - rxz * rxz) * (1 - ryz * ryz))
+    return F.try_divide(rxy - rxz * ryz, F.when(rxz.isNotNull() & ryz.isNotNull(), F.sqrt(rest)))
 
 
 def scene_score(clear: Column, glint: Column, view: Column, detections: Column) -> Column:

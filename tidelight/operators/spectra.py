@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight import fixed
-from tidelight.functions.maths import array_median, safe_corr
+from tidelight.functions.maths import array_median, line_fit, safe_corr
 from tidelight.operators.guards import DataError
 
 
@@ -415,6 +415,6 @@ def whitened_by_season(spectra: DataFrame, ambient: DataFrame, season: str) -> D
 
 def level_regression(pairs: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
     """Least-squares line and correlation of two level columns."""
-    return pairs.groupBy(*keys).agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        safe_corr(F.col(x), F.col(y)).alias("r"), F.count(F.lit(1)).alias("n"))
+    slope, intercept = line_fit(F.col(y).cast("double"), F.col(x).cast("double"))
+    return pairs.groupBy(*keys).agg(slope.alias("slope"), intercept.alias("intercept"),
+                                    safe_corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))

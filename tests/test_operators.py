@@ -371,11 +371,16 @@ def test_cells_round_halves_to_even(spark):
 def test_evidence_columns_must_exist(spark):
     b = spark.createDataFrame([(0.5,)], "score double")
     with pytest.raises(DataError, match="shore_m"):
-        de.select_boxes(b, F.lit(0.1), F.lit("none"), F.lit(0), F.lit(9), F.lit(9), shore_m=F.lit(15))
+        de.select_boxes(b, conf=0.1, shore_m=15.0)
     assert de.without_evidence(b.withColumn("nir_peak", F.lit(1))).columns == ["score"]
     assert column_difference(["a", "b"], ["b", "c"]) == (["c"], ["a"])
 
 
+def test_grid_skips_empty_and_repeated_settings():
+    g = de.parameter_grid(lambda c: c["lo"] >= c["hi"], lambda c: (c["lo"], c["hi"], c["mode"] if c["lo"] else ""), lo=(0, 5), hi=(5, 9), mode=("a", "b"))
+    assert [(c["config"], c["lo"], c["hi"], c["mode"]) for c in g] == [(0, 0, 5, "a"), (2, 0, 9, "a"), (6, 5, 9, "a"), (7, 5, 9, "b")]
+
+
 def test_coverage_of_an_area(spark):
     aoi = ((-125.0, 48.0), (-124.9, 48.0), (-124.9, 48.1), (-125.0, 48.1))
     ring = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]

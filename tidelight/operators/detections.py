@@ -17,22 +17,24 @@ from tidelight.session import cut
 
 # ---- filters ---------------------------------------------------------------------------------
 
-def select_boxes(boxes: DataFrame, conf: Column, mask: Column, min_len: Column, max_len: Column, max_aspect: Column,
-                 nir_pct: Column | None = None, shore_m: Column | None = None) -> DataFrame:
-    """Boxes that pass one filter setting; settings may be columns, so a whole grid runs in one pass.
-
-    Evidence columns that are asked for must exist.
-    """
+def passes(columns: Sequence[str], conf: float, mask: str = "none", min_len: float = 0.0, max_len: float = float("inf"),
+           max_aspect: float = float("inf"), nir_pct: float = 0.0, shore_m: float = 0.0) -> Column:
+    """Whether a box passes one filter setting. Evidence that is asked for must be among ``columns``."""
     for name, asked in (("nir_pct", nir_pct), ("shore_m", shore_m)):
-        if asked is not None and name not in boxes.columns:
+        if asked > 0 and name not in columns:
             raise DataError(f"boxes have no {name}; add the evidence columns first")
     ok = (F.col("score") >= conf) & F.col("in_valid") & F.col("length_m").between(min_len, max_len) & (F.col("aspect_ratio") <= max_aspect)
-    ok &= F.when(mask == "clear", F.col("in_clear")).when(mask == "water", F.col("in_water")).otherwise(F.lit(True))
-    if nir_pct is not None:
-        ok &= (nir_pct <= 0) | (F.col("nir_pct") >= nir_pct)
-    if shore_m is not None:
-        ok &= (shore_m <= 0) | (F.col("shore_m") >= shore_m)
-    return boxes.where(ok)
+    if mask != "none":
+        ok &= F.col({"clear": "in_clear", "water": "in_water"}[mask])
+    if nir_pct > 0:
+        ok &= F.col("nir_pct") >= nir_pct
+    if shore_m > 0:
+        ok &= F.col("shore_m") >= shore_m
+    return ok
+
+
+def select_boxes(boxes: DataFrame, **setting) -> DataFrame:
+    return boxes.where(passes(boxes.columns, **setting))
 
 
 def box_reasons(boxes: DataFrame, min_m: float = fixed.MIN_LENGTH_M, max_m: float = fixed.MAX_LENGTH_M) -> DataFrame:
@@ -282,18 +284,33 @@ def paired_scenes(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, Data
     return j.where("_a AND _b").select(key), only
 
 
-def parameter_grid(df: DataFrame, skip: Column, identity: Sequence[str], **values: Sequence) -> DataFrame:
-    """Every combination of settings per input row, without the skipped and the repeated ones.
+def parameter_grid(skip=lambda c: False, identity=lambda c: tuple(c.values()), **values: Sequence) -> list[dict]:
+    """Every combination of settings, numbered, without the skipped ones and the repeated ones.
 
-    The settings are constants, so they are unfolded in place; ``config`` numbers them the same way every time.
+    ``identity`` gives what makes a combination effective: combinations that agree in it run once.
     """
     import itertools
 
-    names = list(values)
-    rows = [F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(n) for n, v in zip(names, combo)])
-            for i, combo in enumerate(itertools.product(*values.values()))]
-    grid = df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("_c")).select("_c.*").where(~skip)
-    first = grid.groupBy(*identity).agg(F.min("config").alias("config"))
-    chosen = [r["config"] for r in first.collect()]  # a few constants, no data
-    kept = F.filter(F.array(*rows), lambda c: c.config.isin(*chosen))
-    return df.withColumn("_c", F.explode(kept)).select(*df.columns, "_c.*")
+    seen, out = set(), []
+    for i, combo in enumerate(itertools.product(*values.values())):
+        c = dict(zip(values, combo))
+        if not skip(c) and identity(c) not in seen:
+            seen.add(identity(c))
+            out.append({"config": i, **c})
+    return out
+
+
+def sweep_counts(boxes: DataFrame, scene: str, configs: Sequence[dict], keep, per_pass: int = 64) -> DataFrame:
+    """(config, scene, pred): boxes of every scene that pass each setting, zeros included.
+
+    Settings become conditional counts of one hash aggregate, so boxes are neither copied per
+    setting nor shuffled: a scene leaves each task as one row of counters.
+    """
+    out = None
+    for i in range(0, len(configs), per_pass):
+        part = configs[i:i + per_pass]
+        counts = boxes.groupBy(scene).agg(*[F.count_if(keep(c)).alias(f"c{c['config']}") for c in part])
+        rows = F.explode(F.array(*[F.struct(F.lit(c["config"]).alias("config"), F.col(f"c{c['config']}").alias("pred")) for c in part]))
+        got = counts.select(F.col(scene).alias("scene"), rows.alias("_r")).select("_r.config", "scene", "_r.pred")
+        out = got if out is None else out.unionByName(got)
+    return out

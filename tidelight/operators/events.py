@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelight import fixed
-from tidelight.operators.greedy import keep_greedily
+from tidelight.operators.greedy import keep_greedily, slots
 from tidelight.operators.intervals import chain_groups
 from tidelight.operators.ordered import HOT_ROWS, RN, Ordered, centred_sum, number_rows
 from tidelight.operators.spectra import baselines
@@ -194,25 +194,33 @@ def _one_side(height: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return base, met
 
 
-def _settle(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
-    """Settle the peaks of one stretch (rows by ``n``) whose higher ground, or series end, lies inside it.
+def _settle(n: np.ndarray, height: np.ndarray, valley: np.ndarray, last: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Settle the peaks of one stretch whose higher ground, or series end, lies inside it.
 
-    Settled rows get a ``prominence``; the valleys behind them move to the row that stays before
-    them. With ``whole`` the stretch is the entire series and every peak is settled.
+    Returns prominences (NaN where open) and valleys; the valleys behind settled rows move to the
+    row that stays before them. With ``whole`` the stretch is the entire series and all are settled.
     """
-    p = pdf.sort_values("n", ignore_index=True)
-    valley = p["valley"].fillna(np.inf).to_numpy(float)
-    edge = p["height"].isna().to_numpy()  # the stretch before the first peak stands for the series' start
-    height = np.where(edge, np.inf, p["height"].to_numpy(float))
+    edge = np.isnan(height)  # the stretch before the first peak stands for the series' start
+    height, valley = np.where(edge, np.inf, height), np.where(np.isnan(valley), np.inf, valley)
     left, met_l = _one_side(height, np.concatenate([[np.inf], valley[:-1]]))
-    right, met_r = _one_side(height[::-1], valley[::-1])
-    right, met_r = right[::-1], met_r[::-1]
-    at_end = whole or p["n"].iloc[-1] == p["n_last"].iloc[-1]
-    done = ~edge & ((met_l | whole) & (met_r | at_end))
-    p["prominence"] = np.where(done, height - np.maximum(left, right), np.nan)
-    group = np.cumsum(~done)
-    p["valley"] = p.groupby(group)["valley"].transform("min").where(~done, p["valley"])
-    return p
+    right, met_r = (x[::-1] for x in _one_side(height[::-1], valley[::-1]))
+    done = ~edge & (met_l | whole) & (met_r | whole | (n[-1] == last))
+    kept = np.flatnonzero(~done)
+    if len(kept):
+        valley = valley.copy()
+        valley[kept] = np.minimum.reduceat(valley, kept)
+    return np.where(done, height - np.maximum(left, right), np.nan), valley
+
+
+def _settle_all(pdf: pd.DataFrame, keys: list[str], whole: bool) -> pd.DataFrame:
+    """``_settle`` for every series in the frame."""
+    p = pdf.sort_values([*keys, "n"], ignore_index=True)
+    starts = np.flatnonzero(~p.duplicated(keys).to_numpy())
+    n, h, v, last = (p[c].to_numpy(float) for c in ("n", "height", "valley", "n_last"))
+    prom = np.empty(len(p))
+    for i, j in zip(starts, [*starts[1:], len(p)]):
+        prom[i:j], v[i:j] = _settle(n[i:j], h[i:j], v[i:j], last[i], whole)
+    return p.assign(prominence=prom, valley=np.where(np.isinf(v), np.nan, v))
 
 
 def _peak_table(keys: Sequence[str], schema: T.StructType) -> T.StructType:
@@ -276,12 +284,12 @@ def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
         size, length = now, max(4, hot_rows)
         o = number_rows(pts, by, ["n"], **limits).rows.withColumn("_s", F.floor((F.col(RN) + shift * (length // 2)) / length))
         worked = cut(o.select(*names[:-1], "_s").groupBy(*by, "_s").applyInPandas(
-            lambda _, pdf: _settle(pdf, False)[names].astype({"n": "int64"}), wide), "turning")
+            lambda _, pdf: _settle_all(pdf, by, False)[names], wide), "turning")
         settled = keep(worked.where("prominence IS NOT NULL"))
         pts = worked.where("prominence IS NULL").drop("prominence")
         now, shift = longest(pts), 1 - shift
-    rest = pts.groupBy(*by).applyInPandas(lambda _, pdf: _settle(pdf, True)[names], wide).where("prominence IS NOT NULL")
-    return keep(rest)
+    gathered = slots(pts, by, now)
+    return keep(gathered.groupBy("_slot").applyInPandas(lambda pdf: _settle_all(pdf, by, True)[names], wide).where("prominence IS NOT NULL"))
 
 
 def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, first: Sequence[Column],

@@ -22,34 +22,50 @@ from tidelight.session import cut
 SMALL_GROUP = 200_000  # conflicts or pairs of one group that one task may hold
 
 
-def _largest(df: DataFrame, keys: Sequence[str]) -> int:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+SLOT_ROWS = 50_000  # rows of small groups that share one call into Python
+
+
+def slots(df: DataFrame, keys: Sequence[str], small: int) -> DataFrame | None:
+    """Add ``_slot``, a hash of the keys that gathers many small groups; None when a group is not small."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    if (n["top"] or 0) > small:
+        return None
+    return df.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(1 + (n["all"] or 0) // SLOT_ROWS)))
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
 
 
+def _codes(pdf: pd.DataFrame, *names: str) -> np.ndarray:
+    return pdf.groupby(list(names), sort=False).ngroup().to_numpy()
+
+
 def dropped_by_rivals(conflicts: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP) -> DataFrame:
     """(keys, id) of the items a greedy pass drops; everything else is kept.
 
     ``conflicts`` has keys, winner and loser: ``winner`` has priority over ``loser``.
     """
     open_ = cut(conflicts.select(*keys, "winner", "loser").distinct(), "conflicts")
-    if _largest(open_, keys) <= small:
+    gathered = slots(open_, keys, small)
+    if gathered is not None:
         schema = T.StructType([*_fields(open_, keys), T.StructField("id", open_.schema["loser"].dataType)])
+        head = [*keys]
 
         def rounds(pdf: pd.DataFrame) -> pd.DataFrame:
-            w, x, lost = pdf["winner"].to_numpy(), pdf["loser"].to_numpy(), []
+            n = len(pdf)
+            ends = pd.concat([pdf[[*head, "winner"]].rename(columns={"winner": "id"}), pdf[[*head, "loser"]].rename(columns={"loser": "id"})], ignore_index=True)
+            code = _codes(ends, *head, "id")
+            w, x, gone = code[:n], code[n:], np.zeros(code.max() + 1, bool)
             while len(w):
-                out = np.unique(x[~np.isin(w, x)])
-                lost.append(out)
-                rest = ~(np.isin(w, out) | np.isin(x, out))
+                has_rival = np.zeros_like(gone)
+                has_rival[x] = True
+                gone[x[~has_rival[w]]] = True
+                rest = ~(gone[w] | gone[x])
                 w, x = w[rest], x[rest]
-            ids = np.concatenate(lost)
-            return pd.DataFrame({**{k: np.repeat(pdf[k].iloc[0], len(ids)) for k in keys}, "id": ids})
+            return ends[gone[code]].drop_duplicates()
 
-        return open_.groupBy(*keys).applyInPandas(rounds, schema)
+        return gathered.groupBy("_slot").applyInPandas(rounds, schema)
     lost = None
     while not open_.isEmpty():
         losers = open_.select(*keys, F.col("loser").alias("winner")).distinct()
@@ -79,21 +95,27 @@ def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Col
     """
     ra, rb = [f"_ra{i}" for i in range(len(a_rank))], [f"_rb{i}" for i in range(len(b_rank))]
     ranked = pairs.withColumns({**dict(zip(ra, a_rank)), **dict(zip(rb, b_rank))})
-    open_, names = cut(ranked, "pairs"), list(pairs.columns)
-    if _largest(open_, keys) <= small:
+    open_, names, head = cut(ranked, "pairs"), list(pairs.columns), [*keys]
+    gathered = slots(open_, keys, small)
+    if gathered is not None:
 
         def rounds(pdf: pd.DataFrame) -> pd.DataFrame:
-            # Sorted by its own rank, the first open row of a side is that side's choice.
-            by_a = pdf.sort_values([*ra, "b"], kind="stable")
-            place_b = pdf.sort_values([*rb, "a"], kind="stable").assign(_p=np.arange(len(pdf)))["_p"]
-            rest, done = by_a.assign(_p=place_b), []
-            while len(rest):
-                hit = rest[~rest["a"].duplicated() & (rest["_p"] == rest.groupby("b")["_p"].transform("min"))]
-                done.append(hit)
-                rest = rest[~rest["a"].isin(hit["a"]) & ~rest["b"].isin(hit["b"])]
-            return pd.concat(done)[names]
-
-        return open_.groupBy(*keys).applyInPandas(rounds, _fields(open_, names))
+            # Sorted by a's rank the first open row of an a is its choice; b's choice has the least place.
+            place = pdf.sort_values([*rb, "a"], kind="stable").assign(_p=np.arange(len(pdf)))["_p"]
+            p = pdf.assign(_p=place).sort_values([*ra, "b"], kind="stable", ignore_index=True)
+            a, b, spot = _codes(p, *head, "a"), _codes(p, *head, "b"), p["_p"].to_numpy()
+            row, taken = np.arange(len(p)), np.zeros(len(p), bool)
+            while len(row):
+                first = np.zeros(len(row), bool)
+                first[np.unique(a[row], return_index=True)[1]] = True
+                least = np.full(b.max() + 1, len(p))
+                np.minimum.at(least, b[row], spot[row])
+                hit = row[first & (spot[row] == least[b[row]])]
+                taken[hit] = True
+                row = row[~np.isin(a[row], a[hit]) & ~np.isin(b[row], b[hit])]
+            return p.loc[taken, names]
+
+        return gathered.groupBy("_slot").applyInPandas(rounds, _fields(open_, names))
     done = None
 
     def choice(side: str, other: str, rank: Sequence[str]) -> DataFrame:

@@ -74,13 +74,11 @@ class Tables:
 
     def marks(self) -> DataFrame:
         """Detections in metres: scene_id, id (unique inside a scene), side (A or B), x, y and attributes."""
-        li = self.raw("lineitem")
-        cols = [c for c in li.columns if c not in ("l_suppkey", "l_orderkey", "l_linenumber", "l_linestatus")]
-        li = li.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min(F.struct(*cols)).alias("r")).select(
-            "l_suppkey", "l_orderkey", "l_linenumber", "r.*")
+        best = {c: F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")}
+        li = self.raw("lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(*best.values())
         return li.select(
             F.col("l_suppkey").alias("scene_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "B").otherwise("C").alias("side"),
+            F.when(F.col("l_orderkey") % 3 == 0, "A").when(F.col("l_orderkey") % 3 == 1, "B").otherwise("C").alias("side"),
             (F.col("l_extendedprice") / 50).alias("x"), ((F.col("l_orderkey") % 2003) + F.col("l_linenumber") / 8).alias("y"),
             F.col("l_quantity").alias("length_m"), (F.col("l_quantity") / (1 + F.col("l_linenumber") % 4)).alias("width_m"),
             (1 - F.col("l_discount")).alias("score"), (F.col("l_tax") * 100).alias("fill"), (F.col("l_discount") * 300).alias("nir_snr"),
@@ -113,9 +111,9 @@ SERIES = """se AS (SELECT user_id, event_type, event_id, ts, epoch_us(ts) / 1e6
 SPANS = """sp AS (SELECT user_id, event_id, event_type, ts AS start_utc, ts + to_hours(CAST(1 + event_id % 6 AS INTEGER)) AS end_utc FROM events)"""
 WINDOWS = """wi AS (SELECT user_id, event_id AS scene_id, ts AS acquired_utc, ts - INTERVAL 2 HOUR AS w_start, ts + INTERVAL 2 HOUR AS w_end
   FROM events WHERE event_type = 'purchase')"""
-_ROW = "l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate"
-MARKS = f"""li1 AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY {_ROW}) = 1), mk AS (SELECT l_suppkey AS scene_id, l_orderkey * 10 + l_linenumber AS id,
-  CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' ELSE 'C' END AS side, l_extendedprice / 50 AS x,
+MARKS = """li1 AS (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_discount) AS l_discount,
+  min(l_tax) AS l_tax, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2, 3), mk AS (SELECT l_suppkey AS scene_id, l_orderkey * 10 + l_linenumber AS id,
+  CASE l_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS side, l_extendedprice / 50 AS x,
   (l_orderkey % 2003) + l_linenumber / 8 AS y, l_quantity AS length_m, l_quantity / (1 + l_linenumber % 4) AS width_m, 1 - l_discount AS score,
   l_tax * 100 AS fill, l_discount * 300 AS nir_snr, year(l_shipdate) AS year, -125.3 + l_extendedprice / 50 / 73000 AS lon, 48.8 + ((l_orderkey % 2003) + l_linenumber / 8) / 110540 AS lat FROM li1)"""
 PIXELS = """px AS (SELECT vec_id // 64 AS scene_id, CAST(vec_id % 64 AS INTEGER) AS row, col, CAST(floor(v * 100) + 50 AS INTEGER) AS nir,

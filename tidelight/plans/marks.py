@@ -172,8 +172,8 @@ def _flags(t: Tables):
 
 @query(f"""WITH {FLAGS} SELECT id, score, length_m FROM f WHERE score >= 0.95 AND in_valid AND in_water AND length_m BETWEEN 10 AND 40 AND aspect_ratio <= 3 AND nir_pct >= 0.5 AND shore_m >= 15""", floats=["score", "length_m"])
 def selected_boxes(t: Tables):
-    c = F.lit
-    return de.select_boxes(_flags(t), c(0.95), c("water"), c(10), c(40), c(3), c(0.5), c(15.0)).select("id", "score", "length_m")
+    got = de.select_boxes(_flags(t), conf=0.95, mask="water", min_len=10, max_len=40, max_aspect=3, nir_pct=0.5, shore_m=15.0)
+    return got.select("id", "score", "length_m")
 
 
 @query(f"""WITH {FLAGS} SELECT reject_reason, count(*) AS n_rows FROM (SELECT CASE WHEN NOT in_valid THEN 'outside_valid' WHEN NOT in_water THEN 'outside_water' WHEN length_m < 6 THEN 'sub_pixel_length'
@@ -271,14 +271,11 @@ mx AS (SELECT gr.config, sc.scene, coalesce(n, 0) AS pred FROM gr JOIN sc ON tru
 
 
 def _matrix(t: Tables):
-    """Counts per configuration and scene, zeros included; all settings run in one pass over the boxes."""
-    boxes = _flags(t).select("scene_id", "score", "in_valid", "in_clear", "in_water", "length_m", "aspect_ratio")
-    grid = lambda df: de.parameter_grid(df, F.col("min_len") >= F.col("max_len"), ["conf", "min_len", "max_len", "mask"],
-                                        conf=CONF, min_len=MIN_LEN, max_len=MAX_LEN, mask=MASK)
-    hit = de.select_boxes(grid(boxes), F.col("conf"), F.col("mask"), F.col("min_len"), F.col("max_len"), F.lit(4))
-    n = hit.groupBy("config", F.col("scene_id").alias("scene")).agg(F.count("*").alias("n"))
-    every = grid(boxes.select(F.col("scene_id").alias("scene")).distinct()).select("config", "scene")
-    return cut(every.join(n, ["config", "scene"], "left").select("config", "scene", F.coalesce("n", F.lit(0)).alias("pred")), "matrix")
+    """Counts per configuration and scene; all settings run in one pass over the boxes."""
+    boxes = _flags(t)
+    grid = de.parameter_grid(lambda c: c["min_len"] >= c["max_len"], conf=CONF, min_len=MIN_LEN, max_len=MAX_LEN, mask=MASK)
+    keep = lambda c: de.passes(boxes.columns, max_aspect=4, **{k: v for k, v in c.items() if k != "config"})
+    return cut(de.sweep_counts(boxes, "scene_id", grid, keep), "matrix")
 
 
 def _truth(t: Tables):

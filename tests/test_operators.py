@@ -203,12 +203,52 @@ def test_matching_matches_a_sequential_pass(spark, small, mode):
     assert set(map(tuple, got.select("k", "a", "b").collect())) == want
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_copies_are_matched_without_pairing_them(spark, small):
+    rnd = random.Random(13)
+    side = lambda n, off: [("s", off + i, float(rnd.randrange(4) * 3), float(rnd.randrange(3) * 4)) for i in range(n)]
+    a, b = side(40, 0), side(30, 100)
+    first_a, first_b = ({(r[2], r[3]): min(q[1] for q in rows if q[2:] == r[2:]) for r in rows} for rows in (a, b))
+    order = sorted((math.hypot(x[2] - y[2], x[3] - y[3]), first_a[x[2:]], first_b[y[2:]], x[1], y[1]) for x in a for y in b)
+    want, ua, ub = set(), set(), set()
+    for d, _, _, i, j in order:
+        if d <= 3.5 and i not in ua and j not in ub:
+            ua.add(i)
+            ub.add(j)
+            want.add((i, j))
+    da = spark.createDataFrame(a, "k string, a long, ax double, ay double")
+    db = spark.createDataFrame(b, "k string, b long, bx double, by double")
+    got = de.match_by_distance(da, db, ["k"], 3.5, small=small)
+    assert {(r.a, r.b) for r in got.collect()} == want
+
+
 def test_spacing_prefers_the_higher_then_the_later(spark):
     p = spark.createDataFrame([("a", 0, 5.0), ("a", 5, 5.0), ("a", 9, 7.0), ("a", 20, 1.0)], "k string, mid long, height double")
     got = ev.apart(p, ["k"], "mid", 6, [-F.col("height"), -F.col("mid")])
     assert sorted(r.mid for r in got.collect()) == [0, 9, 20]
 
 
+def test_suppression_with_copies_matches_a_sequential_pass(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(60):
+        x, y = rnd.randrange(12) * 5.0, rnd.randrange(6) * 5.0
+        w = 0.0 if i % 15 == 0 else 12.0
+        rows.append(("s", i, rnd.randrange(5) / 4, x, y, x + w, y + w))
+    rows += [("s", 100 + i, 0.75, *rows[1][3:]) for i in range(20)]
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[2], -r[1])):
+        def iou(q, r=r):
+            inter = max(min(q[5], r[5]) - max(q[3], r[3]), 0) * max(min(q[6], r[6]) - max(q[4], r[4]), 0)
+            area = lambda b: (b[5] - b[3]) * (b[6] - b[4])
+            return inter / (area(q) + area(r) - inter + 1e-9)
+        if all(iou(q) < 0.5 for q in kept):
+            kept.append(r)
+    df = spark.createDataFrame(rows, "scene_id string, box long, score double, x1 double, y1 double, x2 double, y2 double")
+    got = de.suppress_overlaps(df, ["scene_id"], cell=7.0)
+    assert sorted(r.box for r in got.collect()) == sorted(r[1] for r in kept)
+
+
 # ---- rasters -------------------------------------------------------------------------------------
 
 def _pixels(spark, grid, valid=None):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight import fixed
@@ -12,6 +12,7 @@ from tidelight.functions.geo import geodesic, grid_cell
 from tidelight.functions.maths import box_shape, size_class
 from tidelight.operators.greedy import keep_greedily, match_one_to_one
 from tidelight.operators.guards import DataError, first_reason
+from tidelight.operators.ordered import RN, number_rows
 from tidelight.session import cut
 
 
@@ -78,8 +79,6 @@ def with_range(detections: DataFrame, origin_lon: float, origin_lat: float) -> D
 
 def scene_ids(detections: DataFrame, scene: str, order: Sequence[Column], name: str = "detection_id") -> DataFrame:
     """``scene:0000`` ids in the given order inside each scene."""
-    from tidelight.operators.ordered import RN, number_rows
-
     o = number_rows(detections, [scene], order)
     place = F.lpad(F.col(RN).cast("string"), 4, "0")
     wide = F.when(F.col(RN) < 10_000, place).otherwise(F.col(RN).cast("string"))
@@ -125,17 +124,41 @@ def near_pairs_any_radius(a: DataFrame, b: DataFrame, keys: Sequence[str], cell:
     return aa.join(bb, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", d).where(F.col("d") <= F.col("radius"))
 
 
-def match_by_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float) -> DataFrame:
-    """One-to-one pairs, nearest first (ids break ties). ``a`` has (keys, a, ax, ay), ``b`` (keys, b, bx, by)."""
-    pairs = near_pairs(a, b, keys, tol_m, tol_m).select(*keys, "a", "b", "d")
+def match_by_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float, **limits: int) -> DataFrame:
+    """One-to-one pairs, nearest first (ids break ties). ``a`` has (keys, a, ax, ay), ``b`` (keys, b, bx, by).
+
+    Places are matched, not copies: rows at one place form one side with as many units as rows, and
+    the units are handed out in id order, which is what the pass over single pairs would do.
+    """
+    pa = a.groupBy(*keys, "ax", "ay").agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("na"))
+    pb = b.groupBy(*keys, "bx", "by").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("nb"))
+    pairs = near_pairs(pa, pb, keys, tol_m, tol_m)
     rank = [F.col("d"), F.col("a"), F.col("b")]
-    return match_one_to_one(pairs, keys, rank, rank)
+    flows = cut(match_one_to_one(pairs, keys, rank, rank, F.col("na"), F.col("nb"), **limits), "flows")
+
+    def earlier(side: str) -> Column:  # units a place gave to nearer places; a place has few neighbours
+        w = Window.partitionBy(*keys, side).orderBy("d", "a", "b").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+    step = 100_000
+    units = flows.withColumn("_fa", earlier("a")).withColumn("_fb", earlier("b"))
+    units = units.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step)))).withColumn(
+        "_i", F.explode(F.sequence(F.col("_k") * step, F.least(F.col("n"), (F.col("_k") + 1) * step) - 1)))
+    units = units.select(*keys, "ax", "ay", "bx", "by", "d", (F.col("_fa") + F.col("_i")).alias("_pa"), (F.col("_fb") + F.col("_i")).alias("_pb"))
+
+    def members(df: DataFrame, side: str) -> DataFrame:
+        at = [*keys, f"{side}x", f"{side}y"]
+        return number_rows(df.select(*at, side), at, [side]).rows.select(*at, side, F.col(RN).alias(f"_p{side}"))
+
+    out = units.join(members(a, "a"), [*keys, "ax", "ay", "_pa"]).join(members(b, "b"), [*keys, "bx", "by", "_pb"])
+    return out.select(*keys, "a", "b", "d")
 
 
 def match_in_turn(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float, seq: str = "a_seq",
                   metres: Column | None = None) -> DataFrame:
     """Each ``a`` in turn (``seq``) takes its nearest free ``b`` within ``tol_m``.
 
+    Boxes of one side have been through ``suppress_overlaps``, so few lie within ``tol_m`` of a row.
     Distance is geodesic over alon, alat, blon, blat, or the column ``metres``. Candidates come from
     the flat metres ax, ay, bx, by, searched a little wider so that no true neighbour is missed.
     """
@@ -143,7 +166,7 @@ def match_in_turn(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: float,
     flat = near_pairs(a, b, keys, wide, wide)
     dist = geodesic("alon", "alat", "blon", "blat")["m"] if metres is None else metres
     pairs = flat.withColumn("d", dist).where(F.col("d") <= tol_m).select(*keys, "a", seq, "b", "d")
-    return match_one_to_one(pairs, keys, [F.col("d"), F.col("b")], [F.col(seq), F.col("a")])
+    return match_one_to_one(pairs, keys, [F.col("d"), F.col("b")], [F.col(seq), F.col("a")]).drop("n")
 
 
 def fuse(a: DataFrame, b: DataFrame, matches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -176,11 +199,14 @@ def pick_hulls(a: DataFrame, b: DataFrame, keys: Sequence[str], selector: str =
     """
     key = {"fill": F.col("fill"), "snr": F.col("nir_snr"), "small": -F.col("length_m")}[selector]
     search = a.withColumn("radius", 0.5 * F.greatest("w_m", "h_m") + margin_m)
-    near = near_pairs_any_radius(search.select(*keys, "a", "ax", "ay", "radius"), b, keys, cell)
-    best = near.groupBy(*keys, "a").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.max(F.struct(key.alias("k"), (-F.col("b")).alias("nb"), F.col("length_m").alias("hull_length_m"), F.col("d").alias("hull_offset_m"))).alias("_h"))
-    out = search.join(best, [*keys, "a"], "left")
+    # Rows at one place see the same neighbours: places are paired, not copies.
+    spots = search.select(*keys, "ax", "ay", "radius").distinct()
+    places = b.groupBy(*keys, "bx", "by").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct(key.alias("k"), (-F.col("b")).alias("nb"), F.col("length_m").alias("len"))).alias("p"))
+    near = near_pairs_any_radius(spots, places, keys, cell)
+    best = near.groupBy(*keys, "ax", "ay", "radius").agg(
+        F.sum("n").alias("n_candidates"), F.max(F.struct("p.k", "p.nb", F.col("p.len").alias("hull_length_m"), F.col("d").alias("hull_offset_m"))).alias("_h"))
+    out = search.join(best, [*keys, "ax", "ay", "radius"], "left")
     return out.withColumns({
         "n_candidates": F.coalesce("n_candidates", F.lit(0)), "hull": -F.col("_h.nb"), "hull_length_m": F.col("_h.hull_length_m"),
         "hull_offset_m": F.col("_h.hull_offset_m"), "detector": F.when(F.col("_h").isNotNull(), "AB").otherwise("A")}).drop("_h")
@@ -189,8 +215,6 @@ def pick_hulls(a: DataFrame, b: DataFrame, keys: Sequence[str], selector: str =
 def ranked_hulls(a: DataFrame, b: DataFrame, keys: Sequence[str], margin_m: float = fixed.HULL_MARGIN_M, cell: float = 100.0,
                  only_ambiguous: bool = False) -> DataFrame:
     """Every candidate in the circle with its place by distance and the number of candidates."""
-    from tidelight.operators.ordered import RN, number_rows
-
     search = a.withColumn("radius", 0.5 * F.greatest("w_m", "h_m") + margin_m)
     near = near_pairs_any_radius(search.select(*keys, "a", "ax", "ay", "radius"), b, keys, cell)
     near = cut(near.select(*keys, "a", "b", "d"), "candidates")
@@ -220,7 +244,11 @@ def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], tol: float) -> Da
 
 def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], iou: float = fixed.NMS_IOU, cell: float = 32.0) -> DataFrame:
     """Non-maximum suppression: by score (larger id first on ties) keep a box unless a kept one overlaps it by ``iou`` or more."""
-    p = cut(boxes.select(*keys, "box", "score", "x1", "y1", "x2", "y2"), "boxes")
+    # A copy of a box falls with the copy of highest priority or because of it, so copies never meet.
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    twin = F.when(size / (size + 1e-9) >= iou, F.lit(None)).otherwise(F.col("box"))
+    top = boxes.groupBy(*keys, "x1", "y1", "x2", "y2", twin.alias("_twin")).agg(F.max(F.struct("score", "box")).alias("_t"))
+    p = cut(top.select(*keys, "_t.box", "_t.score", "x1", "y1", "x2", "y2"), "boxes")
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     t = p.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     a = t.select(*keys, "cx", "cy", *[F.col(c).alias(f"{c}_a") for c in ("box", "score", "x1", "y1", "x2", "y2")])

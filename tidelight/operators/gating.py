@@ -157,12 +157,8 @@ def stratified_top(scenes: DataFrame, n: int, year: str, score: str, ident: str
     Only rows that can win are ranked: each year's rank is cut inside the tasks before rows move.
     """
     per = scenes.groupBy(*by, year).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy(*by)) if by else None
-    if total is None:
-        all_ = scenes.agg(F.count(F.lit(1)).alias("_t"), F.lit(1).alias("_k"))
-        per = per.withColumn("_k", F.lit(1)).join(F.broadcast(all_), "_k").drop("_k")
-    else:
-        per = per.withColumn("_t", total)
+    total = F.sum("_n").over(Window.partitionBy(*by)) if by else F.lit(scenes.count())  # one row per year
+    per = per.withColumn("_t", total)
     slots = per.withColumn("slots", F.bround(n * F.col("_n") / F.col("_t"), 0).cast("int")).select(*by, year, "slots")
     w = Window.partitionBy(*by, year).orderBy(F.desc(score), ident)
     # The literal bound lets Spark keep only the first n rows of a year in every task before the shuffle.

@@ -85,17 +85,18 @@ def keep_greedily(items: DataFrame, keys: Sequence[str], ident: str, conflicts:
 
 
 def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Column], b_rank: Sequence[Column],
-                     small: int = SMALL_GROUP) -> DataFrame:
-    """One-to-one matching of candidate pairs (a, b) inside each key.
+                     a_cap: Column | None = None, b_cap: Column | None = None, small: int = SMALL_GROUP) -> DataFrame:
+    """One-to-one matching of candidate pairs (a, b) inside each key; ``n`` is how many units a pair takes.
 
-    Each round accepts the pairs that are the best choice of both sides among the open pairs, then
-    closes every pair touching an accepted side. With both ranks = (distance, a, b) this is the
-    greedy pass over pairs by distance; with a_rank = distance and b_rank = a's turn it is the pass
-    in which each a in turn takes its nearest free b.
+    Each round accepts the pairs that are the best choice of both sides among the open pairs and
+    closes the sides that are used up. With both ranks = (distance, a, b) this is the greedy pass
+    over pairs by distance; with a_rank = distance and b_rank = a's turn it is the pass in which each
+    a in turn takes its nearest free b. A side that stands for several copies has a cap above 1.
     """
     ra, rb = [f"_ra{i}" for i in range(len(a_rank))], [f"_rb{i}" for i in range(len(b_rank))]
-    ranked = pairs.withColumns({**dict(zip(ra, a_rank)), **dict(zip(rb, b_rank))})
-    open_, names, head = cut(ranked, "pairs"), list(pairs.columns), [*keys]
+    one = F.lit(1).cast("bigint")
+    caps = {"_na": one if a_cap is None else a_cap.cast("bigint"), "_nb": one if b_cap is None else b_cap.cast("bigint")}
+    open_, names, head = cut(pairs.withColumns({**dict(zip(ra, a_rank)), **dict(zip(rb, b_rank)), **caps}), "pairs"), list(pairs.columns), [*keys]
     gathered = slots(open_, keys, small)
     if gathered is not None:
 
@@ -104,18 +105,22 @@ def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Col
             place = pdf.sort_values([*rb, "a"], kind="stable").assign(_p=np.arange(len(pdf)))["_p"]
             p = pdf.assign(_p=place).sort_values([*ra, "b"], kind="stable", ignore_index=True)
             a, b, spot = _codes(p, *head, "a"), _codes(p, *head, "b"), p["_p"].to_numpy()
-            row, taken = np.arange(len(p)), np.zeros(len(p), bool)
+            left_a, left_b = (np.zeros(c.max() + 1, np.int64) for c in (a, b))
+            left_a[a], left_b[b] = p["_na"].to_numpy(), p["_nb"].to_numpy()
+            row, units = np.arange(len(p)), np.zeros(len(p), np.int64)
             while len(row):
                 first = np.zeros(len(row), bool)
                 first[np.unique(a[row], return_index=True)[1]] = True
-                least = np.full(b.max() + 1, len(p))
+                least = np.full(len(left_b), len(p))
                 np.minimum.at(least, b[row], spot[row])
                 hit = row[first & (spot[row] == least[b[row]])]
-                taken[hit] = True
-                row = row[~np.isin(a[row], a[hit]) & ~np.isin(b[row], b[hit])]
-            return p.loc[taken, names]
+                units[hit] = np.minimum(left_a[a[hit]], left_b[b[hit]])
+                left_a[a[hit]] -= units[hit]
+                left_b[b[hit]] -= units[hit]
+                row = row[(left_a[a[row]] > 0) & (left_b[b[row]] > 0)]
+            return p.assign(n=units).loc[units > 0, [*names, "n"]]
 
-        return gathered.groupBy("_slot").applyInPandas(rounds, _fields(open_, names))
+        return gathered.groupBy("_slot").applyInPandas(rounds, T.StructType([*_fields(open_, names), T.StructField("n", T.LongType())]))
     done = None
 
     def choice(side: str, other: str, rank: Sequence[str]) -> DataFrame:
@@ -125,11 +130,13 @@ def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Col
 
     while not open_.isEmpty():
         both = choice("a", "b", ra).join(choice("b", "a", rb), [*keys, "a", "b"])
-        hit = cut(both.join(open_, [*keys, "a", "b"]), "accepted")
+        hit = cut(both.join(open_, [*keys, "a", "b"]).withColumn("n", F.least("_na", "_nb")), "accepted")
         done = hit if done is None else done.unionByName(hit)
-        rest = open_.join(hit.select(*keys, "a"), [*keys, "a"], "left_anti").join(hit.select(*keys, "b"), [*keys, "b"], "left_anti")
-        open_ = cut(rest, "pairs")
-    return (done if done is not None else pairs.limit(0)).select(*names)
+        used = lambda side: hit.select(*keys, side, F.col("n").alias(f"_u{side}"))  # noqa: E731, B023
+        rest = open_.join(used("a"), [*keys, "a"], "left").join(used("b"), [*keys, "b"], "left")
+        rest = rest.withColumns({f"_n{x}": F.col(f"_n{x}") - F.coalesce(f"_u{x}", F.lit(0)) for x in ("a", "b")}).drop("_ua", "_ub")
+        open_ = cut(rest.where("_na > 0 AND _nb > 0"), "pairs")
+    return (done if done is not None else open_.withColumn("n", one)).select(*names, "n")
 
 
 def spread_minimum(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

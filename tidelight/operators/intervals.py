@@ -152,8 +152,10 @@ def available_bins(bins: DataFrame, items: DataFrame, keys: Sequence[str] = (),
     Merged intervals are disjoint, so spreading them over bins yields about one row per bin.
     """
     solid = merge_intervals(items, keys, gap_s=0, strict=False)
-    last = F.timestamp_micros(_us("end_utc") - 1)
-    hit = solid.select(*keys, F.explode(buckets(F.col("start_utc"), last, seconds)).alias("_b")).distinct()
+    # Stretches of a thousand bins first, then bins, so that no array grows with an interval's length.
+    first, last = F.floor(epoch_s(F.col("start_utc")) / seconds), F.floor((_us("end_utc") - 1) / F.lit(1e6) / seconds)
+    part = solid.select(*keys, first.alias("_f"), last.alias("_l"), F.explode(F.sequence(F.floor(first / 1000), F.floor(last / 1000))).alias("_p"))
+    hit = part.select(*keys, F.explode(F.sequence(F.greatest("_f", F.col("_p") * 1000), F.least("_l", F.col("_p") * 1000 + 999))).alias("_b")).distinct()
     b = bins.withColumn("_b", F.floor(epoch_s(F.col("start_utc")) / seconds))
     return b.join(hit.withColumn("_hit", F.lit(True)), [*keys, "_b"], "left").withColumn(
         "available", F.coalesce("_hit", F.lit(False))).drop("_hit", "_b")

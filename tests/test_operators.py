@@ -489,3 +489,36 @@ def test_reflectance_coefficients_must_pair_up(spark):
     assert df.select(band_coefficients(F.col("x")).alias("m")).first().m == {1: 1e-5, 2: 2e-5, 3: 3e-5, 4: 4e-5}
     with pytest.raises(Exception, match="pair up"):
         spark.createDataFrame([(good + "<ps:bandNumber>5</ps:bandNumber>",)], "x string").select(band_coefficients(F.col("x"))).collect()
+
+
+def test_review_order(spark):
+    s = spark.createDataFrame([(1, 0.9, 10.0), (2, 0.9, 30.0), (3, 0.95, 1.0)], "id int, aoi_clear double, glint_angle double")
+    assert [r.id for r in ga.review_order(s).collect()] == [3, 2, 1]
+
+
+def test_review_and_summaries_are_written(spark, tmp_path):
+    from tidelight.sources import sinks
+
+    w = spark.createDataFrame([("a", 100, "full"), ("b", 200, "full"), ("c", 300, "none")], "scene_id string, s long, coverage string").select(
+        "scene_id", F.timestamp_seconds("s").alias("acquired_utc"), "coverage")
+    e = spark.createDataFrame([("a", "small_craft", 160.0, 25.0, 30.0, 5.0)], "scene_id string, band string, t_peak double, duration_s double, peak_excess double, baseline double")
+    r = reports.review_rows(e, w)
+    got = {x.scene_id: x for x in r.collect()}
+    assert got["a"].minutes_from_acquisition == 1.0 and got["b"].reviewer_notes == "DETECTOR SILENT" and got["c"].reviewer_notes == "NO ACOUSTIC DATA"
+    assert got["b"].peak_excess is None
+    sinks.write_review(r, str(tmp_path / "review"))
+    assert spark.read.csv(str(tmp_path / "review"), header=True).count() == 3
+    b = spark.createDataFrame([("a", "rain", 1.0, 2.0, 0), ("a", "control", 5.0, 1.0, 1)], "scene_id string, band string, baseline double, peak_excess double, n_events int")
+    s = reports.window_summaries(b, spark.createDataFrame([("a", "vessel", 2)], "scene_id string, label string, n_vessels int"))
+    row = s.first()
+    assert row.bands["control"].baseline == 5.0 and row.label.n_vessels == 2
+    sinks.write_summaries(s, str(tmp_path / "sum"))
+    assert spark.read.json(str(tmp_path / "sum")).first().label.label == "vessel"
+
+
+def test_provided_baseline_and_empty_series(spark):
+    lv = spark.createDataFrame([("a", i, float(i), 20.0) for i in range(100)], "k string, n long, t double, level double")
+    base = spark.createDataFrame([("a", 5.0)], "k string, baseline double")
+    got = ev.find_events(lv, ["k"], ["n"], "t", base=base).collect()
+    assert len(got) == 1 and got[0].n_frames == 100
+    assert ev.merge_events(ev.find_events(lv, ["k"], ["n"], "t"), ["k"]).count() == 0

@@ -63,6 +63,12 @@ def test_decode_is_told_by_content_and_reports_every_bad_file(spark, corpus):
     assert bad[_name(25, ".fft", "OTHER")] == "other_device"
 
 
+@pytest.mark.parametrize("text, why", [("1 2 x 4", "not a number"), ("1 2 nan 4", "not finite"), ("1 2 1.5 4", "not small integers"), ("1 2 70000 4", "not small integers")])
+def test_bad_values_are_named(text, why):
+    with pytest.raises(ValueError, match=why):
+        fl._levels(text.encode(), 2, 2)
+
+
 def test_empty_folder_is_an_error(spark, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     with pytest.raises(DataError, match="no spectrum files"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelight.operators import events as ev
 from tidelight.operators import intervals as iv
-from tidelight.operators.ordered import Ordered, centred_sum, number_rows, quantiles
+from tidelight.operators.ordered import centred_sum, number_rows, quantiles
 
 SPLIT = {"hot_rows": 0, "block_rows": 7}
 

@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelight import fixed
-from tidelight.operators.greedy import keep_greedily, slots
+from tidelight.operators.greedy import SMALL_GROUP, keep_greedily, slots
 from tidelight.operators.intervals import chain_groups
 from tidelight.operators.ordered import HOT_ROWS, RN, Ordered, centred_sum, number_rows
 from tidelight.operators.spectra import baselines
@@ -293,22 +293,40 @@ def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
 
 
 def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, first: Sequence[Column],
-          closed: bool = False) -> DataFrame:
-    """Greedy spacing: keep a row unless one with priority (smaller ``first`` tuple) that was kept is nearer than ``distance``.
+          small: int = SMALL_GROUP) -> DataFrame:
+    """Greedy spacing: keep a row unless a kept row with priority (smaller ``first`` tuple) is nearer than ``distance``.
 
-    Rows meet only inside their own and the next stretch of length ``distance``.
+    Small series are spaced inside tasks. Rows of longer ones meet only inside their own and the next
+    stretch of length ``distance``, and the conflicts are settled in rounds.
     """
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)], F.col(place).alias("at"))
-    p = cut(peaks, "peaks")
-    rows = p.select(*keys, F.col(place).alias("at"), rank.alias("rank"), F.floor(F.col(place) / distance).alias("b"))
-    left = rows.select(*keys, F.col("at").alias("aa"), F.col("rank").alias("ra"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    right = rows.select(*keys, F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
-    d = F.col("ab") - F.col("aa")
-    near = left.join(right, [*keys, "b"]).where((d > 0) & ((d <= distance) if closed else (d < distance)))
+    by, ranks = [*keys], [f"_o{i}" for i in range(len(first))]
+    p = cut(peaks.withColumns(dict(zip(ranks, first))), "peaks")
+    gathered, names = slots(p, by, small), peaks.columns
+    if gathered is not None:
+
+        def space(pdf: pd.DataFrame) -> pd.DataFrame:
+            q = pdf.sort_values([*by, place], ignore_index=True)
+            at, keep = q[place].to_numpy(), np.zeros(len(q), bool)
+            turn = q.sort_values([*by, *ranks, place]).index.to_numpy()  # series by series, by priority
+            starts = np.flatnonzero(~q.duplicated(by).to_numpy())
+            for i, j in zip(starts, [*starts[1:], len(q)]):
+                x, free = at[i:j], np.ones(j - i, bool)
+                lo, hi = np.searchsorted(x, x - distance, "right"), np.searchsorted(x, x + distance, "left")
+                for k in turn[i:j] - i:
+                    if free[k]:
+                        keep[i + k] = True
+                        free[lo[k]:hi[k]] = False
+            return q.loc[keep, names]
+
+        return gathered.groupBy("_slot").applyInPandas(space, T.StructType([p.schema[n] for n in names]))
+    rows = p.select(*by, F.col(place).alias("at"), F.struct(*ranks, F.col(place).alias("at")).alias("rank"), F.floor(F.col(place) / distance).alias("b"))
+    left = rows.select(*by, F.col("at").alias("aa"), F.col("rank").alias("ra"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
+    right = rows.select(*by, F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
+    near = left.join(right, [*by, "b"]).where((F.col("ab") > F.col("aa")) & (F.col("ab") - F.col("aa") < distance))
     ahead = F.col("ra") < F.col("rb")
-    conflicts = near.select(*keys, F.when(ahead, F.col("aa")).otherwise(F.col("ab")).alias("winner"),
+    conflicts = near.select(*by, F.when(ahead, F.col("aa")).otherwise(F.col("ab")).alias("winner"),
                             F.when(ahead, F.col("ab")).otherwise(F.col("aa")).alias("loser"))
-    return keep_greedily(p, keys, place, conflicts)
+    return keep_greedily(p.select(*names), by, place, conflicts, small)
 
 
 def prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | None, min_prominence: float, distance: int) -> DataFrame:

@@ -247,7 +247,7 @@ def hump_centroid(frames: DataFrame, keys: Sequence[str], low: tuple[int, int] =
     return per.select(*keys, F.when(total > 0, moment / total).otherwise(none).alias("centroid_bin"))
 
 
-def steadiest_contrast_bin(frames: DataFrame, keys: Sequence[str], bins: tuple[int, int] = fixed.HUMP_STD_BINS) -> DataFrame:
+def most_varied_bin(frames: DataFrame, keys: Sequence[str], bins: tuple[int, int] = fixed.HUMP_STD_BINS) -> DataFrame:
     """Bin with the largest spread over time (first one on ties) in a half-open bin range."""
     c = counted_cells(frames, keys).where((F.col("bin") >= bins[0]) & (F.col("bin") < bins[1]))
     s, q, n = F.sum(F.col("level") * F.col("n")), F.sum(F.col("level") * F.col("level") * F.col("n")), F.sum("n")

@@ -215,7 +215,6 @@ def public_detections(t: Tables):
 
 # ---- persistence and scene classes ---------------------------------------------------------------
 
-CELL = "round_even(lat / 0.00045, 0)"
 PERSIST = f"""{MARKS}, c AS (SELECT *, CAST(round_even(lat / 0.00045, 0) AS BIGINT) AS cell_lat, CAST(round_even(lon / 0.00068, 0) AS BIGINT) AS cell_lon FROM mk),
 y AS (SELECT cell_lat, cell_lon, count(DISTINCT year) AS n_years FROM c GROUP BY 1, 2), pe AS (SELECT c.*, n_years, n_years = 1 AS transient FROM c JOIN y ON y.cell_lat = c.cell_lat AND y.cell_lon = c.cell_lon)"""
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelight import fixed
 from tidelight.functions import geo, maths, text
 from tidelight.operators import detections as de
 from tidelight.operators import raster as ra

@@ -160,7 +160,7 @@ def flattened_search(t: Tables):
     return search_results(nested).select("id", "acquired", "date", "year", "cloud_cover", "clear_percent", "tiles_link")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 1 THEN date_trunc('second', ts) - INTERVAL 7 HOUR + INTERVAL 14 HOUR ELSE date_trunc('second', ts) END AS at, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) / 6e7, 3) AS minutes FROM events""".replace("AS at,", "AS parsed,"), floats=["minutes"], digits=3)
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 1 THEN date_trunc('second', ts) - INTERVAL 7 HOUR + INTERVAL 14 HOUR ELSE date_trunc('second', ts) END AS parsed, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) / 6e7, 3) AS minutes FROM events""", floats=["minutes"], digits=3)
 def parsed_instants(t: Tables):
     """Text in several forms: plain, with offset, with Z, blank."""
     e = t.raw("events")
@@ -179,7 +179,7 @@ def joined_notes(t: Tables):
     return t.raw("customer").select("c_custkey", n.alias("note"), text.truthy(raw).alias("flag"))
 
 
-@query("""SELECT user_id, to_json(map_from_entries(list_sort(list((event_type, n))))) AS bands FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""".replace("to_json(", "CAST(to_json(").replace("AS bands", "AS VARCHAR) AS bands"))
+@query("""SELECT user_id, CAST(to_json(map_from_entries(list_sort(list((event_type, n))))) AS VARCHAR) AS bands FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
 def band_maps(t: Tables):
     """One map per window from its few bands, as JSON."""
     n = t.raw("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

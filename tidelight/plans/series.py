@@ -8,8 +8,8 @@ from tidelight.operators import estimators as es
 from tidelight.operators import events as ev
 from tidelight.operators import reports, spectra as sp
 from tidelight.operators.intervals import overlap_counts
-from tidelight.operators.ordered import Ordered, number_rows
-from tidelight.plans.base import FRAMES, SERIES, Tables, query
+from tidelight.operators.ordered import number_rows
+from tidelight.plans.base import SERIES, Tables, query
 from tidelight.plans.spectral import BANDS, LEVELS, N
 from tidelight.session import cut
 

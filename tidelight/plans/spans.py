@@ -8,9 +8,7 @@ from tidelight.functions import times
 from tidelight.operators import intervals as iv
 from tidelight.operators.guards import unmatched
 from tidelight.operators.reports import label_scenes
-from tidelight.plans.base import SERIES, SPANS, WINDOWS, Tables, query
-
-_US = "epoch_us({})"
+from tidelight.plans.base import SPANS, WINDOWS, Tables, query
 
 MERGED = """m1 AS (SELECT user_id, start_utc, max(end_utc) AS end_utc, count(*) AS n FROM sp GROUP BY 1, 2),
 m2 AS (SELECT *, max(end_utc) OVER (PARTITION BY user_id ORDER BY start_utc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m1),

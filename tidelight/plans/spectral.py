@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelight.functions.maths import array_median
 from tidelight.operators import gating, reports, spectra as sp
-from tidelight.operators.guards import first_reason
 from tidelight.operators.ordered import number_rows
 from tidelight.plans.base import CELLS, FRAMES, Tables, query
 
@@ -123,7 +121,7 @@ def hump_centroids(t: Tables):
 @query(f"""WITH {CELLS}, v AS (SELECT win, bin, (count(*) * sum(level * level) - sum(level) * sum(level)) / (count(*) * count(*)) AS var FROM ce WHERE bin >= 20 AND bin < 50 GROUP BY 1, 2)
 SELECT win, arg_max(bin, (var, -bin)) AS bin, sqrt(max(var)) AS std_level FROM v GROUP BY 1""", floats=["std_level"])
 def temporal_std_peak(t: Tables):
-    return sp.steadiest_contrast_bin(t.frames(), ["win"], (20, 50))
+    return sp.most_varied_bin(t.frames(), ["win"], (20, 50))
 
 
 @query(f"""WITH {CELLS}, top AS (SELECT win, max((level, -frame, -bin)) AS t FROM ce GROUP BY 1), g AS (SELECT win, t[1] AS level, -t[2] AS frame, -t[3] AS bin FROM top)
@@ -189,7 +187,7 @@ def season_band_spread(t: Tables):
     return sp.season_spread(sp.season_medians(stats, "season", "band_median"))
 
 
-QUALITY = f"""{CELLS}, q AS (SELECT win, frame % 5 AS part, max(level) AS max_level, avg(CAST(level <= 30 AND level <= 0 AS INTEGER)) AS floor_all,
+QUALITY = f"""{CELLS}, q AS (SELECT win, frame % 5 AS part, max(level) AS max_level, avg(CAST(level <= 0 AS INTEGER)) AS floor_all,
 count(*) FILTER (WHERE bin BETWEEN 1 AND 50 AND level <= 0) / count(*) FILTER (WHERE bin BETWEEN 1 AND 50) AS floor_inband,
 count(*) FILTER (WHERE bin >= 57 AND level <= 0) / count(*) FILTER (WHERE bin >= 57) AS floor_dead, max(level) FILTER (WHERE bin = 0) AS bin0_max,
 count(*) FILTER (WHERE bin = 0 AND level <> 0) / count(*) FILTER (WHERE bin = 0) AS dc_nonzero FROM ce GROUP BY 1, 2)"""
@@ -331,8 +329,8 @@ def comparability_verdicts(t: Tables):
     return o.groupBy(v.alias("verdict")).agg(F.count("*").alias("n_pairs"))
 
 
-@query(f"""WITH {FRAMES}, {BAND_BINS}, r AS (SELECT frame, band, list_median(levels[a + 1:z + 1]) AS level, CASE band WHEN 'small_craft' THEN 2500 WHEN 'ship_proxy' THEN 625 WHEN 'rain' THEN 7500 ELSE 13750 END AS centre FROM fr, b)
-SELECT band, centre > 2200 AS resolved, count(*) AS n_frames FROM r GROUP BY 1, 2""".replace("list_median(levels[a + 1:z + 1])", "1"))
+@query(f"""WITH {FRAMES}, {BAND_BINS}, r AS (SELECT frame, band, CASE band WHEN 'small_craft' THEN 2500 WHEN 'ship_proxy' THEN 625 WHEN 'rain' THEN 7500 ELSE 13750 END AS centre FROM fr, b)
+SELECT band, centre > 2200 AS resolved, count(*) AS n_frames FROM r GROUP BY 1, 2""")
 def decidecade_labels(t: Tables):
     b = sp.with_bands(t.frames().select("frame"), BANDS)
     return b.groupBy("band", sp.decidecade_resolved((F.col("lo_hz") + F.col("hi_hz")) / 2).alias("resolved")).agg(F.count("*").alias("n_frames"))

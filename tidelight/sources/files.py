@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,23 @@ def _payload(raw: bytes) -> bytes:
     return gzip.decompress(raw) if raw[:2] == fixed.GZIP_MAGIC else raw
 
 
-def _grid(raw: bytes, n_frames: int, n_bins: int) -> np.ndarray:
-    text = io.BytesIO(_payload(raw))
-    values = pd.read_csv(text, sep=r"\s+", header=None, dtype=float, na_filter=False).to_numpy().ravel()
+def _levels(raw: bytes, n_frames: int, n_bins: int) -> np.ndarray:
+    """All levels of a file in row-major order, as small integers."""
+    text = _payload(raw)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")  # text that is not a number must not end the scan quietly
+        try:
+            values = np.fromstring(text, dtype=np.float64, sep=" ")
+        except (DeprecationWarning, ValueError) as exc:
+            raise ValueError("holds text that is not a number") from exc
     if values.size != n_frames * n_bins:
         raise ValueError(f"holds {values.size} values, expected {n_frames * n_bins}")
     if not np.isfinite(values).all():
         raise ValueError("holds values that are not finite")
-    return values.reshape(n_frames, n_bins)
+    out = values.astype(np.int16)
+    if not np.array_equal(out, values):
+        raise ValueError("holds values that are not small integers")
+    return out
 
 
 def decode(files: DataFrame, device: str, n_frames: int = fixed.N_FRAMES, n_bins: int = fixed.N_BINS,
@@ -55,26 +65,30 @@ def decode(files: DataFrame, device: str, n_frames: int = fixed.N_FRAMES, n_bins
     """
     name = F.element_at(F.split("path", "/"), -1)
     named = files.select("path", file_interval(name, device).alias("f"), "content").select(
-        "path", "content", F.col("f.start_utc").alias("start_utc"), F.unix_micros("f.start_utc").alias("us"), F.col("f.problem").alias("problem"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content, start, us, problem in pdf.itertuples(index=False):
-                reason, grid = problem, None
-                if reason is None:
-                    try:
-                        grid = _grid(bytes(content), n_frames, n_bins)
-                    except (ValueError, OSError, EOFError, pd.errors.ParserError) as exc:
-                        reason = f"{type(exc).__name__}: {exc}"
-                if grid is None:
-                    yield pd.DataFrame({"path": [path], "start_utc": [start], "frame_idx": [None], "t_utc_s": [None],
-                                        "levels": [None], "reason": [reason]})
-                else:
-                    k = np.arange(n_frames)
-                    yield pd.DataFrame({"path": path, "start_utc": start, "frame_idx": k, "t_utc_s": us / 1e6 + k * frame_s,
-                                        "levels": list(grid.astype(np.int16)), "reason": None})
-
-    return named.mapInPandas(run, "path string, start_utc timestamp, frame_idx int, t_utc_s double, levels array<smallint>, reason string")
+        "path", "content", F.unix_micros("f.start_utc").alias("us"), F.col("f.problem").alias("problem"))
+    fields = pa.schema([("path", pa.string()), ("us", pa.int64()), ("frame_idx", pa.int32()), ("levels", pa.list_(pa.int16())), ("reason", pa.string())])
+    frame_idx = np.arange(n_frames, dtype=np.int32)
+    offsets = pa.array(np.arange(n_frames + 1, dtype=np.int32) * n_bins)
+
+    def one(path: str, content: bytes, us: int | None, reason: str | None) -> pa.RecordBatch:
+        if reason is None:
+            try:
+                levels = pa.ListArray.from_arrays(offsets, pa.array(_levels(content, n_frames, n_bins)))
+                same = lambda v, kind: pa.array([v], kind).take(pa.array(np.zeros(n_frames, np.int32)))
+                return pa.RecordBatch.from_arrays(
+                    [same(path, pa.string()), same(us, pa.int64()), pa.array(frame_idx), levels, pa.nulls(n_frames, pa.string())], schema=fields)
+            except (ValueError, OSError, EOFError) as exc:
+                reason = f"{type(exc).__name__}: {exc}"
+        return pa.RecordBatch.from_pylist([{"path": path, "us": us, "frame_idx": None, "levels": None, "reason": reason}], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row is a whole file
+                yield one(*(batch.column(c)[i].as_py() for c in ("path", "content", "us", "problem")))
+
+    out = named.mapInArrow(run, "path string, us bigint, frame_idx int, levels array<smallint>, reason string")
+    return out.select("path", F.timestamp_micros("us").alias("start_utc"), "frame_idx",
+                      (F.col("us") / F.lit(1e6) + F.col("frame_idx") * F.lit(frame_s)).alias("t_utc_s"), "levels", "reason")
 
 
 def read_binary(spark: SparkSession, folder: str) -> DataFrame:

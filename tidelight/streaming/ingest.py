@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelight import fixed
-from tidelight.sources.files import GLOB, decode, errors_of, frames_of
+from tidelight.sources.files import GLOB, decode, frames_of
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -32,10 +32,6 @@ def ingest(spark: SparkSession, landing: str, out: str, device: str, checkpoint:
     return src.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def decode_errors(decoded: DataFrame) -> DataFrame:
-    return errors_of(decoded)
-
-
 def running_histogram(frames: DataFrame, season: str, axis_max: int = fixed.LEVEL_AXIS_MAX) -> DataFrame:
     """Counts per (season, bin, level) of a stream of frames. The key space is finite, so no watermark is needed."""
     c = frames.select(season, F.posexplode("levels").alias("bin", "level"))

@@ -42,6 +42,7 @@ class Tables:
     """Stand-in tables of one scale factor."""
 
     def __init__(self, spark: SparkSession, sf: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # stamps without a zone are UTC
         self.spark, self.sf = spark, sf
 
     def raw(self, name: str) -> DataFrame:

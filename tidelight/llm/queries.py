@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelight.llm import jaccard, langid, leaks, lines, mixing, quality, urls
+from tidelight.llm import jaccard, langid, leaks, licenses, lines, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(licenses.oracle())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))

@@ -211,3 +211,9 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     # rows with one id are one document: a class whose smallest id is linked through another class of that id
     out = rows.join(known, (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """Rows of ``docs`` without those whose group has a document of smaller id. Rows of null doc_id stay."""
+    found = groups(docs, size, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_of")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_of"), "left_anti")

@@ -138,3 +138,10 @@ def dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(lines), F.lit(0))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
+
+
+def shortened(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """``docs`` with texts deduplicated and ``n_chars`` counted again; a document all of whose lines went is left out."""
+    out = dedup(docs, shortest).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c in out.columns])

@@ -33,13 +33,14 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def draw_of() -> Column:
+    """A row's place in the random order, from its doc_id and text alone."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")), F.lit("mix")), 1)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size of every row, and a number that orders rows at random but repeatably."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "source", size_of(F.col("text")).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), text, F.lit("mix")), 1).alias("draw"),
-    )
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw_of().alias("draw"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = MOST) -> DataFrame:
@@ -90,7 +91,7 @@ def balanced(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def take(rates: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, taken: rates rounded down or up to whole copies.
+    """doc_id, source, size, source_size, target, rate, draw, taken: rates rounded down or up to whole copies.
 
     Within a source, documents are rounded up in random order until the next would pass the target. The
     place where that happens is found by counting, in ``PASSES`` passes over ever finer cells of the order,
@@ -135,18 +136,20 @@ def take(rates: DataFrame) -> DataFrame:
     chosen = picked.select(*by, "size", "draw", F.lit(1).alias("chosen"))
     out = rows.join(state.select(*by, "bound"), by).join(chosen, [*by, "size", "draw"], "left")
     up = (F.col("open") & ((F.col("draw") < F.col("bound")) | F.col("chosen").isNotNull())).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", ((F.col("base") + up) * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "draw", ((F.col("base") + up) * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, taken of every document of the mix."""
+    """doc_id, source, size, source_size, target, rate, draw, taken of every document of the mix."""
     sizes = cut(sized(docs), "mix")
     return take(balanced(sizes, source_targets(sizes, weights, share)))
 
 
-def repeated(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with ``copy`` counting from 1."""
-    taken = mix(docs, weights, share).filter("size > 0 and taken > 0").select(F.col("doc_id").alias("of"), F.col("size").alias("words"), F.col("taken").alias("taken"))
-    counts = taken.groupBy("of", "words").agg(F.max("taken").alias("taken"))
-    out = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("of")) & (size_of(F.col("text")) == F.col("words")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("words")).cast("int"))).alias("copy"))
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5) -> DataFrame:
+    """The mix itself: rows of ``docs`` that are taken, with ``copies``, how often. (A column of that name gives way.)"""
+    docs = docs.drop("copies")
+    sizes = cut(sized(docs), "mix")
+    taken = take(balanced(sizes, source_targets(sizes, weights, share))).filter("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_of"), F.col("draw").alias("_draw"), (F.col("taken") / F.col("size")).cast("int").alias("copies")).distinct()
+    out = docs.withColumn("_own", draw_of()).join(taken, (F.col("_own") == F.col("_draw")) & F.col("doc_id").eqNullSafe(F.col("_of")))
+    return out.select(*docs.columns, "copies")

@@ -147,3 +147,16 @@ def scored(docs: DataFrame, model: Model, accepted: float = ACCEPTED) -> DataFra
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return rows.select("*", (F.col("score") >= accepted).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = ACCEPTED) -> DataFrame:
+    """Rows of ``docs`` that the model accepts, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [shared.value.score(i, v) for _, texts in words.slices(batch.column(at)) for i, v in features(texts)]
+            yield batch.filter(pa.array([x >= least for x in out], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

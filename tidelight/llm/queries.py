@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelight.llm import jaccard, langid, leaks, licenses, lines, mixing, quality, urls
+from tidelight.llm import hamming, jaccard, langid, leaks, licenses, lines, mixing, quality, tokens, urls
+from tidelight.session import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +72,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(licenses.oracle())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+    """Load all documents, take later copies out again, and count other languages than English anew with the multilingual version; the load is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    old = cut(tokens.counted(docs, f"{tokenizers}/byte_bpe_50k.tiktoken", "byte_bpe_50k"), "tokens")
+    gone = cut(tokens.later_copies(old), "tokens")
+    first = old.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    stays = cut(old.join(first, ["doc_id", "text_hash"], "left_semi").filter("lang is null or lang <> 'en'"), "tokens")
+    texts = docs.select("*", F.xxhash64("text").alias("text_hash")).filter("lang is null or lang <> 'en'")
+    anew = texts.join(stays.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+    rollup = tokens.Rollup(spark, f"{shared_folder(spark)}/tidelight/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", lambda: tokens.inserts(old))
+    rollup.commit("load", lambda: tokens.inserts(old))
+    rollup.commit("copies", lambda: tokens.deletes(gone))
+    rollup.commit("other-languages", lambda: tokens.revisions(stays, tokens.counted(anew, f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k")))
+    return rollup.totals()
+
+
+@query()
+def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    base = cut(hamming.codes(vectors), "hamming")
+    return hamming.nearest(base, base.filter("id % 50 = 0"), k=10)

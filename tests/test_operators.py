@@ -530,3 +530,31 @@ def test_provided_baseline_and_empty_series(spark):
     got = ev.find_events(lv, ["k"], ["n"], "t", base=base).collect()
     assert len(got) == 1 and got[0].n_frames == 100
     assert ev.merge_events(ev.find_events(lv, ["k"], ["n"], "t"), ["k"]).count() == 0
+
+
+def test_ranges_that_are_not_finite_are_no_sources(spark):
+    from tidelight.operators import detections as de
+
+    scenes = spark.createDataFrame([("s",), ("t",), ("u",)], "scene_id string")
+    found = spark.createDataFrame([("s", "1", 2.0, False), ("s", "2", None, False), ("s", "3", float("nan"), True), ("t", "4", float("inf"), False)], "scene_id string, id string, range_km double, wake_flag boolean")
+    got = {r["scene_id"]: (r["n_detections"], r["dominance"], r["class"]) for r in de.classify_scenes(scenes, found).collect()}
+    assert got == {"s": (3, 1.0, "SINGLE-DOMINANT"), "t": (1, None, "EMPTY"), "u": (0, None, "EMPTY")}
+
+
+def test_an_empty_mask_is_refused(spark):
+    from tidelight.operators import raster as ra
+
+    pixels = spark.createDataFrame([("s", 1), ("s", 2), ("s", 9)], "scene_id string, nir int")
+    scenes = spark.createDataFrame([("s",), ("t",)], "scene_id string")
+    with pytest.raises(Exception, match="no usable pixel"):
+        ra.robust_threshold(pixels, "nir", scenes=scenes).collect()
+    got = {r["scene_id"]: r["n_px"] for r in ra.robust_threshold(pixels, "nir", fail=False, scenes=scenes).collect()}
+    assert got == {"s": 3, "t": 0}
+
+
+def test_split_count_of_a_series_without_peaks_is_zero(spark):
+    from tidelight.operators import estimators as es
+
+    base = spark.createDataFrame([("a", 4)], "k string, mid long")
+    bands = spark.createDataFrame([(k, b, i, float(i), float(9 - abs(i - 4))) for k in "ab" for b in (1, 2) for i in range(9)], "k string, band int, place long, t double, smooth double")
+    assert sorted(map(tuple, es.split_count(base, bands, ["k"], "place", "t", 4, 1.0, 5.0).collect())) == [("a", 1), ("b", 0)]

@@ -1,4 +1,4 @@
-"""Series that fit a task and series that are split must give the same rows."""
+"""Long blocks and short ones, whose edges every step crosses, must give the same rows."""
 
 import random
 
@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelight.operators import events as ev
 from tidelight.operators import intervals as iv
-from tidelight.operators.ordered import centred_sum, number_rows, quantiles
+from tidelight.operators.ordered import Ordered, centred_sum, number_rows, quantiles
 
-SPLIT = {"hot_rows": 0, "block_rows": 7}
+SPLIT = {"block_rows": 7}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_numbering_and_prefix(levels):
 
     plain, a = run()
     split, b = run(**SPLIT)
-    assert plain.block_rows is None and split.block_rows == 7
+    assert plain.block_rows > 7 and split.block_rows == 7
     assert str(a) == str(b)
     want = levels.toPandas().sort_values(["k", "t"])
     want["s"] = want.groupby("k")["level"].cumsum() - want["level"]
@@ -100,7 +100,7 @@ def test_gaps_need_every_rule(spark):
     rows = [(i if i < 6 else i + 3, f) for i, f in enumerate(flags) if f is not None]
     bins = spark.createDataFrame(rows, "i int, available boolean").select(
         F.lit("a").alias("k"), F.timestamp_seconds(F.col("i") * 300).alias("start_utc"), F.timestamp_seconds((F.col("i") + 1) * 300).alias("end_utc"), "available")
-    for limits in ({}, {"hot_rows": 0, "block_rows": 2}):
+    for limits in ({}, {"block_rows": 2}):
         gaps = iv.flag_runs(bins, ["k"], ~F.col("available"), **limits)
         runs = iv.flag_runs(bins, ["k"], F.col("available"), **limits)
         assert sorted(r.n_bins for r in gaps.collect()) == [1, 1, 2]
@@ -156,7 +156,7 @@ def test_prominences_of_long_series(spark, shape):
 def test_plateau_peak_is_the_floored_middle(spark):
     x = [0, 1, 4, 4, 4, 4, 2, 5, 5, 1, 1]
     df = spark.createDataFrame([("a", float(i), float(v)) for i, v in enumerate(x)], "k string, t double, level double")
-    pts = ev.turning_points(number_rows(df, ["k"], ["t"], hot_rows=0, block_rows=3), "level", "t")
+    pts = ev.turning_points(number_rows(df, ["k"], ["t"], block_rows=3), "level", "t")
     assert sorted((r.mid, r.height) for r in pts.where("height is not null").collect()) == [(3, 4.0), (7, 5.0)]
 
 
@@ -166,7 +166,7 @@ def test_rolling_median_and_slope_edges(spark):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, t long, level double")
     pad = np.concatenate([np.repeat(x[0], 3), x, np.repeat(x[-1], 3)])
     want = [float(np.median(pad[i:i + 7])) for i in range(40)]
-    for limits in ({}, {"hot_rows": 0, "block_rows": 9}):
+    for limits in ({}, {"block_rows": 9}):
         o = number_rows(df, ["k"], ["t"], **limits)
         assert [r[1] for r in table(ev.rolling_median(o, "level", 7), "t", "median")] == want
         got = [r[1] for r in table(ev.local_slope(o, "level", 9, 0.25), "t", "slope_per_min")]
@@ -187,3 +187,27 @@ def test_moving_mean_pads_with_zero(spark):
     df = spark.createDataFrame([("a", i, 6.0) for i in range(6)], "k string, t long, level double")
     got = [r[1] for r in table(ev.smooth_mean(number_rows(df, ["k"], ["t"]), "level", 3), "t", "smooth")]
     assert got == [4.0, 6.0, 6.0, 6.0, 6.0, 4.0]
+
+
+def test_null_is_a_key_like_any_other(spark):
+    df = spark.createDataFrame([(None if i % 2 else "a", i, float(i)) for i in range(40)], "k string, t long, level double")
+    for limits in ({}, SPLIT):
+        o = number_rows(df, ["k"], ["t"], **limits).prefix(s=("sum", F.col("level")))
+        assert sorted(((r.k, r["_rn"], r.s) for r in o.rows.collect()), key=str) == sorted(((None if i % 2 else "a", i // 2, float(sum(range(i % 2, i, 2)))) for i in range(40)), key=str)
+    assert len(ev.rolling_median(o, "level", 5).collect()) == 40
+
+
+def test_slope_far_from_the_start_of_a_series(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([("a", i, float(rnd.randrange(200))) for i in range(40)], "k string, t long, level double")
+    near = number_rows(df, ["k"], ["t"], **SPLIT)
+    far = Ordered(near.rows.withColumn("_rn", F.col("_rn") + 10**9 + 1).withColumn("_block", F.floor(F.col("_rn") / 7)), near.keys, 7)
+    got = [r[1] for r in table(ev.local_slope(far, "level", 9, 0.25).where("_rn > 1000000010"), "t", "slope_per_min")]
+    assert got == pytest.approx([r[1] for r in table(ev.local_slope(near, "level", 9, 0.25).where("_rn > 9"), "t", "slope_per_min")])
+
+
+def test_of_equal_places_one_stays(spark):
+    df = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 5, 2.0), ("a", 9, 1.5), ("b", 5, 1.0)], "k string, mid long, height double")
+    for small in (0, 1000):
+        kept = ev.apart(df, ["k"], "mid", 3, [-F.col("height")], small=small)
+        assert table(kept, "k", "mid", "height") == [("a", 5, 2.0), ("a", 9, 1.5), ("b", 5, 1.0)]

@@ -285,16 +285,21 @@ def review_queue(detections: DataFrame, min_snr: float = fixed.QUEUE_MIN_SNR) ->
 
 
 def dominance(range_km: Column, k: float = fixed.SPREADING_K) -> Column:
-    """Share of the loudest source; NULL without sources; a range of 0 or less fails."""
+    """Share of the loudest source; NULL without sources; a range of 0 or less fails, one that is not finite is no source."""
     w = F.when(range_km > 0, F.pow(range_km, F.lit(-k / 10))).otherwise(F.raise_error(F.lit("range must be positive")).cast("double"))
+    w = F.when(finite(range_km), w)
     return F.max(w) / F.sum(w)
 
 
+def finite(x: Column) -> Column:
+    return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
+
+
 def classify_scenes(scenes: DataFrame, detections: DataFrame, k: float = fixed.SPREADING_K, least: float = fixed.DOMINANCE_MIN) -> DataFrame:
     """EMPTY, SINGLE-DOMINANT or CROWDED per scene, with the nearest detection's fields (smallest id on ties)."""
     agg = detections.groupBy("scene_id").agg(
         F.count(F.lit(1)).alias("n_detections"), dominance(F.col("range_km"), k).alias("dominance"),
-        F.min(F.struct("range_km", "id", "wake_flag")).alias("_n"))
+        F.min(F.when(finite(F.col("range_km")), F.struct("range_km", "id", "wake_flag"))).alias("_n"))
     out = scenes.join(agg, "scene_id", "left")
     cls = F.when(F.col("_n").isNull(), "EMPTY").when(F.col("dominance") >= least, "SINGLE-DOMINANT").otherwise("CROWDED")
     return out.select(*scenes.columns, F.coalesce("n_detections", F.lit(0)).alias("n_detections"), "dominance", cls.alias("class"),

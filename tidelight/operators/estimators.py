@@ -13,7 +13,7 @@ from tidelight import fixed
 from tidelight.functions.maths import closeness, cosine, partial_r, safe_corr
 from tidelight.operators.events import (apart, find_events, merge_events, passages, smooth_mean_or_median)
 from tidelight.operators.greedy import keep_greedily
-from tidelight.operators.ordered import RN, Ordered, number_rows
+from tidelight.operators.ordered import RN, Ordered, meet, number_rows
 from tidelight.operators.spectra import baselines
 from tidelight.session import cut
 
@@ -161,7 +161,8 @@ def split_count(base: DataFrame, band_series: DataFrame, keys: Sequence[str], pl
     """Passages, counted more than once where the bands peak at different times.
 
     Around each base peak (keys, mid) every band votes with the time of its maximum if it rises at
-    least ``rise`` above its median there; votes further apart than ``gap_s`` are separate sources.
+    least ``rise`` above its median there; votes further apart than ``gap_s`` are separate sources. A
+    series without base peaks counts 0.
     """
     size = 2 * half + 1
     b = base.select(*keys, "mid", F.explode(F.array_distinct(F.array(
@@ -177,7 +178,8 @@ def split_count(base: DataFrame, band_series: DataFrame, keys: Sequence[str], pl
     jumps = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ts") - 1)),
                                         lambda i: F.get(F.col("ts"), i) - F.get(F.col("ts"), i - 1)), lambda d: d > gap_s))
     parts = per.select(*keys, (1 + jumps).alias("n"))
-    return parts.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)), F.sum("n")).alias("n_split"))
+    counts = parts.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)), F.sum("n")).alias("n_split"))
+    return meet(band_series.select(*keys).distinct(), counts, keys, "left").withColumn("n_split", F.coalesce("n_split", F.lit(0).cast("bigint")))
 
 
 # ---- configuration sweeps --------------------------------------------------------------------

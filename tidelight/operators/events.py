@@ -17,11 +17,14 @@ from pyspark.sql import types as T
 from tidelight import fixed
 from tidelight.operators.greedy import SMALL_GROUP, keep_greedily, slots
 from tidelight.operators.intervals import chain_groups
-from tidelight.operators.ordered import HOT_ROWS, RN, Ordered, centred_sum, number_rows
+from tidelight.operators.ordered import BLOCK, RN, Ordered, centred_sum, meet, number_rows
 from tidelight.operators.spectra import baselines
 from tidelight.session import cut
 
 
+STRETCH = 2_000_000  # turning points of a series that are settled in one call
+
+
 def min_frames(seconds: float = fixed.EVENT_MIN_SECONDS, frame_s: float = fixed.FRAME_SECONDS) -> int:
     return max(1, round(seconds / frame_s))
 
@@ -50,7 +53,7 @@ def find_events(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at
                 shortest: int | None = None, **limits: int) -> DataFrame:
     """Runs of frames at least ``threshold`` above the series baseline that last long enough."""
     b = baselines(levels, keys, value) if base is None else base
-    lv = levels.join(b, [*keys]).withColumn("excess", F.col(value) - F.col("baseline"))
+    lv = meet(levels, b, keys).withColumn("excess", F.col(value) - F.col("baseline"))
     o = number_rows(lv, keys, order, **limits)
     return hot_runs(o, F.col("excess") >= threshold, at, "excess", frame_s, min_frames() if shortest is None else shortest)
 
@@ -84,7 +87,7 @@ def shuffled(levels: DataFrame, keys: Sequence[str], order: Sequence[str], ident
     times = number_rows(levels.drop(value), keys, order, **limits).rows
     lot = levels.select(*keys, F.col(ident).alias("_id"), F.col(value), F.md5(F.concat_ws("|", F.lit(seed), F.col(ident))).alias("_lot"))
     drawn = number_rows(lot, keys, ["_lot", "_id"], **limits).rows.select(*keys, RN, value)
-    return times.join(drawn, [*keys, RN]).drop(RN, "_block")
+    return meet(times, drawn, [*keys, RN]).drop(RN, BLOCK)
 
 
 # ---- smoothing -------------------------------------------------------------------------------
@@ -100,7 +103,7 @@ def smooth_mean_or_median(series: Ordered, value: str, frames: int, name: str =
     """As ``smooth_mean``, but a series no longer than the window becomes its constant median."""
     out = smooth_mean(series, value, frames, name)
     size = series.rows.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_len"), F.percentile(value, 0.5).alias("_mid"))
-    return out.join(size, [*series.keys]).withColumn(
+    return meet(out, size, series.keys).withColumn(
         name, F.when(F.col("_len") > frames, F.col(name)).otherwise(F.col("_mid"))).drop("_mid")
 
 
@@ -108,7 +111,7 @@ def rolling_median(series: Ordered, value: str, frames: int, name: str = "median
     """Centred median over an odd number of frames; beyond an edge the end value repeats."""
     h = frames // 2
     size = series.rows.groupBy(*series.keys).agg(F.max(RN).alias("_last"))
-    o = Ordered(series.rows.join(size, [*series.keys]), series.keys, series.block_rows)
+    o = Ordered(meet(series.rows, size, series.keys), series.keys, series.block_rows)
     def build(w):
         got = F.collect_list(F.struct(F.col(RN).alias("r"), F.col(value).alias("v"))).over(w.rowsBetween(-h, h))
         vals = F.transform(got, lambda s: s.v.cast("double"))
@@ -132,25 +135,23 @@ def local_slope(series: Ordered, value: str, frames: int, frame_s: float, name:
     s2 = float(sum(u * u for u in range(-h, h + 1)))
     s4 = float(sum(u**4 for u in range(-h, h + 1)))
     size = series.rows.groupBy(*series.keys).agg(F.max(RN).alias("_last"))
-    o = Ordered(series.rows.join(size, [*series.keys]), series.keys, series.block_rows)
-    r = F.col(RN).cast("double")
+    o = Ordered(meet(series.rows, size, series.keys), series.keys, series.block_rows)
+    rn, y = F.col(RN), F.col(value).cast("double")
+    r = (rn - F.col(BLOCK) * max(series.block_rows, h)).cast("double")  # numbers from the block's start stay small
     def over(c):
         return lambda w: F.sum(c).over(w.rowsBetween(-h, h))
-    y = F.col(value).cast("double")
-    wide = o.centred(h, h, _y=over(y), _ry=over(r * y), _rry=over(r * r * y))
-    uy = F.col("_ry") - r * F.col("_y")
-    uuy = F.col("_rry") - 2 * r * F.col("_ry") + r * r * F.col("_y")
-    wide = wide.withColumns({"_c1": uy / s2, "_c2": (frames * uuy - s2 * F.col("_y")) / (frames * s4 - s2 * s2)})
-    centre = F.greatest(F.lit(h), F.least(F.col(RN), F.col("_last") - h))
-    ends = wide.where((F.col(RN) == h) | (F.col(RN) == F.col("_last") - h)).select(
-        *series.keys, F.col(RN).alias("_centre"), F.col("_c1").alias("_e1"), F.col("_c2").alias("_e2"))
-    out = wide.withColumn("_centre", centre).join(ends, [*series.keys, "_centre"], "left")
-    inner = (F.col(RN) >= h) & (F.col(RN) <= F.col("_last") - h)
-    u = (F.col(RN) - F.col("_centre")).cast("double")
+    wide = o.centred(h, h, _y=over(y), _ry=over(r * y), _r=lambda w: r)
+    wide = wide.withColumn("_c1", (F.col("_ry") - F.col("_r") * F.col("_y")) / s2)
+    # The first and the last full window, with u counted from their centres.
+    centres = F.array_compact(F.array_distinct(F.array(F.when(rn < frames, F.lit(h).cast("long")), F.when(rn > F.col("_last") - frames, F.col("_last") - h))))
+    u = (rn - F.col("_centre")).cast("double")
+    ends = o.rows.withColumn("_centre", F.explode(centres)).groupBy(*series.keys, "_centre").agg(
+        (F.sum(u * y) / s2).alias("_e1"), ((frames * F.sum(u * u * y) - s2 * F.sum(y)) / (frames * s4 - s2 * s2)).alias("_e2"))
+    out = meet(wide.withColumn("_centre", F.greatest(F.lit(h), F.least(rn, F.col("_last") - h))), ends, [*series.keys, "_centre"], "left")
+    inner = (rn >= h) & (rn <= F.col("_last") - h)
     slope = F.when(inner, F.col("_c1")).otherwise(F.col("_e1") + 2 * F.col("_e2") * u)
     fits = F.when(F.col("_last") + 1 >= frames, slope).otherwise(F.raise_error(F.lit("series is shorter than the window")).cast("double"))
-    drop = ["_y", "_ry", "_rry", "_c1", "_c2", "_centre", "_e1", "_e2", "_last"]
-    return out.withColumn(name, fits / F.lit(frame_s) * 60).drop(*drop)
+    return out.withColumn(name, fits / F.lit(frame_s) * 60).drop("_y", "_ry", "_r", "_c1", "_centre", "_e1", "_e2", "_last")
 
 
 # ---- prominent peaks -------------------------------------------------------------------------
@@ -176,7 +177,7 @@ def turning_points(series: Ordered, value: str, at: str) -> DataFrame:
         F.max(F.when(F.col("_peak"), F.col("mid"))).alias("mid"), F.max(F.when(F.col("_peak"), F.col("height"))).alias("height"),
         F.min(F.when(~F.col("_peak"), F.col("height"))).alias("valley"))
     where = series.rows.select(*series.keys, F.col(RN).alias("mid"), F.col(at).alias("t_peak"))
-    return per.join(where, [*series.keys, "mid"], "left")
+    return meet(per, where, [*series.keys, "mid"], "left")
 
 
 def _one_side(height: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +253,7 @@ def _settle_equal_runs(pts: DataFrame, by: list[str], limits: dict) -> tuple[Dat
     return done, cut(rest, "turning")
 
 
-def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = STRETCH) -> DataFrame:
     """(keys, mid, prominence) of every peak.
 
     The height drop is taken to the higher of the two lowest values on the way to higher ground (or
@@ -263,10 +264,10 @@ def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
     by = [*keys]
     schema = _peak_table(keys, points.schema)
     ends = points.groupBy(*by).agg(F.max("n").alias("n_last"))
-    pts = points.select(*by, "n", "mid", "height", "valley").join(ends, by)
+    pts = meet(points.select(*by, "n", "mid", "height", "valley"), ends, by)
     names = [*by, "n", "n_last", "mid", "height", "valley", "prominence"]
     wide = T.StructType([*[pts.schema[c] for c in names[:-1]], T.StructField("prominence", T.DoubleType())])
-    limits = {"hot_rows": hot_rows, "block_rows": max(4, hot_rows // 2)}
+    limits = {"block_rows": max(4, hot_rows // 2)}
     settled, size, shift = None, None, 0
 
     def longest(df: DataFrame) -> int:
@@ -319,14 +320,18 @@ def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, fi
             return q.loc[keep, names]
 
         return gathered.groupBy("_slot").applyInPandas(space, T.StructType([p.schema[n] for n in names]))
-    rows = p.select(*by, F.col(place).alias("at"), F.struct(*ranks, F.col(place).alias("at")).alias("rank"), F.floor(F.col(place) / distance).alias("b"))
+    # rows of one place conflict too: exactly one of them, the first, can stay
+    rest = [c for c in p.columns if c not in (*by, *ranks, place)]
+    lone = p.groupBy(*by, place).agg(F.min(F.struct(*ranks, *rest)).alias("_one"))
+    lone = cut(lone.select(*by, place, *[F.col(f"_one.{c}").alias(c) for c in (*ranks, *rest)]), "peaks")
+    rows = lone.select(*by, F.col(place).alias("at"), F.struct(*ranks, F.col(place).alias("at")).alias("rank"), F.floor(F.col(place) / distance).alias("b"))
     left = rows.select(*by, F.col("at").alias("aa"), F.col("rank").alias("ra"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
     right = rows.select(*by, F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
     near = left.join(right, [*by, "b"]).where((F.col("ab") > F.col("aa")) & (F.col("ab") - F.col("aa") < distance))
     ahead = F.col("ra") < F.col("rb")
     conflicts = near.select(*by, F.when(ahead, F.col("aa")).otherwise(F.col("ab")).alias("winner"),
                             F.when(ahead, F.col("ab")).otherwise(F.col("aa")).alias("loser"))
-    return keep_greedily(p.select(*names), by, place, conflicts, small)
+    return keep_greedily(lone.select(*names), by, place, conflicts, small)
 
 
 def prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | None, min_prominence: float, distance: int) -> DataFrame:

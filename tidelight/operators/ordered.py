@@ -1,10 +1,9 @@
 """Order-dependent work on series of any length.
 
-A plain window puts one whole series into one task. ``number_rows`` first looks at the longest
-series. When it fits a task, windows run per series. When it does not, rows are range-partitioned
-by (series, order), numbered with per-partition offsets, and cut into blocks of equal length;
-every later window runs per block and takes what came before from a small per-block summary.
-Both ways give the same rows.
+A plain window puts one whole series into one task. ``number_rows`` range-partitions all rows by
+(series, order), numbers them with per-range offsets and cuts each series into blocks of equal
+length; every later window runs per block and takes what came before from a small per-block
+summary. Short and long series go the same way. NULL is a key like any other.
 """
 
 from __future__ import annotations
@@ -17,23 +16,30 @@ from pyspark.sql import functions as F
 
 from tidelight.session import cut
 
-HOT_ROWS = 2_000_000  # longest series that one task may sort
-BLOCK_ROWS = 1_000_000  # rows per block of a longer series
+BLOCK_ROWS = 1_000_000  # rows per block of a series
 
 RN, BLOCK = "_rn", "_block"
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the keys come from the left side."""
+    names = {k: f"_on{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(other[n]) for k, n in names.items()]
+    return left.join(other, on, how).drop(*names.values())
+
+
 @dataclass(frozen=True)
 class Ordered:
-    """Rows numbered 0,1,2.. within each series; ``block_rows`` is None when series stay whole."""
+    """Rows numbered 0,1,2.. within each series and cut into blocks of ``block_rows``."""
 
     rows: DataFrame
     keys: tuple[str, ...]
-    block_rows: int | None
+    block_rows: int
 
     @property
     def parts(self) -> list[str]:
-        return [*self.keys] if self.block_rows is None else [*self.keys, BLOCK]
+        return [*self.keys, BLOCK]
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.parts).orderBy(RN)
@@ -49,34 +55,29 @@ class Ordered:
         before = self.window().rowsBetween(Window.unboundedPreceding, -1)
         whole = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
         local = {n: whole[how](c).over(before) for n, (how, c) in specs.items()}
-        if self.block_rows is None:
-            out = self.rows.withColumns(local)
-        else:
-            per_block = {
-                "sum": F.sum,
-                "max": F.max,
-                "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(RN))),
-            }
-            earlier = (
-                Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-            )
-            carried = (
-                self.rows.groupBy(*self.parts)
-                .agg(*[per_block[how](c).alias(f"_c_{n}") for n, (how, c) in specs.items()])
-                .select(
-                    *self.parts,
-                    *[whole[how](F.col(f"_c_{n}")).over(earlier).alias(f"_c_{n}") for n, (how, _) in specs.items()],
-                )
-                .where(F.col(BLOCK) > 0)
+        per_block = {
+            "sum": F.sum,
+            "max": F.max,
+            "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(RN))),
+        }
+        earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            self.rows.groupBy(*self.parts)
+            .agg(*[per_block[how](c).alias(f"_c_{n}") for n, (how, c) in specs.items()])
+            .select(
+                *self.parts,
+                *[whole[how](F.col(f"_c_{n}")).over(earlier).alias(f"_c_{n}") for n, (how, _) in specs.items()],
             )
-            merge = {
-                "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-                "max": F.greatest,
-                "last": F.coalesce,
-            }
-            out = self.rows.withColumns(local).join(carried, self.parts, "left")
-            out = out.withColumns({n: merge[how](F.col(n), F.col(f"_c_{n}")) for n, (how, _) in specs.items()})
-            out = out.drop(*[f"_c_{n}" for n in specs])
+            .where(F.col(BLOCK) > 0)
+        )
+        merge = {
+            "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+            "max": F.greatest,
+            "last": F.coalesce,
+        }
+        out = meet(self.rows.withColumns(local), carried, self.parts, "left")
+        out = out.withColumns({n: merge[how](F.col(n), F.col(f"_c_{n}")) for n, (how, _) in specs.items()})
+        out = out.drop(*[f"_c_{n}" for n in specs])
         sums = {n: F.coalesce(F.col(n), F.lit(0)) for n, (how, _) in specs.items() if how == "sum"}
         return replace(self, rows=out.withColumns(sums))
 
@@ -86,12 +87,7 @@ class Ordered:
         Each value is a function of a window ordered by row number; block edges are padded with
         copies of the neighbouring rows, which are dropped again.
         """
-        if self.block_rows is None:
-            w = self.window()
-            return self.rows.withColumns({n: f(w) for n, f in columns.items()})
-        size = self.block_rows
-        if max(before, after) >= size:
-            raise ValueError("neighbourhood is longer than a block")
+        size = max(self.block_rows, before, after)  # a neighbourhood reaches into the next block at most
         home = F.floor(F.col(RN) / size)
         spread = F.array_distinct(
             F.array(home, F.greatest(F.lit(0), F.floor((F.col(RN) - after) / size)), F.floor((F.col(RN) + before) / size))
@@ -99,27 +95,13 @@ class Ordered:
         padded = self.rows.withColumn(BLOCK, F.explode(spread)).withColumn("_home", home)
         w = Window.partitionBy(*self.keys, BLOCK).orderBy(RN)
         done = padded.withColumns({n: f(w) for n, f in columns.items()})
-        return done.where(F.col(BLOCK) == F.col("_home")).drop("_home")
+        return done.where(F.col(BLOCK) == F.col("_home")).drop("_home").withColumn(BLOCK, F.floor(F.col(RN) / self.block_rows))
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    hot_rows: int = HOT_ROWS,
-    block_rows: int = BLOCK_ROWS,
-) -> Ordered:
-    """Number the rows of each series (``keys`` must not be NULL, ``order`` must be unique per series)."""
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block_rows: int = BLOCK_ROWS) -> Ordered:
+    """Number the rows of each series (``order`` must be unique per series)."""
     keys = tuple(keys)
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if longest <= hot_rows:
-        numbered = df.withColumn(RN, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-        return Ordered(numbered, keys, None)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_seg", F.spark_partition_id()),
-        "ranged",
-    )
+    ranged = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_seg", F.spark_partition_id()), "ranged")
     earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     # A series that begins in an earlier range continues in at most one way per range, so this
     # table has fewer rows than there are range partitions and is safe to broadcast.
@@ -131,14 +113,9 @@ def number_rows(
         .select(*keys, "_seg", "_offset")
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)).cast("long") - 1
-    numbered = (
-        ranged.withColumn(RN, local)
-        .join(F.broadcast(offsets), [*keys, "_seg"], "left")
-        .withColumn(RN, F.col(RN) + F.coalesce("_offset", F.lit(0)))
-        .drop("_offset", "_seg")
-        .withColumn(BLOCK, F.floor(F.col(RN) / block_rows))
-    )
-    return Ordered(numbered, keys, block_rows)
+    numbered = meet(ranged.withColumn(RN, local), F.broadcast(offsets), [*keys, "_seg"], "left")
+    numbered = numbered.withColumn(RN, F.col(RN) + F.coalesce("_offset", F.lit(0))).drop("_offset", "_seg")
+    return Ordered(numbered.withColumn(BLOCK, F.floor(F.col(RN) / block_rows)), keys, block_rows)
 
 
 def centred_sum(value: Column, half: int):
@@ -155,7 +132,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ordered = number_rows(counted, keys, [value]).prefix(_below=("sum", F.col("_n")))
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = ordered.rows.join(totals, [*keys])
+    ranked = meet(ordered.rows, totals, keys)
     def at(pos):  # value whose run of ranks [_below, _below + _n) holds the position
         return F.max(F.when((F.col("_below") <= pos) & (pos < F.col("_below") + F.col("_n")), F.col(value)))
     aggs = []

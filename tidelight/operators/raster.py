@@ -124,10 +124,11 @@ def mask_report(masked: DataFrame, land: DataFrame) -> DataFrame:
     return rep.join(size, "scene_id", "left").withColumn("land_px", F.coalesce("land_px", F.lit(0)))
 
 
-def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MAD, fail: bool = True) -> DataFrame:
+def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MAD, fail: bool = True, scenes: DataFrame | None = None) -> DataFrame:
     """Per scene median + n x sigma; sigma is 1.4826 MAD, or the population deviation when MAD is 0.
 
-    Values are digital numbers with a bounded range, counted before the medians are taken.
+    Values are digital numbers with a bounded range, counted before the medians are taken. With ``scenes``,
+    one of them that has no pixel left (an empty mask) stops the job, or gets NULLs if not ``fail``.
     """
     c = pixels.groupBy("scene_id", value).agg(F.count(F.lit(1)).alias("n"))
     v = F.col(value).cast("double")
@@ -138,7 +139,11 @@ def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MA
         F.sqrt(F.sum(F.pow(v - F.col("_mean"), 2) * F.col("n")) / F.max("n_px")).alias("_std"))
     sigma = F.when(F.col("mad") > 0, F.col("mad") * fixed.MAD_TO_SIGMA).when(F.col("_std") > 0, F.col("_std"))
     flat = F.raise_error(F.lit("no spread in the values")).cast("double") if fail else F.lit(None).cast("double")
-    return dev.withColumn("sigma", F.coalesce(sigma, flat)).withColumn("threshold", F.col("med") + n_mad * F.col("sigma")).drop("_std")
+    out = dev.withColumn("sigma", F.coalesce(sigma, flat)).withColumn("threshold", F.col("med") + n_mad * F.col("sigma")).drop("_std")
+    if scenes is None:
+        return out
+    empty = F.raise_error(F.lit("a scene has no usable pixel")).cast("bigint") if fail else F.lit(0).cast("bigint")
+    return scenes.select("scene_id").distinct().join(out, "scene_id", "left").withColumn("n_px", F.coalesce("n_px", empty))
 
 
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> int:

@@ -7,9 +7,9 @@ the result needs no order of work.
 
 Each distinct line emits its one-word deletions as hashed keys. Two lines of equal length within the bound
 share the key (length, place, rest); a line and one with a word more share the key (shorter length, rest).
-So the earliest line of a key, an aggregate, is what the others need to meet, and no pairs of a key are
-listed. Met lines are verified word by word. Before that, two hashes per line and length (its first and its last half,
-one of which any partner within the bound must share) leave out lines that can have no partner.
+Which line the others of a key need to meet, the earliest of its kind, is an aggregate, so no pairs of a key
+are listed. Met lines are verified word by word. Before that, hashes of a line's first and last words (about half of it
+each, one of which any partner within the bound must share) leave out lines that can have no partner.
 
 Defined cases: a null text stays null and an empty one empty. Rows with equal doc_id and text count as one
 document and are treated alike; a null doc_id comes last. Long lines cost time in proportion to their words.
@@ -17,40 +17,47 @@ document and are treated alike; a null doc_id comes last. Long lines cost time i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight.session import cut
 
 #: Words from which on one differing word is within the bound.
 SHORTEST = 8
-
-
-def _pair(*cols: Column) -> list[Column]:
-    """Two 64-bit hashes, together the identity of a line."""
-    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols).alias("h2")]
+#: What a key says of its line: it lacks a word at a place, it is whole, or it lacks a word.
+SAME, OWN, LESS = 0, 1, 2
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no (from 0), line: lines of every distinct (doc_id, text), compared form, blanks left out."""
+    """doc_id, text_hash, line_no (from 0), place (orders lines by doc_id, nulls last, and line number), line (as compared); blank lines left out."""
     lines = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.trim(F.lower(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")))
-    return lines.select("doc_id", "text_hash", "line_no", line.alias("line")).filter("line <> ''")
+    uneven = F.contains("line", F.lit("  "))
+    for sign in "\t\r\x0b\x0c":
+        uneven = uneven | F.contains("line", F.lit(sign))
+    line = F.lower(F.trim(F.when(uneven, F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line"))))
+    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)"), F.lit("1" + "0" * 30).cast("decimal(31,0)")) + F.col("line_no").cast("decimal(10,0)")
+    return lines.select("doc_id", "text_hash", "line_no", place.cast("decimal(33,0)").alias("place"), line.alias("line")).filter("line <> ''")
 
 
-def _hashes(words: str) -> Column:
-    return F.transform(F.split(words, " "), lambda w: F.xxhash64(w))
+def _ends(shortest: int) -> list[Column]:
+    """Keys end1 to end4 of words ``w``: of the first and of the last q words; null where there is none.
 
+    q is at most half of the words of a partner, so one end of both is whole. It is rounded down to
+    three leading bits, so that lines of n and n - 1 words mostly have the same two keys; else there are four.
+    """
 
-def _halves() -> Column:
-    """Keys of the first and the last half, for partners of the same length or a word more (m = n) and a word less (m = n - 1)."""
-    n = F.size("w")
-
-    def keys(m: Column) -> list[Column]:
-        q = F.floor(m / 2).cast("int")
-        return [F.xxhash64(m, F.lit("first"), F.slice("w", F.lit(1), q)), F.xxhash64(m, F.lit("last"), F.slice("w", n - (m - q) + 1, m - q))]
+    def short(m: Column) -> Column:
+        half = F.floor(m / 2).cast("int")
+        step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(half.cast("double") + 0.5)) - 2))
+        return (F.floor(half / step) * step).cast("int")
 
-    return F.array(*keys(n), *keys(n - 1))
+    n = F.size("w")
+    one, two = short(n), short(n - 1)
+    keys = []
+    for q, wanted in ((one, n >= shortest), (two, (n > shortest) & (two != one))):
+        keys.append(F.when(wanted, F.xxhash64(q, F.lit("first"), F.slice("w", F.lit(1), q))))
+        keys.append(F.when(wanted, F.xxhash64(q, F.lit("last"), F.slice("w", n - q + 1, q))))
+    return [k.alias(f"end{i + 1}") for i, k in enumerate(keys)]
 
 
 def _xor(values: Column) -> Column:
@@ -58,7 +65,7 @@ def _xor(values: Column) -> Column:
 
 
 def keys_of(lines: DataFrame) -> DataFrame:
-    """h1, h2, first, key: the deletion neighbourhood of lines given by their word hashes ``w``.
+    """h1, h2, first, key, role: the deletion neighbourhood of lines given by their word hashes ``w``.
 
     Same length: hashes of words with their places, one place left out, and that place. One word less: hashes
     of neighbouring words, of which a deletion takes away two and adds one. Each key costs the same however long the line.
@@ -79,7 +86,12 @@ def keys_of(lines: DataFrame) -> DataFrame:
 
     less = F.transform(place, lambda i: F.xxhash64(F.lit("-"), n - 1, without(i)))
     own = F.array(F.xxhash64(F.lit("-"), n, F.col("near")))
-    return lines.select("h1", "h2", "first", F.explode(F.array_distinct(F.concat(same, less, own))).alias("key"))
+
+    def told(keys: Column, role: int) -> Column:
+        return F.transform(F.array_distinct(keys), lambda x: F.struct(x.alias("key"), F.lit(role).alias("role")))
+
+    roles = [told(same, SAME), told(own, OWN), told(less, LESS)]
+    return lines.select("h1", "h2", "first", F.explode(F.concat(*roles)).alias("k")).select("h1", "h2", "first", "k.key", "k.role")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -95,32 +107,33 @@ def within_one(a: Column, b: Column) -> Column:
 
 def dropped(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, text_hash, gone (array of line numbers that go) of documents that lose lines."""
-    lines = lines_of(docs).select("doc_id", "text_hash", "line_no", *_pair(F.col("line")), "line")
-    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    marks = cut(lines.select("doc_id", "text_hash", "line_no", "h1", "h2"), "lines")
-    firsts = cut(marks.groupBy("h1", "h2").agg(F.min(where).alias("first")), "lines")
-
-    # lines that have a partner at all: one of their half keys occurs with another line
-    long = lines.filter(F.size(F.split("line", " ")) >= shortest)
-    long = long.select("h1", "h2", where.alias("first"), _hashes("line").alias("w"))
-    halves = long.select("h1", "h2", F.explode(_halves()).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    wanted = cut(wanted, "lines")
-    chosen = firsts.join(wanted, ["h1", "h2"], "left_semi")
-    texts = long.join(chosen, ["h1", "h2", "first"], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = cut(texts, "lines")
+    lines = lines_of(docs)
+    ends = [f"end{i}" for i in range(1, 5)]
+    pair = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]  # together the identity of a line
+    marks = lines.select("doc_id", "text_hash", "line_no", "place", *pair, F.split("line", " ").alias("w"))
+    marks = cut(marks.select("doc_id", "text_hash", "line_no", "place", "h1", "h2", *_ends(shortest)), "lines")
+    firsts = cut(marks.groupBy("h1", "h2").agg(F.min("place").alias("first"), *[F.min(e).alias(e) for e in ends]), "lines")
+
+    # lines that can have a partner: an end occurs with another line
+    ended = firsts.filter("end1 is not null").select("h1", "h2", "first", F.explode(F.array(*ends)).alias("end")).filter("end is not null")
+    same = Window.partitionBy("end")
+    chosen = ended.select("*", F.min("h1").over(same).alias("low"), F.max("h1").over(same).alias("high")).filter("low <> high")
+    chosen = cut(chosen.select("h1", "h2", "first").distinct(), "lines")
+    texts = lines.select("place", "line").withColumn("h1", F.xxhash64("line")).join(chosen.withColumnRenamed("first", "place"), ["h1", "place"])
+    texts = cut(texts.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("place").alias("first"), F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("w")), "lines")
 
     keys = keys_of(texts)
-    earliest = keys.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "e")
-    met = keys.join(earliest, "key").filter(F.col("e.first") < F.col("first"))
-    met = met.select("h1", "h2", F.col("e.h1").alias("g1"), F.col("e.h2").alias("g2")).distinct()
-    other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("x"))
-    near = met.join(texts.select("h1", "h2", "w"), ["h1", "h2"]).join(other, ["g1", "g2"]).filter(within_one(F.col("w"), F.col("x")))
+    # a line meets the earliest of its length, a longer line the one it becomes, and that one the earliest of the longer
+    longer = F.col("role") == LESS
+    earliest = keys.groupBy("key").agg(F.min(F.when(~longer, F.col("first"))).alias("a"), F.min(F.when(longer, F.col("first"))).alias("b"), F.min("first").alias("low"), F.max("first").alias("high"))
+    met = keys.join(earliest.filter("low < high").drop("low", "high"), "key").select("h1", "h2", "first", F.when(F.col("role") == OWN, F.col("b")).otherwise(F.col("a")).alias("e"))
+    met = met.filter("e < first").select("h1", "h2", "e").distinct()
+    other = texts.select(F.col("first").alias("e"), F.col("w").alias("x"))
+    near = met.join(texts.select("h1", "h2", "w"), ["h1", "h2"]).join(other, "e").filter(within_one(F.col("w"), F.col("x")))
     near = cut(near.select("h1", "h2", F.lit(True).alias("near")).distinct(), "lines")
 
-    judged = marks.join(firsts.join(near, ["h1", "h2"], "left"), ["h1", "h2"])
-    gone = judged.filter(F.coalesce("near", F.lit(False)) | (where != F.col("first")))
+    judged = marks.select("doc_id", "text_hash", "line_no", "place", "h1", "h2").join(firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"), ["h1", "h2"])
+    gone = judged.filter(F.coalesce("near", F.lit(False)) | (F.col("place") != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
 
 

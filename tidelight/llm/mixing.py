@@ -7,8 +7,8 @@ maximises ``target * x - words * exp(x)`` for every source; ``duals`` climbs it
 per source. ``take`` rounds rates into copies so that every source comes within a document of its target.
 
 Defined cases: a null text has size 0, and documents of size 0 are taken 0 words. A null source is a
-source of its own, ordered last. Rows that repeat (same doc_id, same text) are taken alike or in the order
-of nothing but their content, so reruns agree. An empty table gives an empty result.
+source of its own, ordered last. Rows that repeat (same doc_id, same text) are taken alike,
+and the order of rounding is one of content alone, so reruns agree. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,19 +122,20 @@ def take(rates: DataFrame) -> DataFrame:
             F.coalesce(F.shiftleft(F.least("edge", F.lit(2 ** (63 - width) - 1)), width), "bound").alias("bound"),
         ), "mix")
     spare = rows.filter("open").join(state, by).filter((F.col("draw") >= F.col("bound")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
-    spare = cut(spare.groupBy(*by, "size").agg(F.min("draw").alias("draw")), "mix")
+    spare = spare.groupBy(*by, "draw").agg(F.sum("size").alias("words"))  # equal rows go together
+    spare = cut(spare.groupBy(*by, "words").agg(F.min("draw").alias("draw")), "mix")
     need, picked = state.select(*by, "need"), None
     for _ in range(REPAIRS):
         last = need
-        pick = spare.join(last, by).filter(F.col("size") <= F.col("need"))
+        pick = spare.join(last, by).filter(F.col("words") <= F.col("need"))
         if picked is not None:
-            pick = pick.join(picked, [*by, "size"], "left_anti")
-        pick = pick.groupBy(*by).agg(F.max("size").alias("size"), F.max_by("draw", "size").alias("draw"))
+            pick = pick.join(picked, [*by, "words"], "left_anti")
+        pick = pick.groupBy(*by).agg(F.max("words").alias("words"), F.max_by("draw", "words").alias("draw"))
         picked = cut(pick if picked is None else picked.unionByName(pick), "mix")
-        given = picked.groupBy(*by).agg(F.sum("size").alias("given"))
+        given = picked.groupBy(*by).agg(F.sum("words").alias("given"))
         need = state.join(given, by, "left").select(*by, (F.col("need") - F.coalesce("given", F.lit(0))).alias("need"))
-    chosen = picked.select(*by, "size", "draw", F.lit(1).alias("chosen"))
-    out = rows.join(state.select(*by, "bound"), by).join(chosen, [*by, "size", "draw"], "left")
+    chosen = picked.select(*by, "draw", F.lit(1).alias("chosen"))
+    out = rows.join(state.select(*by, "bound"), by).join(chosen, [*by, "draw"], "left")
     up = (F.col("open") & ((F.col("draw") < F.col("bound")) | F.col("chosen").isNotNull())).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "draw", ((F.col("base") + up) * F.col("size")).alias("taken"))
 

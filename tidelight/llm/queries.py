@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import hamming, jaccard, langid, leaks, licenses, lines, mixing, quality, tokens, urls
+from tidelight.llm import hamming, jaccard, langid, leaks, licenses, lines, mixing, oracles, quality, tokens, urls
 from tidelight.session import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,12 +42,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
 
-@query()
+@query(oracles.JACCARD)
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-@query()
+@query(oracles.LINES)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -92,7 +92,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/t
     return rollup.totals()
 
 
-@query()
+@query(oracles.HAMMING)
 def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     base = cut(hamming.codes(vectors), "hamming")

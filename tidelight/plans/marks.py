@@ -8,6 +8,7 @@ from tidelight.functions import geo, maths
 from tidelight.operators import detections as de
 from tidelight.operators import estimators as es
 from tidelight.operators.guards import tally
+from tidelight.plans import geodesy
 from tidelight.plans.base import BOXES, MARKS, Tables, query
 from tidelight.session import cut
 
@@ -87,7 +88,7 @@ def geodesic_fusion(t: Tables):
     return de.fusion_tally(de.fuse(_side(t, "A", "a"), _side(t, "B", "b"), m, SCENE))
 
 
-@query()
+@query(f"WITH {MARKS} SELECT id, round(m / 1000, 3) AS range_km, round(azimuth_deg, 2) AS bearing_deg FROM ({geodesy.inverse('mk', '-125.28', '48.81', 'lon', 'lat')})")
 def ranges_and_bearings(t: Tables):
     d = de.with_range(t.marks(), -125.28, 48.81)
     return d.select("id", F.round("range_km", 3).alias("range_km"), F.round("bearing_deg", 2).alias("bearing_deg"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelight.functions import geo, maths, text
 from tidelight.operators import detections as de
 from tidelight.operators import raster as ra
+from tidelight.plans import geodesy
 from tidelight.plans.base import BOXES, PIXELS, Tables, query
 from tidelight.session import cut
 
@@ -183,7 +184,10 @@ def box_corner_points(t: Tables):
     return b.select("box", "k.corner", x.alias("x"), y.alias("y"), (F.least(cx, cy, 64 - cx, 64 - cy) * 3).alias("edge_m"))
 
 
-@query()
+_CORNERS = "(SELECT box, corner, 500000 + 3 * (c + 0.5) AS x, 5400000 - 3 * (r + 0.5) AS y FROM (SELECT *, unnest(['ul', 'ur', 'lr', 'll']) AS corner, unnest([x1, x2, x2, x1]) AS c, unnest([y1, y1, y2, y2]) AS r FROM bx))"
+
+
+@query(f"WITH {BOXES} SELECT box, corner, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({geodesy.unproject(_CORNERS, 'x', 'y', 10)})")
 def box_corner_lonlat(t: Tables):
     b = t.boxes().withColumn("k", F.explode(geo.box_corners(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
     tr = {"a": F.lit(3.0), "b": F.lit(0.0), "c": F.lit(500_000.0), "d": F.lit(0.0), "e": F.lit(-3.0), "f": F.lit(5_400_000.0)}

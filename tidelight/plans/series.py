@@ -80,14 +80,12 @@ def shuffle_null_events(t: Tables):
     return got.groupBy("user_id").agg(F.count("*").alias("n_events"))
 
 
-@query(f"""WITH {NUMBERED} SELECT user_id, event_id, median(level) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS median FROM nu
-QUALIFY rn BETWEEN 3 AND count(*) OVER (PARTITION BY user_id) - 4""", floats=["median"])
+@query(f"""WITH {NUMBERED}, ends AS (SELECT user_id, max(rn) AS last FROM nu GROUP BY 1)
+SELECT a.user_id, a.event_id, median(b.level) AS median FROM nu a JOIN ends USING (user_id) CROSS JOIN range(-3, 4) o(k)
+JOIN nu b ON b.user_id = a.user_id AND b.rn = greatest(0, least(last, a.rn + k)) GROUP BY 1, 2""", floats=["median"])
 def rolling_medians(t: Tables):
-    """Centred rolling median; the oracle covers the interior, a test covers the repeated edges."""
-    o = number_rows(t.series(), KEY, ORDER)
-    m = ev.rolling_median(o, "level", 7)
-    size = m.groupBy("user_id").agg(F.max("_rn").alias("last"))
-    return m.join(size, "user_id").where(F.col("_rn").between(3, F.col("last") - 3)).select("user_id", "event_id", "median")
+    """Centred rolling median; beyond an edge the end value repeats."""
+    return ev.rolling_median(number_rows(t.series(), KEY, ORDER), "level", 7).select("user_id", "event_id", "median")
 
 
 SMOOTHED = f"""{NUMBERED}, sm AS (SELECT *, sum(level) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0 AS smooth,
@@ -99,14 +97,13 @@ def smoothed_levels(t: Tables):
     return ev.smooth_mean(number_rows(t.series(), KEY, ORDER), "level", SMOOTH).select("user_id", "event_id", "smooth")
 
 
-@query(f"""WITH {NUMBERED}, w AS (SELECT user_id, event_id, rn, count(*) OVER (PARTITION BY user_id) AS n, regr_slope(level, rn) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s FROM nu)
-SELECT user_id, event_id, s / 0.25 * 60 AS slope_per_min FROM w WHERE rn BETWEEN 4 AND n - 5""", floats=["slope_per_min"])
+@query(f"""WITH {NUMBERED}, ends AS (SELECT user_id, max(rn) AS last FROM nu GROUP BY 1), c AS (SELECT nu.*, greatest(4, least(last - 4, rn)) AS centre FROM nu JOIN ends USING (user_id)),
+fit AS (SELECT c.user_id, c.event_id, c.rn - c.centre AS u, sum((b.rn - c.centre) * b.level) / 60.0 AS c1, (9 * sum(power(b.rn - c.centre, 2) * b.level) - 60 * sum(b.level)) / 2772.0 AS c2
+  FROM c JOIN nu b ON b.user_id = c.user_id AND b.rn BETWEEN c.centre - 4 AND c.centre + 4 GROUP BY ALL)
+SELECT user_id, event_id, (c1 + 2 * c2 * u) / 0.25 * 60 AS slope_per_min FROM fit""", floats=["slope_per_min"])
 def local_slopes(t: Tables):
-    """Slope of a local quadratic fit; in the interior it equals the least-squares slope, which SQL can check."""
-    o = number_rows(t.series(), KEY, ORDER)
-    s = ev.local_slope(o, "level", 9, 0.25)
-    size = o.rows.groupBy("user_id").agg(F.max("_rn").alias("last"))
-    return s.join(size, "user_id").where(F.col("_rn").between(4, F.col("last") - 4)).select("user_id", "event_id", "slope_per_min")
+    """Slope of a local quadratic fit; near the ends the last full window is fitted."""
+    return ev.local_slope(number_rows(t.series(), KEY, ORDER), "level", 9, 0.25).select("user_id", "event_id", "slope_per_min")
 
 
 TURNS = f"""{SMOOTHED}, w1 AS (SELECT *, sum(CASE WHEN smooth = pv THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY rn) AS step FROM

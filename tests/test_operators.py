@@ -309,7 +309,7 @@ def test_water_mask_and_report(spark):
     want = {(r, c) for r in range(20) for c in range(30) if r >= 7 and not (r == 19 and c < 5)}
     assert got == want  # the strip and three more rows are gone, the boat stays
     rep = ra.mask_report(masked, land).first()
-    assert (rep.valid_px, rep.water_px, rep.land_px, rep.near_land_px, rep.cloud_px) == (600, len(want), 120, 210, 5)
+    assert (rep.valid_px, rep.water_px, rep.land_px, rep.buffered_px, rep.cloud_px) == (600, len(want), 120, 90, 5)
     with pytest.raises(Exception, match="clear mask"):
         ra.water_mask(px.withColumn("clear", F.lit(None).cast("boolean")), land, 9.0, 3.0).collect()
 

@@ -115,13 +115,14 @@ def water_mask(pixels: DataFrame, land: DataFrame, buffer_m: float, res_m: float
 
 
 def mask_report(masked: DataFrame, land: DataFrame) -> DataFrame:
-    """What each step of the water mask removed, per scene."""
+    """What each step of the water mask removed, per scene; ``buffered_px`` is the shore buffer without the land itself."""
     size = land.groupBy("scene_id").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("land_px"))
     rep = masked.groupBy("scene_id").agg(
         F.count_if("valid").alias("valid_px"), F.count_if("water").alias("water_px"),
-        F.count_if(F.col("valid") & F.col("near_land")).alias("near_land_px"),
+        F.count_if("near_land").alias("_near"),
         F.count_if(F.col("valid") & ~F.col("near_land") & ~F.col("clear")).alias("cloud_px"))
-    return rep.join(size, "scene_id", "left").withColumn("land_px", F.coalesce("land_px", F.lit(0)))
+    rep = rep.join(size, "scene_id", "left").withColumn("land_px", F.coalesce("land_px", F.lit(0)))
+    return rep.withColumn("buffered_px", F.col("_near") - F.col("land_px")).drop("_near")
 
 
 def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MAD, fail: bool = True, scenes: DataFrame | None = None) -> DataFrame:

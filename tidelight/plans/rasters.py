@@ -57,7 +57,7 @@ def water_mask(t: Tables):
 
 
 @query(f"""WITH RECURSIVE {WATER}, ls AS (SELECT scene_id, sum(c1 - c0 + 1) AS n FROM la GROUP BY 1) SELECT wa.scene_id, count(*) FILTER (WHERE valid) AS valid_px, count(*) FILTER (WHERE water) AS water_px,
-count(*) FILTER (WHERE valid AND near_land) AS near_land_px, count(*) FILTER (WHERE valid AND NOT near_land AND NOT clear) AS cloud_px, CAST(coalesce(max(n), 0) AS BIGINT) AS land_px FROM wa LEFT JOIN ls ON ls.scene_id = wa.scene_id GROUP BY 1""")
+count(*) FILTER (WHERE near_land) - CAST(coalesce(max(n), 0) AS BIGINT) AS buffered_px, count(*) FILTER (WHERE valid AND NOT near_land AND NOT clear) AS cloud_px, CAST(coalesce(max(n), 0) AS BIGINT) AS land_px FROM wa LEFT JOIN ls ON ls.scene_id = wa.scene_id GROUP BY 1""")
 def water_mask_report(t: Tables):
     return ra.mask_report(*_water(t))
 

@@ -99,3 +99,10 @@ TILE_FLAT_P99 = 25
 EARTH_RADIUS_KM = 6371.0088
 WGS84 = (6378137.0, 1 / 298.257223563)  # semi-major axis, flattening
 M_PER_DEG = (111_320.0, 110_540.0)  # longitude at the equator, latitude
+
+# Given file-name and metadata formats.
+NAME_STAMP = r"(\d{8})_(\d{6})"  # date and time in a scene's file name
+NAME_END = r"_3B_|_Visual|\.tif"  # what follows the scene id in a file name
+MASKED_NAME = r"(_3B)_[A-Za-z_]*?(_clip)?\.tif$"  # image name that a clear mask is delivered with
+BAND_NUMBER = r"<(?:\w+:)?bandNumber>(\d+)</"
+BAND_COEFFICIENT = r"<(?:\w+:)?reflectanceCoefficient>([0-9.eE+-]+)</"

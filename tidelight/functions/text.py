@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelight import fixed
+
 
 def scene_meta(path: Column) -> Column:
     """Scene file name -> struct(scene_id, acquired_text); the text is '' when no stamp is found."""
     base = F.element_at(F.split(path, "/"), -1)
-    d, t = F.regexp_extract(base, r"(\d{8})_(\d{6})", 1), F.regexp_extract(base, r"(\d{8})_(\d{6})", 2)
+    d, t = (F.regexp_extract(base, fixed.NAME_STAMP, i) for i in (1, 2))
     part = lambda s, i: F.substring(s, i, 2)
     stamp = F.concat(F.substring(d, 1, 4), F.lit("-"), part(d, 5), F.lit("-"), part(d, 7), F.lit("T"),
                      part(t, 1), F.lit(":"), part(t, 3), F.lit(":"), part(t, 5), F.lit("Z"))
-    scene = F.element_at(F.split(base, r"_3B_|_Visual|\.tif"), 1)
+    scene = F.element_at(F.split(base, fixed.NAME_END), 1)
     return F.struct(scene.alias("scene_id"), F.when(d != "", stamp).otherwise("").alias("acquired_text"))
 
 
@@ -26,13 +28,13 @@ def product_kind(path: Column, override: str = "auto") -> Column:
 
 def mask_sibling(path: Column, suffix: str = "udm2") -> Column:
     """Name of the clear-mask file delivered next to an image file."""
-    return F.regexp_replace(path, r"(_3B)_[A-Za-z_]*?(_clip)?\.tif$", f"$1_{suffix}$2.tif")
+    return F.regexp_replace(path, fixed.MASKED_NAME, f"$1_{suffix}$2.tif")
 
 
 def band_coefficients(xml: Column) -> Column:
     """Map of band number to reflectance coefficient; unequal or too few entries fail the job."""
-    bands = F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?bandNumber>(\d+)</"), 1)
-    coefs = F.regexp_extract_all(xml, F.lit(r"<(?:\w+:)?reflectanceCoefficient>([0-9.eE+-]+)</"), 1)
+    bands = F.regexp_extract_all(xml, F.lit(fixed.BAND_NUMBER), 1)
+    coefs = F.regexp_extract_all(xml, F.lit(fixed.BAND_COEFFICIENT), 1)
     good = (F.size(bands) == F.size(coefs)) & (F.size(coefs) >= 4)
     built = F.map_from_arrays(bands.cast("array<int>"), coefs.cast("array<double>"))
     return F.when(good, built).otherwise(F.raise_error(F.lit("band numbers and coefficients do not pair up")))

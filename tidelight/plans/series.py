@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelight import fixed
 from tidelight.operators import estimators as es
 from tidelight.operators import events as ev
 from tidelight.operators import reports, spectra as sp
@@ -52,7 +53,7 @@ def events_merged(t: Tables):
     return ev.merge_events(_events(t), KEY, 43_200.0)
 
 
-GAPS = (0, 5, 10, 20, 30, 60, 120)
+GAPS = fixed.MERGE_GAP_SWEEP
 
 
 @query(f"""WITH {EVENTS}, x AS (SELECT ev.*, CAST(g AS DOUBLE) AS gap_s FROM ev, (SELECT unnest({[g * 720 for g in GAPS]}) AS g)),

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelight import fixed
+from tidelight.functions import text
+from tidelight.operators import events as ev
 from tidelight.operators.guards import require_matched
+from tidelight.operators.spectra import baselines
+from tidelight.session import cut
 
 
 def label_scenes(scenes: DataFrame, counts: DataFrame, strict: bool = True) -> DataFrame:
@@ -131,3 +135,44 @@ def window_summaries(bands: DataFrame, labels: DataFrame, keys: Sequence[str] =
         "band", F.struct("baseline", "peak_excess", "n_events"))))).alias("bands"))
     lab = labels.select(*keys, F.struct(*[c for c in labels.columns if c not in keys]).alias("label"))
     return per.join(lab, [*keys], "left")
+
+
+def events_table(windows: DataFrame, levels: DataFrame, bands: Sequence[str], shift_s: float, gap_s: float, ident: str, order: Sequence[str],
+                 at: str = "t", seed: int = 0, **how) -> DataFrame:
+    """One row per scene and band: events, the same with shuffled levels and at a shifted time, and what to know about them.
+
+    ``windows``: scene_id, lo, hi (seconds, both ends inside); ``levels``: scene_id, band, ``at``, ``ident``, level, whatever of a
+    scene's recording reaches the window or the shifted one; ``how`` goes to ``find_events``. All three detections run in one pass
+    and merge by the same rule. Counts are NULL where there was nothing to detect in, and 0 where nothing was found.
+    """
+    near = levels.join(windows, "scene_id")
+    inside = lambda by: F.col(at).between(F.col("lo") + by, F.col("hi") + by)
+    k = ["scene_id", "band"]
+    real = near.where(inside(0)).drop("lo", "hi")
+    kinds = {"real": real, "shuffled": ev.shuffled(real, k, order, ident, seed=seed), "shifted": near.where(inside(shift_s)).drop("lo", "hi")}
+    names = [*k, *order, at, ident, "level"]
+    every = None
+    for kind, rows in kinds.items():
+        rows = rows.select(*dict.fromkeys(names), F.lit(kind).alias("kind"))
+        every = rows if every is None else every.unionByName(rows)
+    every = cut(every, "levels")
+    base = cut(baselines(every, [*k, "kind"]), "baseline")
+    found = cut(ev.find_events(every, [*k, "kind"], order, at, base, **how), "events")
+    merged = ev.merge_events(found, [*k, "kind"], gap_s).groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("m"))
+    per = found.groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("n"), F.max("peak_excess").alias("top"), F.sum("duration_s").alias("long"))
+    size = every.groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("frames"))
+    one = size.join(base, [*k, "kind"]).join(per, [*k, "kind"], "left").join(merged, [*k, "kind"], "left")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    none = F.lit(0).cast("bigint")
+    counts = {f"n_events{s}{m}": of(kind, F.coalesce(c, none)) for kind, s in (("real", ""), ("shuffled", "_shuffled"), ("shifted", "_shifted")) for c, m in (("n", ""), ("m", "_merged"))}
+    one = one.groupBy(*k).agg(
+        F.coalesce(of("real", F.col("frames")), none).alias("n_frames"), *[c.alias(n) for n, c in counts.items()], of("real", F.col("baseline")).alias("baseline"),
+        of("real", F.col("top")).alias("peak_excess"), of("real", F.coalesce("long", F.lit(0.0))).alias("duration_s"))
+    grid = windows.select("scene_id", F.explode(F.array(*[F.lit(b) for b in bands])).alias("band"))
+    outside = near.groupBy(*k).agg(F.count_if(~inside(0)).alias("n_outside"))
+    out = grid.join(one, k, "left").join(outside, k, "left")
+    out = out.withColumn("n_frames", F.coalesce("n_frames", none)).withColumn("n_outside", F.coalesce("n_outside", none))
+    measured = F.col("n_frames") > 0
+    out = out.withColumns({n: F.when(measured, F.col(n)) for n in counts})
+    note = text.notes(F.when(~measured, "not recorded"), F.when(measured & F.col("n_events_shifted").isNull(), "shift not evaluated"), F.when(measured & (F.col("n_outside") > 0), "clipped"))
+    return out.withColumn("note", note)

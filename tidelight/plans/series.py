@@ -305,6 +305,35 @@ def band_event_totals(t: Tables):
     return reports.band_totals(_long(t), ["n_events", "n_merged"])
 
 
+_K3 = "user_id, event_type, kind"
+TABLE = f"""{SERIES}, sr AS (SELECT * FROM se WHERE NOT (event_type = 'error' AND user_id % 5 = 0)), wi AS (SELECT user_id, floor(min(t)) + 500000 AS lo, floor(min(t)) + 1500000 AS hi FROM se GROUP BY 1),
+ne AS (SELECT sr.*, lo, hi FROM sr JOIN wi USING (user_id)), re AS (SELECT * FROM ne WHERE t BETWEEN lo AND hi),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM re),
+s2 AS (SELECT user_id, event_type, level AS drawn, row_number() OVER (PARTITION BY user_id, event_type ORDER BY md5('7|' || event_id), event_id) AS rn FROM re),
+al AS (SELECT user_id, event_type, 'real' AS kind, ts, event_id, t, level FROM re UNION ALL SELECT user_id, event_type, 'shuffled', ts, event_id, t, drawn FROM s1 JOIN s2 USING (user_id, event_type, rn)
+  UNION ALL SELECT user_id, event_type, 'shifted', ts, event_id, t, level FROM ne WHERE t BETWEEN lo + 700000 AND hi + 700000),
+bl AS (SELECT {_K3}, quantile_cont(level, 0.1) AS baseline, count(*) AS frames FROM al GROUP BY ALL),
+nu AS (SELECT al.*, level - baseline AS excess, row_number() OVER (PARTITION BY {_K3} ORDER BY ts, event_id) - 1 AS rn FROM al JOIN bl USING ({_K3})),
+{_events_sql('nu', _K3, 'ev')}, {_merge_sql('ev', _K3, 'me', '86400')},
+cn AS (SELECT {_K3}, count(*) AS n, max(peak_excess) AS top, sum(duration_s) AS long FROM ev GROUP BY ALL), cm AS (SELECT {_K3}, count(*) AS m FROM me GROUP BY ALL),
+oe AS (SELECT bl.*, coalesce(n, 0) AS n, coalesce(m, 0) AS m, top, coalesce(long, 0) AS long FROM bl LEFT JOIN cn USING ({_K3}) LEFT JOIN cm USING ({_K3})),
+pv AS (SELECT user_id, event_type, {', '.join(f"max({c}) FILTER (WHERE kind = '{k}') AS {n}" for k, c, n in (('real', 'frames', 'n_frames'), ('real', 'n', 'n_events'), ('real', 'm', 'n_events_merged'), ('shuffled', 'n', 'n_events_shuffled'), ('shuffled', 'm', 'n_events_shuffled_merged'), ('shifted', 'n', 'xn'), ('shifted', 'm', 'xm'), ('real', 'baseline', 'baseline'), ('real', 'top', 'peak_excess'), ('real', 'long', 'duration_s')))} FROM oe GROUP BY 1, 2),
+ou AS (SELECT user_id, event_type, count(*) FILTER (WHERE NOT t BETWEEN lo AND hi) AS n_outside FROM ne GROUP BY 1, 2)
+SELECT u.user_id AS scene_id, b.band, coalesce(n_frames, 0) AS n_frames, n_events, n_events_merged, n_events_shuffled, n_events_shuffled_merged, CASE WHEN n_frames > 0 THEN xn END AS n_events_shifted,
+CASE WHEN n_frames > 0 THEN xm END AS n_events_shifted_merged, baseline, peak_excess, duration_s, coalesce(n_outside, 0) AS n_outside,
+concat_ws(' ; ', CASE WHEN n_frames IS NULL THEN 'not recorded' END, CASE WHEN n_frames > 0 AND xn IS NULL THEN 'shift not evaluated' END, CASE WHEN n_frames > 0 AND n_outside > 0 THEN 'clipped' END) AS note
+FROM wi u JOIN (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('error')) b(band) ON true LEFT JOIN pv ON pv.user_id = u.user_id AND pv.event_type = b.band LEFT JOIN ou ON ou.user_id = u.user_id AND ou.event_type = b.band"""
+
+
+@query(f"WITH {TABLE}", floats=["baseline", "peak_excess", "duration_s"])
+def events_table(t: Tables):
+    """Scenes x bands with the counts in the window, with shuffled levels and at a shifted time."""
+    s = cut(t.series().withColumnsRenamed({"user_id": "scene_id", "event_type": "band"}), "levels")
+    w = s.groupBy("scene_id").agg((F.floor(F.min("t")) + 500_000).cast("double").alias("lo"), (F.floor(F.min("t")) + 1_500_000).cast("double").alias("hi"))
+    rows = s.where("NOT (band = 'error' AND scene_id % 5 = 0)")
+    return reports.events_table(w, rows, BAND_NAMES, 700_000.0, 86_400.0, "event_id", ORDER, seed=7, threshold=THRESHOLD, frame_s=FRAME_S, shortest=SHORTEST)
+
+
 @query(f"""WITH {PER_BAND}, w AS (SELECT lg.scene_id, n_events > 2 AS f, lg.scene_id % 2 = 0 AS p, band FROM lg WHERE n_events IS NOT NULL)
 SELECT band, count(*) FILTER (WHERE f AND p) AS fired_present, count(*) FILTER (WHERE f AND NOT p) AS fired_absent, count(*) FILTER (WHERE NOT f AND p) AS silent_present,
 count(*) FILTER (WHERE NOT f AND NOT p) AS silent_absent FROM w GROUP BY 1""")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelight.session import cut
+from tidelight.session import cut, release
 
 SMALL_GROUP = 200_000  # conflicts or pairs of one group that one task may hold
 
@@ -73,8 +73,9 @@ def dropped_by_rivals(conflicts: DataFrame, keys: Sequence[str], small: int = SM
         out = cut(open_.join(keepers, [*keys, "winner"], "left_semi").select(*keys, "loser").distinct(), "lost")
         lost = out if lost is None else lost.unionByName(out)
         # Conflicts of a kept item end with its losers; conflicts won by a dropped item are void.
-        gone = out.withColumnRenamed("loser", "winner")
+        gone, before = out.withColumnRenamed("loser", "winner"), open_
         open_ = cut(open_.join(out, [*keys, "loser"], "left_anti").join(gone, [*keys, "winner"], "left_anti"), "conflicts")
+        release(before)
     out = lost if lost is not None else conflicts.select(*keys, "loser").limit(0)
     return out.withColumnRenamed("loser", "id")
 
@@ -135,7 +136,9 @@ def match_one_to_one(pairs: DataFrame, keys: Sequence[str], a_rank: Sequence[Col
         used = lambda side: hit.select(*keys, side, F.col("n").alias(f"_u{side}"))  # noqa: E731, B023
         rest = open_.join(used("a"), [*keys, "a"], "left").join(used("b"), [*keys, "b"], "left")
         rest = rest.withColumns({f"_n{x}": F.col(f"_n{x}") - F.coalesce(f"_u{x}", F.lit(0)) for x in ("a", "b")}).drop("_ua", "_ub")
+        before = open_
         open_ = cut(rest.where("_na > 0 AND _nb > 0"), "pairs")
+        release(before)
     return (done if done is not None else open_.withColumn("n", one)).select(*names, "n")
 
 
@@ -160,6 +163,7 @@ def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     ab = edges.select(*keys, "a", "b")
     both = cut(ab.unionByName(ab.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.select(*keys, F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
+    before = None
     while True:
         lab = labels.select(*keys, F.col("id").alias("b"), F.col("label").alias("lb"))
         near = both.join(lab, [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("lb").alias("near"))
@@ -167,6 +171,9 @@ def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             *keys, "id", F.col("label").alias("old"), F.least("label", "near").alias("m")), "labels")
         jump = step.select(*keys, F.col("id").alias("m"), F.col("m").alias("jump"))
         new = cut(step.join(jump, [*keys, "m"]).select(*keys, "id", "old", F.least("m", "jump").alias("label")), "labels")
-        labels = new.select(*keys, "id", "label")
+        release(step)
+        if before is not None:
+            release(before)
+        labels, before = new.select(*keys, "id", "label"), new
         if new.where("label <> old").isEmpty():
             return labels

@@ -50,4 +50,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidelight/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a ``cut`` that nothing reads any more, as the round before in a loop."""
+    path = getattr(df, "cut_path", None)
+    if path:
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.session import cut
+from tidelight.session import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         hung = star.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         new = cut(hung.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "components")
+        release(edges)
         edges, seen, mark = new, mark, _mark(new)
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())

@@ -97,23 +97,30 @@ def slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
         row = end
 
 
-def shingles(texts: Texts, size: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its word runs of ``size`` words, A-Z lower-cased.
+def hashed(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and the bounds of the texts among them."""
+    starts, ends, owner = texts.words()
+    return span(texts.prefix(), starts, ends), np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def shingles(words: np.ndarray, bounds: np.ndarray, size: int, score: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct hashes of its runs of ``size`` words, and the sum of ``score`` over their words.
 
     A text of fewer words gives its whole sequence as one; a text without words gives none.
     """
-    starts, ends, owner = texts.words()
-    words = span(texts.prefix(), starts, ends)
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     weights = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    score = np.zeros(len(words), np.int16) if score is None else score
     runs = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    sums = np.zeros(len(runs), np.int16)
     for k in range(size):
         runs += mix(words[k : k + len(runs)] * weights[k])
+        sums += score[k : k + len(runs)]
     runs = mix(runs + np.uint64(size))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
-            yield np.unique(runs[a : b - size + 1])
+            found, first = np.unique(runs[a : b - size + 1], return_index=True)
+            yield found, sums[a + first]
         elif b > a:
-            yield mix(mix(words[a:b] * weights[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a))
+            yield mix(mix(words[a:b] * weights[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)), score[a:b].sum(keepdims=True, dtype=np.int16)
         else:
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int16)

@@ -4,10 +4,11 @@ Every word has affix, n-gram, whole-word and lexicon features; learned transitio
 forward-backward gives each word's probability of each language, so code-switched texts are labelled
 word by word. A text's language is the one with the largest sum over its words.
 
-It is fitted on at most ``SAMPLE`` documents, about ``PER_LANGUAGE`` of each language, cut into code-switched
-sequences: runs of words from different documents, each word labelled with its document's language. Parts
-of the sample are fitted in tasks and their weights averaged after each round, so what reaches the driver
-is ``PARTS`` models of fixed size. The lexicon is the sample's frequent words with their languages.
+It is fitted on at most ``SAMPLE`` documents, about ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most
+frequent languages, cut into code-switched sequences: runs of words from different documents, each word
+labelled with its document's language. Parts of the sample are fitted in tasks and their weights averaged
+after each round, so what reaches the driver is ``PARTS`` models of fixed size. The lexicon is the
+sample's frequent words with their languages.
 
 Defined cases: a null text and a text without a letter get ``und`` and score 0. Rows are judged one by one,
 also repeated ones. Documents whose language is null are no examples. Without examples every text is ``und``.
@@ -32,7 +33,7 @@ from tidelight.session import cut
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-PER_LANGUAGE, SAMPLE, PARTS, ROUNDS, STEP = 500, 8_000, 8, 4, 0.2
+PER_LANGUAGE, LANGUAGES, SAMPLE, PARTS, ROUNDS, STEP = 500, 1_000, 8_000, 8, 4, 0.2
 LEXICON, LEXICON_BINS = 4_000, 4
 SEQUENCE, RUN, BATCH = 48, 12, 32
 BLOCK = 32
@@ -277,11 +278,16 @@ def _slopes(scores: np.ndarray, truth: np.ndarray, transitions: np.ndarray) -> t
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """A model from documents that are not held out and have a language; None if there are none."""
     spark = docs.sparkSession
-    known = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), 1)
-    drawn = known.join(counts, "lang").select("doc_id", "lang", "text", draw.alias("draw"), "of").filter(F.col("draw") / float(2**63) * F.col("of") < per_language)
-    drawn = cut(drawn.select("doc_id", "lang", "text", "draw", F.pmod("draw", F.lit(PARTS)).cast("int").alias("part")).orderBy("draw", "doc_id").limit(sample), "langid")
+    text_hash = F.xxhash64("text").alias("text_hash")
+    known = docs.filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "lang", text_hash)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(LANGUAGES)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), 1).alias("draw")
+    ids = known.join(F.broadcast(counts), "lang").select("doc_id", "lang", "text_hash", draw, "of").filter(F.col("draw") / float(2**63) * F.col("of") < per_language)
+    ids = cut(ids.drop("of").distinct().orderBy("draw", "doc_id", "lang", "text_hash").limit(sample), "langid")
+    same = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "text", F.xxhash64("text").alias("_hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
+    drawn = same.join(F.broadcast(ids), on).select("doc_id", "lang", "text", "draw", F.pmod("draw", F.lit(PARTS)).cast("int").alias("part"))
+    drawn = cut(drawn.dropDuplicates(["doc_id", "lang", "draw"]), "langid")  # at most SAMPLE texts
     labels = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())  # at most SAMPLE
     if not labels:
         return None

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
     ids = ids.select("*", F.xxhash64("doc_id", F.lit("quality")).alias("draw")).orderBy("draw", "doc_id", "label").limit(sample)
     # at most SAMPLE texts
-    drawn = docs.select("doc_id", "text").join(ids, "doc_id").select(F.pmod("draw", F.lit(PARTS)).cast("int").alias("part"), "draw", "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.pmod("draw", F.lit(PARTS)).cast("int").alias("part"), "draw", "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     drawn = cut(drawn, "quality")
     if drawn.isEmpty():
         return Model(None)

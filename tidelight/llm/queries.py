@@ -82,13 +82,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/t
     gone = cut(tokens.later_copies(old), "tokens")
     first = old.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
     stays = cut(old.join(first, ["doc_id", "text_hash"], "left_semi").filter("lang is null or lang <> 'en'"), "tokens")
-    texts = docs.select("*", F.xxhash64("text").alias("text_hash")).filter("lang is null or lang <> 'en'")
-    anew = texts.join(stays.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
+    # counted before the join, so that no texts are shuffled
+    every = tokens.counted(docs.filter("lang is null or lang <> 'en'"), f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k")
+    anew = cut(every, "tokens").join(stays.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi")
     rollup = tokens.Rollup(spark, f"{shared_folder(spark)}/tidelight/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", lambda: tokens.inserts(old))
     rollup.commit("load", lambda: tokens.inserts(old))
     rollup.commit("copies", lambda: tokens.deletes(gone))
-    rollup.commit("other-languages", lambda: tokens.revisions(stays, tokens.counted(anew, f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k")))
+    rollup.commit("other-languages", lambda: tokens.revisions(stays, anew))
     return rollup.totals()
 
 

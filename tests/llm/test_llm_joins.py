@@ -77,6 +77,16 @@ def test_lines_against_brute_force(spark):
     assert got == lines_by_hand(rows, lines.SHORTEST)
 
 
+def test_lines_of_few_repeated_words_against_brute_force(spark):
+    rng = random.Random(11)
+    flags = [" ".join(rng.choice("01") for _ in range(n)) for n in (9, 9, 10, 10, 10, 11) for _ in range(12)]
+    long = " ".join(rng.choice("ab") for _ in range(3 * lines.BLOCK))
+    cut = long.split(" ")
+    texts = ["a x b a y b a z b", "a y b a x b a z b", "a y b a x b a z b w", "\n".join(flags), long, *[" ".join(cut[:k] + cut[k + 1 :]) for k in (0, lines.BLOCK - 1, lines.BLOCK, 3 * lines.BLOCK - 1)]]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs_of(spark, texts)).collect()}
+    assert got == lines_by_hand(list(enumerate(texts)), lines.SHORTEST) and got[2] == ""
+
+
 def test_line_counts_repeated_rows_null_ids_and_clashing_columns(spark):
     frame = docs_of(spark, ["one\ntwo", "one\ntwo", "two\nthree", "three"], [5, 5, 6, None]).withColumn("n_lines", F.lit("mine")).withColumn("gone", F.lit(1))
     out = [tuple(r) for r in lines.dedup(frame).select("doc_id", "text", "n_lines", "n_dropped", "gone").collect()]

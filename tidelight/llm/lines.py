@@ -26,6 +26,8 @@ from tidelight.session import cut
 SHORTEST = 8
 #: What a key says of its line: it lacks a word at a place, it is whole, or it lacks a word.
 SAME, OWN, LESS = 0, 1, 2
+#: Words of a block of the running XOR.
+BLOCK = 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -64,28 +66,36 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
+def _running_xor(block: Column) -> Column:
+    """0, then the XOR of the first, of the first two ... values."""
+    return F.aggregate(block, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(x))))
+
+
 def keys_of(lines: DataFrame) -> DataFrame:
     """h1, h2, first, key, role: the deletion neighbourhood of lines given by their word hashes ``w``.
 
-    Same length: hashes of words with their places, one place left out, and that place. One word less: hashes
-    of neighbouring words, of which a deletion takes away two and adds one. Each key costs the same however long the line.
+    A rest is the XOR of its words hashed with their places, so equal keys mean equal rests. Without word i, words
+    before it keep their places and words after it move up by one: a running XOR gives each rest from the one
+    before. It is made in blocks of ``BLOCK`` words with a carry each, so a key costs nearly the same however long the line.
     """
-    edge = F.array(F.lit(0).cast("long"))
     n = F.size("w")
-    lines = lines.select("*", F.concat(edge, F.col("w"), edge).alias("v"))
-    lines = lines.select(
-        "*", _xor(F.transform("w", lambda x, i: F.xxhash64(x, i + 1))).alias("placed"),
-        _xor(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.element_at("v", i), F.element_at("v", i + 1)))).alias("near"),
-    )
-    place = F.sequence(F.lit(1), n)
-    same = F.transform(place, lambda i: F.xxhash64(F.lit("="), n, i, F.col("placed").bitwiseXOR(F.xxhash64(F.element_at("w", i), i))))
 
-    def without(i: Column) -> Column:
-        left, word, right = F.element_at("v", i), F.element_at("v", i + 1), F.element_at("v", i + 2)
-        return F.col("near").bitwiseXOR(F.xxhash64(left, word)).bitwiseXOR(F.xxhash64(word, right)).bitwiseXOR(F.xxhash64(left, right))
+    def moved(x: Column, place: Column) -> Column:
+        return F.xxhash64(x, place).bitwiseXOR(F.xxhash64(x, place - 1))
 
-    less = F.transform(place, lambda i: F.xxhash64(F.lit("-"), n - 1, without(i)))
-    own = F.array(F.xxhash64(F.lit("-"), n, F.col("near")))
+    def block(b: Column) -> Column:
+        return _running_xor(F.transform(F.slice("w", b * BLOCK + 1, F.lit(BLOCK)), lambda x, j: moved(x, b * BLOCK + j + 1)))
+
+    lines = lines.select(
+        "*", _xor(F.transform("w", lambda x, i: F.xxhash64(x, i + 1))).alias("placed"), _xor(F.transform("w", lambda x, i: F.xxhash64(x, i))).alias("up"),
+        F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block).alias("blocks"),
+    )
+    carries = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(F.element_at(x, -1)))))
+    before = F.flatten(F.zip_with("blocks", F.slice(carries, F.lit(1), F.size("blocks")), lambda x, carry: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y.bitwiseXOR(carry))))
+    same = F.transform("w", lambda x, i: F.xxhash64(F.lit("="), n, i + 1, F.col("placed").bitwiseXOR(F.xxhash64(x, i + 1))))
+    shift = F.transform("w", lambda x, i: F.col("up").bitwiseXOR(F.xxhash64(x, i)))
+    less = F.zip_with(before, shift, lambda x, y: F.xxhash64(F.lit("-"), n - 1, x.bitwiseXOR(y)))
+    own = F.array(F.xxhash64(F.lit("-"), n, F.col("placed")))
 
     def told(keys: Column, role: int) -> Column:
         return F.transform(F.array_distinct(keys), lambda x: F.struct(x.alias("key"), F.lit(role).alias("role")))

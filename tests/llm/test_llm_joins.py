@@ -184,6 +184,20 @@ def test_leaks_equal_plain_containment_on_prose(spark):
     assert leak_ids(spark, texts, items) == want
 
 
+def test_items_of_few_literal_words_are_found_as_they_stand(spark):
+    items = [(1, "Who is Barack Obama?"), (2, "What is 7 times 8?"), (3, "The Old Man And The Sea"), (4, "1 2 3 5 8 13 21 34 55 89")]
+    texts = [f"well. {items[0][1]} So.", f"well. {items[1][1]} So.", f"well {items[2][1]} Again.", f"so {items[3][1]} on", "Who is John Obama? What is 7 times 9?", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    assert leak_ids(spark, texts, items) == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
+def test_leaks_equal_plain_containment_on_numbered_words(spark):
+    rng = random.Random(6)
+    items = [(k, prose(rng, rng.choice([5, 20, 40]), 300)) for k in range(12)]
+    texts = [prose(rng, 60, 300) + (" " + items[k % 12][1] + " " if k % 3 == 0 else " ") + prose(rng, 10, 300) for k in range(60)]
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if f" {x} " in t}
+    assert leak_ids(spark, texts, items) == want
+
+
 def test_clean_keeps_rows_and_columns(spark):
     frame = docs_of(spark, [ITEM, "fine", None], [1, 2, None]).withColumn("item_id", F.lit("x"))
     items = spark.createDataFrame([(9, ITEM)], "item_id long, text string")

@@ -173,6 +173,12 @@ def test_reparameterised_questions_are_found_and_inconsistent_ones_not(spark):
     assert leak_ids(spark, texts) == {(0, 9), (1, 9), (6, 10), (7, 9)}
 
 
+def test_new_values_may_coincide_but_not_split(spark):
+    item = "A farmer sells 5 apples and 7 pears at the market and then gives 5 more away for nothing."
+    texts = ["so. " + item.replace("5", "4").replace("7", "4"), "so. " + item.replace("7", "5"), "so. " + item.replace("5 apples", "4 apples").replace("5 more", "6 more")]
+    assert leak_ids(spark, texts, [(9, item)]) == {(0, 9), (1, 9)}
+
+
 def test_leaks_equal_plain_containment_on_prose(spark):
     rng = random.Random(5)
     items = [(k, prose(rng, rng.choice([5, 20, 40]), 300)) for k in range(12)]

@@ -224,6 +224,12 @@ def test_languages_on_held_out_and_switched_texts(spark):
     assert langid.fit(docs.limit(0)) is None and {r["lang_pred"] for r in langid.predicted(docs, None).collect()} == {"und"}
 
 
+def test_rare_languages_keep_their_place_in_a_full_sample(spark):
+    rows = [(1000 * k + i, f"{lang} {lang}word {i}", lang, "s", 9) for k, lang in enumerate(("aa", "bb", "cc", "dd")) for i in range(800)] + [(9000 + i, f"rare rareword {i}", "ee", "s", 9) for i in range(12)]
+    drawn = langid.fit(spark.createDataFrame(rows, DOCS), per_language=10, sample=20)
+    assert drawn.labels == ["aa", "bb", "cc", "dd", "ee"]
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight.llm import words
@@ -283,7 +283,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE)
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(LANGUAGES)
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), 1).alias("draw")
     ids = known.join(F.broadcast(counts), "lang").select("doc_id", "lang", "text_hash", draw, "of").filter(F.col("draw") / float(2**63) * F.col("of") < per_language)
-    ids = cut(ids.drop("of").distinct().orderBy("draw", "doc_id", "lang", "text_hash").limit(sample), "langid")
+    # the first of each language, then the second ... : where the sample is full, frequent languages leave room to rare ones
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text_hash"))  # about ``per_language`` rows
+    ids = cut(ids.drop("of").distinct().withColumn("rank", rank).orderBy("rank", "draw", "doc_id", "lang", "text_hash").limit(sample).drop("rank"), "langid")
     same = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "text", F.xxhash64("text").alias("_hash"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("text_hash") == F.col("_hash"))
     drawn = same.join(F.broadcast(ids), on).select("doc_id", "lang", "text", "draw", F.pmod("draw", F.lit(PARTS)).cast("int").alias("part"))

@@ -4,7 +4,7 @@ Every word has affix, n-gram, whole-word and lexicon features; learned transitio
 forward-backward gives each word's probability of each language, so code-switched texts are labelled
 word by word. A text's language is the one with the largest sum over its words.
 
-It is fitted on at most ``SAMPLE`` documents, about ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most
+It is fitted on at most ``SAMPLE`` documents, dealt evenly among languages, of about ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most
 frequent languages, cut into code-switched sequences: runs of words from different documents, each word
 labelled with its document's language. Parts of the sample are fitted in tasks and their weights averaged
 after each round, so what reaches the driver is ``PARTS`` models of fixed size. The lexicon is the

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import hamming, jaccard, langid, leaks, licenses, lines, mixing, oracles, quality, tokens, urls
+from tidelight.llm import bpe, hamming, importance, jaccard, langid, leaks, licenses, lines, mixing, oracles, quality, rtree, tokens, urls
 from tidelight.session import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,29 @@ def op9_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     base = cut(hamming.codes(vectors), "hamming")
     return hamming.nearest(base, base.filter("id % 50 = 0"), k=10)
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``path`` is a rank file; by default that of the installed public tokenizers."""
+    if path is None:
+        import public_tokenizers
+
+        path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    shared = bpe.vocabulary(spark, path)
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), shared, pattern or tokens.PATTERN), shared)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(oracles.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rtree.points(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")))
+    return rtree.mine(rows, rows.filter("id % 50 = 0"))
+
+
+@query()
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")

@@ -48,30 +48,33 @@ def test_bpe_equals_the_public_library_and_decodes(spark):
 def test_bpe_in_small_slices_is_the_same(spark, monkeypatch):
     path = public.path("byte_bpe_multi_50k.tiktoken")
     own, texts = reference(path), odd_texts(random.Random(2))
-    v = bpe.Vocabulary(bpe.vocabulary(spark, path).value)
-    monkeypatch.setattr(bpe, "SLICE", 50)
+    shared = bpe.vocabulary(spark, path)
+    v = bpe.Vocabulary(shared.value)
     words = [w.encode() for t in texts for w in bpe.regex.findall(public.PATTERN, t or "")]
-    assert bpe.replay(words, v) == [own.encode_ordinary(w.decode()) for w in words]
+    want = [own.encode_ordinary(w.decode()) for w in words]
+    assert bpe.replay(words, v) == want
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    monkeypatch.setattr(bpe, "BLOCK", 20)
+    assert bpe.replay(words, v) == want  # in arrays instead of lists
 
     class Task:
         def partitionId(self):
-            return 0
+            return 3
 
     import pyarrow as pa
     from pyspark import TaskContext
 
     monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task()))
-    names = ["task", "slice", "doc_id", "sequence", "number", "word"]
+    names = ["slice", "doc_id", "sequence", "number", "word"]
     batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
-    parts = list(bpe._split(public.PATTERN, names)(iter([batch, batch.slice(0, 0)])))
-    assert len(parts) > 50
+    parts = list(bpe._split(public.PATTERN, shared, names)(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 50 and len({p.column("slice")[0].as_py() for p in parts}) == len(parts)
     seen = {}
     for part in parts:
-        rows = part.to_pylist()
-        known = {r["number"]: r["word"] for r in rows if r["word"] is not None}
-        kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
-        seen.update({r["doc_id"]: "".join(known[n] for n in np.frombuffer(r["sequence"], kind).tolist()) for r in rows if r["word"] is None})
-    assert seen == {i: t or "" for i, t in enumerate(texts)}
+        made = [b for b in bpe._replayed(shared)(bpe._words(iter([part])))]
+        lined = bpe._lined_up((part.column("slice")[0],), pa.Table.from_batches([part]), pa.Table.from_batches(made))
+        seen.update({r["doc_id"]: r["ids"] for r in lined.to_pylist()})
+    assert seen == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
 def test_merges_that_make_an_earlier_rank_come_first():

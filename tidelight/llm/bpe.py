@@ -3,15 +3,16 @@
 A word (a match of the split pattern) has the same tokens wherever it stands, so the merges are replayed once for
 the distinct words of the whole corpus and not for its texts:
 
-1. Texts are split once. A slice of texts becomes its distinct words and, for every text, the sequence of their numbers
-   (two bytes each, as a rule). Texts are not needed again.
-2. The distinct words of all slices are dealt to tasks. There an inverted index leads from token pairs, by the rank of what they
+1. Texts are split once. A slice of texts becomes the sequence of word numbers of every text (two bytes each, as a rule), its
+   words that are tokens as they stand, and its other distinct words. All of it is dealt out by slice, once.
+2. The other words are dealt out and sorted by word. There an inverted index leads from token pairs, by the rank of what they
    merge into, to their places in the words. Ranks are applied in order, each to all places of its index entry; a merge looks
    only at the two neighbours it touches and enters their new pairs.
-3. Tokens return to the slices by a join on the word, and each slice lines up the tokens of its texts.
+3. Tokens return to their slice, which lines up the tokens of its texts.
 
-No group is larger than one slice: ``SLICE`` bytes of text, or one text where it is longer. Replay takes ``SLICE`` bytes of
-words at a time (one word at least).
+No group is larger than one slice: ``SLICE`` characters of text, or one text where it is longer. Replay takes ``BLOCK`` bytes of
+words at a time (one word at least). Step 1 reads ``docs`` in one pass whose parts both other steps read; a lost part is made again, so
+``docs`` should be a table of files (``cut`` a computed one), whose rows come in the same order again.
 
 Defined cases: a null or empty text has no tokens. Rows that repeat, share an id or have none each give a row. Texts that look like
 special tokens are ordinary text. Word length is not limited. An empty table gives an empty result; other columns
@@ -31,11 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidelight.session import cut
-
-SLICE = 4 << 20
+SLICE, BLOCK = 32 << 20, 1 << 18
 _LOADED: dict[int, Vocabulary] = {}
 
 
@@ -45,7 +43,10 @@ class Vocabulary:
     def __init__(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
         self.ranks = {t: r for r, t in enumerate(tokens)}
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.texts = {t.decode(): r for r, t in enumerate(tokens) if _is_text(t)}
+        single = [bytes([b]) for b in range(256)]
+        self.byte = np.array([self.ranks[b] for b in single], np.int64)
+        self.two = np.array([[self.ranks.get(a + b, -1) for b in single] for a in single], np.int64)
         self.pairs: dict[tuple[int, int], int] = {}
 
     def merged(self, a: int, b: int) -> int:
@@ -59,6 +60,14 @@ class Vocabulary:
         return rank
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The tokens of a rank file for all tasks: as large as the file, whatever the corpus."""
     with open(path, "rb") as f:
@@ -82,23 +91,23 @@ def _loaded(shared: Broadcast) -> Vocabulary:
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     """Token ids of each word: all merges of all words, rank by rank."""
     whole = [v.ranks.get(w) for w in words]  # a word that is a token needs no merge
-    token, first = array("i"), array("i")
-    for word, rank in zip(words, whole, strict=True):
-        if rank is None:
-            first.append(len(token))
-            token.extend([v.byte[b] for b in word])
-            token.append(-1)  # between words nothing merges
-    n = len(token)
-    left, right = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
-    index: dict[int, list[int]] = {}
-    merged = v.merged
-    for p in range(n - 1):
-        if token[p] >= 0 and token[p + 1] >= 0:
-            rank = merged(token[p], token[p + 1])
-            if rank >= 0:
-                index.setdefault(rank, []).append(p)
+    parts = [w for w, rank in zip(words, whole, strict=True) if rank is None]
+    raw = np.frombuffer(b"\0".join([*parts, b""]), np.uint8)
+    last = np.cumsum([len(w) + 1 for w in parts], dtype=np.int64) - 1  # the gap behind each word: there nothing merges
+    n = len(raw)
+    numbers = v.byte[raw]
+    numbers[last] = -1
+    near = v.two[raw[:-1], raw[1:]] if n else np.zeros(0, np.int64)
+    near[last[:-1]] = near[last - 1] = -1
+    at = np.flatnonzero(near >= 0)
+    at = at[np.argsort(near[at], kind="stable")]
+    ranks, begin = np.unique(near[at], return_index=True)
+    index = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(at, begin[1:]), strict=True)} if len(at) else {}
+    held_as = list if n <= 4 * BLOCK else lambda x: array("q", x)  # one very long word: no object per symbol
+    token, left, right = held_as(numbers.tolist() if n <= 4 * BLOCK else numbers), held_as(range(-1, n - 1)), held_as(range(1, n + 1))
     queue = list(index)
     heapify(queue)
+    merged, ends = v.merged, last.tolist()
 
     def enter(rank: int, place: int) -> None:
         places = index.get(rank)
@@ -112,23 +121,21 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
         rank = heappop(queue)
         held = -1  # words up to here wait: one of their new pairs has a lower rank
         for p in sorted(index.pop(rank, ())):
-            q = right[p]
             if p < held:
                 enter(rank, p)
                 continue
-            if token[p] < 0 or q >= n or token[q] < 0 or merged(token[p], token[q]) != rank:
+            a, q = token[p], right[p]
+            if a < 0 or token[q] < 0 or merged(a, token[q]) != rank:
                 continue  # one side went into another merge
             r, o = right[q], left[p]
-            token[p], token[q], right[p] = rank, -2, r
-            if r < n:
-                left[r] = p
-                if token[r] >= 0 and (new := merged(rank, token[r])) >= 0:
-                    enter(new, p)
-                    held = _end(first, p, n) if new < rank else held
+            token[p], token[q], right[p], left[r] = rank, -2, r, p
+            if token[r] >= 0 and (new := merged(rank, token[r])) >= 0:
+                enter(new, p)
+                held = ends[bisect_right(ends, p)] if new < rank else held
             if o >= 0 and token[o] >= 0 and (new := merged(token[o], rank)) >= 0:
                 enter(new, o)
-                held = _end(first, p, n) if new < rank else held
-    out, spans = [], zip(first, [*first[1:], n], strict=True)
+                held = ends[bisect_right(ends, p)] if new < rank else held
+    out, spans = [], zip([0, *(e + 1 for e in ends)], ends)
     for rank in whole:
         if rank is None:
             a, b = next(spans)
@@ -138,26 +145,31 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     return out
 
 
-def _end(first: array, place: int, n: int) -> int:
-    at = bisect_right(first, place)
-    return first[at] if at < len(first) else n
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
-def word_tokens(words: DataFrame, shared: Broadcast) -> DataFrame:
-    """word, ids of the distinct words of a table ``word``."""
+def _replayed(shared: Broadcast):
+    """Tokens of sorted word rows (slice, number, word): each run of equal words is replayed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _loaded(shared)
         for batch in batches:
-            column, block, size = batch.column(0), [], 0
-            for k, word in enumerate(column):
-                block.append(word.as_py().encode())
+            words, numbers = [], []
+            for word in batch.column(2).to_pylist():
+                if not words or words[-1] != word:
+                    words.append(word)
+                numbers.append(len(words) - 1)
+            made, block, size = [], [], 0
+            for k, word in enumerate(words):
+                block.append(word.encode())
                 size += len(block[-1])
-                if size >= SLICE or k == len(column) - 1:
-                    yield pa.RecordBatch.from_arrays([column.slice(k + 1 - len(block), len(block)), pa.array(replay(block, v), pa.list_(pa.int32()))], ["word", "ids"])
+                if size >= BLOCK or k == len(words) - 1:
+                    made += map(_packed, replay(block, v))
                     block, size = [], 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([made[k] for k in numbers], pa.binary())], ["slice", "number", "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+    return run
 
 
 # ---- texts -----------------------------------------------------------------------------------
@@ -171,70 +183,89 @@ class _Numbers(dict):
         return number
 
 
-def _split(pattern: str, names: list[str]):
+WHOLE = -1  # number of the row that holds a slice's words which are tokens as they stand
+
+
+def _split(pattern: str, shared: Broadcast, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, count, find = TaskContext.get().partitionId(), 0, regex.compile(pattern)
-        ids, sequences, numbers, size = [], [], _Numbers(), 0
+        here, find, rank_of = TaskContext.get().partitionId() << 32, regex.compile(pattern), _loaded(shared).texts
+        ids, sequences, numbers, size, kind = [], [], _Numbers(), 0, None
 
-        def finished(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            kind, n, m = np.uint16 if len(numbers) <= 1 << 16 else np.uint32, len(ids), len(numbers)
-            where = [pa.array([task] * (n + m), pa.int32()), pa.array([count] * (n + m), pa.int64())]
+        def finished() -> Iterator[pa.RecordBatch]:
+            width, n = np.uint16 if len(numbers) <= 1 << 16 else np.uint32, len(ids)
+            known = [rank_of.get(w, -1) for w in numbers]
+            other = [(k, w) for k, w in enumerate(numbers) if known[k] < 0]
+            m = len(other) + 1
             yield pa.RecordBatch.from_arrays([
-                *where, pa.concat_arrays([pa.array(ids, id_type), pa.nulls(m, id_type)]), pa.array([s.astype(kind).tobytes() for s in sequences] + [None] * m, pa.binary()),
-                pa.array([None] * n + [*range(m)], pa.int32()), pa.array([None] * n + [*numbers], pa.string())], names)
+                pa.array([here] * (n + m), pa.int64()), pa.concat_arrays([pa.array(ids, kind), pa.nulls(m, kind)]),
+                pa.array([*(s.astype(width).tobytes() for s in sequences), _packed(known), *[None] * (m - 1)], pa.binary()),
+                pa.array([*[None] * n, WHOLE, *(k for k, _ in other)], pa.int32()), pa.array([*[None] * (n + 1), *(w for _, w in other)], pa.string())], names)
 
         for batch in batches:
+            kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 # a long text does not keep all its words at once
-                words = find.findall(text) if len(text) < SLICE else (m.group() for m in find.finditer(text))
+                words = find.findall(text) if len(text) < BLOCK else (m.group() for m in find.finditer(text))
                 ids.append(doc_id)
                 sequences.append(np.fromiter(map(numbers.__getitem__, words), np.uint32))
                 size += len(text) + 64
                 if size >= SLICE:
-                    yield from finished(batch.column(0).type)
-                    ids, sequences, numbers, size, count = [], [], _Numbers(), 0, count + 1
-            if ids:
-                last = batch.column(0).type
+                    yield from finished()
+                    ids, sequences, numbers, size, here = [], [], _Numbers(), 0, here + 1
         if ids:
-            yield from finished(last)
+            yield from finished()
 
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word rows of the split table."""
+    for batch in batches:
+        rows = batch.filter(pa.compute.is_valid(batch.column(4)))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(3), rows.column(4)], ["slice", "number", "word"])
+
+
+def _lined_up(key: tuple, rows: pa.Table, made: pa.Table) -> pa.Table:
+    """Tokens of the texts of one slice."""
+    rows, made = rows.select(["doc_id", "sequence", "number"]), made.combine_chunks()
+    whole = rows.filter(pa.compute.equal(rows.column("number"), WHOLE)).column("sequence")[0]
+    texts = rows.filter(pa.compute.is_null(rows.column("number"))).combine_chunks()
+    known = np.frombuffer(whole.as_buffer(), np.int32)
+    many, begin = (known >= 0).astype(np.int64), np.arange(len(known))
+    flat = [known]
+    if made.num_rows:
+        at, packed = made.column("number").to_numpy(), made.column("ids").combine_chunks()
+        length = pa.compute.binary_length(packed).to_numpy().astype(np.int64) // 4
+        many[at] = length
+        begin[at] = len(known) + np.cumsum(length) - length
+        flat.append(np.frombuffer(b"".join(packed.to_pylist()), np.int32))
+    flat = np.concatenate(flat)
+    width = np.uint16 if len(known) <= 1 << 16 else np.uint32
+    out, lengths = [np.zeros(0, np.int32)], [0]
+    for sequence in texts.column("sequence"):
+        s = np.frombuffer(sequence.as_buffer(), width)
+        m = many[s]
+        run = np.cumsum(m)
+        total = int(run[-1]) if len(run) else 0
+        out.append(flat[np.repeat(begin[s] - run + m, m) + np.arange(total)])
+        lengths.append(lengths[-1] + total)
+    ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+    return pa.table([texts.column("doc_id"), ids], ["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, shared: Broadcast, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every row; ``docs``: doc_id, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["task", "slice", "doc_id", "sequence", "number", "word"]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    split = cut(rows.mapInArrow(_split(pattern, names), f"task int, slice long, doc_id {kind}, sequence binary, number int, word string"), "split")
-    words = split.filter("word is not null").select("task", "slice", "number", "word")
-    known = words.join(word_tokens(words, shared), "word").select("task", "slice", "number", "ids")
-    texts = split.filter("sequence is not null").select(F.col("task").alias("task"), F.col("slice").alias("slice"), "doc_id", "sequence")
-
-    def line_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks()
-        tokens = right.column("ids").combine_chunks()
-        flat, starts = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
-        place = np.empty(right.num_rows, np.int64)  # row of each word number
-        place[right.column("number").to_numpy()] = np.arange(right.num_rows)
-        many, begin = np.diff(starts)[place], starts[:-1][place]
-        width = np.uint16 if right.num_rows <= 1 << 16 else np.uint32
-        out, lengths = [np.zeros(0, np.int32)], [0]
-        for sequence in left.column("sequence"):
-            s = np.frombuffer(sequence.as_buffer(), width)
-            m = many[s]
-            run = np.cumsum(m)
-            total = int(run[-1]) if len(run) else 0
-            out.append(flat[np.repeat(begin[s] - run + m, m) + np.arange(total)])
-            lengths.append(lengths[-1] + total)
-        ids = pa.LargeListArray.from_arrays(pa.array(lengths, pa.int64()), pa.array(np.concatenate(out), pa.int32()))
-        return pa.table([left.column("doc_id"), ids.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    pairs = texts.groupBy("task", "slice").cogroup(known.groupBy("task", "slice"))
-    return pairs.applyInArrow(line_up, f"doc_id {kind}, ids array<int>")
+    names = ["slice", "doc_id", "sequence", "number", "word"]
+    rows = docs.selectExpr("doc_id", "cast(text as string) as text")
+    split = rows.mapInArrow(_split(pattern, shared, names), f"slice long, doc_id {kind}, sequence binary, number int, word string").repartition("slice")
+    # chosen in Python, so that both readers keep the whole exchange and Spark makes it once
+    words = split.mapInArrow(_words, "slice long, number int, word string")
+    made = words.repartition("word").sortWithinPartitions("word").mapInArrow(_replayed(shared), "slice long, number int, ids binary")
+    return split.groupBy("slice").cogroup(made.groupBy("slice")).applyInArrow(_lined_up, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, shared: Broadcast) -> DataFrame:

@@ -221,18 +221,18 @@ def test_copies_are_matched_without_pairing_them(spark, small):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_spacing_prefers_the_higher_then_the_later(spark, small):
+@pytest.mark.parametrize("reach", [256, 4, 1])
+def test_spacing_prefers_the_higher_then_the_later(spark, reach):
     rnd = random.Random(21)
     x = [(k, m, float(rnd.randrange(5))) for k in ("u", "v") for m in sorted(rnd.sample(range(200), 60))]
     want = []
     for r in sorted(x, key=lambda r: (-r[2], -r[1])):
         if all(q[0] != r[0] or abs(q[1] - r[1]) >= 7 for q in want):
             want.append(r)
-    many = ev.apart(spark.createDataFrame(x, "k string, mid long, height double"), ["k"], "mid", 7, [-F.col("height"), -F.col("mid")], small)
+    many = ev.apart(spark.createDataFrame(x, "k string, mid long, height double"), ["k"], "mid", 7, [-F.col("height"), -F.col("mid")], reach)
     assert sorted(map(tuple, many.collect())) == sorted(want)
     p = spark.createDataFrame([("a", 0, 5.0), ("a", 5, 5.0), ("a", 9, 7.0), ("a", 20, 1.0)], "k string, mid long, height double")
-    got = ev.apart(p, ["k"], "mid", 6, [-F.col("height"), -F.col("mid")], small)
+    got = ev.apart(p, ["k"], "mid", 6, [-F.col("height"), -F.col("mid")], reach)
     assert sorted(r.mid for r in got.collect()) == [0, 9, 20]
 
 

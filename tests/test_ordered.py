@@ -144,19 +144,19 @@ def test_prominences_of_long_series(spark, shape):
         x = [float([0, 5, 1, 5, 2, 5, 0, 9][i % 8]) for i in range(160)]
     df = spark.createDataFrame([("a", float(i), v) for i, v in enumerate(x)], "k string, t double, level double")
     o = number_rows(df, ["k"], ["t"])
-    pts = ev.turning_points(o, "level", "t").cache()
+    pts = ev.turning_points(o, "level").cache()
     want = {}
     for r in pts.where("height is not null").collect():
         want[r.mid] = _naive_prominence(x, r.mid)
-    for hot in (1_000, 40):
-        got = {r.mid: r.prominence for r in ev.prominences(pts, ["k"], hot_rows=hot).collect()}
+    for fan in (128, 8, 2):
+        got = {r.mid: r.prominence for r in ev.prominences(pts, ["k"], fan=fan).collect()}
         assert got == want
 
 
 def test_plateau_peak_is_the_floored_middle(spark):
     x = [0, 1, 4, 4, 4, 4, 2, 5, 5, 1, 1]
     df = spark.createDataFrame([("a", float(i), float(v)) for i, v in enumerate(x)], "k string, t double, level double")
-    pts = ev.turning_points(number_rows(df, ["k"], ["t"], block_rows=3), "level", "t")
+    pts = ev.turning_points(number_rows(df, ["k"], ["t"], block_rows=3), "level")
     assert sorted((r.mid, r.height) for r in pts.where("height is not null").collect()) == [(3, 4.0), (7, 5.0)]
 
 
@@ -208,6 +208,6 @@ def test_slope_far_from_the_start_of_a_series(spark):
 
 def test_of_equal_places_one_stays(spark):
     df = spark.createDataFrame([("a", 5, 1.0), ("a", 5, 2.0), ("a", 5, 2.0), ("a", 9, 1.5), ("b", 5, 1.0)], "k string, mid long, height double")
-    for small in (0, 1000):
-        kept = ev.apart(df, ["k"], "mid", 3, [-F.col("height")], small=small)
+    for reach in (1, 1000):
+        kept = ev.apart(df, ["k"], "mid", 3, [-F.col("height")], reach=reach)
         assert table(kept, "k", "mid", "height") == [("a", 5, 2.0), ("a", 9, 1.5), ("b", 5, 1.0)]

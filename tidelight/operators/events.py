@@ -7,22 +7,22 @@ clock time, decides which frames are neighbours.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelight import fixed
-from tidelight.operators.greedy import SMALL_GROUP, keep_greedily, slots
 from tidelight.operators.intervals import chain_groups
-from tidelight.operators.ordered import BLOCK, RN, Ordered, centred_sum, meet, number_rows
+from tidelight.operators.ordered import BLOCK, RN, Ordered, meet, number_rows
 from tidelight.operators.spectra import baselines
-from tidelight.session import cut
+from tidelight.session import cut, release
 
-
-STRETCH = 2_000_000  # turning points of a series that are settled in one call
+FAN = 128  # points of a block, and blocks of a block of blocks, in which higher ground is looked for
+REACH = 256  # distances of a stretch in which peaks are spaced
 
 
 def min_frames(seconds: float = fixed.EVENT_MIN_SECONDS, frame_s: float = fixed.FRAME_SECONDS) -> int:
@@ -39,9 +39,8 @@ def odd_frames(seconds: float, frame_s: float = fixed.FRAME_SECONDS) -> int:
 def hot_runs(series: Ordered, hot: Column, at: str, value: str, frame_s: float, shortest: int) -> DataFrame:
     """Runs of consecutive hot rows: start, first time of the largest value, duration, row count."""
     o = series.with_columns(_hot=F.coalesce(hot, F.lit(False)))
-    o = o.prefix(_was=("last", F.col("_hot")))
-    o = o.with_columns(_new=F.when(F.col("_hot") & ~F.coalesce("_was", F.lit(False)), 1).otherwise(0))
-    o = o.prefix(_runs=("sum", F.col("_new"))).with_columns(run=F.col("_runs") + F.col("_new"))
+    # inside a run the row number and the count of hot rows grow alike
+    o = o.prefix(_before=("sum", F.col("_hot").cast("int"))).with_columns(run=F.col(RN) - F.col("_before"))
     return o.rows.where("_hot").groupBy(*series.keys, "run").agg(
         F.min(at).alias("t_start"), F.max_by(at, F.struct(F.col(value), -F.col(RN))).alias("t_peak"),
         F.count(F.lit(1)).alias("n_frames"), F.max(value).alias("peak_excess"),
@@ -92,11 +91,22 @@ def shuffled(levels: DataFrame, keys: Sequence[str], order: Sequence[str], ident
 
 # ---- smoothing -------------------------------------------------------------------------------
 
+def _mean_stages(series: Ordered, value: str, frames: int, name: str) -> list[dict]:
+    """Window stages of a moving mean. Whole numbers are differences of running sums, at a cost that does not grow with ``frames``;
+    sums of fractions would depend on where a block starts, so those are added up window by window."""
+    h = frames // 2
+    if not isinstance(series.rows.schema[value].dataType, T.IntegralType):
+        return [{name: lambda w: F.sum(value).over(w.rowsBetween(-h, h)) / F.lit(float(frames))}]
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    up = lambda w: F.coalesce(F.lead("_run", h).over(w), F.sum(value).over(whole(w)))
+    return [{"_run": lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))},
+            {name: lambda w: (up(w) - F.coalesce(F.lag("_run", h + 1).over(w), F.lit(0))) / F.lit(float(frames))}]
+
+
 def smooth_mean(series: Ordered, value: str, frames: int, name: str = "smooth") -> DataFrame:
     """Moving mean over an odd number of frames; missing neighbours count as 0, the divisor is fixed."""
     h = frames // 2
-    out = series.centred(h, h, **{name: centred_sum(F.col(value), h)})
-    return out.withColumn(name, F.col(name) / F.lit(float(frames)))
+    return series.staged(h + 1, h, *_mean_stages(series, value, frames, name)).drop("_run")
 
 
 def smooth_mean_or_median(series: Ordered, value: str, frames: int, name: str = "smooth") -> DataFrame:
@@ -107,19 +117,52 @@ def smooth_mean_or_median(series: Ordered, value: str, frames: int, name: str =
         name, F.when(F.col("_len") > frames, F.col(name)).otherwise(F.col("_mid"))).drop("_mid")
 
 
+def sliding_order_statistic(levels: np.ndarray, width: int, rank: int) -> np.ndarray:
+    """Value of ``rank`` (from 0) among each ``width`` neighbours in turn.
+
+    The levels, coded by rank, are sorted by one bit after the other from the highest; a window stays a range through
+    every sort, and the zeros in it tell which bit its order statistic has. Cost: bits of the code, not width, per row.
+    """
+    values, code = np.unique(levels, return_inverse=True)
+    first = np.arange(len(levels) - width + 1)
+    last, left, found = first + width, np.full(len(first), rank), np.zeros(len(first), np.int64)
+    for bit in range(max(1, len(values) - 1).bit_length() - 1, -1, -1):
+        one = code >> bit & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        inside = zeros[last] - zeros[first]
+        low = left < inside
+        found |= np.where(low, 0, 1 << bit)
+        left = np.where(low, left, left - inside)
+        first = np.where(low, zeros[first], zeros[-1] + first - zeros[first])
+        last = np.where(low, zeros[last], zeros[-1] + last - zeros[last])
+        code = np.concatenate([code[one == 0], code[one == 1]])
+    return values[found]
+
+
 def rolling_median(series: Ordered, value: str, frames: int, name: str = "median") -> DataFrame:
-    """Centred median over an odd number of frames; beyond an edge the end value repeats."""
-    h = frames // 2
+    """Centred median over an odd number of frames; beyond an edge the end value repeats.
+
+    Costs as many steps a row as the distinct levels of a block have bits, whatever the width.
+    """
+    h, names = frames // 2, [*series.rows.columns, name]
     size = series.rows.groupBy(*series.keys).agg(F.max(RN).alias("_last"))
     o = Ordered(meet(series.rows, size, series.keys), series.keys, series.block_rows)
-    def build(w):
-        got = F.collect_list(F.struct(F.col(RN).alias("r"), F.col(value).alias("v"))).over(w.rowsBetween(-h, h))
-        vals = F.transform(got, lambda s: s.v.cast("double"))
-        low = F.greatest(F.lit(0), F.lit(h) - F.col(RN)).cast("int")
-        high = F.greatest(F.lit(0), F.col(RN) + h - F.col("_last")).cast("int")
-        full = F.concat(F.array_repeat(vals[0], low), vals, F.array_repeat(F.element_at(vals, -1), high))
-        return F.array_sort(full)[h]
-    return o.centred(h, h, **{name: build}).drop("_last")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(RN).combine_chunks()
+        levels, at = rows.column(value).to_numpy(), rows.column(RN).to_numpy()
+        before = h if at[0] == 0 else 0
+        after = h if at[-1] == rows.column("_last")[0].as_py() else 0
+        home = np.flatnonzero(rows.column(BLOCK).to_numpy() == rows.column("_home").to_numpy())
+        padded = np.concatenate([np.repeat(levels[:1], before), levels, np.repeat(levels[-1:], after)])
+        middle = sliding_order_statistic(padded, 2 * h + 1, h)[home + before - h]
+        out = rows.take(pa.array(home)).append_column(name, pa.array(middle.astype(float)))
+        return out.select(names)
+
+    padded, by = o.padded(h, h), [*series.keys, BLOCK]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in series.rows.schema], T.StructField(name, T.DoubleType())])
+    out = padded.groupBy(*by).applyInArrow(run, schema)
+    return out.withColumn(BLOCK, F.floor(F.col(RN) / series.block_rows))
 
 
 def local_slope(series: Ordered, value: str, frames: int, frame_s: float, name: str = "slope_per_min") -> DataFrame:
@@ -156,182 +199,142 @@ def local_slope(series: Ordered, value: str, frames: int, frame_s: float, name:
 
 # ---- prominent peaks -------------------------------------------------------------------------
 
-def turning_points(series: Ordered, value: str, at: str) -> DataFrame:
+def turning_points(series: Ordered, value: str) -> DataFrame:
     """Local maxima with the lowest value between each and the next one.
 
-    Equal neighbours form a plateau, whose middle (rounded down) is the peak. Rows: keys, ``n``
-    (0 for the stretch before the first peak), row number, time, height, and ``valley`` = minimum
+    Equal neighbours form a plateau, whose middle (rounded down) is the peak. Rows: keys, ``n`` (0, 1, 2 and on;
+    0 for the stretch before the first peak), row number ``mid``, ``height``, and ``valley`` = minimum
     from this peak up to the next peak or the end of the series.
     """
-    o = series.prefix(_pv=("last", F.col(value)))
-    o = o.with_columns(_new=F.when(F.col("_pv").isNull() | (F.col("_pv") != F.col(value)), 1).otherwise(0))
-    o = o.prefix(_steps=("sum", F.col("_new"))).with_columns(step=F.col("_steps") + F.col("_new"))
-    flat = o.rows.groupBy(*series.keys, "step").agg(
-        F.min(RN).alias("first"), F.max(RN).alias("last"), F.min(value).alias("height"))
-    s = number_rows(flat, series.keys, ["step"])
-    near = s.centred(1, 1, _l=lambda w: F.lag("height").over(w), _r=lambda w: F.lead("height").over(w))
-    marked = near.withColumn("_peak", F.coalesce((F.col("height") > F.col("_l")) & (F.col("height") > F.col("_r")), F.lit(False)))
-    m = Ordered(marked, s.keys, s.block_rows).prefix(_n=("sum", F.col("_peak").cast("int")))
-    m = m.with_columns(n=F.col("_n") + F.col("_peak").cast("int"), mid=F.floor((F.col("first") + F.col("last")) / 2))
-    per = m.rows.groupBy(*series.keys, "n").agg(
-        F.max(F.when(F.col("_peak"), F.col("mid"))).alias("mid"), F.max(F.when(F.col("_peak"), F.col("height"))).alias("height"),
-        F.min(F.when(~F.col("_peak"), F.col("height"))).alias("valley"))
-    where = series.rows.select(*series.keys, F.col(RN).alias("mid"), F.col(at).alias("t_peak"))
-    return meet(per, where, [*series.keys, "mid"], "left")
-
-
-def _one_side(height: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest value on the way back to higher ground, and whether higher ground was met.
-
-    ``low[i]`` is the lowest value between entries i-1 and i. Equal heights are not higher ground.
-    """
-    base, met, stack = np.empty(len(height)), np.zeros(len(height), bool), []
-    for i, x in enumerate(height):
-        m = low[i]
-        while stack and stack[-1][0] <= x:
-            m = min(m, stack.pop()[1])
-        base[i], met[i] = m, bool(stack)
-        stack.append((x, m))
-    return base, met
+    return _turning_points(replace(series, rows=series.staged(1, 1, _neighbours(value))), value)
 
 
-def _settle(n: np.ndarray, height: np.ndarray, valley: np.ndarray, last: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Settle the peaks of one stretch whose higher ground, or series end, lies inside it.
+def _neighbours(value: str) -> dict:
+    return {"_l": lambda w: F.lag(value).over(w), "_r": lambda w: F.lead(value).over(w)}
 
-    Returns prominences (NaN where open) and valleys; the valleys behind settled rows move to the
-    row that stays before them. With ``whole`` the stretch is the entire series and all are settled.
-    """
-    edge = np.isnan(height)  # the stretch before the first peak stands for the series' start
-    height, valley = np.where(edge, np.inf, height), np.where(np.isnan(valley), np.inf, valley)
-    left, met_l = _one_side(height, np.concatenate([[np.inf], valley[:-1]]))
-    right, met_r = (x[::-1] for x in _one_side(height[::-1], valley[::-1]))
-    done = ~edge & (met_l | whole) & (met_r | whole | (n[-1] == last))
-    kept = np.flatnonzero(~done)
-    if len(kept):
-        valley = valley.copy()
-        valley[kept] = np.minimum.reduceat(valley, kept)
-    return np.where(done, height - np.maximum(left, right), np.nan), valley
-
-
-def _settle_all(pdf: pd.DataFrame, keys: list[str], whole: bool) -> pd.DataFrame:
-    """``_settle`` for every series in the frame."""
-    p = pdf.sort_values([*keys, "n"], ignore_index=True)
-    starts = np.flatnonzero(~p.duplicated(keys).to_numpy())
-    n, h, v, last = (p[c].to_numpy(float) for c in ("n", "height", "valley", "n_last"))
-    prom = np.empty(len(p))
-    for i, j in zip(starts, [*starts[1:], len(p)]):
-        prom[i:j], v[i:j] = _settle(n[i:j], h[i:j], v[i:j], last[i], whole)
-    return p.assign(prominence=prom, valley=np.where(np.isinf(v), np.nan, v))
-
-
-def _peak_table(keys: Sequence[str], schema: T.StructType) -> T.StructType:
-    return T.StructType([schema[k] for k in keys] + [T.StructField("mid", T.LongType()), T.StructField("prominence", T.DoubleType())])
-
-
-def _settle_equal_runs(pts: DataFrame, by: list[str], limits: dict) -> tuple[DataFrame, DataFrame]:
-    """Settle runs of equal peaks between higher neighbours, however long; returns (settled, rest)."""
-    o = number_rows(pts, by, ["n"], **limits).prefix(_ph=("last", F.col("height")), _lv=("last", F.col("valley")))
-    o = o.with_columns(_new=F.when(F.col("_ph").isNull() | (F.col("_ph") != F.col("height")), 1).otherwise(0))
-    o = o.prefix(_r=("sum", F.col("_new"))).with_columns(run=F.col("_r") + F.col("_new"))
-    peaks = cut(o.rows.select(*by, "run", "n", "n_last", "mid", "height", "valley", "_lv"), "turning")
-    runs = peaks.groupBy(*by, "run").agg(F.max("height").alias("height"))
-    near = number_rows(runs, by, ["run"], **limits).centred(
-        1, 1, _l=lambda w: F.lag("height").over(w), _x=lambda w: F.lead("height").over(w))
-    lower = lambda side: F.col(side).isNull() | (F.col("height") < F.col(side))
-    gone = near.where(F.col("height").isNotNull() & lower("_l") & lower("_x")).select(*by, "run")
-    flagged = cut(peaks.join(gone.withColumn("_gone", F.lit(True)), [*by, "run"], "left").withColumn(
-        "_gone", F.coalesce("_gone", F.lit(False))), "turning")
-    fwd = number_rows(flagged.where("_gone"), [*by, "run"], ["n"], **limits).prefix(_m=("max", -F.col("_lv"))).rows.select(
-        *by, "n", "mid", "height", "valley", "run", (-F.greatest("_m", -F.col("_lv"))).alias("left"))
-    bwd = number_rows(fwd, [*by, "run"], [F.col("n").desc()], **limits).prefix(_v=("max", -F.col("valley"))).rows
-    right = -F.greatest("_v", -F.col("valley"))
-    done = cut(bwd.select(*by, "mid", (F.col("height") - F.greatest("left", right)).alias("prominence")), "prominence")
-    k = number_rows(flagged, by, ["n"], **limits).prefix(_kept=("sum", F.when(F.col("_gone"), 0).otherwise(1)))
-    grp = k.with_columns(g=F.col("_kept") + F.when(F.col("_gone"), 0).otherwise(1)).rows
-    kept = lambda c: F.max(F.when(~F.col("_gone"), F.col(c))).alias(c)
-    rest = grp.groupBy(*by, "g").agg(*[kept(c) for c in ("n", "n_last", "mid", "height")], F.min("valley").alias("valley")).drop("g")
-    return done, cut(rest, "turning")
-
-
-def prominences(points: DataFrame, keys: Sequence[str], hot_rows: int = STRETCH) -> DataFrame:
-    """(keys, mid, prominence) of every peak.
+
+def _turning_points(series: Ordered, value: str) -> DataFrame:
+    """``turning_points`` of rows that know their neighbours ``_l`` and ``_r``."""
+    v = F.col(value)
+    begins = F.when(F.col("_l").isNull() | (F.col("_l") != v), F.struct(F.col(RN).alias("first"), F.coalesce(F.col("_l") < v, F.lit(False)).alias("rises")))
+    o = series.with_columns(_begin=begins).prefix(_run=("last", F.col("_begin")))
+    o = o.with_columns(_run=F.coalesce("_begin", "_run"))
+    o = o.with_columns(_top=F.coalesce(F.col("_r") < v, F.lit(False)) & F.col("_run.rises"))  # last row of a plateau that rose
+    o = o.prefix(_n=("sum", F.col("_top").cast("int"))).with_columns(n=F.col("_n") + F.col("_top").cast("int"))
+    mid = F.floor((F.col("_run.first") + F.col(RN)) / 2)
+    return o.rows.groupBy(*series.keys, "n").agg(
+        F.max(F.when(F.col("_top"), mid)).alias("mid"), F.max(F.when(F.col("_top"), v)).alias("height"), F.min(F.when(~F.col("_top"), v)).alias("valley"))
+
+
+def _first_above(values: Column, least: Column) -> Column:
+    """Place from 1 of the first element above ``least``, 0 without one."""
+    return F.array_position(F.transform(values, lambda x: x > least), True)
+
+
+def _lower(*columns: Column) -> Column:
+    return F.least(*columns)
+
+
+def prominences(points: DataFrame, keys: Sequence[str], wanted: DataFrame | None = None, fan: int = FAN) -> DataFrame:
+    """(keys, mid, prominence) of the ``wanted`` peaks (keys, n, mid, height), or of every peak.
 
     The height drop is taken to the higher of the two lowest values on the way to higher ground (or
-    the series' end) on each side. A series with more turning points than one task may hold is first
-    worked in stretches: peaks settled inside their stretch leave, the rest close up, and stretches
-    are cut anew half a length further on.
+    the series' end) on each side. Points are gathered in blocks of ``fan``, blocks in blocks of blocks and so on, each with its
+    highest top and lowest valley. A peak looks for higher ground in its own block, then climbs to the
+    first block of blocks that has some, and goes down again to the very point: one join per storey, and no
+    more than ``fan`` values per look, however far the higher ground is.
     """
     by = [*keys]
-    schema = _peak_table(keys, points.schema)
-    ends = points.groupBy(*by).agg(F.max("n").alias("n_last"))
-    pts = meet(points.select(*by, "n", "mid", "height", "valley"), ends, by)
-    names = [*by, "n", "n_last", "mid", "height", "valley", "prominence"]
-    wide = T.StructType([*[pts.schema[c] for c in names[:-1]], T.StructField("prominence", T.DoubleType())])
-    limits = {"block_rows": max(4, hot_rows // 2)}
-    settled, size, shift = None, None, 0
-
-    def longest(df: DataFrame) -> int:
-        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-    def keep(done: DataFrame) -> DataFrame:
-        done = done.select(*[f.name for f in schema])
-        return done if settled is None else settled.unionByName(done)
-
-    now = longest(pts)
-    while now > hot_rows:
-        if size is not None and now > 0.9 * size:
-            done, pts = _settle_equal_runs(pts, by, limits)
-            settled = keep(done)
-        size, length = now, max(4, hot_rows)
-        o = number_rows(pts, by, ["n"], **limits).rows.withColumn("_s", F.floor((F.col(RN) + shift * (length // 2)) / length))
-        worked = cut(o.select(*names[:-1], "_s").groupBy(*by, "_s").applyInPandas(
-            lambda _, pdf: _settle_all(pdf, by, False)[names], wide), "turning")
-        settled = keep(worked.where("prominence IS NOT NULL"))
-        pts = worked.where("prominence IS NULL").drop("prominence")
-        now, shift = longest(pts), 1 - shift
-    gathered = slots(pts, by, now)
-    return keep(gathered.groupBy("_slot").applyInPandas(lambda pdf: _settle_all(pdf, by, True)[names], wide).where("prominence IS NOT NULL"))
-
-
-def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, first: Sequence[Column],
-          small: int = SMALL_GROUP) -> DataFrame:
+    most = points.agg(F.max("n")).first()[0] or 0
+    storeys, span = [], 1
+    rows = points.select(*by, "n", F.coalesce(F.col("height").cast("double"), F.lit(float("-inf"))).alias("h"), F.col("valley").cast("double").alias("v"))
+    while not storeys or span <= most:
+        packed = rows.groupBy(*by, F.floor(F.col("n") / fan).alias("b")).agg(F.array_sort(F.collect_list(F.struct("n", "h", "v"))).alias("e"))
+        packed = packed.select(*by, "b", F.col("e.h").alias("hs"), F.col("e.v").alias("vs"))
+        storeys.append(packed)
+        rows = packed.select(*by, F.col("b").alias("n"), F.array_max("hs").alias("h"), F.array_min("vs").alias("v"))
+        span *= fan
+    asked = points.where("height IS NOT NULL") if wanted is None else wanted
+    q = asked.select(*by, "n", "mid", F.col("height").cast("double").alias("h"))
+    hs, vs, h, n = F.col("hs"), F.col("vs"), F.col("h"), F.col("n")
+    # upwards: the same blocks serve both sides
+    at = (n % fan).cast("int")
+    q = meet(q.withColumn("b", F.floor(n / fan)), storeys[0], [*by, "b"])
+    back, ahead = _first_above(F.reverse(F.slice(hs, 1, at)), h), _first_above(F.slice(hs, at + 2, fan), h)
+    back, ahead = back.cast("int"), ahead.cast("int")
+    q = q.select(*by, "n", "mid", "h", (back > 0).alias("met_l"), (ahead > 0).alias("met_r"),
+                 F.array_min(F.when(back > 0, F.slice(vs, at - back + 1, back)).otherwise(F.slice(vs, 1, at))).alias("low_l"),
+                 F.array_min(F.slice(vs, at + 1, F.when(ahead > 0, ahead).otherwise(fan))).alias("low_r"))
+    nowhere = F.lit(None).cast("struct<storey:int,b:bigint>")
+    q = q.withColumns({"to_l": nowhere, "to_r": nowhere})
+    width = fan
+    for storey in range(1, len(storeys)):
+        at, home = (F.floor(n / width) % fan).cast("int"), F.floor(n / (width * fan))
+        # settled peaks look nowhere, each under a block number of its own
+        q = meet(q.withColumn("b", F.when(F.col("met_l") & F.col("met_r"), -1 - n).otherwise(home)), storeys[storey], [*by, "b"], "left")
+        back, ahead = _first_above(F.reverse(F.slice(hs, 1, at)), h).cast("int"), _first_above(F.slice(hs, at + 2, fan), h).cast("int")
+        low_l = F.array_min(F.when(back > 0, F.slice(vs, at - back + 2, back - 1)).otherwise(F.slice(vs, 1, at)))
+        low_r = F.array_min(F.slice(vs, at + 2, F.when(ahead > 0, ahead - 1).otherwise(fan)))
+        new = {}
+        for side, found, low, child in (("l", back, low_l, at - back), ("r", ahead, low_r, at + ahead)):
+            open_ = ~F.col(f"met_{side}")
+            new[f"low_{side}"] = F.when(open_, _lower(F.col(f"low_{side}"), low)).otherwise(F.col(f"low_{side}"))
+            new[f"to_{side}"] = F.when(open_ & (found > 0), F.struct(F.lit(storey - 1).alias("storey"), (home * fan + child).cast("long").alias("b"))).otherwise(F.col(f"to_{side}"))
+            new[f"met_{side}"] = F.col(f"met_{side}") | F.coalesce(found > 0, F.lit(False))
+        q = q.withColumns(new).drop("b", "hs", "vs")
+        width *= fan
+    if len(storeys) == 1:
+        return q.select(*by, "mid", (h - F.greatest("low_l", "low_r")).alias("prominence"))
+    sides = F.array(*[F.struct(F.lit(s == "l").alias("back"), F.col(f"low_{s}").alias("low"), F.col(f"to_{s}.storey").alias("storey"), F.col(f"to_{s}.b").alias("to")) for s in "lr"])
+    q = q.select(*by, "n", "mid", "h", F.inline(sides))
+    for storey in range(len(storeys) - 2, -1, -1):  # downwards to the point
+        q = meet(q.withColumn("b", F.when(F.col("storey") == storey, F.col("to")).otherwise(-1 - n)), storeys[storey], [*by, "b"], "left")
+        last, first = _first_above(F.reverse(hs), h).cast("int"), _first_above(hs, h).cast("int")
+        on_top = 0 if storey == 0 else 1  # a point's valley lies behind it, a block's own valleys are looked at inside it
+        low = F.array_min(F.when(F.col("back"), F.slice(vs, F.size(hs) - last + 1 + on_top, fan)).otherwise(F.slice(vs, 1, first - 1)))
+        child = F.when(F.col("back"), F.size(hs) - last).otherwise(first - 1)
+        here = F.col("storey") == storey
+        q = q.withColumns({"low": F.when(here, _lower(F.col("low"), low)).otherwise(F.col("low")), "to": F.when(here, F.col("b") * fan + child).otherwise(F.col("to")),
+                           "storey": F.when(here, F.lit(storey - 1)).otherwise(F.col("storey"))}).drop("b", "hs", "vs")
+    return q.groupBy(*by, "mid", "h").agg(F.max("low").alias("low")).select(*by, "mid", (h - F.col("low")).alias("prominence"))
+
+
+def apart(peaks: DataFrame, keys: Sequence[str], place: str, distance: float, first: Sequence[Column], reach: int = REACH) -> DataFrame:
     """Greedy spacing: keep a row unless a kept row with priority (smaller ``first`` tuple) is nearer than ``distance``.
 
-    Small series are spaced inside tasks. Rows of longer ones meet only inside their own and the next
-    stretch of length ``distance``, and the conflicts are settled in rounds.
+    Stretches of ``reach`` distances, with a copy of what lies less than one distance beyond their edges, are swept by priority. What
+    depends on a copy stays open and is swept again in stretches twice as long, together with what was kept.
     """
     by, ranks = [*keys], [f"_o{i}" for i in range(len(first))]
-    p = cut(peaks.withColumns(dict(zip(ranks, first))), "peaks")
-    gathered, names = slots(p, by, small), peaks.columns
-    if gathered is not None:
-
-        def space(pdf: pd.DataFrame) -> pd.DataFrame:
-            q = pdf.sort_values([*by, place], ignore_index=True)
-            at, keep = q[place].to_numpy(), np.zeros(len(q), bool)
-            turn = q.sort_values([*by, *ranks, place]).index.to_numpy()  # series by series, by priority
-            starts = np.flatnonzero(~q.duplicated(by).to_numpy())
-            for i, j in zip(starts, [*starts[1:], len(q)]):
-                x, free = at[i:j], np.ones(j - i, bool)
-                lo, hi = np.searchsorted(x, x - distance, "right"), np.searchsorted(x, x + distance, "left")
-                for k in turn[i:j] - i:
-                    if free[k]:
-                        keep[i + k] = True
-                        free[lo[k]:hi[k]] = False
-            return q.loc[keep, names]
-
-        return gathered.groupBy("_slot").applyInPandas(space, T.StructType([p.schema[n] for n in names]))
+    p = peaks.withColumns(dict(zip(ranks, first)))
     # rows of one place conflict too: exactly one of them, the first, can stay
-    rest = [c for c in p.columns if c not in (*by, *ranks, place)]
-    lone = p.groupBy(*by, place).agg(F.min(F.struct(*ranks, *rest)).alias("_one"))
-    lone = cut(lone.select(*by, place, *[F.col(f"_one.{c}").alias(c) for c in (*ranks, *rest)]), "peaks")
-    rows = lone.select(*by, F.col(place).alias("at"), F.struct(*ranks, F.col(place).alias("at")).alias("rank"), F.floor(F.col(place) / distance).alias("b"))
-    left = rows.select(*by, F.col("at").alias("aa"), F.col("rank").alias("ra"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
-    right = rows.select(*by, F.col("at").alias("ab"), F.col("rank").alias("rb"), "b")
-    near = left.join(right, [*by, "b"]).where((F.col("ab") > F.col("aa")) & (F.col("ab") - F.col("aa") < distance))
-    ahead = F.col("ra") < F.col("rb")
-    conflicts = near.select(*by, F.when(ahead, F.col("aa")).otherwise(F.col("ab")).alias("winner"),
-                            F.when(ahead, F.col("ab")).otherwise(F.col("aa")).alias("loser"))
-    return keep_greedily(lone.select(*names), by, place, conflicts, small)
+    rest = [c for c in peaks.columns if c not in (*by, place)]
+    lone = p.groupBy(*by, place).agg(F.min(F.struct(*ranks, *rest)).alias("row"))
+    now, width, before = lone.withColumn("kept", F.lit(False)), distance * reach, None
+
+    def step(s: Column, x: Column) -> Column:
+        near = lambda c: F.exists(s[c], lambda k: F.abs(k - x["at"]) < distance)
+        keep = x["kept"] | (x["own"] & ~near("kept") & ~near("open"))
+        add = lambda c, yes: F.when(yes, F.concat(s[c], F.array(x["at"]))).otherwise(s[c])
+        return F.struct(add("kept", keep).alias("kept"), add("open", ~keep & ~near("kept")).alias("open"))
+
+    none = F.array().cast("array<double>")
+    while True:
+        home = F.floor(F.col(place) / width)
+        beside = F.array_distinct(F.array(home, *[F.floor((F.col(place) + d) / width) for d in (-distance, distance)]))
+        each = now.select(*by, F.explode(beside).alias("b"), F.struct(
+            F.struct(*[F.col(f"row.{c}") for c in ranks], place).alias("rank"), F.col(place).cast("double").alias("at"), home.alias("home"), "kept", F.col("row").alias("row"), F.col(place).alias("place")).alias("e"))
+        each = each.select(*by, "b", F.col("e").withField("own", F.col("e.home") == F.col("b")).alias("e"))
+        swept = each.groupBy(*by, "b").agg(F.array_sort(F.collect_list("e")).alias("e"))
+        swept = swept.withColumn("s", F.aggregate("e", F.struct(none.alias("kept"), none.alias("open")), step))
+        left = F.filter("e", lambda x: x["own"] & (F.array_contains(F.col("s.kept"), x["at"]) | F.array_contains(F.col("s.open"), x["at"])))
+        out = swept.select(*by, "s", F.explode(left).alias("e"))
+        now = cut(out.select(*by, F.col("e.place").alias(place), F.col("e.row").alias("row"), F.array_contains(F.col("s.kept"), F.col("e.at")).alias("kept")), "spaced")
+        if before is not None:
+            release(before)
+        if now.where("NOT kept").isEmpty():
+            return now.select(*[F.col(c) if c in (*by, place) else F.col(f"row.{c}").alias(c) for c in peaks.columns])
+        before, width = now, width * 2
 
 
 def prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | None, min_prominence: float, distance: int) -> DataFrame:
@@ -340,14 +343,19 @@ def prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | Non
     ``floor`` holds the least height per series (column ``least``) or is None. Order of the tests: height, then distance
     (highest first, the later one on ties), then prominence on the whole series.
     """
-    points = cut(turning_points(series, value, at), "turning")
-    tops = points.where("height IS NOT NULL")
+    return _prominent_peaks(replace(series, rows=series.staged(1, 1, _neighbours(value))), value, at, floor, min_prominence, distance)
+
+
+def _prominent_peaks(series: Ordered, value: str, at: str, floor: DataFrame | None, min_prominence: float, distance: int) -> DataFrame:
+    rows = cut(series.rows.select(*series.keys, RN, BLOCK, at, value, "_l", "_r"), "smooth")
+    points = cut(_turning_points(replace(series, rows=rows), value), "turning")
+    tops = points.where("height IS NOT NULL").drop("valley")
     if floor is not None:
-        tops = tops.join(floor, [*series.keys]).where(F.col("height") >= F.col("least")).drop("least")
+        tops = meet(tops, floor, series.keys).where(F.col("height") >= F.col("least")).drop("least")
     spaced = apart(tops, series.keys, "mid", distance, [-F.col("height"), -F.col("mid")])
-    prom = prominences(points, series.keys)
-    return spaced.select(*series.keys, "mid", "t_peak", "height").join(prom, [*series.keys, "mid"]).where(
-        F.col("prominence") >= min_prominence)
+    prom = meet(spaced, prominences(points, series.keys, spaced), [*series.keys, "mid"]).where(F.col("prominence") >= min_prominence)
+    times = rows.select(*series.keys, F.col(RN).alias("mid"), F.col(at).alias("t_peak"))
+    return meet(prom.select(*series.keys, "mid", "height", "prominence"), times, [*series.keys, "mid"])
 
 
 def passages(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, value: str = "level",
@@ -356,10 +364,10 @@ def passages(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at: s
     """Closest-approach instants: prominent peaks of the smoothed level above baseline + threshold."""
     n = odd_frames(fixed.SMOOTH_SECONDS) if frames is None else frames
     gap = max(1, round(fixed.SEPARATION_SECONDS / fixed.FRAME_SECONDS)) if distance is None else distance
-    floor = baselines(levels, keys, value).select(*keys, (F.col("baseline") + threshold).alias("least"))
+    # A constant series has no peak, so a series no longer than the window, which stands for its median, has no floor to pass.
+    size = levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > n).drop("_len")
+    floor = meet(baselines(levels, keys, value).select(*keys, (F.col("baseline") + threshold).alias("least")), size, keys)
     o = number_rows(levels, keys, order, **limits)
-    sm = smooth_mean_or_median(o, value, n)
-    # A constant series has no peak, so the short-series rule of both callers coincides here.
-    sm = cut(sm.where(F.col("_len") > n).drop("_len"), "smooth")
-    series = Ordered(sm, o.keys, o.block_rows)
-    return prominent_peaks(series, "smooth", at, floor, threshold if min_prominence is None else min_prominence, gap)
+    h = n // 2
+    rows = o.staged(h + 2, h + 1, *_mean_stages(o, value, n, "smooth"), _neighbours("smooth"))
+    return _prominent_peaks(replace(o, rows=rows), "smooth", at, floor, threshold if min_prominence is None else min_prominence, gap)

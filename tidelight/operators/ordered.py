@@ -81,22 +81,30 @@ class Ordered:
         sums = {n: F.coalesce(F.col(n), F.lit(0)) for n, (how, _) in specs.items() if how == "sum"}
         return replace(self, rows=out.withColumns(sums))
 
-    def centred(self, before: int, after: int, **columns) -> DataFrame:
-        """Add columns computed from up to ``before``/``after`` neighbours.
-
-        Each value is a function of a window ordered by row number; block edges are padded with
-        copies of the neighbouring rows, which are dropped again.
-        """
+    def padded(self, before: int, after: int) -> DataFrame:
+        """Blocks with copies of up to ``before``/``after`` rows beyond their edges; a row's own block is ``_home``."""
         size = max(self.block_rows, before, after)  # a neighbourhood reaches into the next block at most
         home = F.floor(F.col(RN) / size)
         spread = F.array_distinct(
             F.array(home, F.greatest(F.lit(0), F.floor((F.col(RN) - after) / size)), F.floor((F.col(RN) + before) / size))
         )
-        padded = self.rows.withColumn(BLOCK, F.explode(spread)).withColumn("_home", home)
-        w = Window.partitionBy(*self.keys, BLOCK).orderBy(RN)
-        done = padded.withColumns({n: f(w) for n, f in columns.items()})
+        return self.rows.withColumn(BLOCK, F.explode(spread)).withColumn("_home", home)
+
+    def staged(self, before: int, after: int, *stages: dict) -> DataFrame:
+        """Add columns computed from up to ``before``/``after`` neighbours, stage by stage.
+
+        Each value is a function of a window ordered by row number; block edges are padded with
+        copies of the neighbouring rows, which are dropped again. A stage may use the columns of those before it.
+        """
+        done, w = self.padded(before, after), Window.partitionBy(*self.keys, BLOCK).orderBy(RN)
+        for columns in stages:
+            done = done.withColumns({n: f(w) for n, f in columns.items()})
         return done.where(F.col(BLOCK) == F.col("_home")).drop("_home").withColumn(BLOCK, F.floor(F.col(RN) / self.block_rows))
 
+    def centred(self, before: int, after: int, **columns) -> DataFrame:
+        """``staged`` with one stage."""
+        return self.staged(before, after, columns)
+
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block_rows: int = BLOCK_ROWS) -> Ordered:
     """Number the rows of each series (``order`` must be unique per series)."""

@@ -4,14 +4,14 @@ A word (a match of the split pattern) has the same tokens wherever it stands, so
 the distinct words of the whole corpus and not for its texts:
 
 1. Texts are split once. A slice of texts becomes the sequence of word numbers of every text (two bytes each, as a rule), its
-   words that are tokens as they stand, and its other distinct words. All of it is dealt out by slice, once.
-2. The other words are dealt out and sorted by word. There an inverted index leads from token pairs, by the rank of what they
-   merge into, to their places in the words. Ranks are applied in order, each to all places of its index entry; a merge looks
-   only at the two neighbours it touches and enters their new pairs.
+   words that are tokens as they stand, and its other distinct words in buckets by hash. All of it is packed and dealt out by slice, once.
+2. The buckets of all slices are dealt out by bucket, so that a word of the corpus is replayed in one place. There an inverted index leads from
+   token pairs, by the rank of what they merge into, to their places in the words. Ranks are applied in order, each to all
+   places of its index entry; a merge looks only at the two neighbours it touches and enters their new pairs.
 3. Tokens return to their slice, which lines up the tokens of its texts.
 
-No group is larger than one slice: ``SLICE`` characters of text, or one text where it is longer. Replay takes ``BLOCK`` bytes of
-words at a time (one word at least). Step 1 reads ``docs`` in one pass whose parts both other steps read; a lost part is made again, so
+No group is larger than one slice (``SLICE`` characters of text, or one text where it is longer) or one bucket (a part of a shuffle
+partition's words). Replay takes ``BLOCK`` bytes of words at a time (one word at least). Step 1 reads ``docs`` in one pass whose parts both other steps read; a lost part is made again, so
 ``docs`` should be a table of files (``cut`` a computed one), whose rows come in the same order again.
 
 Defined cases: a null or empty text has no tokens. Rows that repeat, share an id or have none each give a row. Texts that look like
@@ -26,14 +26,19 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE, BLOCK = 32 << 20, 1 << 18
+#: Buckets of words a shuffle partition has; a bucket is replayed at once.
+BUCKETS = 4
 _LOADED: dict[int, Vocabulary] = {}
 
 
@@ -145,29 +150,58 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     return out
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+# ---- packed rows -----------------------------------------------------------------------------
+
+
+def _zip(*parts: np.ndarray | bytes) -> bytes:
+    raw = [bytes(p) if isinstance(p, bytes) else p.tobytes() for p in parts]
+    whole = b"".join(raw)
+    return np.array([len(p) for p in raw], np.int64).tobytes() + (pa.compress(whole, "zstd", asbytes=True) if whole else b"")
+
+
+def _unzip(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds))
+    total = int(sizes.sum())
+    whole = pa.decompress(data[8 * len(kinds) :], total, "zstd", asbytes=True) if total else b""
+    ends = np.cumsum(sizes).tolist()
+    return [np.frombuffer(whole[e - n : e], kind) for e, n, kind in zip(ends, sizes.tolist(), kinds, strict=True)]
 
 
 def _replayed(shared: Broadcast):
-    """Tokens of sorted word rows (slice, number, word): each run of equal words is replayed once."""
+    """Tokens of word rows (slice, bucket, packed) sorted by bucket: each word of a bucket is replayed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _loaded(shared)
-        for batch in batches:
-            words, numbers = [], []
-            for word in batch.column(2).to_pylist():
-                if not words or words[-1] != word:
-                    words.append(word)
-                numbers.append(len(words) - 1)
+        rows, now = [], None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            index, asked = _Numbers(), []
+            for _, packed in rows:
+                numbers, lengths, raw = _unzip(packed, np.int32, np.uint32, np.uint8)
+                text, ends = raw.tobytes(), np.cumsum(lengths).tolist()
+                asked.append((numbers, [index[text[e - n : e]] for e, n in zip(ends, lengths.tolist(), strict=True)]))
             made, block, size = [], [], 0
-            for k, word in enumerate(words):
-                block.append(word.encode())
-                size += len(block[-1])
-                if size >= BLOCK or k == len(words) - 1:
-                    made += map(_packed, replay(block, v))
+            for k, word in enumerate(index):
+                block.append(word)
+                size += len(word)
+                if size >= BLOCK or k == len(index) - 1:
+                    made += replay(block, v)
                     block, size = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([made[k] for k in numbers], pa.binary())], ["slice", "number", "ids"])
+            out = []
+            for numbers, places in asked:
+                ids = [made[k] for k in places]
+                out.append(_zip(numbers, np.array([len(x) for x in ids], np.uint32), np.fromiter(chain.from_iterable(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array(out, pa.binary())], ["slice", "packed"])
+
+        for batch in batches:
+            for place, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and rows:
+                    yield from finished()
+                    rows = []
+                now = bucket
+                rows.append((place, packed))
+        if rows:
+            yield from finished()
 
     return run
 
@@ -178,15 +212,18 @@ def _replayed(shared: Broadcast):
 class _Numbers(dict):
     """Numbers words in the order they are first asked for."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         self[word] = number = len(self)
         return number
 
 
-WHOLE = -1  # number of the row that holds a slice's words which are tokens as they stand
+def _width(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
 
+def _split(pattern: str, shared: Broadcast, buckets: int):
+    """A row (slice, doc_ids, packed) for each slice, and rows (slice, bucket, packed) with its words that are no tokens."""
 
-def _split(pattern: str, shared: Broadcast, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -194,14 +231,19 @@ def _split(pattern: str, shared: Broadcast, names: list[str]):
         ids, sequences, numbers, size, kind = [], [], _Numbers(), 0, None
 
         def finished() -> Iterator[pa.RecordBatch]:
-            width, n = np.uint16 if len(numbers) <= 1 << 16 else np.uint32, len(ids)
-            known = [rank_of.get(w, -1) for w in numbers]
-            other = [(k, w) for k, w in enumerate(numbers) if known[k] < 0]
-            m = len(other) + 1
+            known = np.array([rank_of.get(w, -1) for w in numbers], np.int32)
+            words = [w.encode() for w, k in zip(numbers, known.tolist(), strict=True) if k < 0]
+            number = np.flatnonzero(known < 0).astype(np.int32)
+            bucket = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+            order = np.argsort(bucket, kind="stable")
+            full, begin = np.unique(bucket[order], return_index=True)
+            packed = [_zip(known, np.array([len(s) for s in sequences], np.int64), np.concatenate([np.zeros(0, np.uint32), *sequences]).astype(_width(len(known))))]
+            for at in np.split(order, begin[1:]) if len(order) else []:
+                some = [words[k] for k in at.tolist()]
+                packed.append(_zip(number[at], np.array([len(w) for w in some], np.uint32), b"".join(some)))
             yield pa.RecordBatch.from_arrays([
-                pa.array([here] * (n + m), pa.int64()), pa.concat_arrays([pa.array(ids, kind), pa.nulls(m, kind)]),
-                pa.array([*(s.astype(width).tobytes() for s in sequences), _packed(known), *[None] * (m - 1)], pa.binary()),
-                pa.array([*[None] * n, WHOLE, *(k for k, _ in other)], pa.int32()), pa.array([*[None] * (n + 1), *(w for _, w in other)], pa.string())], names)
+                pa.array([here] * len(packed), pa.int64()), pa.array([ids] + [None] * len(full), pa.list_(kind)),
+                pa.array([None, *full.tolist()], pa.int64()), pa.array(packed, pa.binary())], ["slice", "doc_ids", "bucket", "packed"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -222,49 +264,47 @@ def _split(pattern: str, shared: Broadcast, names: list[str]):
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word rows of the split table."""
+    """The word rows of the split texts."""
     for batch in batches:
-        rows = batch.filter(pa.compute.is_valid(batch.column(4)))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(3), rows.column(4)], ["slice", "number", "word"])
+        rows = batch.filter(pc.is_valid(batch.column(2)))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3)], ["slice", "bucket", "packed"])
 
 
 def _lined_up(key: tuple, rows: pa.Table, made: pa.Table) -> pa.Table:
     """Tokens of the texts of one slice."""
-    rows, made = rows.select(["doc_id", "sequence", "number"]), made.combine_chunks()
-    whole = rows.filter(pa.compute.equal(rows.column("number"), WHOLE)).column("sequence")[0]
-    texts = rows.filter(pa.compute.is_null(rows.column("number"))).combine_chunks()
-    known = np.frombuffer(whole.as_buffer(), np.int32)
-    many, begin = (known >= 0).astype(np.int64), np.arange(len(known))
-    flat = [known]
-    if made.num_rows:
-        at, packed = made.column("number").to_numpy(), made.column("ids").combine_chunks()
-        length = pa.compute.binary_length(packed).to_numpy().astype(np.int64) // 4
-        many[at] = length
-        begin[at] = len(known) + np.cumsum(length) - length
-        flat.append(np.frombuffer(b"".join(packed.to_pylist()), np.int32))
-    flat = np.concatenate(flat)
-    width = np.uint16 if len(known) <= 1 << 16 else np.uint32
-    out, lengths = [np.zeros(0, np.int32)], [0]
-    for sequence in texts.column("sequence"):
-        s = np.frombuffer(sequence.as_buffer(), width)
+    main = rows.filter(pc.is_null(rows.column("bucket"))).combine_chunks()
+    packed = main.column("packed")[0].as_py()
+    words = int(np.frombuffer(packed, np.int64, 1)[0]) // 4
+    known, lengths, sequence = _unzip(packed, np.int32, np.int64, _width(words))
+    many, begin = (known >= 0).astype(np.int64), np.arange(words)
+    flat, end = [known], words
+    for other in made.column("packed"):
+        number, length, ids = _unzip(other.as_py(), np.int32, np.uint32, np.int32)
+        many[number] = length
+        begin[number] = end + np.cumsum(length, dtype=np.int64) - length
+        flat.append(ids)
+        end += len(ids)
+    flat, at, out, sizes = np.concatenate(flat), 0, [np.zeros(0, np.int32)], []
+    for n in lengths.tolist():
+        s = sequence[at : at + n]
+        at += n
         m = many[s]
         run = np.cumsum(m)
-        total = int(run[-1]) if len(run) else 0
-        out.append(flat[np.repeat(begin[s] - run + m, m) + np.arange(total)])
-        lengths.append(lengths[-1] + total)
-    ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
-    return pa.table([texts.column("doc_id"), ids], ["doc_id", "ids"])
+        sizes.append(int(run[-1]) if n else 0)
+        out.append(flat[np.repeat(begin[s] - run + m, m) + np.arange(sizes[-1])])
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+    return pa.table([main.column("doc_ids").combine_chunks().flatten(), ids], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, shared: Broadcast, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every row; ``docs``: doc_id, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["slice", "doc_id", "sequence", "number", "word"]
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.selectExpr("doc_id", "cast(text as string) as text")
-    split = rows.mapInArrow(_split(pattern, shared, names), f"slice long, doc_id {kind}, sequence binary, number int, word string").repartition("slice")
+    split = rows.mapInArrow(_split(pattern, shared, buckets), f"slice long, doc_ids array<{kind}>, bucket long, packed binary").repartition("slice")
     # chosen in Python, so that both readers keep the whole exchange and Spark makes it once
-    words = split.mapInArrow(_words, "slice long, number int, word string")
-    made = words.repartition("word").sortWithinPartitions("word").mapInArrow(_replayed(shared), "slice long, number int, ids binary")
+    words = split.mapInArrow(_words, "slice long, bucket long, packed binary")
+    made = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_replayed(shared), "slice long, packed binary")
     return split.groupBy("slice").cogroup(made.groupBy("slice")).applyInArrow(_lined_up, f"doc_id {kind}, ids array<int>")
 
 

@@ -253,8 +253,9 @@ def test_suppression_with_copies_matches_a_sequential_pass(spark):
         if all(iou(q) < 0.5 for q in kept):
             kept.append(r)
     df = spark.createDataFrame(rows, "scene_id string, box long, score double, x1 double, y1 double, x2 double, y2 double")
-    got = de.suppress_overlaps(df, ["scene_id"], cell=7.0)
-    assert sorted(r.box for r in got.collect()) == sorted(r[1] for r in kept)
+    for limits in ({}, {"most": 6}, {"most": 2}):
+        got = de.suppress_overlaps(df, ["scene_id"], cell=7.0, **limits)
+        assert sorted(r.box for r in got.collect()) == sorted(r[1] for r in kept)
 
 
 # ---- rasters -------------------------------------------------------------------------------------

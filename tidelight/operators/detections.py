@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidelight import fixed
 from tidelight.functions.geo import geodesic, grid_cell
 from tidelight.functions.maths import box_shape, size_class
-from tidelight.operators.greedy import keep_greedily, match_one_to_one
+from tidelight.operators.cells import suppress
+from tidelight.operators.greedy import match_one_to_one
 from tidelight.operators.guards import DataError, first_reason
 from tidelight.operators.ordered import RN, number_rows
 from tidelight.session import cut
@@ -242,26 +243,14 @@ def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], tol: float) -> Da
                       F.when(both, F.coalesce("hb", F.lit(0)) / F.col("nb")).alias("share_b"))
 
 
-def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], iou: float = fixed.NMS_IOU, cell: float = 32.0) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, keys: Sequence[str], iou: float = fixed.NMS_IOU, cell: float = 32.0, **limits: int) -> DataFrame:
     """Non-maximum suppression: by score (larger id first on ties) keep a box unless a kept one overlaps it by ``iou`` or more."""
     # A copy of a box falls with the copy of highest priority or because of it, so copies never meet.
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     twin = F.when(size / (size + 1e-9) >= iou, F.lit(None)).otherwise(F.col("box"))
     top = boxes.groupBy(*keys, "x1", "y1", "x2", "y2", twin.alias("_twin")).agg(F.max(F.struct("score", "box")).alias("_t"))
-    p = cut(top.select(*keys, "_t.box", "_t.score", "x1", "y1", "x2", "y2"), "boxes")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    t = p.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
-    a = t.select(*keys, "cx", "cy", *[F.col(c).alias(f"{c}_a") for c in ("box", "score", "x1", "y1", "x2", "y2")])
-    b = t.select(*keys, "cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("box", "score", "x1", "y1", "x2", "y2")])
-    ahead = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("box_a") > F.col("box_b")))
-    w = F.least("x2_a", "x2_b") - F.greatest("x1_a", "x1_b")
-    h = F.least("y2_a", "y2_b") - F.greatest("y1_a", "y1_b")
-    area = lambda s: (F.col(f"x2_{s}") - F.col(f"x1_{s}")) * (F.col(f"y2_{s}") - F.col(f"y1_{s}"))
-    inter = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
-    # A pair meets in several cells; the cell of the overlap's upper left corner speaks for it.
-    home = (F.col("cx") == F.floor(F.greatest("x1_a", "x1_b") / cell)) & (F.col("cy") == F.floor(F.greatest("y1_a", "y1_b") / cell))
-    hits = a.join(b, [*keys, "cx", "cy"]).where(ahead & home & (inter / (area("a") + area("b") - inter + 1e-9) >= iou))
-    return keep_greedily(p, keys, "box", hits.select(*keys, F.col("box_a").alias("winner"), F.col("box_b").alias("loser")))
+    p = top.select(*keys, "_t.box", "_t.score", "x1", "y1", "x2", "y2", (-F.col("_t.score")).alias("_r0"), (-F.col("_t.box")).alias("_r1"))
+    return suppress(cut(p, "boxes"), keys, "box", ["_r0", "_r1"], iou, cell, **limits).drop("_r0", "_r1")
 
 
 # ---- scenes ----------------------------------------------------------------------------------

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,41 +211,87 @@ def err_accuracy(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.greatest(F.lit(0.0), 1 - F.sum(F.abs(F.col("pred") - t)) / F.greatest(F.sum(t), F.lit(1e-9))).alias("err_acc"))
 
 
-def trials(scenes: DataFrame, n_trials: int, seed: int, ident: str = "scene") -> DataFrame:
-    """Each scene in every trial with a reproducible random place 0..n-1 of that trial."""
-    t = scenes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
-    lot = t.withColumn("_lot", F.md5(F.concat_ws("|", F.lit(seed), F.col("trial"), F.col(ident))))
-    o = number_rows(lot, ["trial"], ["_lot", ident])
-    return o.rows.withColumnRenamed(RN, "place").drop("_lot", "_block")
+PER_ROW = 64  # trials whose scores travel as one array
+
+
+def _placed(truth: DataFrame, n_trials: int, seed: int) -> DataFrame:
+    """trial, place, scene, truth: each scene's place 0..n-1 in every trial, by a reproducible lot; trial -1 has them in order."""
+    t = truth.select("scene", "truth").withColumn("trial", F.explode(F.sequence(F.lit(-1), F.lit(n_trials - 1))))
+    lot = F.when(F.col("trial") < 0, F.lit("")).otherwise(F.md5(F.concat_ws("|", F.lit(seed), F.col("trial"), F.col("scene"))))
+    return number_rows(t.withColumn("_lot", lot), ["trial"], ["_lot", "scene"]).rows.select("trial", F.col(RN).alias("place"), "scene", "truth")
+
+
+def _by_trial(value: str) -> Column:
+    """Array of a column over the trials, in their order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("trial") >= 0, F.struct("trial", value)))), lambda x: x[value].cast("double"))
+
+
+def _predictions(matrix: DataFrame) -> DataFrame:
+    """scene, configs, preds: the counts of all settings as one array, in the order of the settings."""
+    rows = matrix.groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("config", "pred"))).alias("_p"))
+    return rows.select("scene", F.col("_p.config").alias("configs"), F.transform("_p", lambda x: x["pred"].cast("double")).alias("preds"))
+
+
+def _chunks(rows: DataFrame, array: str) -> DataFrame:
+    """One row per ``PER_ROW`` trials, numbered ``_chunk``."""
+    many = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / PER_ROW).cast("int"))
+    return rows.withColumn("_chunk", F.explode(many)).withColumn(array, F.slice(array, F.col("_chunk") * PER_ROW + 1, PER_ROW))
+
+
+def _totals(rows: DataFrame, **arrays: Column) -> DataFrame:
+    """Sums of whole-numbered arrays over the rows of a chunk, element by element, added up inside the tasks first."""
+    sums = rows.groupBy("_chunk").agg(F.min("configs").alias("configs"), F.max("configs").alias("_most"), *[Summarizer.sum(array_to_vector(c)).alias(n) for n, c in arrays.items()])
+    whole = F.when(F.col("configs") == F.col("_most"), F.col("configs")).otherwise(F.raise_error(F.lit("scenes differ in their settings")).cast(rows.schema["configs"].dataType))
+    return sums.select("_chunk", whole.alias("configs"), *[F.transform(vector_to_array(n), lambda x: F.round(x)).alias(n) for n in arrays])
+
+
+def _share_right(err: Column, total: Column) -> Column:
+    return F.greatest(F.lit(0.0), 1 - err / F.greatest(total, F.lit(1e-9)))
 
 
 def label_shuffle_null(matrix: DataFrame, truth: DataFrame, n_trials: int, seed: int = 0) -> DataFrame:
     """Best score of the whole grid on permuted truth, one row per trial.
 
-    ``matrix`` has (config, scene, pred); ``truth`` has (scene, truth).
+    ``matrix`` has (config, scene, pred) of every setting and scene; ``truth`` has (scene, truth). A scene is one row with its counts and its
+    permuted truths as arrays; trials times settings are elements of arrays that are summed, never rows.
     """
-    t = cut(trials(truth, n_trials, seed), "trials")
-    fixed_place = number_rows(truth.select("scene").withColumn("_one", F.lit(1)), ["_one"], ["scene"]).rows.select(
-        "scene", F.col(RN).alias("place"))
-    moved = t.select("trial", "place", "truth").join(fixed_place, "place").select("trial", "scene", "truth")
-    return best_config(err_accuracy(matrix.join(moved, "scene"), ["trial", "config"]), ["trial"]).drop("config")
+    moved = _placed(truth, n_trials, seed).groupBy("place").agg(F.max(F.when(F.col("trial") < 0, F.col("scene"))).alias("scene"), _by_trial("truth").alias("truths"))
+    rows = _chunks(_predictions(matrix).join(moved, "scene"), "truths")
+    errors = F.flatten(F.transform("truths", lambda t: F.transform("preds", lambda p: F.abs(p - t))))
+    sums = _totals(rows, errors=errors, total=F.col("truths"))
+    c = F.size("configs")
+    best = lambda i: F.array_max(F.transform(F.slice("errors", i * c + 1, c), lambda e: _share_right(e, F.get("total", i))))
+    trials = sums.select("_chunk", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("total") - 1), best)).alias("i", "err_acc"))
+    return trials.select((F.col("_chunk") * PER_ROW + F.col("i")).alias("trial"), "err_acc")
 
 
 def null_summary(null: DataFrame, real: DataFrame) -> DataFrame:
     """Mean, 95th percentile and maximum of the null, and the share of trials the real score beats."""
-    best = real.agg(F.max("err_acc")).first()[0]
+    null = null.withColumn("real", real.agg(F.max("err_acc")).scalar())
     return null.agg(F.avg("err_acc").alias("null_mean"), F.percentile("err_acc", 0.95).alias("null_p95"), F.max("err_acc").alias("null_max"),
-                    F.avg((F.lit(best) > F.col("err_acc")).cast("int")).alias("share_beaten"), F.lit(best).alias("real"))
+                    F.avg((F.col("real") > F.col("err_acc")).cast("int")).alias("share_beaten"), F.max("real").alias("real"))
 
 
 def split_half(matrix: DataFrame, truth: DataFrame, n_trials: int, seed: int = 0) -> DataFrame:
-    """Choose the best configuration on a random half, score it on the other; one row per trial."""
-    first_half = truth.count() // 2
-    t = trials(truth, n_trials, seed).withColumn("half", F.when(F.col("place") < first_half, "train").otherwise("test"))
-    acc = cut(err_accuracy(matrix.join(t.select("trial", "scene", "truth", "half"), "scene"), ["trial", "half", "config"]), "halves")
-    pick = best_config(acc.where("half = 'train'"), ["trial"]).withColumnRenamed("err_acc", "train_acc")
-    held = acc.where("half = 'test'").select("trial", "config", F.col("err_acc").alias("test_acc"))
-    return pick.join(held, ["trial", "config"]).withColumn("gap", F.col("train_acc") - F.col("test_acc"))
+    """Choose the best configuration on a random half, score it on the other; one row per trial.
+
+    As in ``label_shuffle_null`` trials and settings are elements of arrays; what is not in the first half is in the other.
+    """
+    lots = _placed(truth, n_trials, seed).groupBy("scene").agg(_by_trial("place").alias("places"), F.max("truth").cast("double").alias("truth"))
+    lots = lots.withColumn("half", truth.agg(F.floor(F.count(F.lit(1)) / 2)).scalar())
+    rows = _chunks(_predictions(matrix).join(lots, "scene"), "places")
+    first = lambda x: F.transform("places", lambda p: F.when(p < F.col("half"), x).otherwise(0.0))
+    misses = F.transform("preds", lambda p: F.abs(p - F.col("truth")))
+    sums = _totals(rows, train=F.flatten(F.transform("places", lambda p: F.transform(misses, lambda e: F.when(p < F.col("half"), e).otherwise(0.0)))),
+                   both=misses, train_truth=first(F.col("truth")), truth=F.array("truth"))
+    i, c = F.col("i"), F.size("configs")
+    per = sums.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("train_truth") - 1))).withColumn("one", F.slice("train", i * c + 1, c))
+    t = F.get("train_truth", i)
+    scores = F.transform("configs", lambda k, j: F.struct(_share_right(F.get("one", j), t).alias("train_acc"), (-k).alias("_k"), j.alias("j")))
+    pick = per.withColumn("best", F.array_max(scores)).withColumn("j", F.col("best.j"))
+    test = _share_right(F.get("both", F.col("j")) - F.get("one", F.col("j")), F.get("truth", F.lit(0)) - t)
+    out = pick.select((F.col("_chunk") * PER_ROW + i).alias("trial"), (-F.col("best._k")).alias("config"), F.col("best.train_acc").alias("train_acc"), test.alias("test_acc"))
+    return out.withColumn("gap", F.col("train_acc") - F.col("test_acc"))
 
 
 def split_summary(splits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelight.functions import geo, maths
 from tidelight.operators import detections as de
 from tidelight.operators import estimators as es
+from tidelight.operators import sweeps
 from tidelight.operators.guards import tally
 from tidelight.plans import geodesy
 from tidelight.plans.base import BOXES, MARKS, Tables, query
@@ -344,3 +345,47 @@ def split_half_trials(t: Tables):
        floats=["train_mean", "test_mean", "test_sd", "test_p05", "gap_mean"])
 def split_half_summary(t: Tables):
     return es.split_summary(es.split_half(_matrix(t), cut(_truth(t), "truth"), 12, 3))
+
+
+# ---- two assets, persistence and fused counts ----------------------------------------------------------
+
+CONF_A, CONF_B, PERSIST = (0.9, 0.95), (0.9, 0.97), (0, 5)
+_GRID2 = [(i, a, b, lo, m) for i, (a, b, lo, m) in enumerate((a, b, lo, m) for a in CONF_A for b in CONF_B for lo in (0, 20) for m in MASK)]
+ASSETS = f"""{FLAGS}, gr(config, conf, conf2, min_len, mask) AS (VALUES {', '.join(f"({i}, {a}, {b}, {lo}, '{m}')" for i, a, b, lo, m in _GRID2)}),
+ps(persist) AS (VALUES {', '.join(f'({p})' for p in PERSIST)}), sb AS (SELECT *, CAST(round_even(lat / 0.00045, 0) AS BIGINT) AS clat, CAST(round_even(lon / 0.00068, 0) AS BIGINT) AS clon FROM f WHERE side IN ('A', 'B')),
+k0 AS (SELECT config, persist, sb.* FROM sb JOIN gr ON score >= CASE side WHEN 'A' THEN conf ELSE conf2 END AND in_valid AND (mask = 'none' OR in_water) AND length_m >= min_len AND aspect_ratio <= 4 JOIN ps ON true),
+ye AS (SELECT config, persist, side, clat, clon, count(DISTINCT year) AS n_years FROM k0 GROUP BY ALL),
+k AS (SELECT k0.* FROM k0 JOIN ye USING (config, persist, side, clat, clon) WHERE persist = 0 OR n_years < persist),
+sn AS (SELECT scene_id, bool_or(side = 'A') AS has_a, bool_or(side = 'B') AS has_b FROM sb GROUP BY 1),
+ct AS (SELECT config, persist, scene_id, count(*) FILTER (WHERE side = 'A') AS n_a, count(*) FILTER (WHERE side = 'B') AS n_b FROM k GROUP BY 1, 2, 3),
+pairs AS (SELECT (a.scene_id * 100 + a.config) * 10 + a.persist AS scene_id, a.id AS a, b.id AS b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM k a JOIN k b
+  ON a.side = 'A' AND b.side = 'B' AND a.scene_id = b.scene_id AND a.config = b.config AND a.persist = b.persist AND b.x BETWEEN a.x - 30 AND a.x + 30 AND sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 30),
+{_match('(d, a, b)', '(d, a, b)')}, mt AS (SELECT scene_id, count(*) AS n_both FROM st WHERE kind = 'acc' GROUP BY 1),
+al AS (SELECT config, conf2, persist, sn.scene_id AS scene, has_a, has_b, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(n_both, 0) AS n_both FROM gr JOIN ps ON true JOIN sn ON true
+  LEFT JOIN ct USING (config, persist, scene_id) LEFT JOIN mt ON mt.scene_id = (sn.scene_id * 100 + config) * 10 + persist),
+am AS (SELECT config, persist, 'A' AS asset, scene, n_a AS pred FROM al WHERE has_a AND conf2 = {CONF_B[0]} UNION ALL SELECT config, persist, 'B', scene, n_b FROM al WHERE has_b AND conf2 = {CONF_B[0]}
+  UNION ALL SELECT config, persist, 'both', scene, n_both FROM al WHERE has_a AND has_b UNION ALL SELECT config, persist, 'any', scene, n_a + n_b - n_both FROM al WHERE has_a AND has_b),
+tr AS (SELECT scene_id AS scene, count(*) FILTER (WHERE length_m >= 30 AND side = 'A') AS truth FROM mk GROUP BY 1)"""
+
+
+def _asset_matrix(t: Tables):
+    boxes = _flags(t)
+    grid = de.parameter_grid(conf=CONF_A, conf2=CONF_B, min_len=(0, 20), mask=MASK)
+    keep = lambda c, side: de.passes(boxes.columns, conf=c["conf"] if side == "A" else c["conf2"], mask=c["mask"], min_len=c["min_len"], max_aspect=4)
+    return sweeps.sweep_assets(boxes, "scene_id", grid, keep, 30.0, PERSIST, lambda c: c["conf2"] == CONF_B[0])
+
+
+@query(f"WITH RECURSIVE {ASSETS} SELECT config, persist, asset, scene, pred FROM am")
+def asset_sweep_counts(t: Tables):
+    """Counts of every setting over both assets, their pairs and their union, with and without persistence."""
+    return _asset_matrix(t)
+
+
+@query(f"""WITH RECURSIVE {ASSETS}, jo AS (SELECT am.*, truth FROM am JOIN tr USING (scene))
+SELECT asset, arg_max(config, (e, -config, -persist)) AS config, arg_max(persist, (e, -config, -persist)) AS persist, max(e) AS err_acc FROM
+(SELECT config, persist, asset, round(greatest(0, 1 - sum(abs(pred - truth)) / greatest(sum(truth), 1)), 9) AS e FROM jo GROUP BY 1, 2, 3) GROUP BY 1""", floats=["err_acc"])
+def asset_sweep_best(t: Tables):
+    """The best setting of each asset."""
+    s = es.score_counts(_asset_matrix(t).join(_truth(t), "scene"), ["config", "persist", "asset"]).withColumn("e", F.round("err_acc", 9))
+    top = s.groupBy("asset").agg(F.max(F.struct("e", -F.col("config"), -F.col("persist"), "config", "persist")).alias("t"))
+    return top.select("asset", "t.config", "t.persist", F.col("t.e").alias("err_acc"))

@@ -10,8 +10,8 @@ the distinct words of the whole corpus and not for its texts:
    places of its index entry; a merge looks only at the two neighbours it touches and enters their new pairs.
 3. Tokens return to their slice, which lines up the tokens of its texts.
 
-No group is larger than one slice (``SLICE`` characters of text, or one text where it is longer) or one bucket (a part of a shuffle
-partition's words). Replay takes ``BLOCK`` bytes of words at a time (one word at least). Step 1 reads ``docs`` in one pass whose parts both other steps read; a lost part is made again, so
+No group is larger than one slice (``SLICE`` characters of text, or one text where it is longer) or one bucket (the words of
+a shuffle partition before small ones are joined). Replay takes ``BLOCK`` bytes of words at a time (one word at least). Step 1 reads ``docs`` in one pass whose parts both other steps read; a lost part is made again, so
 ``docs`` should be a table of files (``cut`` a computed one), whose rows come in the same order again.
 
 Defined cases: a null or empty text has no tokens. Rows that repeat, share an id or have none each give a row. Texts that look like
@@ -36,9 +36,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE, BLOCK = 32 << 20, 1 << 18
-#: Buckets of words a shuffle partition has; a bucket is replayed at once.
-BUCKETS = 4
+SLICE, BLOCK = 16 << 20, 1 << 18
 _LOADED: dict[int, Vocabulary] = {}
 
 
@@ -154,7 +152,8 @@ def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
 
 
 def _zip(*parts: np.ndarray | bytes) -> bytes:
-    raw = [bytes(p) if isinstance(p, bytes) else p.tobytes() for p in parts]
+    """Parts packed into one value. Numbers go byte plane by byte plane: high bytes are mostly alike."""
+    raw = [p if isinstance(p, bytes) else p.view(np.uint8).reshape(-1, p.itemsize).T.tobytes() for p in parts]
     whole = b"".join(raw)
     return np.array([len(p) for p in raw], np.int64).tobytes() + (pa.compress(whole, "zstd", asbytes=True) if whole else b"")
 
@@ -164,7 +163,12 @@ def _unzip(data: bytes, *kinds: type) -> list[np.ndarray]:
     total = int(sizes.sum())
     whole = pa.decompress(data[8 * len(kinds) :], total, "zstd", asbytes=True) if total else b""
     ends = np.cumsum(sizes).tolist()
-    return [np.frombuffer(whole[e - n : e], kind) for e, n, kind in zip(ends, sizes.tolist(), kinds, strict=True)]
+    planes = [np.frombuffer(whole[e - n : e], np.uint8).reshape(np.dtype(k).itemsize, -1) for e, n, k in zip(ends, sizes.tolist(), kinds, strict=True)]
+    return [np.ascontiguousarray(p.T).view(k).ravel() for p, k in zip(planes, kinds, strict=True)]
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    return np.diff(numbers, prepend=np.int32(0)).astype(np.int32)
 
 
 def _replayed(shared: Broadcast):
@@ -177,9 +181,9 @@ def _replayed(shared: Broadcast):
         def finished() -> Iterator[pa.RecordBatch]:
             index, asked = _Numbers(), []
             for _, packed in rows:
-                numbers, lengths, raw = _unzip(packed, np.int32, np.uint32, np.uint8)
+                steps, lengths, raw = _unzip(packed, np.int32, np.uint32, np.uint8)
                 text, ends = raw.tobytes(), np.cumsum(lengths).tolist()
-                asked.append((numbers, [index[text[e - n : e]] for e, n in zip(ends, lengths.tolist(), strict=True)]))
+                asked.append((steps, [index[text[e - n : e]] for e, n in zip(ends, lengths.tolist(), strict=True)]))
             made, block, size = [], [], 0
             for k, word in enumerate(index):
                 block.append(word)
@@ -188,9 +192,9 @@ def _replayed(shared: Broadcast):
                     made += replay(block, v)
                     block, size = [], 0
             out = []
-            for numbers, places in asked:
+            for steps, places in asked:
                 ids = [made[k] for k in places]
-                out.append(_zip(numbers, np.array([len(x) for x in ids], np.uint32), np.fromiter(chain.from_iterable(ids), np.int32)))
+                out.append(_zip(steps, np.array([len(x) for x in ids], np.uint32), np.fromiter(chain.from_iterable(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array(out, pa.binary())], ["slice", "packed"])
 
         for batch in batches:
@@ -231,16 +235,23 @@ def _split(pattern: str, shared: Broadcast, buckets: int):
         ids, sequences, numbers, size, kind = [], [], _Numbers(), 0, None
 
         def finished() -> Iterator[pa.RecordBatch]:
-            known = np.array([rank_of.get(w, -1) for w in numbers], np.int32)
-            words = [w.encode() for w, k in zip(numbers, known.tolist(), strict=True) if k < 0]
+            sequence = np.concatenate([np.zeros(0, np.uint32), *sequences])
+            # frequent words get small numbers
+            turn = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable")
+            place = np.empty(len(turn), np.uint32)
+            place[turn] = np.arange(len(turn), dtype=np.uint32)
+            every = list(numbers)
+            every = [every[k] for k in turn.tolist()]
+            known = np.array([rank_of.get(w, -1) for w in every], np.int32)
+            words = [w.encode() for w, k in zip(every, known.tolist(), strict=True) if k < 0]
             number = np.flatnonzero(known < 0).astype(np.int32)
             bucket = np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(buckets)
             order = np.argsort(bucket, kind="stable")
             full, begin = np.unique(bucket[order], return_index=True)
-            packed = [_zip(known, np.array([len(s) for s in sequences], np.int64), np.concatenate([np.zeros(0, np.uint32), *sequences]).astype(_width(len(known))))]
+            packed = [_zip(known, np.array([len(s) for s in sequences], np.int64), place[sequence].astype(_width(len(known))))]
             for at in np.split(order, begin[1:]) if len(order) else []:
                 some = [words[k] for k in at.tolist()]
-                packed.append(_zip(number[at], np.array([len(w) for w in some], np.uint32), b"".join(some)))
+                packed.append(_zip(_steps(number[at]), np.array([len(w) for w in some], np.uint32), b"".join(some)))
             yield pa.RecordBatch.from_arrays([
                 pa.array([here] * len(packed), pa.int64()), pa.array([ids] + [None] * len(full), pa.list_(kind)),
                 pa.array([None, *full.tolist()], pa.int64()), pa.array(packed, pa.binary())], ["slice", "doc_ids", "bucket", "packed"])
@@ -276,30 +287,34 @@ def _lined_up(key: tuple, rows: pa.Table, made: pa.Table) -> pa.Table:
     packed = main.column("packed")[0].as_py()
     words = int(np.frombuffer(packed, np.int64, 1)[0]) // 4
     known, lengths, sequence = _unzip(packed, np.int32, np.int64, _width(words))
-    many, begin = (known >= 0).astype(np.int64), np.arange(words)
+    many, begin = (known >= 0).astype(np.int32), np.arange(words, dtype=np.int32)
     flat, end = [known], words
     for other in made.column("packed"):
-        number, length, ids = _unzip(other.as_py(), np.int32, np.uint32, np.int32)
+        steps, length, ids = _unzip(other.as_py(), np.int32, np.uint32, np.int32)
+        number = np.cumsum(steps)
         many[number] = length
         begin[number] = end + np.cumsum(length, dtype=np.int64) - length
         flat.append(ids)
         end += len(ids)
-    flat, at, out, sizes = np.concatenate(flat), 0, [np.zeros(0, np.int32)], []
+    flat = np.concatenate(flat)
+    out = np.empty(int(np.dot(np.bincount(sequence, minlength=words), many.astype(np.int64))), np.int32)
+    at, ends = 0, [0]
     for n in lengths.tolist():
         s = sequence[at : at + n]
         at += n
         m = many[s]
-        run = np.cumsum(m)
-        sizes.append(int(run[-1]) if n else 0)
-        out.append(flat[np.repeat(begin[s] - run + m, m) + np.arange(sizes[-1])])
-    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+        run = np.cumsum(m, dtype=np.int64)
+        total = int(run[-1]) if n else 0
+        out[ends[-1] : ends[-1] + total] = flat[np.repeat(begin[s] - run + m, m) + np.arange(total)]
+        ends.append(ends[-1] + total)
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
     return pa.table([main.column("doc_ids").combine_chunks().flatten(), ids], ["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, shared: Broadcast, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every row; ``docs``: doc_id, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.selectExpr("doc_id", "cast(text as string) as text")
     split = rows.mapInArrow(_split(pattern, shared, buckets), f"slice long, doc_ids array<{kind}>, bucket long, packed binary").repartition("slice")
     # chosen in Python, so that both readers keep the whole exchange and Spark makes it once

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from tidelight import fixed
 from tidelight.functions.maths import closeness, cosine, partial_r, safe_corr
-from tidelight.operators.events import (apart, find_events, merge_events, passages, smooth_mean_or_median)
+from tidelight.operators.events import apart, find_events, merge_events, passages, prominent_peaks, smooth_mean, smooth_mean_or_median
 from tidelight.operators.greedy import keep_greedily
-from tidelight.operators.ordered import RN, Ordered, meet, number_rows
+from tidelight.operators.ordered import BLOCK, RN, Ordered, meet, nearest_rows, number_rows
 from tidelight.operators.spectra import baselines
 from tidelight.session import cut
 
@@ -158,6 +158,24 @@ def cluster_count(peaks: DataFrame, keys: Sequence[str], seconds: float = fixed.
     return keep_greedily(p.drop("b"), keys, "id", near.select(*keys, F.col("ia").alias("winner"), F.col("iz").alias("loser")))
 
 
+def concurrent_clusters(bands: DataFrame, keys: Sequence[str], band: str, names: Sequence[str], order: Sequence[str], at: str, value: str, frames: int,
+                        distance: int, min_prominence: float, seconds: float = fixed.CROSS_BAND_SECONDS, same: float = fixed.PROFILE_COSINE) -> DataFrame:
+    """(keys, n_clusters): peaks of all bands, counted once where they coincide in time and have the same profile over the bands.
+
+    ``bands`` are whitened level series, one per key and band. Each is smoothed and its prominent peaks are found; a peak's profile is the smoothed
+    level of every band (``names``, in this order) at the frame nearest to it. Series without peaks count 0.
+    """
+    o = number_rows(bands, [*keys, band], order)
+    rows = cut(smooth_mean(o, value, frames).select(*keys, band, RN, BLOCK, F.col(at).cast("double").alias(at), "smooth"), "bands")
+    peaks = prominent_peaks(Ordered(rows, o.keys, o.block_rows), "smooth", at, None, min_prominence, distance)
+    peaks = peaks.select(*keys, F.col(band).alias("band"), F.col("t_peak").alias(at))
+    known = nearest_rows(peaks, rows, keys, at, band, names, "smooth", "profile").withColumn("profile", F.array_compact("profile"))
+    founders = cluster_count(known.withColumnRenamed(at, "t_peak"), keys, seconds, same)
+    counts = founders.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clusters"))
+    out = meet(bands.select(*keys).distinct(), counts, keys, "left")
+    return out.withColumn("n_clusters", F.coalesce("n_clusters", F.lit(0).cast("bigint")))
+
+
 def split_count(base: DataFrame, band_series: DataFrame, keys: Sequence[str], place: str, at: str, half: int, rise: float,
                 gap_s: float = fixed.CROSS_BAND_SECONDS) -> DataFrame:
     """Passages, counted more than once where the bands peak at different times.

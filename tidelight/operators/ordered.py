@@ -81,6 +81,15 @@ class Ordered:
         sums = {n: F.coalesce(F.col(n), F.lit(0)) for n, (how, _) in specs.items() if how == "sum"}
         return replace(self, rows=out.withColumns(sums))
 
+    def following(self, **columns: Column) -> Ordered:
+        """Add the first non-null value of each column strictly after each row."""
+        after = self.window().rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+        carried = self.rows.groupBy(*self.parts).agg(*[F.min_by(c, F.when(c.isNotNull(), F.col(RN))).alias(f"_c_{n}") for n, c in columns.items()])
+        carried = carried.select(*self.parts, *[F.first(f"_c_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in columns])
+        out = meet(self.rows.withColumns({n: F.first(c, ignorenulls=True).over(after) for n, c in columns.items()}), carried, self.parts, "left")
+        return replace(self, rows=out.withColumns({n: F.coalesce(n, f"_c_{n}") for n in columns}).drop(*[f"_c_{n}" for n in columns]))
+
     def padded(self, before: int, after: int) -> DataFrame:
         """Blocks with copies of up to ``before``/``after`` rows beyond their edges; a row's own block is ``_home``."""
         size = max(self.block_rows, before, after)  # a neighbourhood reaches into the next block at most
@@ -126,6 +135,22 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return Ordered(numbered.withColumn(BLOCK, F.floor(F.col(RN) / block_rows)), keys, block_rows)
 
 
+def nearest_rows(points: DataFrame, frames: DataFrame, keys: Sequence[str], at: str, lane: str, lanes: Sequence, value: str, name: str, **limits: int) -> DataFrame:
+    """``points`` with an array ``name``: for each of ``lanes`` the value of the frame nearest in time, the earlier one on ties.
+
+    Points and frames of a key are numbered in one order; from there each point looks back and ahead in every lane.
+    """
+    got = F.struct(F.col(at).alias("t"), F.col(value).alias("v"))
+    p = points.select(*keys, F.col(at), F.lit(1).alias("_late"), F.struct(*points.columns).alias("_point"), F.lit(None).cast(frames.schema[lane].dataType).alias("_lane"), F.lit(None).cast("struct<t:double,v:double>").alias("_got"))
+    f = frames.select(*keys, F.col(at), F.lit(0).alias("_late"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"), F.col(lane).alias("_lane"), got.cast("struct<t:double,v:double>").alias("_got"))
+    o = number_rows(f.unionByName(p), keys, [at, "_late", F.hash("_point", "_lane"), F.hash("_got")], **limits)
+    here = {i: F.when(F.col("_lane") == x, F.col("_got")) for i, x in enumerate(lanes)}
+    o = o.prefix(**{f"_b{i}": ("last", c) for i, c in here.items()}).following(**{f"_a{i}": c for i, c in here.items()})
+    t = F.col(at).cast("double")
+    pick = [F.when(F.col(f"_a{i}").isNull() | (t - F.col(f"_b{i}.t") <= F.col(f"_a{i}.t") - t), F.col(f"_b{i}.v")).otherwise(F.col(f"_a{i}.v")) for i in here]
+    return o.rows.where("_late = 1").select("_point.*", F.array(*pick).alias(name))
+
+
 def centred_sum(value: Column, half: int):
     """Sum over ``half`` neighbours on both sides, missing neighbours counting as 0."""
     return lambda w: F.sum(value).over(w.rowsBetween(-half, half))

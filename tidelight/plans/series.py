@@ -218,39 +218,41 @@ def estimators_near_total(t: Tables):
 
 # ---- bands of a user's series as concurrent bands ----------------------------------------------
 
-BAND_SERIES = f"""{SERIES}, bn AS (SELECT user_id, event_type, t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS rn, level - median(level) OVER (PARTITION BY user_id, event_type) AS white FROM se),
-pk AS (SELECT user_id, event_type, t, white, rn FROM (SELECT *, lag(white) OVER w AS a, lead(white) OVER w AS z FROM bn WINDOW w AS (PARTITION BY user_id, event_type ORDER BY rn)) WHERE white > a AND white > z)"""
-
-
-def _band_peaks(t: Tables):
+BANDS_OF = ("click", "error", "purchase", "signup", "view")
+# One whitened series per user and band, under the number user * 10 + band.
+WHITE = f"""se AS (SELECT user_id * 10 + list_position({[*BANDS_OF]}, event_type) - 1 AS user_id, event_id, ts, epoch_us(ts) / 1e6 AS t,
+CAST(floor(value / 4) AS INTEGER) - median(CAST(floor(value / 4) AS INTEGER)) OVER (PARTITION BY user_id, event_type) AS level FROM events)"""
+BAND_PEAKS = f"""{TURNS.replace(SERIES, WHITE).replace('WHERE n > 5', '')}, {_spaced_sql('-1e9', SPACING)}, {MIS}, {PROM},
+pk AS (SELECT pr.user_id // 10 AS user_id, pr.user_id % 10 AS band, sm.t FROM pr JOIN sm ON sm.user_id = pr.user_id AND sm.rn = mid WHERE prominence >= 3)"""
+MIS2 = MIS.replace("st(kind", "s2(kind").replace("FROM st", "FROM s2").replace("FROM cf", "FROM c2")
+
+
+@query(f"""WITH RECURSIVE {BAND_PEAKS}, nf AS (SELECT pk.user_id, pk.band, pk.t, sm.user_id % 10 AS lane, arg_min(sm.smooth, (abs(sm.t - pk.t), sm.t)) AS v FROM pk JOIN sm ON sm.user_id // 10 = pk.user_id GROUP BY ALL),
+it AS (SELECT user_id, band, t, user_id || '|' || band || '|' || t AS id, list(v ORDER BY lane) AS p FROM nf GROUP BY ALL),
+nm AS (SELECT *, sqrt(list_inner_product(p, p)) AS nm FROM it),
+c2 AS (SELECT x.id AS winner, y.id AS loser FROM nm x JOIN nm y ON x.user_id = y.user_id AND (x.t, x.band) < (y.t, y.band) AND y.t - x.t <= 86400
+  AND CASE WHEN x.nm * y.nm = 0 THEN 0 ELSE list_inner_product(x.p, y.p) / (x.nm * y.nm) END >= 0.95), {MIS2},
+k AS (SELECT user_id, count(*) AS n FROM it WHERE id NOT IN (SELECT loser FROM s2 WHERE kind = 'lost') GROUP BY 1)
+SELECT us.user_id, coalesce(n, 0) AS n_clusters FROM (SELECT DISTINCT user_id FROM events) us LEFT JOIN k USING (user_id)""")
+def band_cluster_counts(t: Tables):
+    """Whitened, smoothed bands of every user: prominent peaks clustered by time and profile over the bands."""
     s = t.series()
     med = s.groupBy("user_id", "event_type").agg(F.percentile("level", 0.5).alias("m"))
-    w = s.join(med, ["user_id", "event_type"]).withColumn("white", F.col("level") - F.col("m"))
-    near = number_rows(w, ["user_id", "event_type"], ORDER).centred(1, 1, a=lambda w: F.lag("white").over(w), z=lambda w: F.lead("white").over(w))
-    return near.where((F.col("white") > F.col("a")) & (F.col("white") > F.col("z"))).select(
-        "user_id", F.col("event_type").alias("band"), F.col("t").alias("t_peak"), F.array("white", F.col("a"), F.col("z")).alias("profile"))
-
-
-@query(f"""WITH RECURSIVE {BAND_SERIES.replace('SELECT user_id, event_type, t, white, rn FROM (', 'SELECT user_id, event_type, t, white, a, z, rn FROM (')},
-it AS (SELECT *, user_id || '|' || event_type || '|' || rn AS id, sqrt(white * white + a * a + z * z) AS nm FROM pk),
-cf AS (SELECT x.id AS winner, y.id AS loser FROM it x JOIN it y ON x.user_id = y.user_id AND (x.t, x.event_type) < (y.t, y.event_type) AND y.t - x.t <= 86400
-AND (x.white * y.white + x.a * y.a + x.z * y.z) / (x.nm * y.nm) >= 0.95), {MIS}
-SELECT user_id, count(*) AS n_clusters FROM it WHERE id NOT IN (SELECT loser FROM st WHERE kind = 'lost') GROUP BY 1""")
-def band_cluster_counts(t: Tables):
-    founders = es.cluster_count(_band_peaks(t), ["user_id"], seconds=86_400.0)
-    return founders.groupBy("user_id").agg(F.count("*").alias("n_clusters"))
+    white = s.join(med, ["user_id", "event_type"]).withColumn("white", F.col("level") - F.col("m"))
+    return es.concurrent_clusters(white, ["user_id"], "event_type", BANDS_OF, ORDER, AT, "white", SMOOTH, SPACING, 3.0, seconds=86_400.0)
 
 
-@query(f"""WITH {SERIES}, nb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM se), base AS (SELECT user_id, rn AS mid FROM nb WHERE rn % 12 = 6),
-v AS (SELECT b.user_id, b.mid, event_type, count(*) AS n, max(level) AS top, median(level) AS med, arg_max(t, (level, -rn)) AS t FROM base b JOIN nb ON nb.user_id = b.user_id AND abs(rn - mid) <= 8 GROUP BY 1, 2, 3),
+@query(f"""WITH RECURSIVE {TURNS}, {_spaced_sql('baseline + 5', SPACING)}, {MIS}, {PROM}, base AS (SELECT user_id, mid FROM pr WHERE prominence >= 3),
+v AS (SELECT b.user_id, b.mid, event_type, count(*) AS n, max(level) AS top, median(level) AS med, arg_max(t, (level, -rn)) AS t FROM base b JOIN nu ON nu.user_id = b.user_id AND abs(rn - mid) <= 8 GROUP BY 1, 2, 3),
 u AS (SELECT user_id, mid, CASE WHEN n >= 3 AND top - med >= 3 THEN t END AS t FROM v), o AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id, mid ORDER BY t) AS d FROM u WHERE t IS NOT NULL),
-c AS (SELECT b.user_id, b.mid, 1 + (SELECT count(*) FROM o WHERE o.user_id = b.user_id AND o.mid = b.mid AND d > 43200) AS n FROM (SELECT DISTINCT user_id, mid FROM u) b)
-SELECT user_id, CAST(greatest(count(*), sum(n)) AS BIGINT) AS n_split FROM c GROUP BY 1""")
+c AS (SELECT b.user_id, b.mid, 1 + (SELECT count(*) FROM o WHERE o.user_id = b.user_id AND o.mid = b.mid AND d > 43200) AS n FROM (SELECT DISTINCT user_id, mid FROM u) b),
+k AS (SELECT user_id, CAST(greatest(count(*), sum(n)) AS BIGINT) AS n FROM c GROUP BY 1)
+SELECT us.user_id, coalesce(n, 0) AS n_split FROM (SELECT DISTINCT user_id FROM events) us LEFT JOIN k USING (user_id)""")
 def band_split_counts(t: Tables):
+    """Passages of every user, counted more than once where the bands around one peak at different times."""
     o = number_rows(t.series(), KEY, ORDER).rows.select("user_id", F.col("event_type").alias("band"), F.col("_rn").alias("place"), "t", F.col("level").alias("smooth"))
-    o = cut(o, "bands")
-    base = o.where("place % 12 = 6").select("user_id", F.col("place").alias("mid"))
-    return es.split_count(base, o, ["user_id"], "place", "t", 8, 3.0, 43_200.0)
+    base = ev.passages(t.series(), KEY, ORDER, AT, frames=SMOOTH, distance=SPACING, threshold=5.0, min_prominence=3.0).select("user_id", "mid")
+    return es.split_count(base, cut(o, "bands"), ["user_id"], "place", "t", 8, 3.0, 43_200.0)
 
 
 # ---- membership, per-window tables ---------------------------------------------------------------

@@ -337,13 +337,16 @@ def test_blobs_find_planted_boats(spark):
     assert dot.reject_reason == "too_few_px" and line.fill == pytest.approx(1.0)
 
 
-def test_rectangle_is_the_smallest_over_angles():
+def test_rectangle_is_the_smallest_over_angles(spark):
     rng = np.random.default_rng(7)
-    for _ in range(30):
-        pts = rng.integers(0, 12, (rng.integers(3, 15), 2))
-        long_px, short_px = ra._rectangle(pts)
-        best = min(np.ptp(pts @ [math.cos(a), math.sin(a)]) * np.ptp(pts @ [-math.sin(a), math.cos(a)]) for a in np.linspace(0, math.pi / 2, 3_000))
-        assert long_px * short_px <= best + 1e-9
+    sets = [rng.integers(0, 12, (rng.integers(3, 15), 2)) for _ in range(30)] + [np.array([[k, 2 * k] for k in range(5)]), np.array([[4, 4], [4, 4]])]
+    frame = spark.createDataFrame([(i, [(int(x), int(y)) for x, y in pts]) for i, pts in enumerate(sets)], "i int, p array<struct<x:int,y:int>>")
+    got = {r.i: r.s for r in frame.select("i", ra.smallest_rectangle(F.col("p")).alias("s")).collect()}
+    for i, pts in enumerate(sets):
+        turned = [(np.ptp(pts @ [math.cos(a), math.sin(a)]), np.ptp(pts @ [-math.sin(a), math.cos(a)])) for a in np.linspace(0, math.pi / 2, 3_000)]
+        assert got[i].long_px * got[i].short_px <= min(a * b for a, b in turned) + 1e-9
+        assert got[i].long_px <= math.hypot(*np.ptp(pts, axis=0)) + 1e-9
+    assert got[30].long_px == pytest.approx(math.hypot(4, 8)) and got[30].short_px == pytest.approx(0) and (got[31].long_px, got[31].short_px) == (0, 0)
 
 
 def test_flat_water_is_refused(spark):

@@ -2,58 +2,59 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight import fixed
 from tidelight.operators.guards import DataError
 
 
-def _equal_area(lon: np.ndarray, lat: np.ndarray, lon0: float, lat0: float) -> np.ndarray:
-    """Lambert azimuthal equal-area coordinates on the sphere of equal area, centred on the AOI.
+def _equal_area(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
+    """Struct x, y: Lambert azimuthal equal-area coordinates on the sphere of equal area, centred on the AOI.
 
     Latitudes become authalic first, so areas are those of the ellipsoid.
     """
     a, f = fixed.WGS84
-    e = np.sqrt(f * (2 - f))
-    def q(phi):
-        s = np.sin(phi)
-        return (1 - e**2) * (s / (1 - e**2 * s**2) - np.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    qp = q(np.pi / 2)
-    beta = np.arcsin(np.clip(q(np.radians(lat)) / qp, -1, 1))
-    beta0 = np.arcsin(q(np.radians(lat0)) / qp)
-    dl = np.radians(np.asarray(lon) - lon0)
-    k = np.sqrt(2 / (1 + np.sin(beta0) * np.sin(beta) + np.cos(beta0) * np.cos(beta) * np.cos(dl)))
-    r = a * np.sqrt(qp / 2)
-    return np.stack([r * k * np.cos(beta) * np.sin(dl),
-                     r * k * (np.cos(beta0) * np.sin(beta) - np.sin(beta0) * np.cos(beta) * np.cos(dl))], axis=1)
-
-
-def _area(p: np.ndarray) -> float:
-    x, y = p[:, 0], p[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-
-
-def _clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Part of ``subject`` inside the convex ``window`` (counter-clockwise): one half-plane after the other."""
-    out = subject
-    for p, q in zip(window, np.roll(window, -1, axis=0)):
-        if len(out) == 0:
-            break
-        side = (q[0] - p[0]) * (out[:, 1] - p[1]) - (q[1] - p[1]) * (out[:, 0] - p[0])
-        nxt, side2 = np.roll(out, -1, axis=0), np.roll(side, -1)
-        pts = []
-        for a, b, s, t in zip(out, nxt, side, side2):
-            if s >= 0:
-                pts.append(a)
-            if s * t < 0:
-                pts.append(a + (b - a) * s / (s - t))
-        out = np.array(pts).reshape(-1, 2)
-    return out
+    e = math.sqrt(f * (2 - f))
+    def q(s, log):
+        return (1 - e**2) * (s / (1 - e**2 * s**2) - log((1 - e * s) / (1 + e * s)) / (2 * e))
+    qp = q(1.0, math.log)
+    s0 = q(math.sin(math.radians(lat0)), math.log) / qp
+    c0 = math.sqrt(1 - s0 * s0)
+    sb = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), q(F.sin(F.radians(lat)), F.log) / qp))
+    cb = F.sqrt(1 - sb * sb)
+    dl = F.radians(lon - lon0)
+    k = a * math.sqrt(qp / 2) * F.sqrt(2 / (1 + s0 * sb + c0 * cb * F.cos(dl)))
+    return F.struct((k * cb * F.sin(dl)).alias("x"), (k * (c0 * sb - s0 * cb * F.cos(dl))).alias("y"))
+
+
+def clipped(points: Column, window: Column) -> Column:
+    """Part of a ring (array of x, y) inside a convex window (array of half-planes px, py, qx, qy, inside on the left): one half-plane after the other."""
+
+    def cut_off(ring: Column, h: Column) -> Column:
+        side = lambda p: (h["qx"] - h["px"]) * (p["y"] - h["py"]) - (h["qy"] - h["py"]) * (p["x"] - h["px"])
+
+        def edge(p: Column, i: Column) -> Column:
+            q = F.get(ring, (i + 1) % F.size(ring))
+            s, t = side(p), side(q)
+            cross = F.struct((p["x"] + (q["x"] - p["x"]) * s / (s - t)).alias("x"), (p["y"] + (q["y"] - p["y"]) * s / (s - t)).alias("y"))
+            return F.array_compact(F.array(F.when(s >= 0, p), F.when(s * t < 0, cross)))
+
+        return F.flatten(F.transform(ring, edge))
+
+    return F.aggregate(window, points, cut_off)
+
+
+def ring_area(points: Column) -> Column:
+    """Area of a ring of x, y; rings of fewer than three points have none."""
+    def term(p: Column, i: Column) -> Column:
+        q = F.get(points, (i + 1) % F.size(points))
+        return p["x"] * q["y"] - q["x"] * p["y"]
+    total = F.aggregate(F.transform(points, term), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(points) >= 3, F.abs(total) / 2).otherwise(0.0)
 
 
 def aoi_coverage(scenes: DataFrame, aoi: Sequence[Sequence[float]], ring: str = "ring") -> DataFrame:
@@ -62,28 +63,19 @@ def aoi_coverage(scenes: DataFrame, aoi: Sequence[Sequence[float]], ring: str =
     Areas are equal-area metres. ``aoi`` is one convex ring of (lon, lat) pairs, a constant of the
     study. Containment: every corner of the area lies inside the footprint and nothing is missing.
     """
-    box = np.array(aoi, float)
-    if np.allclose(box[0], box[-1]):
-        box = box[:-1]
-    lon0, lat0 = box.mean(axis=0)
-    flat = _equal_area(box[:, 0], box[:, 1], lon0, lat0)
-    x, y = flat[:, 0], flat[:, 1]
-    if float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) < 0:
-        flat = flat[::-1]
-    total = _area(flat)
-
-    @F.pandas_udf("aoi_coverage double, aoi_missing_m2 double, aoi_covered boolean")
-    def measure(rings: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r in rings:
-            p = np.array([np.asarray(v, float) for v in r])
-            inside = _clip_convex(_equal_area(p[:, 0], p[:, 1], lon0, lat0), flat)
-            got = _area(inside) if len(inside) >= 3 else 0.0
-            missing = max(0.0, total - got)
-            rows.append((got / total, missing, missing <= 1e-9 * total))
-        return pd.DataFrame(rows, columns=["aoi_coverage", "aoi_missing_m2", "aoi_covered"])
-
-    return scenes.withColumn("_m", measure(ring)).select(*scenes.columns, "_m.*")
+    box = [tuple(map(float, p)) for p in aoi]
+    box = box[:-1] if box[0] == box[-1] else box
+    if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(box, [*box[1:], box[0]], strict=True)) < 0:
+        box = box[::-1]
+    lon0, lat0 = (sum(p[k] for p in box) / len(box) for k in (0, 1))
+    corners = F.array(*[_equal_area(F.lit(x), F.lit(y), lon0, lat0) for x, y in box])
+    after = lambda i: F.get(corners, (i + 1) % len(box))
+    planes = F.transform(corners, lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), after(i)["x"].alias("qx"), after(i)["y"].alias("qy")))
+    flat = F.transform(ring, lambda p: _equal_area(p[0].cast("double"), p[1].cast("double"), lon0, lat0))
+    got = scenes.withColumns({"_total": ring_area(corners), "_inside": clipped(flat, planes)}).withColumn("_area", ring_area(F.col("_inside")))
+    missing = F.greatest(F.lit(0.0), F.col("_total") - F.col("_area"))
+    out = got.withColumns({"aoi_coverage": F.col("_area") / F.col("_total"), "aoi_missing_m2": missing, "aoi_covered": missing <= 1e-9 * F.col("_total")})
+    return out.drop("_total", "_inside", "_area")
 
 
 def contained(scenes: DataFrame, tolerance_m2: float = 0.0) -> DataFrame:

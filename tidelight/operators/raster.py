@@ -147,42 +147,47 @@ def robust_threshold(pixels: DataFrame, value: str, n_mad: float = fixed.BLOB_MA
     return scenes.select("scene_id").distinct().join(out, "scene_id", "left").withColumn("n_px", F.coalesce("n_px", empty))
 
 
-def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> int:
-    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
-
-
-def _rectangle(points: np.ndarray) -> tuple[float, float]:
-    """Sides (long, short) of the smallest rectangle around integer points, over all hull edge directions."""
-    pts = np.unique(points, axis=0)
-    if len(pts) == 1:
-        return 0.0, 0.0
-    def half(seq):
-        out = []
-        for p in seq:
-            while len(out) >= 2 and _turn(out[-2], out[-1], p) <= 0:
-                out.pop()
-            out.append(p)
-        return out
-    hull = np.array(half(pts)[:-1] + half(pts[::-1])[:-1], float)
-    edges = np.roll(hull, -1, axis=0) - hull
-    edges = edges / np.linalg.norm(edges, axis=1)[:, None]
-    along = hull @ edges.T
-    across = hull @ np.stack([-edges[:, 1], edges[:, 0]])
-    a, b = np.ptp(along, axis=0), np.ptp(across, axis=0)
-    i = int(np.argmin(a * b))
-    return float(max(a[i], b[i])), float(min(a[i], b[i]))
+def _hull_chain(points: Column) -> Column:
+    """One side of the convex hull of points (structs of doubles x, y) that come in order."""
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+
+    def add(chain: Column, p: Column) -> Column:
+        left = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chain) - 1, F.lit(1))), lambda i: turn(F.get(chain, i - 1), F.get(chain, i), p) > 0)
+        return F.concat(F.slice(chain, 1, F.coalesce(F.array_max(left), F.lit(0)) + 1), F.array(p))  # what turns right before p leaves
+
+    return F.aggregate(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1), add)
 
 
-@F.pandas_udf(T.StructType([T.StructField("long_px", T.DoubleType()), T.StructField("short_px", T.DoubleType())]))
-def _sides(rows: pd.Series, cols: pd.Series) -> pd.DataFrame:
-    got = [_rectangle(np.stack([r, c], axis=1).astype(np.int64)) for r, c in zip(rows, cols)]
-    return pd.DataFrame({"long_px": [g[0] + 1 for g in got], "short_px": [g[1] + 1 for g in got]})
+def smallest_rectangle(points: Column) -> Column:
+    """Struct (long_px, short_px): sides of the smallest rectangle around an array of points (x, y), among those along an edge of the hull.
+
+    Of equal areas the more compact one counts. A single point has no extent.
+    """
+    p = F.array_sort(F.array_distinct(F.transform(points, lambda q: F.struct(q["x"].cast("double").alias("x"), q["y"].cast("double").alias("y")))))
+    sides = lambda c: F.slice(c, 1, F.size(c) - 1)
+    hull = F.concat(sides(_hull_chain(p)), sides(_hull_chain(F.reverse(p))))
+
+    def fitted(h: Column) -> Column:
+        def around(a: Column, i: Column) -> Column:
+            b = F.get(h, (i + 1) % F.size(h))
+            n = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+            u, v = (b["x"] - a["x"]) / n, (b["y"] - a["y"]) / n
+            def extent(f):
+                d = F.transform(h, f)
+                return F.array_max(d) - F.array_min(d)
+            along, across = extent(lambda q: q["x"] * u + q["y"] * v), extent(lambda q: q["y"] * u - q["x"] * v)
+            return F.struct(F.round(along * across, 9).alias("area"), F.greatest(along, across).alias("long_px"), F.least(along, across).alias("short_px"))
+        return F.array_min(F.transform(h, around))
+
+    best = F.transform(F.array(hull), fitted)[0]  # the hull is worked out once
+    one = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("long_px"), F.lit(0.0).alias("short_px"))
+    return F.when(F.size(p) > 1, best).otherwise(one)
 
 
 def blobs(masked: DataFrame, value: str, thresholds: DataFrame, res_m: float) -> DataFrame:
     """Bright components on water with centroid, size, fill, peak and SNR.
 
-    Only the outermost points of each component reach Python, for the smallest rectangle.
+    The smallest rectangle is fitted to the outermost points of each component.
     """
     hot = masked.join(thresholds.select("scene_id", "threshold", "med", "sigma"), "scene_id").where(
         F.col("water") & (F.col(value) >= F.col("threshold")))
@@ -197,8 +202,9 @@ def blobs(masked: DataFrame, value: str, thresholds: DataFrame, res_m: float) ->
     pts = ends.select("scene_id", "label", "row", F.explode(F.array_distinct(F.array("a", "z"))).alias("col"))
     low_high = pts.groupBy("scene_id", "label", "col").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
     pts = low_high.select("scene_id", "label", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("row"), "col")
-    outline = pts.groupBy("scene_id", "label").agg(F.collect_list(F.struct("row", "col")).alias("p"))  # at most the raster's sides
-    sides = outline.select("scene_id", "label", _sides(F.col("p.row"), F.col("p.col")).alias("_s")).select("scene_id", "label", "_s.*")
+    outline = pts.groupBy("scene_id", "label").agg(F.collect_list(F.struct(F.col("row").alias("x"), F.col("col").alias("y"))).alias("p"))  # at most the raster's sides
+    sides = outline.select("scene_id", "label", smallest_rectangle(F.col("p")).alias("_s"))
+    sides = sides.select("scene_id", "label", *[(F.col(f"_s.{c}") + 1).alias(c) for c in ("long_px", "short_px")])
     out = stat.join(sides, ["scene_id", "label"])
     return out.select("scene_id", F.col("label.row").alias("label_row"), F.col("label.c0").alias("label_col"), "row", "col", "n_px",
                       (F.col("long_px") * res_m).alias("length_m"), (F.col("short_px") * res_m).alias("width_m"),

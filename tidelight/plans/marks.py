@@ -82,7 +82,13 @@ def fusion_tally(t: Tables):
     return f.groupBy("detector").agg(F.count("*").alias("n_rows"), F.sum(F.round("nir_snr").cast("bigint")).alias("snr_total"))
 
 
-@query()
+_NEAR = f"(SELECT a.scene_id, a.a, b.b, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM a JOIN b ON a.scene_id = b.scene_id AND b.lat BETWEEN a.lat - 0.001 AND a.lat + 0.001 AND {HAV} <= 40)"
+ELLIPSOID = f"""{MARKS}, {A}, {B}, pairs AS (SELECT scene_id, a, b, m AS d FROM ({geodesy.inverse(_NEAR, 'lon1', 'lat1', 'lon2', 'lat2')}) WHERE m <= 30),
+{_match('(d, b)', 'a')}, mt AS (SELECT scene_id, a, b FROM st WHERE kind = 'acc')"""
+
+
+@query(f"""WITH RECURSIVE {ELLIPSOID} SELECT detector, count(*) AS n_rows FROM (SELECT CASE WHEN mt.b IS NULL THEN 'A' ELSE 'AB' END AS detector FROM a LEFT JOIN mt ON mt.scene_id = a.scene_id AND mt.a = a.a
+UNION ALL SELECT 'B' FROM b WHERE (scene_id, b.b) NOT IN (SELECT (scene_id, mt.b) FROM mt)) GROUP BY 1""")
 def geodesic_fusion(t: Tables):
     """The fusion tally with geodesic distances."""
     m = cut(_in_turn(t), "matches")

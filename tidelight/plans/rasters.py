@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelight import fixed
 from tidelight.functions import geo, maths, text
 from tidelight.operators import detections as de
 from tidelight.operators import raster as ra
@@ -95,7 +96,25 @@ def bright_blobs(t: Tables):
     return _blobs(t).select("scene_id", "label_row", "label_col", "row", "col", "n_px", "nir_peak", "nir_snr")
 
 
-@query()
+# Every directed edge with all points on its left is an edge of the hull; the rectangle along it spans the points' extents.
+RECTS = f"""{BLOBS}, pt AS (SELECT DISTINCT scene_id, lab, row AS x, col AS y FROM hp),
+eg AS (SELECT p.scene_id, p.lab, p.x AS px, p.y AS py, (q.x - p.x) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS u, (q.y - p.y) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS v, q.x AS qx, q.y AS qy
+  FROM pt p JOIN pt q ON p.scene_id = q.scene_id AND p.lab = q.lab AND (p.x, p.y) <> (q.x, q.y)),
+ex AS (SELECT eg.scene_id, eg.lab, px, py, qx, qy, max(r.x * u + r.y * v) - min(r.x * u + r.y * v) AS s, max(r.y * u - r.x * v) - min(r.y * u - r.x * v) AS t FROM eg JOIN pt r ON r.scene_id = eg.scene_id AND r.lab = eg.lab
+  GROUP BY ALL HAVING min((qx - px) * (r.y - py) - (qy - py) * (r.x - px)) >= 0),
+rg AS (SELECT scene_id, lab, arg_min(greatest(s, t), (round(s * t, 9), round(greatest(s, t), 9))) AS a, arg_min(least(s, t), (round(s * t, 9), round(greatest(s, t), 9))) AS b FROM ex GROUP BY 1, 2),
+bb AS (SELECT hp.scene_id, hp.lab, count(*) AS n_px, coalesce(max(a), 0) + 1 AS long_px, coalesce(max(b), 0) + 1 AS short_px FROM hp LEFT JOIN rg ON rg.scene_id = hp.scene_id AND rg.lab = hp.lab GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {RECTS} SELECT scene_id, CAST(lab % 1000000 // 1000 AS INTEGER) AS label_row, CAST(lab % 1000 AS INTEGER) AS label_col, long_px * {RES} AS length_m, short_px * {RES} AS width_m, n_px / (long_px * short_px) AS fill FROM bb",
+       floats=["length_m", "width_m", "fill"])
+def blob_rectangles(t: Tables):
+    """Sides and fill of the smallest rectangle around every blob."""
+    return _blobs(t).select("scene_id", "label_row", "label_col", "length_m", "width_m", "fill")
+
+
+@query(f"""WITH RECURSIVE {RECTS} SELECT reject_reason, count(*) AS n_rows FROM (SELECT CASE WHEN n_px < 2 THEN 'too_few_px' WHEN long_px * {RES} < {fixed.MIN_LENGTH_M} THEN 'sub_pixel_length' WHEN long_px * {RES} > 60 THEN 'implausible_length'
+WHEN long_px / greatest(short_px, 1e-6 / {RES}) > {fixed.BLOB_MAX_ASPECT} THEN 'too_elongated' WHEN n_px / (long_px * short_px) < {fixed.BLOB_MIN_FILL} THEN 'too_sparse' ELSE 'kept' END AS reject_reason FROM bb) GROUP BY 1""")
 def blob_reasons(t: Tables):
     b = de.blob_reasons(_blobs(t), min_px=2, max_m=60.0)
     return b.groupBy("reject_reason").agg(F.count("*").alias("n_rows"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelight import fixed
 from tidelight.functions import geo, maths, text
 from tidelight.functions.times import minutes_from, parse_utc, utc
 from tidelight.operators import gating as ga
@@ -102,12 +103,46 @@ def _footprints(t: Tables):
     return p.withColumn("ring", F.array(corner(-125.40, 48.74), corner(-125.16, 48.74), corner(-125.16, 48.89), corner(-125.40, 48.89), corner(-125.40, 48.74)))
 
 
-@query("""WITH f AS (SELECT p_partkey, (p_size - 25) / 500 AS dx, (p_partkey % 21 - 10) / 300 AS dy FROM part) SELECT p_partkey, -125.40 + dx <= -125.35 AND -125.16 + dx >= -125.21 AND 48.74 + dy <= 48.77 AND 48.89 + dy >= 48.86 AS aoi_covered FROM f WHERE abs(dx) <> 0.05 AND abs(dy) <> 0.03""")
+_E2 = fixed.WGS84[1] * (2 - fixed.WGS84[1])
+
+
+def _flat_sql(points: str) -> str:
+    """List of (x, y) of a list of (lon, lat): equal-area coordinates around the middle of the area of interest."""
+    e = _E2**0.5
+    q = lambda s: f"({1 - _E2!r} * ({s} / (1 - {_E2!r} * {s} * {s}) - ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r}))"
+    lon0, lat0 = (sum(p[k] for p in AOI) / len(AOI) for k in (0, 1))
+    b0, b = f"asin({q(f'sin(radians({lat0!r}))')} / {q('1.0')})", f"asin({q('sin(radians(p[2]))')} / {q('1.0')})"
+    dl = f"radians(p[1] - ({lon0!r}))"
+    k = f"{fixed.WGS84[0]!r} * sqrt({q('1.0')} / 2) * sqrt(2 / (1 + sin({b0}) * sin({b}) + cos({b0}) * cos({b}) * cos({dl})))"
+    return f"list_transform({points}, lambda p: [{k} * cos({b}) * sin({dl}), {k} * (cos({b0}) * sin({b}) - sin({b0}) * cos({b}) * cos({dl}))])"
+
+
+def _clip_sql(source: str, out: str, i: int) -> str:
+    """``source`` (p_partkey, g, w) with the ring g cut by the i-th edge of the window w."""
+    a, b = f"w[{i}]", f"w[{i % len(AOI) + 1}]"
+    side = lambda p: f"(({b}[1] - {a}[1]) * ({p}[2] - {a}[2]) - ({b}[2] - {a}[2]) * ({p}[1] - {a}[1]))"
+    p, q = "g[k]", "g[k % len(g) + 1]"
+    s, t = side(p), side(q)
+    part = f"CASE WHEN {s} >= 0 THEN [{p}] ELSE [] END || CASE WHEN {s} * {t} < 0 THEN [[{p}[1] + ({q}[1] - {p}[1]) * {s} / ({s} - {t}), {p}[2] + ({q}[2] - {p}[2]) * {s} / ({s} - {t})]] ELSE [] END"
+    return f"{out} AS (SELECT p_partkey, w, flatten(list_transform(range(1, len(g) + 1), lambda k: {part})) AS g FROM {source})"
+
+
+def _area_sql(g: str) -> str:
+    return f"coalesce(abs(list_sum(list_transform(range(1, len({g}) + 1), lambda k: {g}[k][1] * {g}[k % len({g}) + 1][2] - {g}[k % len({g}) + 1][1] * {g}[k][2]))) / 2, 0)"
+
+
+COVER = f"""f AS (SELECT p_partkey, (p_size - 25) / 500 AS dx, (p_partkey % 21 - 10) / 300 AS dy FROM part),
+c0 AS (SELECT p_partkey, {_flat_sql(str([list(p) for p in AOI]))} AS w, {_flat_sql('[' + ', '.join(f'[{x} + dx, {y} + dy]' for x, y in ((-125.40, 48.74), (-125.16, 48.74), (-125.16, 48.89), (-125.40, 48.89), (-125.40, 48.74))) + ']')} AS g FROM f),
+{', '.join(_clip_sql(f'c{i - 1}', f'c{i}', i) for i in range(1, len(AOI) + 1))},
+cv AS (SELECT p_partkey, {_area_sql('w')} AS total, {_area_sql('g')} AS got FROM c{len(AOI)})"""
+
+
+@query(f"WITH {COVER} SELECT p_partkey, total - got <= 1e-9 * total AS aoi_covered FROM cv")
 def aoi_containment(t: Tables):
-    return ga.aoi_coverage(_footprints(t).where("abs(dx) <> 0.05 AND abs(dy) <> 0.03"), AOI).select("p_partkey", "aoi_covered")
+    return ga.aoi_coverage(_footprints(t), AOI).select("p_partkey", "aoi_covered")
 
 
-@query()
+@query(f"WITH {COVER} SELECT p_partkey, round(got / total, 6) AS aoi_coverage, round(greatest(0, total - got), 0) AS aoi_missing_m2 FROM cv WHERE total - got <= 5000000")
 def aoi_coverage(t: Tables):
     c = ga.aoi_coverage(_footprints(t), AOI)
     return ga.contained(c, 5_000_000.0).select("p_partkey", F.round("aoi_coverage", 6).alias("aoi_coverage"), F.round("aoi_missing_m2", 0).alias("aoi_missing_m2"))

@@ -102,6 +102,16 @@ def test_index_prefers_gz_and_first_container(spark):
     assert sorted(r.reason for r in lost.collect()) == ["duplicate_start", "duplicate_start", "no_utc_stamp", "other_device", "reversed"]
 
 
+def test_strict_index_stops_on_own_names_that_do_not_parse(spark):
+    index = lambda *names: file_index(spark.createDataFrame([(n, 0) for n in names], "name string, container int"), "A", F.col("container"), strict=True)
+    kept, lost = index("A_20240501T100000.000Z.fft", "B_nothing.fft")
+    assert kept.count() == 1 and [r.reason for r in lost.collect()] == ["other_device"]
+    with pytest.raises(DataError, match="no_utc_stamp"):
+        index("A_20240501T100000.000Z.fft", "A_20240501T101000.fft")
+    with pytest.raises(DataError, match="reversed"):
+        index("A_20240501T101000.000Z_20240501T100900.000Z.fft")
+
+
 def test_scene_list_needs_an_offset(spark, tmp_path):
     p = tmp_path / "s.csv"
     p.write_text("id, acquired ,clear_percent\nb,2020-07-01T12:00:00-07:00,\na,2020-07-01T18:30:00Z,91\n")
@@ -125,6 +135,22 @@ def test_labels_last_row_wins(spark, tmp_path):
         tables.read_labels(spark, str(p))
 
 
+def test_labels_of_several_and_of_split_files(spark, tmp_path):
+    head = "scene_id,acquired_utc,label,n_vessels,area_km2,reviewer,reviewed_utc,notes\n"
+    line = lambda scene, n: f"{scene},2020-07-01T18:30:00+00:00,vessel,{n},100,x,2021-01-01,note {n}\n"
+    (tmp_path / "b.csv").write_text(head + "".join(line(f"s{k % 5}", k) for k in range(400)) + line("s9", 1))
+    (tmp_path / "a.csv").write_text(head + line("s1", 999) + line("s7", 1) + line("s7", 2))
+    want = {"s0": 395, "s1": 396, "s2": 397, "s3": 398, "s4": 399, "s7": 2, "s9": 1}  # the file of the greater name wins, then the lower line
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("134217728", "2000", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = tables.read_labels(spark, str(tmp_path))
+            assert {r.scene_id: r.n_vessels for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_manual_counts(spark, tmp_path):
     p = tmp_path / "c.csv"
     p.write_text("timestamp, vessel count\n20200701_1830 , 2\n,5\n20200702_1830,0\n")
@@ -207,8 +233,16 @@ def test_population_and_event_tables(spark, tmp_path):
     sinks.write_population(str(tmp_path / "p"), h, h.drop("n"), h)
     back = tables.read_population(spark, str(tmp_path / "p"))
     assert back["hist"].first().n == 3 and set(back) == {"hist", "median_spectra", "window_stats"}
-    sinks.write_events(h, h, str(tmp_path / "e"))
-    assert spark.read.parquet(str(tmp_path / "e" / "events_wide")).count() == 1
+    names = schemas.EVENTS_LONG.fieldNames()
+    long = spark.createDataFrame([("s", "b", 10, *[k for k in range(6)], 1.0, 2.0, 3.0, 0, "")], ", ".join(f"{n} {'string' if n in ('scene_id', 'band', 'note') else 'double' if n in ('baseline', 'peak_excess', 'duration_s') else 'int'}" for n in names))
+    wide = spark.createDataFrame([("s", 3, None, None)], "scene_id string, n_b int, n_c long, total_detection_events long")
+    sinks.write_events(long, wide, str(tmp_path / "e"), ["b", "c"])
+    assert spark.read.parquet(str(tmp_path / "e" / "events_wide")).first().n_b == 3
+    assert spark.read.parquet(str(tmp_path / "e" / "events_long")).schema == schemas.EVENTS_LONG
+    for bad_long, bad_wide in ((long.drop("note"), wide), (long, wide.withColumn("n_d", F.lit(1))), (long, wide.drop("n_c"))):
+        with pytest.raises(DataError):
+            sinks.write_events(bad_long, bad_wide, str(tmp_path / "bad"), ["b", "c"])
+    assert not (tmp_path / "bad").exists()
 
 
 def test_frames_keep_the_head_of_a_window(spark, tmp_path):

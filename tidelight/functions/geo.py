@@ -12,7 +12,6 @@ from tidelight import fixed
 
 # Explicit types: a type given as text needs a running session when the module is imported.
 _RANGE = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("azimuth_deg", T.DoubleType())])
-_LONLAT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -69,22 +68,27 @@ def affine_xy(col: Column, row: Column, t: dict[str, Column], centre: bool = Tru
     return t["c"] + t["a"] * c + t["b"] * r, t["f"] + t["d"] * c + t["e"] * r
 
 
-@F.pandas_udf(_LONLAT)
-def utm_to_lonlat(x: pd.Series, y: pd.Series, zone: pd.Series) -> pd.DataFrame:
-    """Northern-hemisphere UTM metres to degrees (Krueger series, third order in n)."""
+def utm_to_lonlat(x: Column | str, y: Column | str, zone: Column | str) -> Column:
+    """Struct lon, lat of northern-hemisphere UTM metres, in degrees (Krueger series, third order in n)."""
+    x, y, zone = (F.col(c) if isinstance(c, str) else c for c in (x, y, zone))
     a, f = fixed.WGS84
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    xi = y.to_numpy(float) / (0.9996 * radius)
-    eta = (x.to_numpy(float) - 500_000.0) / (0.9996 * radius)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    xp = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(beta, 1))
-    ep = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(beta, 1))
-    chi = np.arcsin(np.sin(xp) / np.cosh(ep))
-    lat = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(delta, 1))
-    lon = np.arctan2(np.sinh(ep), np.cos(xp))
-    return pd.DataFrame({"lon": np.degrees(lon) + zone.to_numpy(float) * 6 - 183, "lat": np.degrees(lat)})
+
+    def on_sphere(m: Column) -> Column:
+        waves = [(b, 2 * j) for j, b in enumerate(beta, 1)]
+        xi, eta = m["xi"], m["eta"]
+        return F.struct(sum((-b * F.sin(j * xi) * F.cosh(j * eta) for b, j in waves), xi).alias("xi"), sum((-b * F.cos(j * xi) * F.sinh(j * eta) for b, j in waves), eta).alias("eta"))
+
+    def geographic(s: Column) -> Column:
+        chi = F.asin(F.sin(s["xi"]) / F.cosh(s["eta"]))
+        lat = sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), chi)
+        return F.struct((F.degrees(F.atan2(F.sinh(s["eta"]), F.cos(s["xi"]))) + zone * 6 - 183).alias("lon"), F.degrees(lat).alias("lat"))
+
+    metres = F.struct((y.cast("double") / (0.9996 * radius)).alias("xi"), ((x.cast("double") - 500_000.0) / (0.9996 * radius)).alias("eta"))
+    return F.transform(F.transform(F.array(metres), on_sphere), geographic)[0]
 
 
 def box_corners(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight import fixed
-from tidelight.functions.geo import geodesic, grid_cell
+from tidelight.functions.geo import affine_xy, geodesic, grid_cell, utm_to_lonlat
 from tidelight.functions.maths import box_shape, size_class
 from tidelight.operators.cells import suppress
 from tidelight.operators.greedy import match_one_to_one
 from tidelight.operators.guards import DataError, first_reason
-from tidelight.operators.ordered import RN, number_rows
+from tidelight.operators.ordered import RN, meet, number_rows
 from tidelight.session import cut
 
 
@@ -72,6 +72,47 @@ def to_detection(boxes: DataFrame, res_m: float, detector: str) -> DataFrame:
         "detector": F.lit(detector)})
 
 
+CORNERS = ("ul", "ur", "lr", "ll")
+NIR_FIELDS = ("nir_peak", "nir_x_water", "nir_bright_px", "nir_fill", "nir_support", "possible_false_positive", "nir_threshold_rho")
+RUN_FIELDS = ("slice_px", "imgsz", "conf_threshold", "channel_order", "weights_file")
+CORNER_FIELDS = (
+    "scene_id", "acq_time_utc", "detection_id", "confidence", *[f"{c}_{a}" for c in CORNERS for a in ("lon", "lat")], *[f"{c}_{a}" for c in CORNERS for a in "xy"],
+    "centroid_lon", "centroid_lat", "centroid_x", "centroid_y", "range_m", "range_km", "bearing_deg_from_hydrophone", "bbox_w_m", "bbox_h_m", "length_m", "aspect_ratio",
+    "area_m2", "size_class", "dist_to_scene_edge_m", *NIR_FIELDS, *RUN_FIELDS)
+
+
+def corner_records(boxes: DataFrame, res_m: float, zone: int, transform: dict[str, Column], origin: tuple[float, float],
+                   shape: tuple[Column, Column] | None = None, evidence: bool = True, run: dict | None = None) -> DataFrame:
+    """One row of ``CORNER_FIELDS`` per box; no box is dropped.
+
+    ``boxes``: scene_id, acq_time_utc, box, x1, y1, x2, y2, score and, with ``evidence``, the columns of ``raster.box_support`` and ``threshold``. Boxes of a scene are
+    boat_1, boat_2 and on by falling score (then by box). ``shape`` is (height, width) in pixels; ``run`` has the settings of the detector. What is
+    not known is NULL; without ``evidence`` its columns are left out.
+    """
+    o = number_rows(boxes, ["scene_id"], [-F.col("score"), F.col("box")]).rows
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
+    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+    points = {"ul": (x1, y1), "ur": (x2, y1), "lr": (x2, y2), "ll": (x1, y2), "centroid": (cx, cy)}
+    for name, (c, r) in points.items():
+        x, y = affine_xy(c, r, transform)
+        o = o.withColumns({f"_{name}_x": x, f"_{name}_y": y}).withColumn(f"_{name}", utm_to_lonlat(F.col(f"_{name}_x"), F.col(f"_{name}_y"), F.lit(zone)))
+    o = o.withColumn("_g", geodesic(F.lit(origin[0]), F.lit(origin[1]), F.col("_centroid.lon"), F.col("_centroid.lat")))
+    w, h = (x2 - x1) * res_m, (y2 - y1) * res_m
+    s = box_shape(w, h)
+    out = {"detection_id": F.concat(F.lit("boat_"), F.col(RN) + 1), "confidence": F.round("score", 4)}
+    for name in points:
+        out |= {f"{name}_lon": F.round(f"_{name}.lon", 6), f"{name}_lat": F.round(f"_{name}.lat", 6), f"{name}_x": F.round(f"_{name}_x", 2), f"{name}_y": F.round(f"_{name}_y", 2)}
+    edge = F.lit(None).cast("double") if shape is None else F.round(F.least(cx, cy, shape[1] - cx, shape[0] - cy) * res_m, 1)
+    out |= {"range_m": F.round("_g.m", 1), "range_km": F.round(F.col("_g.m") / 1000, 3), "bearing_deg_from_hydrophone": F.round("_g.azimuth_deg", 2),
+            "bbox_w_m": F.round(w, 1), "bbox_h_m": F.round(h, 1), "length_m": F.round(s["length_m"], 1), "aspect_ratio": F.round(s["aspect_ratio"], 2),
+            "area_m2": F.round(w * h, 1), "size_class": size_class(s["length_m"]), "dist_to_scene_edge_m": edge}
+    if evidence:
+        out |= {"nir_peak": F.col("nir_peak"), "nir_x_water": F.round("nir_x_water", 1), "nir_bright_px": F.col("bright_px"), "nir_fill": F.round("nir_fill", 3),
+                "nir_support": F.col("nir_support"), "possible_false_positive": F.col("possible_false_positive"), "nir_threshold_rho": F.round("threshold", 5)}
+    out |= {c: F.lit((run or {}).get(c)) for c in RUN_FIELDS}
+    return o.select(*[out.get(c, F.col(c)).alias(c) for c in CORNER_FIELDS if evidence or c not in NIR_FIELDS])
+
+
 def with_range(detections: DataFrame, origin_lon: float, origin_lat: float) -> DataFrame:
     """Geodesic range and bearing from the sensor."""
     d = detections.withColumn("_g", geodesic(F.lit(origin_lon), F.lit(origin_lat), F.col("lon").cast("double"), F.col("lat").cast("double")))
@@ -136,6 +177,14 @@ def match_by_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: fl
     pairs = near_pairs(pa, pb, keys, tol_m, tol_m)
     rank = [F.col("d"), F.col("a"), F.col("b")]
     flows = cut(match_one_to_one(pairs, keys, rank, rank, F.col("na"), F.col("nb"), **limits), "flows")
+    single = (F.col("na") == 1) & (F.col("nb") == 1)  # the place's id is its only row's
+    alone = flows.where(single).select(*keys, "a", "b", "d")
+    piles = flows.where(~single)
+    return alone if piles.isEmpty() else alone.unionByName(_handed_out(piles, a, b, keys))
+
+
+def _handed_out(flows: DataFrame, a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs (a, b, d) of rows for flows between places of several rows, in id order on both sides."""
 
     def earlier(side: str) -> Column:  # units a place gave to nearer places; a place has few neighbours
         w = Window.partitionBy(*keys, side).orderBy("d", "a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +198,8 @@ def match_by_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], tol_m: fl
 
     def members(df: DataFrame, side: str) -> DataFrame:
         at = [*keys, f"{side}x", f"{side}y"]
-        return number_rows(df.select(*at, side), at, [side]).rows.select(*at, side, F.col(RN).alias(f"_p{side}"))
+        here = meet(df.select(*at, side), flows.select(*at).distinct(), at, "left_semi")
+        return number_rows(here, at, [side]).rows.select(*at, side, F.col(RN).alias(f"_p{side}"))
 
     out = units.join(members(a, "a"), [*keys, "ax", "ay", "_pa"]).join(members(b, "b"), [*keys, "bx", "by", "_pb"])
     return out.select(*keys, "a", "b", "d")

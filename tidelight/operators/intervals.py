@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelight import fixed
 from tidelight.functions.times import epoch_s, floor_grid
+from tidelight.operators.guards import refuse
 from tidelight.operators.ordered import Ordered, number_rows
 
 
@@ -52,15 +53,18 @@ def prefer_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ta
     return df.join(best, [*keys]).withColumn(tag, F.col("_best") == pick).drop("_best")
 
 
-def file_index(files: DataFrame, device: str, rank: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def file_index(files: DataFrame, device: str, rank: Column | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Parse names, then split into (one row per start, rejected or duplicate rows with a reason).
 
-    Compressed copies win over plain ones, earlier containers over later ones.
+    Compressed copies win over plain ones, earlier containers over later ones. With ``strict`` a name of the own device
+    that does not parse stops the job instead of becoming a row; names of other devices are rows either way.
     """
     from tidelight.functions.times import file_interval
 
     parsed = files.withColumn("_p", file_interval(F.col("name"), device)).select(
         *files.columns, "_p.start_utc", "_p.end_utc", F.col("_p.problem").alias("reason"))
+    if strict:
+        refuse(parsed, {r: F.col("reason") == r for r in ("no_utc_stamp", "reversed")})
     good = parsed.where("reason IS NULL").drop("reason")
     order = ([rank] if rank is not None else []) + [F.when(F.col("name").endswith(".gz"), 0).otherwise(1), F.col("name")]
     flagged = prefer_first(good, ["start_utc"], order)

@@ -215,6 +215,32 @@ def box_corner_lonlat(t: Tables):
     return b.withColumn("ll", ll).select("box", "k.corner", F.round("ll.lon", 6).alias("lon"), F.round("ll.lat", 6).alias("lat"))
 
 
+_P5 = "(SELECT box, corner, 500000 + 3 * (c + 0.5) AS x, 5400000 - 3 * (r + 0.5) AS y FROM (SELECT box, unnest(['ul', 'ur', 'lr', 'll', 'centroid']) AS corner, unnest([x1, x2, x2, x1, (x1 + x2) / 2]) AS c, unnest([y1, y1, y2, y2, (y1 + y2) / 2]) AS r FROM bx))"
+_PV = "(SELECT box, " + ", ".join(f"max({v}) FILTER (WHERE corner = '{c}') AS {c}_{v}" for c in ("ul", "ur", "lr", "ll", "centroid") for v in ("lon", "lat", "x", "y")) + f" FROM ({geodesy.unproject(_P5, 'x', 'y', 10)}) GROUP BY 1)"
+_ORIGIN = (-122.9, 48.7)
+_SIZE = "greatest(x2 - x1, y2 - y1) * 3"
+RECORDS = f"""{UNDER}, gd AS ({geodesy.inverse(_PV, repr(_ORIGIN[0]), repr(_ORIGIN[1]), 'centroid_lon', 'centroid_lat')}), nb AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, box) AS i FROM bx)
+SELECT nb.scene_id, 'T' || nb.scene_id AS acq_time_utc, 'boat_' || i AS detection_id, round(score, 4) AS confidence, {', '.join(f'round({c}_{v}, {6 if v in ("lon", "lat") else 2}) AS {c}_{v}' for c in ('ul', 'ur', 'lr', 'll', 'centroid') for v in ('lon', 'lat', 'x', 'y'))},
+round(m, 1) AS range_m, round(m / 1000, 3) AS range_km, round(azimuth_deg, 2) AS bearing_deg_from_hydrophone, round((x2 - x1) * 3, 1) AS bbox_w_m, round((y2 - y1) * 3, 1) AS bbox_h_m, round({_SIZE}, 1) AS length_m,
+round({_SIZE} / greatest(least(x2 - x1, y2 - y1) * 3, 1e-6), 2) AS aspect_ratio, round((x2 - x1) * 3 * ((y2 - y1) * 3), 1) AS area_m2, CASE WHEN {_SIZE} < 12 THEN '0-12m' WHEN {_SIZE} < 24 THEN '12-24m' ELSE '>24m' END AS size_class,
+round(least((x1 + x2) / 2, (y1 + y2) / 2, 64 - (x1 + x2) / 2, 64 - (y1 + y2) / 2) * 3, 1) AS dist_to_scene_edge_m, un.nir_peak, round(CASE WHEN n_px > 0 AND un.med > 0 THEN un.nir_peak / un.med END, 1) AS nir_x_water,
+bright_px AS nir_bright_px, round(coalesce(bright_px / nullif(n_px, 0), 0), 3) AS nir_fill, CASE WHEN bright_px = 0 THEN 'none' WHEN bright_px <= 2 THEN 'weak' ELSE 'strong' END AS nir_support, CAST(bright_px = 0 AS INTEGER) AS possible_false_positive,
+round(threshold, 5) AS nir_threshold_rho, 640 AS slice_px, 640 AS imgsz, 0.05 AS conf_threshold, 'bgr' AS channel_order, CAST(NULL AS VARCHAR) AS weights_file
+FROM nb JOIN un ON un.scene_id = nb.scene_id AND un.box = nb.box JOIN gd ON gd.box = nb.box LEFT JOIN tt ON tt.scene_id = nb.scene_id"""
+_REC_F = ["confidence", *[f"{c}_{v}" for c in ("ul", "ur", "lr", "ll", "centroid") for v in ("lon", "lat", "x", "y")], "range_m", "range_km", "bearing_deg_from_hydrophone", "bbox_w_m", "bbox_h_m",
+          "length_m", "aspect_ratio", "area_m2", "dist_to_scene_edge_m", "nir_x_water", "nir_fill", "nir_threshold_rho", "conf_threshold"]
+
+
+@query(f"WITH {RECORDS}", floats=_REC_F)
+def corner_records(t: Tables):
+    """Every box as a row of the 46 hand-off columns, numbered by falling score."""
+    p = t.pixels()
+    th = ra.robust_threshold(p.where("valid"), "nir", 2.0)
+    b = ra.box_support(t.boxes(), p, th).join(th.select("scene_id", "threshold"), "scene_id", "left").withColumn("acq_time_utc", F.concat(F.lit("T"), F.col("scene_id")))
+    tr = {"a": F.lit(3.0), "b": F.lit(0.0), "c": F.lit(500_000.0), "d": F.lit(0.0), "e": F.lit(-3.0), "f": F.lit(5_400_000.0)}
+    return de.corner_records(b, 3.0, 10, tr, _ORIGIN, (F.lit(64), F.lit(64)), run={"slice_px": 640, "imgsz": 640, "conf_threshold": 0.05, "channel_order": "bgr"})
+
+
 _AXIS = "list_distinct(list_concat(generate_series(0, greatest(0, {e} - 20), 16), [greatest(0, {e} - 20)]))"
 
 

@@ -384,7 +384,12 @@ def elevated_periods_per_band(t: Tables):
                                    F.max("peak_excess").alias("peak_excess"), F.sum("duration_s").alias("duration_s"))
 
 
-@query(f"""WITH s AS (SELECT c_name AS scene_id, c_custkey AS k FROM customer) SELECT prefix, arg_min(scene_id, (k, scene_id)) AS scene_id, min(k) AS k FROM (SELECT *, substr(trim(scene_id), 1, 17) AS p17, substr(trim(scene_id), 1, 13) AS prefix FROM s) GROUP BY 1""")
+_STAMP = "printf('2023%02d%02d_%02d%02d', 1 + c_nationkey % 12, 1 + c_custkey % 28, 18 + c_custkey % 3, c_custkey % 20)"
+
+
+@query(f"""WITH s AS (SELECT '  ' || {_STAMP} || '_' || c_custkey || '_1008 ' AS scene_id, c_custkey AS k FROM customer) SELECT substr(trim(scene_id), 1, 13) AS prefix, arg_min(scene_id, (k, scene_id)) AS scene_id, min(k) AS k FROM s GROUP BY 1""")
 def first_scene_per_prefix(t: Tables):
-    s = t.raw("customer").select(F.col("c_name").alias("scene_id"), F.col("c_custkey").alias("k"))
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    stamp = F.format_string("2023%02d%02d_%02d%02d", 1 + n % 12, 1 + k % 28, 18 + k % 3, k % 20)
+    s = t.raw("customer").select(F.concat(F.lit("  "), stamp, F.lit("_"), k, F.lit("_1008 ")).alias("scene_id"), k.alias("k"))
     return es.first_per_prefix(s, "scene_id", "k")

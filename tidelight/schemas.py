@@ -29,6 +29,10 @@ SCENE_CLASSES = _s(
     "scene_id string, acq_time_utc string, n_detections bigint, dominance double, class string, r_dominant_km double, "
     "wake_flag_dominant int, verified int")
 EVENTS = _s("scene_id string, band string, t_start double, t_peak double, duration_s double, peak_excess double")
+EVENTS_LONG = _s(
+    "scene_id string, band string, n_frames bigint, n_events bigint, n_events_merged bigint, n_events_shuffled bigint, "
+    "n_events_shuffled_merged bigint, n_events_shifted bigint, n_events_shifted_merged bigint, baseline double, peak_excess double, "
+    "duration_s double, n_outside bigint, note string")
 REVIEW = _s(
     "scene_id string, acquired_utc timestamp, coverage string, band string, event_peak_utc timestamp, minutes_from_acquisition double, "
     "duration_s double, peak_excess double, baseline double, reviewer_notes string")

@@ -73,7 +73,15 @@ def write_population(folder: str, hist: DataFrame, median_spectra: DataFrame, wi
     window_stats.write.parquet(f"{folder}/window_stats", mode="errorifexists")
 
 
-def write_events(long: DataFrame, wide: DataFrame, folder: str) -> None:
+def events_wide_schema(bands: Sequence[str]) -> T.StructType:
+    """One count per band, and their total over the detection bands."""
+    counts = [*(f"n_{b}" for b in bands), "total_detection_events"]
+    return T.StructType([T.StructField("scene_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in counts]])
+
+
+def write_events(long: DataFrame, wide: DataFrame, folder: str, bands: Sequence[str]) -> None:
+    """Both tables with their fixed columns and types; a table that differs stops the job before anything is written."""
+    long, wide = require_schema(long, schemas.EVENTS_LONG), require_schema(wide, events_wide_schema(bands))
     long.write.parquet(f"{folder}/events_long", mode="errorifexists")
     wide.write.parquet(f"{folder}/events_wide", mode="errorifexists")
 

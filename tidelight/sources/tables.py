@@ -13,10 +13,16 @@ from tidelight.functions.times import HAS_OFFSET, parse_utc, require_offset
 from tidelight.operators.guards import DataError, refuse
 
 
-def read_text_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """CSV with every value as trimmed text and trimmed header names; blank values become NULL."""
+def read_text_csv(spark: SparkSession, path: str, required: Sequence[str], place: str | None = None) -> DataFrame:
+    """CSV with every value as trimmed text and trimmed header names; blank values become NULL.
+
+    ``place`` adds a column that orders rows as they lie in the files: file name, first byte of the block a task read, and
+    a running number inside the block. It does not depend on how blocks are dealt to tasks.
+    """
     raw = spark.read.option("header", "true").csv(path)
-    out = raw.select(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`"))).alias(c.strip()) for c in raw.columns])
+    texts = [F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`"))).alias(c.strip()) for c in raw.columns]
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    out = raw.select(*texts, *([at.alias(place)] if place else []))
     missing = [c for c in required if c not in out.columns]
     if missing:
         raise DataError(f"{path}: missing columns {missing}")
@@ -35,16 +41,18 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Human labels, the last row of a scene winning. An absent file gives no rows, a bad row an error."""
+    """Human labels, the last row of a scene winning: of several files that of the greatest name, inside a file the lowest line.
+
+    An absent file gives no rows, a bad row an error.
+    """
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         return spark.createDataFrame([], schemas.LABELS)
-    raw = read_text_csv(spark, path, ["scene_id", "acquired_utc", "area_km2"])
+    placed = read_text_csv(spark, path, ["scene_id", "acquired_utc", "area_km2"], "_place")
+    raw = placed.drop("_place")
     refuse(raw, {
         "empty_scene_id": F.col("scene_id").isNull(), "no_utc_offset": ~F.coalesce(F.col("acquired_utc").rlike(HAS_OFFSET), F.lit(False)),
         "no_area": F.col("area_km2").isNull(), "bad_area": F.col("area_km2").isNotNull() & F.col("area_km2").try_cast("double").isNull()})
-    # Label files are read by one task per file split; the running id follows the order in the file.
-    placed = raw.withColumn("_place", F.monotonically_increasing_id())
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in raw.columns and f.name != "acquired_utc" else
             (parse_utc(F.col("acquired_utc")).alias(f.name) if f.name == "acquired_utc" else F.lit(None).cast(f.dataType).alias(f.name))
             for f in schemas.LABELS]

@@ -19,7 +19,7 @@ from tidelight.operators import intervals as iv
 from tidelight.operators import raster as ra
 from tidelight.operators import reports, spectra as sp
 from tidelight.operators.guards import DataError, column_difference, require_matched
-from tidelight.operators.scoring import score_tiles
+from tidelight.operators.scoring import halo_tiles, score_overlapping, score_tiles
 
 BAND = {"small_craft": fixed.BANDS["small_craft"][:2]}
 
@@ -492,6 +492,26 @@ def test_tiles_without_valid_pixels_are_skipped(spark):
     assert [tuple(r) for r in got] == [("s", 0.0, 0.0, 1.0, 1.0, 1.0)]
 
 
+def test_a_box_on_a_seam_is_found_once(spark):
+    bright = {(10, 19): 900, (10, 20): 900, (40, 5): 700}
+    px = spark.createDataFrame([("s", r, c, bright.get((r, c), 1), True) for r in range(45) for c in range(37)], "scene_id string, row int, col int, nir int, valid boolean")
+    scenes = spark.createDataFrame([("s", 45, 37)], "scene_id string, height int, width int")
+
+    def model(p):
+        hot = p[p["nir"] > 500]
+        return [(float(c - p["x0"].iloc[0]) - 2, float(r - p["y0"].iloc[0]) - 2, float(c - p["x0"].iloc[0]) + 3, float(r - p["y0"].iloc[0]) + 3, float(v)) for r, c, v in hot[["row", "col", "nir"]].to_numpy()]
+
+    tiles = halo_tiles(px, scenes, 20, 0.2)
+    starts = {(r.y0, r.x0) for r in tiles.select("y0", "x0").distinct().collect()}
+    assert starts == {(y, x) for y in (0, 16, 25) for x in (0, 16, 17)}
+    assert {r["count"] for r in tiles.groupBy("y0", "x0").count().collect()} == {400}
+    got = score_overlapping(px, scenes, model, 20, 0.2, iou=0.4)
+    # the two neighbours overlap by 0.67, so one of them stays, once; the lone pixel too
+    assert sorted((r.x1, r.y1, r.score) for r in got.collect()) == [(3.0, 38.0, 700.0), (18.0, 8.0, 900.0)]
+    small = spark.createDataFrame([("t", r, c, 1, True) for r in range(3) for c in range(4)], "scene_id string, row int, col int, nir int, valid boolean")
+    assert halo_tiles(small, spark.createDataFrame([("t", 3, 4)], "scene_id string, height int, width int"), 20, 0.2).select("y0", "x0").distinct().collect() == [(0, 0)]
+
+
 def test_reflectance_coefficients_must_pair_up(spark):
     from tidelight.functions.text import band_coefficients
 

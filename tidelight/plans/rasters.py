@@ -250,19 +250,28 @@ def scoring_tiles(t: Tables):
     return geo.image_tiles(s, 20, 0.2, ("scene_id",))
 
 
-@query(f"""WITH {PIXELS}, g AS (SELECT scene_id, row // 16 AS ty, col // 16 AS tx, CAST(sum(CASE WHEN valid THEN nir ELSE 0 END) AS BIGINT) AS s, count(*) FILTER (WHERE valid) AS n FROM px WHERE clear GROUP BY 1, 2, 3) SELECT scene_id, ty * 16 AS y1, tx * 16 AS x1, s / n AS score FROM g WHERE n > 0 AND s / n > 50""", floats=["score"])
-def tiled_scoring(t: Tables):
-    """A user's scorer on every tile with valid pixels; boxes move back to scene pixels."""
-    from tidelight.operators.scoring import score_tiles
+TILED = f"""{PIXELS}, ax(s) AS (VALUES (0), (16), (32), (44)), tp AS (SELECT px.*, y.s AS y0, x.s AS x0 FROM px JOIN ax y ON row BETWEEN y.s AND y.s + 19 JOIN ax x ON col BETWEEN x.s AND x.s + 19),
+bt AS (SELECT scene_id, y0, x0, max(nir) AS score, arg_max(row, (nir, -row, -col)) AS r, arg_max(col, (nir, -row, -col)) AS c FROM tp WHERE valid GROUP BY 1, 2, 3),
+fb AS (SELECT scene_id, (y0::BIGINT * 1048576 + x0) * 1048576 AS box, c - 2 AS x1, r - 2 AS y1, c + 3 AS x2, r + 3 AS y2, score FROM bt),
+cf AS (SELECT scene_id * 1000000000000000::HUGEINT + a.box AS winner, scene_id * 1000000000000000::HUGEINT + b.box AS loser FROM fb a JOIN fb b USING (scene_id) WHERE (a.score, a.box) > (b.score, b.box)
+  AND greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / (50 - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) + 1e-9) >= 0.4),
+st(kind, winner, loser) AS (SELECT 'open', winner, loser FROM cf UNION ALL (WITH o AS (SELECT winner, loser FROM st WHERE kind = 'open'), lost AS (SELECT DISTINCT loser FROM o WHERE winner NOT IN (SELECT loser FROM o))
+  SELECT 'lost', NULL, loser FROM lost UNION ALL SELECT 'open', winner, loser FROM o WHERE loser NOT IN (SELECT loser FROM lost) AND winner NOT IN (SELECT loser FROM lost)))"""
+
 
-    p = t.pixels().where("clear").withColumn("y0", F.floor(F.col("row") / 16) * 16).withColumn("x0", F.floor(F.col("col") / 16) * 16)
+@query(f"""WITH RECURSIVE {TILED} SELECT scene_id, x1, y1, x2, y2, score FROM fb WHERE scene_id * 1000000000000000::HUGEINT + box NOT IN (SELECT loser FROM st WHERE kind = 'lost')""", floats=["x1", "y1", "x2", "y2", "score"])
+def tiled_scoring(t: Tables):
+    """A user's scorer (here the brightest valid pixel) on overlapping tiles over all pixels; what two tiles find of one object counts once."""
+    from tidelight.operators.scoring import score_overlapping
 
     def model(pixels):
-        s = float(pixels.loc[pixels["valid"], "nir"].mean())
-        return [(0.0, 0.0, 16.0, 16.0, s)] if s > 50 else []
+        p = pixels[pixels["valid"]].sort_values(["nir", "row", "col"], ascending=[False, True, True])
+        r, c = float(p["row"].iloc[0] - p["y0"].iloc[0]), float(p["col"].iloc[0] - p["x0"].iloc[0])
+        return [(c - 2, r - 2, c + 3, r + 3, float(p["nir"].iloc[0]))]
 
-    out = score_tiles(p.select("scene_id", "y0", "x0", "row", "col", "nir", "valid"), model)
-    return out.select("scene_id", F.col("y1").cast("bigint").alias("y1"), F.col("x1").cast("bigint").alias("x1"), "score")
+    px = t.pixels().select("scene_id", "row", "col", "nir", "valid")
+    scenes = px.select("scene_id").distinct().withColumns({"height": F.lit(64), "width": F.lit(64)})
+    return score_overlapping(px, scenes, model, 20, 0.2, iou=0.4)
 
 
 @query("""WITH d AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a/20230715_190458_12_2439_3B_AnalyticMS_SR_clip.tif' WHEN 1 THEN 'b/c/20200730_184501_1009_3B_AnalyticMS_clip.tif' ELSE 'x/scene_Visual.tif' END AS path FROM pages)

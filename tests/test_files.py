@@ -90,6 +90,24 @@ def test_hashes_cover_decompressed_bytes(spark, corpus):
     assert find[_name(10, ".fft")] == "no_record"
 
 
+def test_whole_numbers_are_read_as_a_general_reader_does():
+    rng = np.random.default_rng(4)
+    for low, high in ((0, 100), (0, 9), (-50, 9999), (-32768, 32767)):
+        values = rng.integers(low, high + 1, 500)
+        for between in (" ", "\n", " \t ", "\r\n"):
+            text = (between + between.join(map(str, values)) + between).encode()
+            got = fl._whole_numbers(text)
+            if np.abs(values).max() < 10**5:
+                assert got is not None and np.array_equal(got, values)
+            assert np.array_equal(fl._levels(text, 50, 10), values)
+    assert np.array_equal(fl._levels(b"007 -0 +5 1e1 2.0 30000", 1, 6), [7, 0, 5, 10, 2, 30000])
+    for text in (b"", b"1 2 x", b"1 - 2", b"1-2", b"--1", b"1 -", b"123456", b"1.5", b"\x001"):
+        assert fl._whole_numbers(text) is None
+    for bad in (b"1 2 x", b"1 - 2", b"1-2", b"123456 1 2", b"1.5 1 2", b"40000 1 2", b"1 2"):
+        with pytest.raises(ValueError):
+            fl._levels(bad, 1, 3)
+
+
 def test_index_prefers_gz_and_first_container(spark):
     rows = [("A_20240501T100000.000Z.fft", 0), ("A_20240501T100000.000Z.fft.gz", 0), ("A_20240501T100500.000Z.fft", 0), ("A_20240501T100500.000Z.fft.gz", 1),
             ("A_20240501T101000.000Z_20240501T100900.000Z.fft", 0), ("A_20240501T101000.fft", 0), ("B_20240501T100000.000Z.fft", 0),

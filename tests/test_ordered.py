@@ -211,3 +211,35 @@ def test_of_equal_places_one_stays(spark):
     for reach in (1, 1000):
         kept = ev.apart(df, ["k"], "mid", 3, [-F.col("height")], reach=reach)
         assert table(kept, "k", "mid", "height") == [("a", 5, 2.0), ("a", 9, 1.5), ("b", 5, 1.0)]
+
+
+def test_prominences_of_ten_million_points(spark):
+    n, every = 10_000_000, 9973
+    i = F.col("id")
+    height = (i * 7919 + (i * i) % 104_729 + F.floor(i / 40) % 90_001) % 1_000_003
+    points = spark.range(n).select(F.lit("a").alias("k"), i.alias("n"), i.alias("mid"), F.when(i > 0, height).cast("double").alias("height"), ((i * 104_659) % 999_983 - 1_000_000).cast("double").alias("valley"))
+    got = {r.mid: r.prominence for r in ev.prominences(points, ["k"], points.where((i > 0) & (i % every == 0))).collect()}
+    k = np.arange(n, dtype=np.int64)
+    h, v = (k * 7919 + k * k % 104_729 + k // 40 % 90_001) % 1_000_003, k * 104_659 % 999_983 - 1_000_000
+    h[0] = -1
+    size = 4096
+    tops = np.maximum.reduceat(h, np.arange(0, n, size))
+
+    def higher(at, step):  # the next point above on one side, block by block
+        b = at // size
+        here = np.arange(at + 1, min(n, (b + 1) * size)) if step > 0 else np.arange(at - 1, b * size - 1, -1)
+        hit = np.flatnonzero(h[here] > h[at])
+        if len(hit):
+            return here[hit[0]]
+        far = np.flatnonzero(tops[b + 1 :] > h[at]) if step > 0 else np.flatnonzero(tops[:b][::-1] > h[at])
+        if not len(far):
+            return None
+        c = b + 1 + far[0] if step > 0 else b - 1 - far[0]
+        there = np.arange(c * size, min(n, (c + 1) * size))[::step]
+        return there[np.flatnonzero(h[there] > h[at])[0]]
+
+    assert len(got) == (n - 1) // every
+    for at, prominence in got.items():
+        a, z = higher(at, -1), higher(at, 1)
+        left, right = v[(0 if a is None else a) : at].min(), v[at : n if z is None else z].min()
+        assert prominence == h[at] - max(left, right)

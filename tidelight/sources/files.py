@@ -37,17 +37,53 @@ def _payload(raw: bytes) -> bytes:
     return gzip.decompress(raw) if raw[:2] == fixed.GZIP_MAGIC else raw
 
 
+#: What a byte of a file may be: 1 a digit, 2 white space, 3 a minus sign, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"0123456789")], _KIND[list(b" \t\n\r\v\f")], _KIND[ord("-")] = 1, 2, 3
+_DIGITS = 5  # digits of the largest small integer
+
+
+def _whole_numbers(text: bytes) -> np.ndarray | None:
+    """The numbers of a text of whole numbers and white space, digit by digit over all numbers at once; None if it holds anything else."""
+    raw = np.frombuffer(text, np.uint8)
+    kind = _KIND[raw]
+    if not len(raw) or not kind.all():
+        return None
+    digit = np.zeros(len(raw) + 2, bool)
+    digit[1:-1] = kind == 1
+    edges = np.flatnonzero(digit[1:] != digit[:-1])  # numbers begin and end in turn
+    begin, end = edges[::2], edges[1::2]
+    length = (end - begin).astype(np.int8) if len(end) and (end - begin).max() <= _DIGITS else None
+    if length is None:
+        return None
+    digits = raw & np.uint8(15)
+    value = digits[end - 1].astype(np.int32)
+    for k in range(1, int(length.max())):
+        value += np.where(length > k, digits[end - 1 - k], 0).astype(np.int32) * np.int32(10**k)
+    minus = np.flatnonzero(kind == 3)
+    if len(minus):  # a sign stands before a number and behind white space
+        signed = np.searchsorted(begin, minus + 1)
+        if (minus == len(raw) - 1).any() or not np.array_equal(begin[np.minimum(signed, len(begin) - 1)], minus + 1) or (kind[minus[minus > 0] - 1] != 2).any():
+            return None
+        value[signed] *= -1
+    return value
+
+
 def _levels(raw: bytes, n_frames: int, n_bins: int) -> np.ndarray:
     """All levels of a file in row-major order, as small integers."""
     text = _payload(raw)
-    with warnings.catch_warnings():
-        warnings.simplefilter("error")  # text that is not a number must not end the scan quietly
-        try:
-            values = np.fromstring(text, dtype=np.float64, sep=" ")
-        except (DeprecationWarning, ValueError) as exc:
-            raise ValueError("holds text that is not a number") from exc
+    values = _whole_numbers(text)
+    if values is None:  # fractions, exponents, long numbers or something that is no number
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # text that is not a number must not end the scan quietly
+            try:
+                values = np.fromstring(text, dtype=np.float64, sep=" ")
+            except (DeprecationWarning, ValueError) as exc:
+                raise ValueError("holds text that is not a number") from exc
     if values.size != n_frames * n_bins:
         raise ValueError(f"holds {values.size} values, expected {n_frames * n_bins}")
+    if values.dtype == np.int32 and -(1 << 15) <= values.min() and values.max() < 1 << 15:
+        return values.astype(np.int16)
     if not np.isfinite(values).all():
         raise ValueError("holds values that are not finite")
     out = values.astype(np.int16)

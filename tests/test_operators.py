@@ -258,6 +258,26 @@ def test_suppression_with_copies_matches_a_sequential_pass(spark):
         assert sorted(r.box for r in got.collect()) == sorted(r[1] for r in kept)
 
 
+def test_a_pile_of_boxes_is_not_paired(spark):
+    """10^5 boxes in one cell: all pairs would be 5 * 10^9."""
+    n = 100_000
+    i = F.col("id")
+    at = lambda k, size: ((i * k) % 10_007) / 10_007 * size
+    d = spark.range(n).select(F.lit("s").alias("scene_id"), i.alias("box"), ((i * 7919) % 100_003).cast("double").alias("score"), at(31, 10).alias("x1"), at(57, 10).alias("y1"), (at(91, 10) + 10).alias("w"), (at(13, 10) + 10).alias("h"))
+    d = d.select("scene_id", "box", "score", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
+    got = sorted(r.box for r in de.suppress_overlaps(d, ["scene_id"]).collect())
+    rows = np.array([tuple(r) for r in d.orderBy(F.desc("score"), F.desc("box")).select("box", "x1", "y1", "x2", "y2").collect()])
+    box, left, kept = rows[:, 1:], np.ones(n, bool), []
+    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    while left.any():
+        k = int(np.argmax(left))
+        kept.append(int(rows[k, 0]))
+        inter = np.clip(np.minimum(box[:, 2:], box[k, 2:]) - np.maximum(box[:, :2], box[k, :2]), 0, None).prod(axis=1)
+        left &= inter / (area + area[k] - inter + 1e-9) < fixed.NMS_IOU
+        left[k] = False
+    assert got == sorted(kept)
+
+
 # ---- rasters -------------------------------------------------------------------------------------
 
 def _pixels(spark, grid, valid=None):

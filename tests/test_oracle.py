@@ -7,6 +7,8 @@ from tests.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Queries that rightly have no rows on the smallest tables.
+EMPTY_HERE: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,7 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in SQL:
         found = differences(df, con, SQL[name])
-        assert found is None or found.startswith("EMPTY"), found
+        assert found is None or (name in EMPTY_HERE and found.startswith("EMPTY")), found
     else:
         assert df.count() >= 0
 

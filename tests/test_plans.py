@@ -16,13 +16,33 @@ def plan_of(spark, name):
 
 @pytest.mark.parametrize("name", ["window_files", "window_coverage", "uptime_bins", "deployment_of_bin", "matched_by_distance", "hulls_by_fill", "detector_agreement",
                                   "box_evidence", "box_shore_distance", "label_shuffle_summary", "split_half_summary", "scene_wide_table", "sweep_counts",
-                                  "stratified_batch", "passages_found", "band_split_counts", "band_cluster_counts"])
+                                  "stratified_batch", "passages_found", "band_split_counts", "band_cluster_counts", "asset_sweep_best", "corner_records", "aoi_coverage"])
 def test_no_nested_loops(spark, name):
     text = plan_of(spark, name)
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["aoi_coverage", "aoi_containment", "passages_found", "peak_prominences", "suppressed_boxes", "asset_sweep_counts", "label_shuffle_null", "box_corner_lonlat"])
+def test_no_python_workers(spark, name, monkeypatch):
+    """Neither in the final plan nor in that of a table written on the way."""
+    import sys
+
+    from tidelight import session
+
+    plans, real = [], session.cut
+
+    def cut(df, label="cut"):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df, label)
+
+    for module in list(sys.modules.values()):
+        if getattr(module, "__name__", "").startswith("tidelight.") and getattr(module, "cut", None) is real:
+            monkeypatch.setattr(module, "cut", cut)
+    plans.append(plan_of(spark, name))
+    assert not [p for p in plans if re.search("EvalPython|InPandas|InArrow", p.split("== Physical Plan ==")[1])]
+
+
 def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<embedding:array<float>,label:int>" in plan_of(spark, "level_histogram")
     text = plan_of(spark, "stratified_batch")

@@ -15,6 +15,8 @@ from tidelight import fixed
 from tidelight.operators.greedy import components, spread_minimum
 from tidelight.session import cut
 
+TILE = 64  # columns of a raster row that are read together
+
 
 def runs_of(pixels: DataFrame, flag: Column) -> DataFrame:
     """Horizontal runs (scene_id, row, c0, c1) of flagged pixels; a raster row is bounded by its width."""
@@ -270,8 +272,8 @@ def water_quantile(peaks: DataFrame, masked: DataFrame, value: str = "nir", peak
 def shore_distance(boxes: DataFrame, masked: DataFrame, height: int, width: int, res_m: float) -> DataFrame:
     """Exact distance in metres from each box centre to the nearest non-water pixel, NULL in all-water scenes.
 
-    First the vertical distance to non-water inside each raster column, then the best column along
-    the centre's row: one row of pixels per box instead of all shore pixels.
+    First the vertical distance to non-water inside each raster column. That of the centre's own column bounds the answer, so
+    only columns this near are looked at along the centre's row, tile by tile; all of them if the own column has no shore.
     """
     up = Window.partitionBy("scene_id", "col").orderBy("row")
     down = Window.partitionBy("scene_id", "col").orderBy(F.desc("row"))
@@ -283,8 +285,12 @@ def shore_distance(boxes: DataFrame, masked: DataFrame, height: int, width: int,
     c = F.greatest(F.lit(0), F.least(F.bround((F.col("x1") + F.col("x2")) / 2, 0).cast("int"), F.lit(width - 1)))
     b = boxes.select("scene_id", "box", r.alias("_row"), c.alias("_c"))
     spots = b.select("scene_id", "_row", "_c").distinct()
+    own = v.select("scene_id", "_row", F.col("_col").alias("_c"), F.col("g").alias("_most"))
+    near = spots.join(own, ["scene_id", "_row", "_c"], "left")
+    first, last = F.greatest(F.lit(0), F.coalesce(F.col("_c") - F.col("_most"), F.lit(0))), F.least(F.lit(width - 1), F.coalesce(F.col("_c") + F.col("_most"), F.lit(width - 1)))
+    near = near.select("scene_id", "_row", "_c", F.explode(F.sequence(F.floor(first / TILE), F.floor(last / TILE))).alias("_tile"))
     d2 = F.pow(F.col("_col") - F.col("_c"), 2) + F.pow(F.col("g"), 2)
-    best = spots.join(v, ["scene_id", "_row"]).groupBy("scene_id", "_row", "_c").agg((F.sqrt(F.min(d2)) * res_m).alias("shore_m"))
+    best = near.join(v.withColumn("_tile", F.floor(F.col("_col") / TILE)), ["scene_id", "_row", "_tile"]).groupBy("scene_id", "_row", "_c").agg((F.sqrt(F.min(d2)) * res_m).alias("shore_m"))
     return boxes.join(b.join(best, ["scene_id", "_row", "_c"], "left").select("scene_id", "box", "shore_m"), ["scene_id", "box"], "left")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidelight import fixed
 from tidelight.functions.maths import closeness, cosine, partial_r, safe_corr
-from tidelight.operators.events import apart, find_events, merge_events, passages, prominent_peaks, smooth_mean, smooth_mean_or_median
+from tidelight.operators.events import apart, merge_events, ordered_events, passages, prominent_peaks, smooth_mean, smooth_mean_or_median
 from tidelight.operators.greedy import keep_greedily
 from tidelight.operators.ordered import BLOCK, RN, Ordered, meet, nearest_rows, number_rows
 from tidelight.operators.spectra import baselines
@@ -65,7 +65,7 @@ def registry(keys: Sequence[str], order: Sequence[str], at: str, frame_s: float
         return lv.select(*k).distinct()
 
     def events(lv):
-        return find_events(lv, k, order, at, threshold=threshold, frame_s=frame_s, shortest=shortest)
+        return ordered_events(lv, k, order, at, threshold=threshold, frame_s=frame_s, shortest=shortest)
 
     def peaks(share):
         return lambda lv: passages(lv, k, order, at, frames=frames, distance=distance, threshold=threshold,
@@ -81,7 +81,7 @@ def registry(keys: Sequence[str], order: Sequence[str], at: str, frame_s: float
         return lambda lv: _count(rows(lv), k, series(lv), name)
 
     return {
-        "raw_events": named("raw_events", events),
+        "raw_events": named("raw_events", lambda lv: events(lv).rows),
         "merged_10s": named("merged_10s", lambda lv: merge_events(events(lv), k, gaps[0])),
         "merged_120s": named("merged_120s", lambda lv: merge_events(events(lv), k, gaps[1])),
         "slope_zero_cross": named("slope_zero_cross", lambda lv: slope_crossings(smooth(lv), at, separation)),

@@ -36,32 +36,44 @@ def odd_frames(seconds: float, frame_s: float = fixed.FRAME_SECONDS) -> int:
 
 # ---- runs ------------------------------------------------------------------------------------
 
-def hot_runs(series: Ordered, hot: Column, at: str, value: str, frame_s: float, shortest: int) -> DataFrame:
-    """Runs of consecutive hot rows: start, first time of the largest value, duration, row count."""
+def hot_runs(series: Ordered, hot: Column, at: str, value: str, frame_s: float, shortest: int) -> Ordered:
+    """Runs of consecutive hot rows: start, first time of the largest value, duration, row count.
+
+    A run keeps the number and block of its first row, so the runs of a series are in order without being numbered again.
+    """
     o = series.with_columns(_hot=F.coalesce(hot, F.lit(False)))
     # inside a run the row number and the count of hot rows grow alike
     o = o.prefix(_before=("sum", F.col("_hot").cast("int"))).with_columns(run=F.col(RN) - F.col("_before"))
-    return o.rows.where("_hot").groupBy(*series.keys, "run").agg(
+    runs = o.rows.where("_hot").groupBy(*series.keys, "run").agg(
         F.min(at).alias("t_start"), F.max_by(at, F.struct(F.col(value), -F.col(RN))).alias("t_peak"),
-        F.count(F.lit(1)).alias("n_frames"), F.max(value).alias("peak_excess"),
+        F.count(F.lit(1)).alias("n_frames"), F.max(value).alias("peak_excess"), F.min(RN).alias(RN),
     ).where(F.col("n_frames") >= shortest).withColumn("duration_s", F.col("n_frames") * F.lit(float(frame_s))).drop("run")
+    return replace(series, rows=runs.withColumn(BLOCK, F.floor(F.col(RN) / series.block_rows)))
 
 
-def find_events(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, base: DataFrame | None = None,
-                value: str = "level", threshold: float = fixed.EVENT_EXCESS, frame_s: float = fixed.FRAME_SECONDS,
-                shortest: int | None = None, **limits: int) -> DataFrame:
-    """Runs of frames at least ``threshold`` above the series baseline that last long enough."""
+def ordered_events(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, base: DataFrame | None = None,
+                   value: str = "level", threshold: float = fixed.EVENT_EXCESS, frame_s: float = fixed.FRAME_SECONDS,
+                   shortest: int | None = None, **limits: int) -> Ordered:
+    """``find_events`` with the order of the events inside their series, for ``merge_events``."""
     b = baselines(levels, keys, value) if base is None else base
     lv = meet(levels, b, keys).withColumn("excess", F.col(value) - F.col("baseline"))
     o = number_rows(lv, keys, order, **limits)
     return hot_runs(o, F.col("excess") >= threshold, at, "excess", frame_s, min_frames() if shortest is None else shortest)
 
 
-def merge_events(events: DataFrame, keys: Sequence[str], max_gap_s: float | Column = fixed.MERGE_GAP_SECONDS,
+def find_events(levels: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, base: DataFrame | None = None, **how) -> DataFrame:
+    """Runs of frames at least ``threshold`` above the series baseline that last long enough."""
+    return ordered_events(levels, keys, order, at, base, **how).rows.drop(RN, BLOCK)
+
+
+def merge_events(events: DataFrame | Ordered, keys: Sequence[str], max_gap_s: float | Column = fixed.MERGE_GAP_SECONDS,
                  **limits: int) -> DataFrame:
-    """Join events of a series whose gap to the running end is at most ``max_gap_s``; times in seconds."""
+    """Join events of a series whose gap to the running end is at most ``max_gap_s``; times in seconds.
+
+    Events that come with their order are not numbered again.
+    """
     gap = max_gap_s if isinstance(max_gap_s, Column) else F.lit(float(max_gap_s))
-    o = number_rows(events, keys, ["t_start", "t_peak"], **limits)
+    o = events if isinstance(events, Ordered) else number_rows(events, keys, ["t_start", "t_peak"], **limits)
     end = F.col("t_start") + F.col("duration_s")
     o = chain_groups(o, F.col("t_start"), end, gap, strict=False)
     return o.rows.groupBy(*keys, "chain").agg(
@@ -71,10 +83,12 @@ def merge_events(events: DataFrame, keys: Sequence[str], max_gap_s: float | Colu
     ).withColumn("duration_s", F.col("_end") - F.col("t_start")).drop("chain", "_end")
 
 
-def merge_sweep(events: DataFrame, keys: Sequence[str], gaps: Sequence[float] = fixed.MERGE_GAP_SWEEP) -> DataFrame:
+def merge_sweep(events: DataFrame | Ordered, keys: Sequence[str], gaps: Sequence[float] = fixed.MERGE_GAP_SWEEP) -> DataFrame:
     """Merged events at every gap: the gap becomes part of the series key."""
-    spread = events.withColumn("gap_s", F.explode(F.array(*[F.lit(float(g)) for g in gaps])))
-    return merge_events(spread, [*keys, "gap_s"], F.col("gap_s"))
+    gap = F.explode(F.array(*[F.lit(float(g)) for g in gaps]))
+    by = [*keys, "gap_s"]
+    spread = replace(events.with_columns(gap_s=gap), keys=tuple(by)) if isinstance(events, Ordered) else events.withColumn("gap_s", gap)
+    return merge_events(spread, by, F.col("gap_s"))
 
 
 def shuffled(levels: DataFrame, keys: Sequence[str], order: Sequence[str], ident: str, value: str = "level", seed: int = 0,

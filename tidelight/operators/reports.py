@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,9 +158,10 @@ def events_table(windows: DataFrame, levels: DataFrame, bands: Sequence[str], sh
         every = rows if every is None else every.unionByName(rows)
     every = cut(every, "levels")
     base = cut(baselines(every, [*k, "kind"]), "baseline")
-    found = cut(ev.find_events(every, [*k, "kind"], order, at, base, **how), "events")
+    found = ev.ordered_events(every, [*k, "kind"], order, at, base, **how)
+    found = replace(found, rows=cut(found.rows, "events"))
     merged = ev.merge_events(found, [*k, "kind"], gap_s).groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("m"))
-    per = found.groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("n"), F.max("peak_excess").alias("top"), F.sum("duration_s").alias("long"))
+    per = found.rows.groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("n"), F.max("peak_excess").alias("top"), F.sum("duration_s").alias("long"))
     size = every.groupBy(*k, "kind").agg(F.count(F.lit(1)).alias("frames"))
     one = size.join(base, [*k, "kind"]).join(per, [*k, "kind"], "left").join(merged, [*k, "kind"], "left")
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))

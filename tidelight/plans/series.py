@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidelight import fixed
@@ -39,8 +41,12 @@ EVENTS = f"{NUMBERED}, {_events_sql('nu', 'user_id', 'ev')}"
 _F = ["t_start", "t_peak", "peak_excess", "duration_s"]
 
 
+def _ordered_events(t: Tables, levels=None):
+    return ev.ordered_events(t.series() if levels is None else levels, KEY, ORDER, AT, threshold=THRESHOLD, frame_s=FRAME_S, shortest=SHORTEST)
+
+
 def _events(t: Tables, levels=None):
-    return ev.find_events(t.series() if levels is None else levels, KEY, ORDER, AT, threshold=THRESHOLD, frame_s=FRAME_S, shortest=SHORTEST)
+    return _ordered_events(t, levels).rows.drop("_rn", "_block")
 
 
 @query(f"WITH {EVENTS} SELECT * FROM ev", floats=_F)
@@ -50,7 +56,7 @@ def events_found(t: Tables):
 
 @query(f"WITH {EVENTS}, {_merge_sql('ev', 'user_id', 'me', '43200')} SELECT * FROM me", floats=_F)
 def events_merged(t: Tables):
-    return ev.merge_events(_events(t), KEY, 43_200.0)
+    return ev.merge_events(_ordered_events(t), KEY, 43_200.0)
 
 
 GAPS = fixed.MERGE_GAP_SWEEP
@@ -59,7 +65,7 @@ GAPS = fixed.MERGE_GAP_SWEEP
 @query(f"""WITH {EVENTS}, x AS (SELECT ev.*, CAST(g AS DOUBLE) AS gap_s FROM ev, (SELECT unnest({[g * 720 for g in GAPS]}) AS g)),
 {_merge_sql('x', 'user_id, gap_s', 'me', 'gap_s')} SELECT gap_s, count(*) AS n_merged, CAST(sum(n_fragments) AS BIGINT) AS n_fragments FROM me GROUP BY 1""", floats=["gap_s"])
 def merge_gap_sweep(t: Tables):
-    m = ev.merge_sweep(_events(t), KEY, [g * 720 for g in GAPS])
+    m = ev.merge_sweep(_ordered_events(t), KEY, [g * 720 for g in GAPS])
     return m.groupBy("gap_s").agg(F.count("*").alias("n_merged"), F.sum("n_fragments").alias("n_fragments"))
 
 
@@ -280,8 +286,9 @@ def _long(t: Tables):
     """Scenes x bands: NULL where the band was not recorded, 0 where nothing was found."""
     s = cut(t.series(), "levels")
     k = ["user_id", "event_type"]
-    e = cut(ev.find_events(s, k, ORDER, AT, threshold=THRESHOLD, frame_s=FRAME_S, shortest=SHORTEST), "events")
-    n = e.groupBy(*k).agg(F.count("*").alias("n_events"))
+    e = ev.ordered_events(s, k, ORDER, AT, threshold=THRESHOLD, frame_s=FRAME_S, shortest=SHORTEST)
+    e = replace(e, rows=cut(e.rows, "events"))
+    n = e.rows.groupBy(*k).agg(F.count("*").alias("n_events"))
     m = ev.merge_events(e, k, 86_400.0).groupBy(*k).agg(F.count("*").alias("n_merged"))
     grid = s.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*[F.lit(b) for b in BAND_NAMES])))
     seen = s.where("NOT (event_type = 'error' AND user_id % 5 = 0)").groupBy(*k).agg(F.count("*").alias("n"))
@@ -377,7 +384,7 @@ def elevated_periods_per_band(t: Tables):
     lv = sp.band_levels(t.frames(), BANDS, ["win", "frame"], N).withColumn("t", F.col("frame") * 0.25)
     lv = cut(lv.where(F.col("t").between(2.5, 100_000)).select("win", "band", "frame", "t", "level"), "levels")
     k = ["win", "band"]
-    e = ev.find_events(lv, k, ["frame"], "t", threshold=4.0, frame_s=0.25, shortest=2)
+    e = ev.ordered_events(lv, k, ["frame"], "t", threshold=4.0, frame_s=0.25, shortest=2)
     m = ev.merge_events(e, k, 10.0)
     per = m.groupBy(*k).agg(F.sum("n_fragments").alias("n_events"), F.count("*").alias("n_merged"), F.max("peak_excess").alias("peak_excess"), F.sum("duration_s").alias("duration_s"))
     return per.groupBy("band").agg(F.count("*").alias("n_windows"), F.sum("n_events").alias("n_events"), F.sum("n_merged").alias("n_merged"),

@@ -241,6 +241,27 @@ def test_codes_skip_what_is_no_vector(spark):
 # --- licences -----------------------------------------------------------------------------------
 
 
+def test_licences_wrapped_at_any_width(spark):
+    import textwrap
+
+    heads = ["Copyright (c) 2020 Somebody", "Copyright 2019-2021 The Authors. All rights reserved.", "© me", "Copyright by Some Body", "# Copyright: (C) 1999 X"]
+    texts, want = [], []
+    for name, body in {i: t for i, t in licenses.KNOWN if len(t) > 400}.items():
+        for width in range(40, 121):
+            lines = [x for part in body.split("\n") for x in textwrap.wrap(part, width)]
+            texts.append("\n".join([heads[width % len(heads)], "", *lines]))
+            want.append(name)
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs_of(spark, texts), licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_license_scan_of_odd_rows(spark):
+    texts = ["Released under the MIT License.", "Released under the MIT License.", None, "x " * 200_000 + "\nLICENCED under the MIT licence!", "the mit\nSub-License x"]
+    docs = docs_of(spark, texts, [1, 1, None, 4, 5]).withColumns({"digest": F.lit("clash"), "license_id": F.lit("clash"), "line": F.lit("clash")})
+    got = sorted(((r["doc_id"], r["license_id"], r["notices"]) for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()), key=repr)
+    assert got == sorted([(1, "MIT", "MIT"), (1, "MIT", "MIT"), (None, None, None), (4, None, "MIT"), (5, None, None)], key=repr)
+
+
 def test_licences_by_canonical_digest(spark):
     mit = licenses.KNOWN[0][1]
     texts = [

@@ -6,7 +6,7 @@ same is done for every line, which finds notices that stand in a line of their o
 
 Defined cases: null and empty texts, and texts that are nothing but copyright lines, match nothing. Rows
 that repeat are judged alike; a null doc_id keeps its row. Known licences of equal canonical form give the
-first id. Empty tables give an empty result or no match.
+first id. Long texts are compared whole, whatever their line breaks. Empty tables give an empty result or no match; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ KNOWN = (
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("MIT", "SPDX-License-Identifier: MIT"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 )
 #: A line that only tells whose rights they are.
-COPYRIGHT_LINE = r"(?im)^[\s#*/;-]*(?:(?:portions |parts )?copyright\b|\(c\)|©|all rights reserved\b|spdx-filecopyrighttext).*$"
+#: The word alone does not make one: a wrapped licence text may begin a line with "copyright holders".
+COPYRIGHT_LINE = r"(?im)^[\s#*/;-]*(?:(?:portions |parts )?copyright\b(?:[\s:,]*(?:\(c\)|©|by\b|the\b)|.*(?:19|20)[0-9][0-9]|[\s.:]*$)|\(c\)|©|all rights reserved\b|spdx-filecopyrighttext).*$"
 _SIGNS = r"[^\p{L}\p{N}]+"
 
 
@@ -72,16 +73,26 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.md5(form))
 
 
+def _opens(line: Column, table: DataFrame) -> Column:
+    """Whether a line begins with a word that opens a known form, in any spelling; no other line can be one."""
+    firsts = {r["w"] for r in table.select(F.substring_index("form", " ", 1).alias("w")).distinct().collect()}  # as few as the known texts
+    firsts |= {other.split(" ")[0] for other, usual in EQUAL if usual.split(" ")[0] in firsts}
+    word = F.lower(F.regexp_extract(line, r"[\p{L}\p{N}]+", 0))
+    return F.substring_index(F.trim(F.regexp_replace(word, _SIGNS, " ")), " ", 1).isin(sorted(firsts))
+
+
 def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     return spark.createDataFrame(list(known), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, license_id (of a text that is a licence from end to end), notices (ids met by single lines, sorted, joined by commas; null if none)."""
-    table = cut(known.select("license_id", digest(F.col("text")).alias("digest")).filter("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id")), "licenses")
+    forms = known.select("license_id", canonical(F.col("text")).alias("form")).filter("form <> ''")
+    forms = cut(forms.groupBy("form").agg(F.min("license_id").alias("license_id")), "licenses")
+    table = forms.select("license_id", F.md5("form").alias("digest"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     lines = rows.select("doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line"))
-    noted = lines.select("doc_id", "text_hash", digest(F.col("line")).alias("digest")).join(table, "digest")
+    noted = lines.filter(_opens(F.col("line"), forms)).select("doc_id", "text_hash", digest(F.col("line")).alias("digest")).join(table, "digest")
     noted = noted.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     whole = rows.select("doc_id", "text_hash", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     out = whole.join(noted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")), "left")

@@ -270,7 +270,12 @@ def test_rollup_is_the_sum_of_its_batches_and_ignores_replays(spark, tmp_path):
     five = counts.filter("doc_id = 5")
     rollup.commit("anew", lambda: tokens.revisions(five, five.withColumn("tokenizer_version", F.lit("v2")).withColumn("tokens", F.lit(7).cast("long"))))
     (tmp_path / "rollup" / "rows" / "lost").mkdir()  # a writer that never committed
+    (tmp_path / "rollup" / "commits" / "died").touch()  # a writer that made its record and died before naming its rows
     assert totals() == {("a", "en", "v1"): (1, n), ("a", "fr", "v1"): (1, 0), ("b", "fr", "v2"): (1, 7)}
+    assert not rollup.committed("died") and rollup.commit("died", lambda: tokens.inserts(counts.filter("doc_id = 4")))
+    assert rollup.committed("died") and not rollup.commit("died", lambda: 1 / 0)
+    assert totals() == {("a", "en", "v1"): (1, n), ("a", "fr", "v1"): (2, 0), ("b", "fr", "v2"): (1, 7)}
+    assert not rollup._publish("died", "rows/other") and totals()[("a", "fr", "v1")] == (2, 0)  # the second of two writers
     with pytest.raises(ValueError, match="batch"):
         rollup.commit("../x", lambda: tokens.inserts(counts))
 

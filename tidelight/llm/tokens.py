@@ -3,8 +3,8 @@
 Every change of the corpus is a signed delta: an insert adds a document and its tokens, a delete takes them
 away, a revised count does both. Deltas are summed by source, language and tokenizer version and committed in
 batches; totals are the sum of the committed batches. A batch is committed once: its rows are written under
-a name of their own, and it counts from the moment its commit record is created, which succeeds for one writer
-only. A batch that was committed before is not computed again, and what a lost writer left is never read.
+a name of their own, and it counts from the moment its commit record, written beforehand, is renamed into place, which succeeds for
+one writer only (on file systems whose rename does not replace). A batch that was committed before is not computed again, and what a lost writer left is never read.
 
 Defined cases: a null text has 0 tokens and still counts as a document. Null sources and languages are keys
 of their own. Rows that repeat each count. Totals without any document and token are left out; an empty table
@@ -78,7 +78,7 @@ class Rollup:
 
     def committed(self, batch: str) -> bool:
         path, files = self._path(f"commits/{batch}")
-        return files.exists(path)
+        return files.exists(path) and files.getFileStatus(path).getLen() > 0  # an empty record is no commit
 
     def commit(self, batch: str, deltas: Callable[[], DataFrame]) -> bool:
         """Add a batch of signed deltas; False, with nothing done, if it was committed before."""
@@ -89,23 +89,33 @@ class Rollup:
         name = f"rows/{uuid.uuid4().hex}"
         summed = deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         summed.write.parquet(f"{self.folder}/{name}")
-        path, files = self._path(f"commits/{batch}")
-        try:
-            out = files.create(path, False)  # fails if the record exists: another writer was first
-        except Exception:
-            if self.committed(batch):
-                return False
-            raise
+        return self._publish(batch, name)
+
+    def _publish(self, batch: str, name: str) -> bool:
+        """Write the commit record under a private name, then rename it, which fails if another writer was first."""
+        draft, files = self._path(f"drafts/{uuid.uuid4().hex}")
+        out = files.create(draft, False)
         out.write(bytearray(name.encode()))
         out.close()
-        return True
+        path, _ = self._path(f"commits/{batch}")
+        if files.exists(path) and not self.committed(batch):
+            files.delete(path, False)  # an empty record, left by a writer that died
+        files.mkdirs(path.getParent())
+        if not self.committed(batch) and files.rename(draft, path):
+            return True
+        files.delete(draft, False)
+        if self.committed(batch):
+            return False
+        raise RuntimeError(f"batch {batch} could not be committed")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens: the sum of all committed batches."""
         path, files = self._path("commits")
         if not files.exists(path):
             return self.spark.createDataFrame([], SCHEMA)
-        names = [r["value"] for r in self.spark.read.text(f"{self.folder}/commits").collect()]  # one short line per batch
+        names = [r["value"] for r in self.spark.read.text(f"{self.folder}/commits").collect()]  # one short line per batch; an empty record has none
+        if not names:
+            return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{n}" for n in sorted(names)])
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 

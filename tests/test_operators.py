@@ -278,6 +278,58 @@ def test_a_pile_of_boxes_is_not_paired(spark):
     assert got == sorted(kept)
 
 
+def test_pairs_are_matched_for_all_settings_at_once(spark):
+    from tidelight.operators.sweeps import matched_bits
+
+    rnd = random.Random(5)
+    settings = 70  # more than one word of bits
+    names = ["_m0", "_m1"]
+    rows, mask = [], {}
+    for a in range(12):
+        for b in range(12):
+            if rnd.random() < 0.4:
+                mask[a, b] = [rnd.random() < 0.6 for _ in range(settings)]
+                words = [sum(1 << k for k, x in enumerate(mask[a, b][i * 63 : (i + 1) * 63]) if x) for i in range(2)]
+                rows.append(("s", a, b, float(rnd.randrange(6)), *words))
+    df = spark.createDataFrame(rows, "k string, a long, b long, d double, _m0 long, _m1 long")
+    got = {(r.a, r.b): [bool(r[names[k // 63]] >> (k % 63) & 1) for k in range(settings)] for r in matched_bits(df, ["k"], names).groupBy("a", "b").agg(*[F.bit_or(n).alias(n) for n in names]).collect()}
+    for k in range(settings):
+        used_a, used_b, want = set(), set(), set()
+        for d, a, b in sorted((r[3], r[1], r[2]) for r in rows if mask[r[1], r[2]][k]):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                want.add((a, b))
+        assert {p for p, bits in got.items() if bits[k]} == want
+
+
+def test_persistence_is_counted_per_setting(spark):
+    from tidelight.operators.sweeps import sweep_assets
+
+    rnd = random.Random(2)
+    rows = [(f"s{i % 7}", "AB"[i % 2], i, float(rnd.randrange(40)), float(rnd.randrange(40)), 48.0 + rnd.randrange(4) * 0.01, -125.0, 2015 + rnd.randrange(6), rnd.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "scene string, side string, id long, x double, y double, lat double, lon double, year int, score double")
+    grid = [{"config": 10 + k, "a": a, "b": b} for k, (a, b) in enumerate(((0.1, 0.2), (0.5, 0.5), (0.9, 0.1)))]
+    got = {(r.config, r.persist, r.asset, r.scene): r.pred for r in sweep_assets(df, "scene", grid, lambda c, s: F.col("score") >= c["a" if s == "A" else "b"], 5.0, (0, 2, 5)).collect()}
+    for c in grid:
+        for least in (0, 2, 5):
+            kept = [r for r in rows if r[8] >= (c["a"] if r[1] == "A" else c["b"])]
+            years = {}
+            for r in kept:
+                years.setdefault((r[1], r[5]), set()).add(r[7])
+            kept = [r for r in kept if not least or len(years[r[1], r[5]]) < least]
+            for scene in {r[0] for r in rows}:
+                a, b = ([r for r in kept if r[0] == scene and r[1] == s] for s in "AB")
+                pairs, ua, ub = 0, set(), set()
+                for d, i, j in sorted((math.hypot(p[3] - q[3], p[4] - q[4]), p[2], q[2]) for p in a for q in b):
+                    if d <= 5.0 and i not in ua and j not in ub:
+                        ua.add(i)
+                        ub.add(j)
+                        pairs += 1
+                want = {"A": len(a), "B": len(b), "both": pairs, "any": len(a) + len(b) - pairs}
+                assert {x: got[c["config"], least, x, scene] for x in want} == want
+
+
 # ---- rasters -------------------------------------------------------------------------------------
 
 def _pixels(spark, grid, valid=None):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelight.operators import events as ev
 from tidelight.operators import intervals as iv
-from tidelight.operators.ordered import Ordered, centred_sum, number_rows, quantiles
+from tidelight.operators.ordered import Ordered, centred_sum, nearest_rows, number_rows, quantiles
 
 SPLIT = {"block_rows": 7}
 
@@ -243,3 +243,41 @@ def test_prominences_of_ten_million_points(spark):
         a, z = higher(at, -1), higher(at, 1)
         left, right = v[(0 if a is None else a) : at].min(), v[at : n if z is None else z].min()
         assert prominence == h[at] - max(left, right)
+
+
+def test_sliding_order_statistics_match_sorting():
+    rng = np.random.default_rng(8)
+    for values in (rng.integers(0, 40, 300), rng.integers(-5, 5, 300) * 0.5, np.zeros(50), rng.normal(size=200), np.arange(64)[::-1]):
+        for width in (1, 2, 7, 49):
+            for rank in {0, width // 2, width - 1}:
+                got = ev.sliding_order_statistic(values, width, rank)
+                assert np.array_equal(got, [np.sort(values[i : i + width])[rank] for i in range(len(values) - width + 1)])
+
+
+def test_means_of_whole_numbers_and_of_fractions_agree(spark):
+    rnd = random.Random(4)
+    rows = [("a" if i < 60 else "b", i, rnd.randrange(100)) for i in range(75)]
+    df = spark.createDataFrame(rows, "k string, t long, level int").withColumn("x", F.col("level").cast("double"))
+    for limits in ({}, {"block_rows": 5}):
+        for frames in (1, 5, 31):
+            o = number_rows(df, ["k"], ["t"], **limits)
+            whole, parts = (dict(table(ev.smooth_mean(o, c, frames), "t", "smooth")) for c in ("level", "x"))
+            assert whole == pytest.approx(parts)
+            h = frames // 2
+            for k, first, last in (("a", 0, 60), ("b", 60, 75)):
+                level = {i: v for _, i, v in rows[first:last]}
+                assert [whole[i] for i in level] == pytest.approx([sum(level.get(j, 0) for j in range(i - h, i + h + 1)) / frames for i in level])
+
+
+def test_nearest_rows_of_several_series(spark):
+    rnd = random.Random(6)
+    frames = [(rnd.choice("uv"), rnd.choice(["p", "q", "r"]), float(t), float(i)) for i, t in enumerate(rnd.sample(range(1000), 150))]
+    points = [(rnd.choice("uv"), i, rnd.randrange(1000) + rnd.choice([0.0, 0.5])) for i in range(60)] + [("w", 99, 5.0)]
+    f = spark.createDataFrame(frames, "k string, lane string, t double, v double")
+    p = spark.createDataFrame(points, "k string, id long, t double")
+    for limits in ({}, {"block_rows": 4}):
+        got = {r.id: r.near for r in nearest_rows(p, f, ["k"], "t", "lane", ["p", "q", "r"], "v", "near", **limits).collect()}
+        for k, i, t in points:
+            for lane, value in zip("pqr", got[i], strict=True):
+                own = [(abs(x - t), x, v) for kk, ll, x, v in frames if kk == k and ll == lane]
+                assert value == (min(own)[2] if own else None)

@@ -79,22 +79,18 @@ def keys_of(lines: DataFrame) -> DataFrame:
     before. It is made in blocks of ``BLOCK`` words with a carry each, so a key costs nearly the same however long the line.
     """
     n = F.size("w")
-
-    def moved(x: Column, place: Column) -> Column:
-        return F.xxhash64(x, place).bitwiseXOR(F.xxhash64(x, place - 1))
+    # each word is hashed with its own place and with the one before, once
+    lines = lines.select("*", F.transform("w", lambda x, i: F.xxhash64(x, i + 1)).alias("here"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("back"))
+    lines = lines.select("*", _xor(F.col("here")).alias("placed"), _xor(F.col("back")).alias("up"), F.zip_with("here", "back", lambda x, y: x.bitwiseXOR(y)).alias("moved"))
 
     def block(b: Column) -> Column:
-        return _running_xor(F.transform(F.slice("w", b * BLOCK + 1, F.lit(BLOCK)), lambda x, j: moved(x, b * BLOCK + j + 1)))
+        return _running_xor(F.slice("moved", b * BLOCK + 1, F.lit(BLOCK)))
 
-    lines = lines.select(
-        "*", _xor(F.transform("w", lambda x, i: F.xxhash64(x, i + 1))).alias("placed"), _xor(F.transform("w", lambda x, i: F.xxhash64(x, i))).alias("up"),
-        F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block).alias("blocks"),
-    )
+    lines = lines.select("*", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block).alias("blocks"))
     carries = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(F.element_at(x, -1)))))
     before = F.flatten(F.zip_with("blocks", F.slice(carries, F.lit(1), F.size("blocks")), lambda x, carry: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y.bitwiseXOR(carry))))
-    same = F.transform("w", lambda x, i: F.xxhash64(F.lit("="), n, i + 1, F.col("placed").bitwiseXOR(F.xxhash64(x, i + 1))))
-    shift = F.transform("w", lambda x, i: F.col("up").bitwiseXOR(F.xxhash64(x, i)))
-    less = F.zip_with(before, shift, lambda x, y: F.xxhash64(F.lit("-"), n - 1, x.bitwiseXOR(y)))
+    same = F.transform("here", lambda x, i: F.xxhash64(F.lit("="), n, i + 1, F.col("placed").bitwiseXOR(x)))
+    less = F.zip_with(before, "back", lambda x, y: F.xxhash64(F.lit("-"), n - 1, x.bitwiseXOR(F.col("up").bitwiseXOR(y))))
     own = F.array(F.xxhash64(F.lit("-"), n, F.col("placed")))
 
     def told(keys: Column, role: int) -> Column:
@@ -159,8 +155,8 @@ def dedup(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.element_at(lines, i + 1))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1  # counted, not split: most texts keep all lines
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
 
 
 def shortened(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:

@@ -41,8 +41,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "text_hash", "line_no", place.cast("decimal(33,0)").alias("place"), line.alias("line")).filter("line <> ''")
 
 
+def _words() -> Column:
+    """Number of words of ``line``, which are one space apart."""
+    return F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+
+
 def _ends(shortest: int) -> list[Column]:
-    """Keys end1 to end4 of words ``w``: of the first and of the last q words; null where there is none.
+    """Keys end1 to end4 of a ``line`` of ``n`` words: of its first and of its last q words; null where there is none.
 
     q is at most half of the words of a partner, so one end of both is whole. It is rounded down to
     three leading bits, so that lines of n and n - 1 words mostly have the same two keys; else there are four.
@@ -53,12 +58,15 @@ def _ends(shortest: int) -> list[Column]:
         step = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(half.cast("double") + 0.5)) - 2))
         return (F.floor(half / step) * step).cast("int")
 
-    n = F.size("w")
+    def key(side: str, q: Column) -> Column:
+        count = q if side == "first" else -q
+        return F.xxhash64(q, F.lit(side), F.call_function("substring_index", F.col("line"), F.lit(" "), count))
+
+    n = F.col("n")
     one, two = short(n), short(n - 1)
     keys = []
     for q, wanted in ((one, n >= shortest), (two, (n > shortest) & (two != one))):
-        keys.append(F.when(wanted, F.xxhash64(q, F.lit("first"), F.slice("w", F.lit(1), q))))
-        keys.append(F.when(wanted, F.xxhash64(q, F.lit("last"), F.slice("w", n - q + 1, q))))
+        keys += [F.when(wanted, key(side, q)) for side in ("first", "last")]
     return [k.alias(f"end{i + 1}") for i, k in enumerate(keys)]
 
 
@@ -116,8 +124,9 @@ def dropped(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     lines = lines_of(docs)
     ends = [f"end{i}" for i in range(1, 5)]
     pair = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]  # together the identity of a line
-    marks = lines.select("doc_id", "text_hash", "line_no", "place", *pair, F.split("line", " ").alias("w"))
-    marks = cut(marks.select("doc_id", "text_hash", "line_no", "place", "h1", "h2", *_ends(shortest)), "lines")
+    marks = lines.select("doc_id", "text_hash", "line_no", "place", *pair, "line", _words().alias("n"))
+    # lines that can have a partner keep their words, so that texts are split once
+    marks = cut(marks.select("doc_id", "text_hash", "line_no", "place", "h1", "h2", *_ends(shortest), F.when(F.col("n") >= shortest, F.col("line")).alias("line")), "lines")
     firsts = cut(marks.groupBy("h1", "h2").agg(F.min("place").alias("first"), *[F.min(e).alias(e) for e in ends]), "lines")
 
     # lines that can have a partner: an end occurs with another line
@@ -125,7 +134,7 @@ def dropped(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     same = Window.partitionBy("end")
     chosen = ended.select("*", F.min("h1").over(same).alias("low"), F.max("h1").over(same).alias("high")).filter("low <> high")
     chosen = cut(chosen.select("h1", "h2", "first").distinct(), "lines")
-    texts = lines.select("place", "line").withColumn("h1", F.xxhash64("line")).join(chosen.withColumnRenamed("first", "place"), ["h1", "place"])
+    texts = marks.filter("line is not null").select("h1", "h2", "place", "line").join(chosen.withColumnRenamed("first", "place"), ["h1", "h2", "place"])
     texts = cut(texts.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.col("place").alias("first"), F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("w")), "lines")
 
     keys = keys_of(texts)

@@ -521,6 +521,18 @@ def test_coverage_of_an_area(spark):
     assert got["none"].aoi_missing_m2 == pytest.approx(area, rel=2e-4)  # chords instead of parallels
 
 
+def test_coverage_is_computed_once_below_a_filter(spark):
+    aoi = ((-125.0, 48.0), (-124.9, 48.0), (-124.9, 48.1), (-125.0, 48.1))
+    x = F.lit(-125.1) + F.col("id") / 100
+    at = lambda dx, y: F.array(x + dx, F.lit(y))
+    rings = spark.range(40).select("id", F.array(at(0.0, 47.9), at(0.12, 47.9), at(0.12, 48.2), at(0.0, 48.2)).alias("ring"))
+    every = ga.aoi_coverage(rings, aoi)
+    kept = ga.contained(every, 60_000_000.0)
+    assert {r.id for r in kept.collect()} == {r.id for r in every.collect() if r.aoi_covered or r.aoi_missing_m2 <= 60_000_000.0} != set()
+    steps = [df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") for df in (every, kept)]
+    assert steps[0] == steps[1] <= 2  # the clipping and the area of what is left
+
+
 def test_drops_must_exist(spark):
     s = spark.createDataFrame([(1,), (2,)], "id int")
     assert ga.drop_ids(s, s.where("id = 1")).collect()[0].id == 2

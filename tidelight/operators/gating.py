@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +12,16 @@ from tidelight import fixed
 from tidelight.operators.guards import DataError
 
 
-def _equal_area(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
-    """Struct x, y: Lambert azimuthal equal-area coordinates on the sphere of equal area, centred on the AOI.
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
-    Latitudes become authalic first, so areas are those of the ellipsoid.
+
+def _equal_area(lon0: float, lat0: float, m=F) -> tuple[Callable, Callable]:
+    """Lambert azimuthal equal-area coordinates on the sphere of equal area, centred on the AOI, in two steps; ``m`` is F for columns, math for numbers.
+
+    Latitudes become authalic first, so areas are those of the ellipsoid: the first step gives a latitude's authalic sine,
+    the second x and y of a longitude and that sine.
     """
     a, f = fixed.WGS84
     e = math.sqrt(f * (2 - f))
@@ -24,11 +30,17 @@ def _equal_area(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
     qp = q(1.0, math.log)
     s0 = q(math.sin(math.radians(lat0)), math.log) / qp
     c0 = math.sqrt(1 - s0 * s0)
-    sb = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), q(F.sin(F.radians(lat)), F.log) / qp))
-    cb = F.sqrt(1 - sb * sb)
-    dl = F.radians(lon - lon0)
-    k = a * math.sqrt(qp / 2) * F.sqrt(2 / (1 + s0 * sb + c0 * cb * F.cos(dl)))
-    return F.struct((k * cb * F.sin(dl)).alias("x"), (k * (c0 * sb - s0 * cb * F.cos(dl))).alias("y"))
+
+    def sine(lat):
+        s = q(m.sin(m.radians(lat)), m.log) / qp
+        return min(1.0, max(-1.0, s)) if m is math else F.least(F.lit(1.0), F.greatest(F.lit(-1.0), s))
+
+    def plane(lon, sb):
+        cb, dl = m.sqrt(1 - sb * sb), m.radians(lon - lon0)
+        k = a * math.sqrt(qp / 2) * m.sqrt(2 / (1 + s0 * sb + c0 * cb * m.cos(dl)))
+        return k * cb * m.sin(dl), k * (c0 * sb - s0 * cb * m.cos(dl))
+
+    return sine, plane
 
 
 def clipped(points: Column, window: Column) -> Column:
@@ -37,13 +49,16 @@ def clipped(points: Column, window: Column) -> Column:
     def cut_off(ring: Column, h: Column) -> Column:
         side = lambda p: (h["qx"] - h["px"]) * (p["y"] - h["py"]) - (h["qy"] - h["py"]) * (p["x"] - h["px"])
 
-        def edge(p: Column, i: Column) -> Column:
-            q = F.get(ring, (i + 1) % F.size(ring))
-            s, t = side(p), side(q)
-            cross = F.struct((p["x"] + (q["x"] - p["x"]) * s / (s - t)).alias("x"), (p["y"] + (q["y"] - p["y"]) * s / (s - t)).alias("y"))
-            return F.array_compact(F.array(F.when(s >= 0, p), F.when(s * t < 0, cross)))
+        def inside(sided: Column) -> Column:
+            def edge(p: Column, i: Column) -> Column:
+                q = F.get(sided, (i + 1) % F.size(sided))
+                s, t = p["s"], q["s"]
+                cross = F.struct((p["x"] + (q["x"] - p["x"]) * s / (s - t)).alias("x"), (p["y"] + (q["y"] - p["y"]) * s / (s - t)).alias("y"))
+                return F.array_compact(F.array(F.when(s >= 0, F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.when(s * t < 0, cross)))
+
+            return F.flatten(F.transform(sided, edge))
 
-        return F.flatten(F.transform(ring, edge))
+        return _named(F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s"))), inside)
 
     return F.aggregate(window, points, cut_off)
 
@@ -68,14 +83,20 @@ def aoi_coverage(scenes: DataFrame, aoi: Sequence[Sequence[float]], ring: str =
     if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(box, [*box[1:], box[0]], strict=True)) < 0:
         box = box[::-1]
     lon0, lat0 = (sum(p[k] for p in box) / len(box) for k in (0, 1))
-    corners = F.array(*[_equal_area(F.lit(x), F.lit(y), lon0, lat0) for x, y in box])
-    after = lambda i: F.get(corners, (i + 1) % len(box))
-    planes = F.transform(corners, lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), after(i)["x"].alias("qx"), after(i)["y"].alias("qy")))
-    flat = F.transform(ring, lambda p: _equal_area(p[0].cast("double"), p[1].cast("double"), lon0, lat0))
-    got = scenes.withColumns({"_total": ring_area(corners), "_inside": clipped(flat, planes)}).withColumn("_area", ring_area(F.col("_inside")))
-    missing = F.greatest(F.lit(0.0), F.col("_total") - F.col("_area"))
-    out = got.withColumns({"aoi_coverage": F.col("_area") / F.col("_total"), "aoi_missing_m2": missing, "aoi_covered": missing <= 1e-9 * F.col("_total")})
-    return out.drop("_total", "_inside", "_area")
+    sine, plane = _equal_area(lon0, lat0, math)
+    corners = [plane(x, sine(y)) for x, y in box]
+    edges = list(zip(corners, [*corners[1:], corners[0]], strict=True))
+    planes = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("px", "py", "qx", "qy"), (*p, *q), strict=True)]) for p, q in edges])
+    total = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in edges)) / 2
+    sine, plane = _equal_area(lon0, lat0)
+    on_sphere = F.transform(ring, lambda p: F.struct(p[0].cast("double").alias("lon"), sine(p[1].cast("double")).alias("sb")))
+    flat = F.transform(on_sphere, lambda p: F.struct(*[v.alias(n) for n, v in zip("xy", plane(p["lon"], p["sb"]), strict=True)]))
+    # One expression, exploded from a one-element array: as plain columns, a filter on the result would move below and repeat the clipping
+    # for every corner.
+    area = F.transform(F.array(clipped(flat, planes)), ring_area)
+    missing = lambda a: F.greatest(F.lit(0.0), F.lit(total) - a)
+    parts = F.transform(area, lambda a: F.struct((a / total).alias("aoi_coverage"), missing(a).alias("aoi_missing_m2"), (missing(a) <= 1e-9 * total).alias("aoi_covered")))
+    return scenes.withColumn("_c", F.explode(parts)).select(*scenes.columns, "_c.*")
 
 
 def contained(scenes: DataFrame, tolerance_m2: float = 0.0) -> DataFrame:

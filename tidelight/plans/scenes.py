@@ -98,7 +98,8 @@ AOI = ((-125.35, 48.77), (-125.21, 48.77), (-125.21, 48.86), (-125.35, 48.86))
 
 def _footprints(t: Tables):
     """Quadrangles around the area of interest, shifted by the supplier's and part's numbers."""
-    p = t.raw("part").select("p_partkey", ((F.col("p_size") - 25) / 500).alias("dx"), ((F.col("p_partkey") % 21 - 10) / 300).alias("dy"))
+    p = t.raw("part").select("p_partkey", "p_size").repartition("p_partkey")  # a small file is one task, its clipping is work for many
+    p = p.select("p_partkey", ((F.col("p_size") - 25) / 500).alias("dx"), ((F.col("p_partkey") % 21 - 10) / 300).alias("dy"))
     corner = lambda x, y: F.array(F.lit(x) + F.col("dx"), F.lit(y) + F.col("dy"))
     return p.withColumn("ring", F.array(corner(-125.40, 48.74), corner(-125.16, 48.74), corner(-125.16, 48.89), corner(-125.40, 48.89), corner(-125.40, 48.74)))
 

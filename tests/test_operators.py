@@ -533,6 +533,22 @@ def test_coverage_is_computed_once_below_a_filter(spark):
     assert steps[0] == steps[1] <= 2  # the clipping and the area of what is left
 
 
+def test_shore_distance_beyond_the_pixels(spark):
+    """Scene 1 has pixels in its first rows only, scene 2 lacks single pixels, scene 3 is all water."""
+    rng = random.Random(5)
+    land = {(1, r, c): rng.random() < 0.05 for r in range(6) for c in range(24)}
+    land |= {(2, r, c): rng.random() < 0.05 for r in range(24) for c in range(24) if rng.random() < 0.5}
+    land |= {(3, r, c): False for r in range(4) for c in range(24)}
+    masked = spark.createDataFrame([(s, r, c, not dry) for (s, r, c), dry in land.items()], "scene_id int, row int, col int, water boolean")
+    spots = {(s, i): (rng.randrange(24), rng.randrange(24)) for s in (1, 2, 3) for i in range(30)}
+    boxes = spark.createDataFrame([(s, i, c - 1.0, r - 1.0, c + 1.0, r + 1.0) for (s, i), (r, c) in spots.items()], "scene_id int, box int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.scene_id, r.box): r.shore_m for r in ra.shore_distance(boxes, masked, 24, 24, 3.0).collect()}
+    assert len(got) == 90
+    for (s, i), (r, c) in spots.items():
+        want = min((math.hypot(y - r, x - c) * 3.0 for (z, y, x), dry in land.items() if z == s and dry), default=None)
+        assert got[s, i] == (want if want is None else pytest.approx(want)), (s, i)
+
+
 def test_drops_must_exist(spark):
     s = spark.createDataFrame([(1,), (2,)], "id int")
     assert ga.drop_ids(s, s.where("id = 1")).collect()[0].id == 2

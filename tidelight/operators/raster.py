@@ -272,19 +272,21 @@ def water_quantile(peaks: DataFrame, masked: DataFrame, value: str = "nir", peak
 def shore_distance(boxes: DataFrame, masked: DataFrame, height: int, width: int, res_m: float) -> DataFrame:
     """Exact distance in metres from each box centre to the nearest non-water pixel, NULL in all-water scenes.
 
-    First the vertical distance to non-water inside each raster column. That of the centre's own column bounds the answer, so
-    only columns this near are looked at along the centre's row, tile by tile; all of them if the own column has no shore.
+    First the vertical distance from every row with a centre to non-water inside each raster column; the raster need not have pixels there.
+    That of the centre's own column bounds the answer, so only columns this near are looked at along the centre's row, tile by tile; all of
+    them if the own column has no shore.
     """
-    up = Window.partitionBy("scene_id", "col").orderBy("row")
-    down = Window.partitionBy("scene_id", "col").orderBy(F.desc("row"))
-    dry = F.when(~F.col("water"), F.col("row"))
-    v = masked.withColumn("_a", F.last(dry, True).over(up)).withColumn("_b", F.last(dry, True).over(down))
-    v = v.select("scene_id", F.col("row").alias("_row"), F.col("col").alias("_col"),
-                 F.least(F.col("row") - F.col("_a"), F.col("_b") - F.col("row")).alias("g")).where("g IS NOT NULL")
     r = F.greatest(F.lit(0), F.least(F.bround((F.col("y1") + F.col("y2")) / 2, 0).cast("int"), F.lit(height - 1)))
     c = F.greatest(F.lit(0), F.least(F.bround((F.col("x1") + F.col("x2")) / 2, 0).cast("int"), F.lit(width - 1)))
     b = boxes.select("scene_id", "box", r.alias("_row"), c.alias("_c"))
     spots = b.select("scene_id", "_row", "_c").distinct()
+    shore = masked.where(~F.col("water")).select("scene_id", F.col("col").alias("_col"), F.col("row").alias("_row"), F.col("row").alias("_dry"))
+    asked = spots.select("scene_id", "_row").distinct().join(shore.select("scene_id", "_col").distinct(), "scene_id")
+    lines = shore.unionByName(asked, allowMissingColumns=True)
+    up = Window.partitionBy("scene_id", "_col").orderBy("_row")  # rows of the same place see each other
+    down = Window.partitionBy("scene_id", "_col").orderBy(F.desc("_row"))
+    v = lines.withColumns({"_a": F.last("_dry", True).over(up), "_b": F.last("_dry", True).over(down)}).where("_dry IS NULL")
+    v = v.select("scene_id", "_row", "_col", F.least(F.col("_row") - F.col("_a"), F.col("_b") - F.col("_row")).alias("g"))
     own = v.select("scene_id", "_row", F.col("_col").alias("_c"), F.col("g").alias("_most"))
     near = spots.join(own, ["scene_id", "_row", "_c"], "left")
     first, last = F.greatest(F.lit(0), F.coalesce(F.col("_c") - F.col("_most"), F.lit(0))), F.least(F.lit(width - 1), F.coalesce(F.col("_c") + F.col("_most"), F.lit(width - 1)))

@@ -71,3 +71,21 @@ def test_sweep_is_one_partial_aggregate(spark):
     out = de.sweep_counts(boxes, "scene_id", grid, lambda c: de.passes(boxes.columns, c["conf"], min_len=c["min_len"]))
     physical = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert physical.count("Exchange hashpartitioning(l_suppkey") + physical.count("Exchange hashpartitioning(scene_id") <= 2
+
+
+def test_no_outage_has_no_distance(spark, tmp_path):
+    """Files in every hour, so there is no gap to be near to; with one gap the query and its SQL still agree."""
+    import duckdb
+
+    from tests.compare import differences
+
+    hours = "SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_hours(CAST(range // 2 AS INTEGER)) AS ts, 1 AS user_id, CASE range % 2 WHEN 0 THEN 'error' ELSE 'view' END AS event_type, 1.0 AS value, '{}' AS props FROM range(96)"
+    for name, where, gaps in (("whole", "true", False), ("gap", "event_type = 'view' OR event_id NOT BETWEEN 40 AND 50", True)):
+        folder = tmp_path / name
+        folder.mkdir()
+        con = duckdb.connect()
+        con.execute(f"COPY (SELECT * FROM ({hours}) WHERE {where}) TO '{folder}/events.parquet'")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+        df = QUERIES["hours_to_nearest_outage"](spark, str(folder))
+        assert differences(df, con, entry.oracle_sql()["hours_to_nearest_outage"]) is None
+        assert {r.gap_hours is None for r in df.collect()} == {not gaps}

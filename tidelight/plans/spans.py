@@ -200,7 +200,7 @@ def file_index_report(t: Tables):
 
 
 @query(f"""WITH {UPTIME}, {RUNS}, g AS (SELECT start_utc AS s, end_utc AS e FROM runs WHERE NOT available AND seconds >= 7200), p AS (SELECT event_id, ts FROM events WHERE event_type = 'view')
-SELECT event_id, min(greatest(0, greatest(epoch_us(s) - epoch_us(ts), epoch_us(ts) - epoch_us(e)))) / 3.6e9 AS gap_hours FROM p LEFT JOIN g ON true GROUP BY 1""", floats=["gap_hours"])
+SELECT event_id, min(CASE WHEN s IS NOT NULL THEN greatest(0, epoch_us(s) - epoch_us(ts), epoch_us(ts) - epoch_us(e)) END) / 3.6e9 AS gap_hours FROM p LEFT JOIN g ON true GROUP BY 1""", floats=["gap_hours"])
 def hours_to_nearest_outage(t: Tables):
     bins = _uptime(t).withColumn("site", F.lit(1))
     gaps = iv.flag_runs(bins, ["site"], ~F.col("available"), min_s=7200)

@@ -303,6 +303,41 @@ def test_pairs_are_matched_for_all_settings_at_once(spark):
         assert {p for p, bits in got.items() if bits[k]} == want
 
 
+def test_settings_share_their_conditions(spark):
+    """Sixteen settings of few rules take one evaluation a rule and value, and give the bits of every setting taken alone; NULL evidence passes none."""
+    from tidelight.operators import sweeps
+
+    grid = de.parameter_grid(conf=(0.2, 0.8), mask=("none", "water"), min_len=(0, 20), max_aspect=(2, 4))
+    rng = random.Random(8)
+    some = lambda v: None if rng.random() < 0.1 else v
+    rows = [(i, some(rng.random()), rng.random() < 0.9, some(rng.random() < 0.5), some(rng.uniform(0, 40)), rng.uniform(1, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, score double, in_valid boolean, in_water boolean, length_m double, aspect_ratio double")
+    settings = [{k: v for k, v in c.items() if k != "config"} for c in grid]
+    words = sweeps._words([de.conditions(df.columns, **s) for s in settings])
+    assert len(settings) == 16 and len(words) == 1 and str(words[0]).count("CASE WHEN") == 8
+    plain = [F.coalesce(de.passes(df.columns, **s), F.lit(False)).alias(f"p{k}") for k, s in enumerate(settings)]
+    for r in df.select(words[0].alias("w"), *plain).collect():
+        assert r.w == sum(1 << k for k in range(16) if r[f"p{k}"])
+
+
+def test_pairs_of_two_assets_across_cells(spark):
+    """Pairs at exactly the tolerance, over cell borders and below zero, are counted as a plain pass over all pairs does."""
+    from tidelight.operators.sweeps import sweep_assets
+
+    rng = random.Random(9)
+    rows = [("s", side, i, rng.randrange(-60, 60) / 2, rng.randrange(-60, 60) / 2, 48.0, -125.0, 2000) for side in "AB" for i in range(60)]
+    rows += [("t", "A", 0, 20.0, 0.0, 48.0, -125.0, 2000), ("t", "B", 0, 15.0, 0.0, 48.0, -125.0, 2000), ("t", "A", 1, -20.0, 0.0, 48.0, -125.0, 2000), ("t", "B", 1, -20.0, 5.0, 48.0, -125.0, 2000)]
+    df = spark.createDataFrame(rows, "scene string, side string, id int, x double, y double, lat double, lon double, year int")
+    got = {r.scene: r.pred for r in sweep_assets(df, "scene", [{"config": 0}], lambda c, s: F.lit(True), 5.0).where("asset = 'both'").collect()}
+    a, b = ([r for r in rows if r[:2] == ("s", side)] for side in "AB")
+    seen, n = set(), 0
+    for d, i, j in sorted((math.hypot(p[3] - q[3], p[4] - q[4]), p[2], q[2]) for p in a for q in b):
+        if d <= 5.0 and not {("a", i), ("b", j)} & seen:
+            seen |= {("a", i), ("b", j)}
+            n += 1
+    assert got == {"s": n, "t": 2} and n > 20
+
+
 def test_persistence_is_counted_per_setting(spark):
     from tidelight.operators.sweeps import sweep_assets
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +21,26 @@ from tidelight.session import cut
 
 # ---- filters ---------------------------------------------------------------------------------
 
-def passes(columns: Sequence[str], conf: float, mask: str = "none", min_len: float = 0.0, max_len: float = float("inf"),
-           max_aspect: float = float("inf"), nir_pct: float = 0.0, shore_m: float = 0.0) -> Column:
-    """Whether a box passes one filter setting. Evidence that is asked for must be among ``columns``."""
+def conditions(columns: Sequence[str], conf: float, mask: str = "none", min_len: float = 0.0, max_len: float = float("inf"),
+               max_aspect: float = float("inf"), nir_pct: float = 0.0, shore_m: float = 0.0) -> dict[tuple, Column]:
+    """What a box must meet to pass one filter setting, by rule and value. Evidence that is asked for must be among ``columns``."""
     for name, asked in (("nir_pct", nir_pct), ("shore_m", shore_m)):
         if asked > 0 and name not in columns:
             raise DataError(f"boxes have no {name}; add the evidence columns first")
-    ok = (F.col("score") >= conf) & F.col("in_valid") & F.col("length_m").between(min_len, max_len) & (F.col("aspect_ratio") <= max_aspect)
+    out = {("conf", conf): F.col("score") >= conf, ("valid",): F.col("in_valid"), ("length", min_len, max_len): F.col("length_m").between(min_len, max_len),
+           ("aspect", max_aspect): F.col("aspect_ratio") <= max_aspect}
     if mask != "none":
-        ok &= F.col({"clear": "in_clear", "water": "in_water"}[mask])
+        out["mask", mask] = F.col({"clear": "in_clear", "water": "in_water"}[mask])
     if nir_pct > 0:
-        ok &= F.col("nir_pct") >= nir_pct
+        out["nir_pct", nir_pct] = F.col("nir_pct") >= nir_pct
     if shore_m > 0:
-        ok &= F.col("shore_m") >= shore_m
-    return ok
+        out["shore_m", shore_m] = F.col("shore_m") >= shore_m
+    return out
+
+
+def passes(columns: Sequence[str], *args, **setting) -> Column:
+    """Whether a box passes one filter setting, as ``conditions`` takes it."""
+    return reduce(and_, conditions(columns, *args, **setting).values())
 
 
 def select_boxes(boxes: DataFrame, **setting) -> DataFrame:

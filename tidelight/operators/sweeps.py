@@ -15,22 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight.functions.geo import grid_cell
-from tidelight.operators.detections import near_pairs
+from tidelight.operators.detections import near_pairs_any_radius
 from tidelight.operators.ordered import meet
 from tidelight.session import cut, release
 
 BITS = 63  # settings of one long
 
 
-def _words(passes: Sequence[Column]) -> list[Column]:
-    """Longs whose bits tell which of the conditions hold; a condition that is NULL does not."""
+def _words(passes: Sequence[Column | dict[tuple, Column]]) -> list[Column]:
+    """Longs whose bits tell which settings pass; a condition that is NULL does not hold.
+
+    Settings given as conditions by rule and value share them: each is evaluated once and takes the bits of all settings that ask for it.
+    The code Spark generates for a row stays short, which the Java compiler needs.
+    """
     out = []
     for i in range(0, len(passes), BITS):
-        bits = [F.when(c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(passes[i : i + BITS])]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total.bitwiseOR(b)
-        out.append(total)
+        asked: dict[tuple, list] = {}
+        for k, p in enumerate(passes[i : i + BITS]):
+            for key, c in (p if isinstance(p, dict) else {("setting", k): p}).items():
+                asked.setdefault(key, [c, 0])[1] |= 1 << k
+        word = F.lit((1 << len(passes[i : i + BITS])) - 1).cast("long")
+        for c, bits in asked.values():
+            word = word.bitwiseAND(F.when(c, F.lit(-1).cast("long")).otherwise(F.lit(~bits).cast("long")))
+        out.append(word)
     return out
 
 
@@ -42,9 +49,10 @@ def _any(names: Sequence[str]) -> Column:
 
 
 def _counted(df: DataFrame, keys: Sequence[str], names: Sequence[str], n: int) -> DataFrame:
-    """keys, counts: of every setting the rows that have its bit, added up inside the tasks first."""
-    flags = F.array(*[F.getbit(F.col(names[k // BITS]), F.lit(k % BITS)).cast("double") for k in range(n)])
-    sums = df.groupBy(*keys).agg(Summarizer.sum(array_to_vector(flags)).alias("v"))
+    """keys, counts: of every setting the rows that have its bit. Rows of equal bits, few kinds a key, are counted first."""
+    kinds = df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    flags = F.array(*[F.getbit(F.col(names[k // BITS]), F.lit(k % BITS)) * F.col("_n").cast("double") for k in range(n)])
+    sums = kinds.groupBy(*keys).agg(Summarizer.sum(array_to_vector(flags)).alias("v"))
     return sums.select(*keys, F.transform(vector_to_array("v"), lambda x: F.round(x).cast("long")).alias("counts"))
 
 
@@ -88,12 +96,12 @@ def matched_bits(pairs: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
             return done
 
 
-def sweep_assets(boxes: DataFrame, scene: str, configs: Sequence[dict], keep: Callable[[dict, str], Column], tol_m: float,
+def sweep_assets(boxes: DataFrame, scene: str, configs: Sequence[dict], keep: Callable[[dict, str], Column | dict[tuple, Column]], tol_m: float,
                  persist: Sequence[int] = (0,), once: Callable[[dict], bool] = lambda c: True) -> DataFrame:
     """(config, persist, asset, scene, pred) of every setting, persistence and asset.
 
     ``boxes``: scene, side ("A" or "B"), id (unique inside a side of a scene), x, y in metres, lat, lon, year and what ``keep`` asks for; ``keep(config, side)`` tells
-    whether a box of a side passes. Assets: "A" and "B" count a side's boxes in the scenes that have that side, and only for settings with ``once``, which
+    whether a box of a side passes, as one condition or as conditions by rule and value. Assets: "A" and "B" count a side's boxes in the scenes that have that side, and only for settings with ``once``, which
     tells settings apart that differ in the other side alone; "both" counts the pairs within ``tol_m`` in scenes that have both sides, "any" the boxes
     of both sides less the pairs. Zeros are included.
     """
@@ -102,14 +110,17 @@ def sweep_assets(boxes: DataFrame, scene: str, configs: Sequence[dict], keep: Ca
     words = {s: _words([keep(c, s) for c in configs]) for s in "AB"}
     masks = {name: F.when(F.col("side") == "A", a).otherwise(b) for name, a, b in zip(names, words["A"], words["B"], strict=True)}
     b = boxes.where(F.col("side").isin("A", "B"))
-    scenes = b.groupBy(scene).agg(F.max(F.col("side") == "A").alias("has_a"), F.max(F.col("side") == "B").alias("has_b"))
-    passed = cut(b.withColumns(masks).where(_any(names)).select(scene, "side", "id", "x", "y", "lat", "lon", "year", *names), "passed")
+    marked = cut(b.withColumns(masks).select(scene, "side", "id", "x", "y", "lat", "lon", "year", *names), "marked")
+    scenes = marked.groupBy(scene).agg(F.max(F.col("side") == "A").alias("has_a"), F.max(F.col("side") == "B").alias("has_b"))
+    passed = marked.where(_any(names))
     out = None
     for least in persist:
         left = passed if not least else cut(_without_persistent(passed, names, least).where(_any(names)), "passed")
         counts = _counted(left, [scene, "side"], names, n)
         side = lambda s, p: left.where(F.col("side") == s).select(scene, F.col("id").alias(p), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"), *[F.col(m).alias(f"{p}{m}") for m in names])  # noqa: E731, B023
-        near = near_pairs(side("A", "a"), side("B", "b"), [scene], tol_m, tol_m)
+        # In cells four times as wide as the tolerance a box needs about two copies, not nine; the rim of 1e-9 is for rounding.
+        reach = side("A", "a").withColumn("radius", F.lit(tol_m * (1 + 1e-9)))
+        near = near_pairs_any_radius(reach, side("B", "b"), [scene], 4.0 * tol_m).where(F.col("d") <= tol_m)
         near = near.select(scene, "a", "b", "d", *[F.col(f"a{m}").bitwiseAND(F.col(f"b{m}")).alias(m) for m in names])
         both = _counted(matched_bits(near, [scene], names), [scene], names, n)
         all_ = scenes

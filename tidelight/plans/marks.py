@@ -377,7 +377,7 @@ tr AS (SELECT scene_id AS scene, count(*) FILTER (WHERE length_m >= 30 AND side
 def _asset_matrix(t: Tables):
     boxes = _flags(t)
     grid = de.parameter_grid(conf=CONF_A, conf2=CONF_B, min_len=(0, 20), mask=MASK)
-    keep = lambda c, side: de.passes(boxes.columns, conf=c["conf"] if side == "A" else c["conf2"], mask=c["mask"], min_len=c["min_len"], max_aspect=4)
+    keep = lambda c, side: de.conditions(boxes.columns, conf=c["conf"] if side == "A" else c["conf2"], mask=c["mask"], min_len=c["min_len"], max_aspect=4)
     return sweeps.sweep_assets(boxes, "scene_id", grid, keep, 30.0, PERSIST, lambda c: c["conf2"] == CONF_B[0])
 
 

@@ -97,15 +97,15 @@ def keys_of(lines: DataFrame) -> DataFrame:
     lines = lines.select("*", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block).alias("blocks"))
     carries = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(F.element_at(x, -1)))))
     before = F.flatten(F.zip_with("blocks", F.slice(carries, F.lit(1), F.size("blocks")), lambda x, carry: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y.bitwiseXOR(carry))))
-    same = F.transform("here", lambda x, i: F.xxhash64(F.lit("="), n, i + 1, F.col("placed").bitwiseXOR(x)))
-    less = F.zip_with(before, "back", lambda x, y: F.xxhash64(F.lit("-"), n - 1, x.bitwiseXOR(F.col("up").bitwiseXOR(y))))
-    own = F.array(F.xxhash64(F.lit("-"), n, F.col("placed")))
-
-    def told(keys: Column, role: int) -> Column:
-        return F.transform(F.array_distinct(keys), lambda x: F.struct(x.alias("key"), F.lit(role).alias("role")))
-
-    roles = [told(same, SAME), told(own, OWN), told(less, LESS)]
-    return lines.select("h1", "h2", "first", F.explode(F.concat(*roles)).alias("k")).select("h1", "h2", "first", "k.key", "k.role")
+    # 2n tells that a word of n is missing at a place, 2n + 1 that a rest has n words
+    lines = lines.select("h1", "h2", "first", "here", "back", "placed", "up", before.alias("before"), n.alias("n"), (2 * n).alias("at"), (2 * n - 1).alias("without"))
+    same = F.transform("here", lambda x, i: F.xxhash64("at", i, F.col("placed").bitwiseXOR(x)))
+    less = F.zip_with("before", "back", lambda x, y: F.xxhash64("without", x.bitwiseXOR(F.col("up").bitwiseXOR(y))))
+    own = F.array(F.xxhash64(F.col("at") + 1, "placed"))
+    # n keys without a word at its place, the whole line's, then those without a word, which repeat where words do
+    keys = lines.select("h1", "h2", "first", "n", F.posexplode(F.concat(same, own, F.array_distinct(less))).alias("i", "key"))
+    role = F.when(F.col("i") < F.col("n"), SAME).when(F.col("i") == F.col("n"), OWN).otherwise(LESS)
+    return keys.select("h1", "h2", "first", "key", role.alias("role"))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -140,8 +140,8 @@ def dropped(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     keys = keys_of(texts)
     # a line meets the earliest of its length, a longer line the one it becomes, and that one the earliest of the longer
     longer = F.col("role") == LESS
-    earliest = keys.groupBy("key").agg(F.min(F.when(~longer, F.col("first"))).alias("a"), F.min(F.when(longer, F.col("first"))).alias("b"), F.min("first").alias("low"), F.max("first").alias("high"))
-    met = keys.join(earliest.filter("low < high").drop("low", "high"), "key").select("h1", "h2", "first", F.when(F.col("role") == OWN, F.col("b")).otherwise(F.col("a")).alias("e"))
+    earliest = keys.groupBy("key").agg(F.min(F.when(~longer, F.col("first"))).alias("a"), F.min(F.when(longer, F.col("first"))).alias("b"), F.max("first").alias("high"))
+    met = keys.join(earliest.filter("least(a, b) < high").drop("high"), "key").select("h1", "h2", "first", F.when(F.col("role") == OWN, F.col("b")).otherwise(F.col("a")).alias("e"))
     met = met.filter("e < first").select("h1", "h2", "e").distinct()
     other = texts.select(F.col("first").alias("e"), F.col("w").alias("x"))
     near = met.join(texts.select("h1", "h2", "w"), ["h1", "h2"]).join(other, "e").filter(within_one(F.col("w"), F.col("x")))
